@@ -39,3 +39,32 @@ def global_index(df: DataFrame, order_cols: list, index_col: str = "_idx",
     # offsets has at most n rows: a proven size bound for the broadcast
     return (ranged.join(F.broadcast(offsets), "_part")
             .select(*[F.col(c) for c in cols], (F.col("_pos") + F.col("_off")).alias(index_col)))
+
+
+def prefix_sums(df: DataFrame, order_cols: list, value_cols: list[str], by: list[str] | None = None,
+                num_partitions: int | None = None) -> DataFrame:
+    """Exclusive running sums of ``value_cols`` in ``order_cols`` order (``<col>_before``),
+    restarted for every key of ``by``.
+
+    Same two-level plan as ``global_index``: range partitions on (by, order), running
+    sums inside a partition, plus the exclusive prefix of per-(partition, key) totals
+    (a table with at most partitions × keys rows).  A key with most of the rows is
+    spread over many range partitions instead of one window partition.  Rows must be
+    distinct on (by, order).
+    """
+    by = by or []
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = checkpointed(df.repartitionByRange(n, *[F.col(b) for b in by], *order_cols)
+                          .withColumn("_part", F.spark_partition_id()))
+    inside = (Window.partitionBy("_part", *by).orderBy(*order_cols)
+              .rowsBetween(Window.unboundedPreceding, -1))
+    local = ranged.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_l_{c}")
+                                 for c in value_cols])
+    totals = ranged.groupBy("_part", *by).agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_part", *by, *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0))
+                                            .alias(f"_o_{c}") for c in value_cols])
+    out = local.join(offsets, ["_part", *by])
+    return out.select(*df.columns, *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"{c}_before")
+                                     for c in value_cols])
