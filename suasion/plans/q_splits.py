@@ -1 +1,117 @@
-"""Queries (filled below)."""
+"""Queries for SPL01-08 (and MTH01/02 inside them)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from suasion.functions.numeric import floor_fraction, utc_cutoff
+from suasion.operators import splits as sp
+from suasion.plans import views as v
+from suasion.plans.q_relational import EV_FOLDS_SQL, HELD_SQL, ORD_FOLDS_SQL, SPLIT3_SQL
+from suasion.plans.registry import register
+
+W = v.with_views
+CUTOFF = utc_cutoff(2024, 1, 24)
+
+
+@register("spl01_stratified_group_kfold", W("ord") + ORD_FOLDS_SQL + """
+SELECT o.o_orderkey, f.fold FROM ord o JOIN ord_folds f ON o.o_custkey = f.o_custkey""")
+def spl01(spark, sf):
+    f = sp.stratified_group_kfold(v.ord_(spark, sf), "o_custkey", "label", 5, 42, "fold")
+    return f.filter(F.col("o_custkey").isNotNull()).select("o_orderkey", "fold")
+
+
+@register("spl02_best_fold", W("ord") + ORD_FOLDS_SQL + "SELECT fold, size, diff FROM ord_best")
+def spl02(spark, sf):
+    f = sp.stratified_group_kfold(v.ord_(spark, sf), "o_custkey", "label", 5, 42, "fold")
+    return sp.best_fold(f, "fold", 5)
+
+
+@register("spl03_nested_folds", W("ord") + ORD_FOLDS_SQL + """,
+rest AS (SELECT o_custkey, n, n1 FROM ord_folds WHERE fold <> (SELECT fold FROM ord_best)),
+rest_folds AS (SELECT o_custkey, CAST((row_number() OVER (ORDER BY n DESC, n1 DESC,
+                      md5('42:' || CAST(o_custkey AS VARCHAR)), o_custkey) - 1) % 5 AS INTEGER) AS folds_col
+               FROM rest)
+SELECT o.o_orderkey, CASE WHEN r.o_custkey IS NULL THEN 'test' ELSE 'train' END AS split, r.folds_col
+FROM ord o JOIN ord_folds f ON o.o_custkey = f.o_custkey LEFT JOIN rest_folds r ON o.o_custkey = r.o_custkey""")
+def spl03(spark, sf):
+    s = sp.best_fold_split(v.ord_(spark, sf).filter(F.col("o_custkey").isNotNull()), "o_custkey", "label")
+    return s.select("o_orderkey", "split", "folds_col")
+
+
+@register("spl04_group_kfold", W("ev") + EV_FOLDS_SQL + """
+SELECT e.event_id, f.folds_col FROM ev e JOIN ev_folds f ON e.user_id = f.user_id""")
+def spl04(spark, sf):
+    f = sp.group_kfold(v.ev(spark, sf), "user_id")
+    return f.filter(F.col("folds_col").isNotNull()).select("event_id", "folds_col")
+
+
+@register("spl05_group_holdout", W("ev") + HELD_SQL + """
+SELECT event_id, coalesce(user_id IN (SELECT user_id FROM ev_held), false) AS held_out FROM ev""")
+def spl05(spark, sf):
+    return sp.group_holdout(v.ev(spark, sf), "user_id").select("event_id", "held_out")
+
+
+@register("spl06_three_way_split", W("messages") + SPLIT3_SQL + """
+SELECT m.message_id, s.split FROM messages m JOIN m_split s ON m.claim_id IS NOT DISTINCT FROM s.claim_id""")
+def spl06(spark, sf):
+    return sp.three_way_split(v.messages(spark, sf), "claim_id").select("message_id", "split")
+
+
+RECIPE_SQL = W("ev") + f""",
+ev_in AS (SELECT * FROM ev WHERE created_utc < {CUTOFF}),
+in_groups AS (SELECT DISTINCT user_id FROM ev_in WHERE user_id IS NOT NULL),
+in_held AS (SELECT user_id FROM (
+    SELECT user_id, row_number() OVER (ORDER BY md5('42:' || CAST(user_id AS VARCHAR)), user_id) - 1 AS r,
+           count(*) OVER () AS g FROM in_groups) WHERE r < (g * 2) // 10),
+tr AS (SELECT * FROM ev_in WHERE user_id IS NULL OR user_id NOT IN (SELECT user_id FROM in_held)),
+tr_sizes AS (SELECT user_id, count(*) AS n FROM tr WHERE user_id IS NOT NULL GROUP BY user_id),
+tr_folds AS (SELECT user_id, CAST((row_number() OVER (ORDER BY n DESC, md5('42:' || CAST(user_id AS VARCHAR)),
+                                                     user_id) - 1) % 5 AS INTEGER) AS folds_col FROM tr_sizes)
+SELECT t.event_id, 'train' AS split, f.folds_col FROM tr t LEFT JOIN tr_folds f ON t.user_id = f.user_id
+UNION ALL
+SELECT event_id, 'test_in_time', CAST(NULL AS INTEGER) FROM ev_in WHERE user_id IN (SELECT user_id FROM in_held)
+UNION ALL
+SELECT event_id, 'test_out_of_time', CAST(NULL AS INTEGER) FROM ev WHERE created_utc >= {CUTOFF}"""
+
+
+@register("spl07_time_group_recipe", RECIPE_SQL)
+def spl07(spark, sf):
+    r = sp.time_group_recipe(v.ev(spark, sf), "user_id", "created_utc", CUTOFF)
+    return r.select("event_id", "split", "folds_col")
+
+
+@register("spl08_fold_select", W("ev") + EV_FOLDS_SQL + """
+SELECT e.event_id, k.i AS fold, CASE WHEN f.folds_col = k.i THEN 'validation' ELSE 'train' END AS role
+FROM ev e JOIN ev_folds f ON e.user_id = f.user_id CROSS JOIN (SELECT unnest(range(5)) AS i) k""")
+def spl08(spark, sf):
+    f = sp.group_kfold(v.ev(spark, sf), "user_id").filter(F.col("folds_col").isNotNull())
+    parts = []
+    for i in range(5):
+        tr, va = sp.fold_split(f, i)
+        parts.append(tr.select("event_id", F.lit(i).alias("fold"), F.lit("train").alias("role")))
+        parts.append(va.select("event_id", F.lit(i).alias("fold"), F.lit("validation").alias("role")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("mth01_floor_fraction", W("ev") + """
+SELECT user_id, count(*) AS n, (count(*) * 2) // 10 AS n_02, (count(*) * 6) // 10 AS n_06, count(*) // 5 AS n_div5
+FROM ev GROUP BY user_id""")
+def mth01(spark, sf):
+    g = v.ev(spark, sf).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return g.select("user_id", "n", floor_fraction("n", 2).alias("n_02"), floor_fraction("n", 6).alias("n_06"),
+                    F.floor(F.col("n") / 5).cast("bigint").alias("n_div5"))
+
+
+@register("mth02_abs_diff", W("ord") + ORD_FOLDS_SQL + """
+SELECT fold, size, CAST(abs(size - (SELECT count(*) FROM ord) // 5) AS BIGINT) AS diff FROM ord_sizes""")
+def mth02(spark, sf):
+    from suasion.functions.numeric import abs_diff
+    f = sp.stratified_group_kfold(v.ord_(spark, sf), "o_custkey", "label", 5, 42, "fold")
+    sizes = f.filter(F.col("fold").isNotNull()).groupBy("fold").agg(F.count(F.lit(1)).alias("size"))
+    total = f.agg(F.count(F.lit(1)).alias("_t"))
+    return sizes.crossJoin(F.broadcast(total)).select(
+        "fold", "size", abs_diff("size", F.floor(F.col("_t") / 5)).cast("bigint").alias("diff"))
