@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from suasion.functions.numeric import r6
 from suasion.operators import features as fe
-from suasion.operators import shape as sh
+from suasion.operators import shape as sh  # noqa: F401
 from suasion.plans import views as v
 from suasion.plans.registry import register
 
@@ -25,3 +25,136 @@ SELECT t.group_id, t.feat,
 FROM feat t JOIN stats s ON t.feat = s.feat"""
 
 register("fea01_zscore_sql", FLAGSHIP_SQL)(flagship)
+
+
+@register("fea02_zscore_dense", v.with_views("feat_holes") + """,
+present AS (SELECT * FROM feat_holes WHERE value IS NOT NULL AND NOT isnan(value)),
+stats AS (SELECT feat, avg(value) AS mean, stddev_pop(value) AS stddev FROM present GROUP BY feat),
+grid AS (SELECT g.group_id, d.feat FROM (SELECT DISTINCT group_id FROM feat_holes) g,
+         (SELECT DISTINCT feat FROM feat_holes) d),
+z AS (SELECT grid.group_id, grid.feat,
+             coalesce((f.value - s.mean) / NULLIF(s.stddev, 0), 0.0) AS value
+      FROM grid LEFT JOIN present f ON f.group_id = grid.group_id AND f.feat = grid.feat
+      LEFT JOIN stats s ON s.feat = grid.feat)
+SELECT group_id, feat, round(value, 6) + 0.0 AS value, round(value, 6) + 0.0 AS group_norm FROM z""")
+def fea02(spark, sf):
+    z = fe.zscore_dense_form(v.feat_holes(spark, sf))
+    return z.select("group_id", "feat", r6("value").alias("value"), r6("group_norm").alias("group_norm"))
+
+
+FEAT_SPLIT_SQL = """,
+f_groups AS (SELECT DISTINCT group_id FROM feat),
+f_split AS (SELECT group_id, CASE WHEN r < (g * 6) // 10 THEN 'train'
+                                  WHEN r < (g * 6) // 10 + (g * 2) // 10 THEN 'validation' ELSE 'test' END AS split
+            FROM (SELECT group_id, row_number() OVER (ORDER BY md5('42:' || group_id) NULLS FIRST,
+                                                      group_id NULLS FIRST) - 1 AS r,
+                         count(*) OVER () AS g FROM f_groups))"""
+
+
+@register("fea03_fit_apply", v.with_views("feat") + FEAT_SPLIT_SQL + """,
+stats AS (SELECT f.feat, avg(f.value) AS mean, stddev_pop(f.value) AS stddev
+          FROM feat f JOIN f_split s ON f.group_id = s.group_id WHERE s.split = 'train' GROUP BY f.feat)
+SELECT f.group_id, f.feat, s2.split, round((f.value - st.mean) / NULLIF(st.stddev, 0), 6) + 0.0 AS value
+FROM feat f JOIN f_split s2 ON f.group_id = s2.group_id JOIN stats st ON f.feat = st.feat""")
+def fea03(spark, sf):
+    from suasion.operators.splits import three_way_split
+    f = three_way_split(v.feat(spark, sf), "group_id")
+    stats = fe.feature_stats(f.filter(F.col("split") == "train"))
+    z = fe.apply_zscore(f, stats)
+    return z.select("group_id", "feat", "split", r6("value").alias("value"))
+
+
+HALVES_SQL = """
+WITH h AS (SELECT CAST(vec_id AS VARCHAR) AS group_id,
+                  list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)"""
+
+
+def _halves(spark, sf):
+    h = v.vectors(spark, sf)
+    return h.select("group_id", F.slice("features", 1, 32).alias("style"),
+                    F.slice("features", 33, 32).alias("content"), "features")
+
+
+def _long(df, col):
+    return df.select("group_id", F.posexplode(col).alias("idx", "value")).select(
+        "group_id", F.col("idx").cast("int").alias("idx"), r6("value").alias("value"))
+
+
+@register("fea07_vec_average", HALVES_SQL + """
+SELECT group_id, CAST(i AS INTEGER) AS idx, round((e[i + 1] + e[i + 33]) / 2, 6) + 0.0 AS value
+FROM h, LATERAL (SELECT unnest(range(32)) AS i)""")
+def fea07(spark, sf):
+    h = _halves(spark, sf)
+    return _long(h.select("group_id", fe.vec_average("style", "content").alias("v")), "v")
+
+
+@register("fea08_vec_sum", HALVES_SQL + """
+SELECT group_id, CAST(i AS INTEGER) AS idx, round(e[i + 1] + e[i + 33], 6) + 0.0 AS value
+FROM h, LATERAL (SELECT unnest(range(32)) AS i)""")
+def fea08(spark, sf):
+    h = _halves(spark, sf)
+    return _long(h.select("group_id", fe.vec_sum("style", "content").alias("v")), "v")
+
+
+@register("fea09_vec_concat", HALVES_SQL + """
+SELECT group_id, CAST(i AS INTEGER) AS idx,
+       round(CASE WHEN i < 32 THEN e[i + 33] ELSE e[i - 31] END, 6) + 0.0 AS value
+FROM h, LATERAL (SELECT unnest(range(64)) AS i)""")
+def fea09(spark, sf):
+    h = _halves(spark, sf)
+    # content first, then style: the order is the caller's choice and is preserved
+    return _long(h.select("group_id", fe.vec_concat("content", "style").alias("v")), "v")
+
+
+PROJ_IN, PROJ_OUT = 40, 24
+
+
+def _proj_sql():
+    scale = f"(1.0 / sqrt({PROJ_IN}))"
+    return HALVES_SQL + f""",
+w AS (SELECT i, j, (CAST(('0x' || substr(md5('42:' || i || ':' || j), 1, 8)) AS UBIGINT) / 4294967295.0 * 2.0 - 1.0)
+                 * {scale} AS w
+      FROM (SELECT unnest(range({PROJ_IN})) AS i), (SELECT unnest(range({PROJ_OUT})) AS j)),
+x AS (SELECT group_id, i, e[i + 1] AS x FROM h, LATERAL (SELECT unnest(range({PROJ_IN})) AS i))
+SELECT x.group_id, CAST(w.j AS INTEGER) AS idx, round(sum(x.x * w.w), 6) + 0.0 AS value
+FROM x JOIN w ON x.i = w.i GROUP BY x.group_id, w.j"""
+
+
+@register("fea10_projection", _proj_sql())
+def fea10(spark, sf):
+    h = v.vectors(spark, sf).select("group_id", F.slice("features", 1, PROJ_IN).alias("x"))
+    m = fe.projection_matrix(PROJ_IN, PROJ_OUT)
+    return _long(h.select("group_id", fe.project("x", m).alias("v")), "v")
+
+
+@register("fea11_feature_sets", HALVES_SQL + """,
+lab AS (SELECT CAST(vec_id AS VARCHAR) AS group_id, CAST(label >= 5 AS INTEGER) AS persuaded FROM embeddings),
+t AS (SELECT group_id, 'style:' || printf('dim_feat_%03d', i) AS feat, e[i + 1] AS value
+      FROM h, LATERAL (SELECT unnest(range(32)) AS i)
+      UNION ALL
+      SELECT group_id, 'content:' || printf('dim_feat_%03d', i), e[i + 33]
+      FROM h, LATERAL (SELECT unnest(range(32)) AS i))
+SELECT t.group_id, t.feat, round(t.value, 6) + 0.0 AS value, lab.persuaded
+FROM t JOIN lab ON t.group_id = lab.group_id""")
+def fea11(spark, sf):
+    h = _halves(spark, sf)
+    tables = {"style": sh.vector_to_long(h.select("group_id", F.col("style").alias("features"))),
+              "content": sh.vector_to_long(h.select("group_id", F.col("content").alias("features")))}
+    comb = fe.combine_feature_tables(tables)
+    out = v.emb_cls(spark, sf).select("group_id", "persuaded")
+    return comb.join(out, "group_id").select("group_id", "feat", r6("value").alias("value"), "persuaded")
+
+
+@register("fea04_pca")
+def fea04(spark, sf):
+    """P: PCA of the z-scored feature table (properties checked in tests)."""
+    return fe.pca_reduce(fe.zscore_dense_form(v.feat(spark, sf)), 3)
+
+
+@register("fea06_rfa_interactions")
+def fea06(spark, sf):
+    """P: factors = 3 PCA components of claims; features x factor interactions + residual."""
+    f = v.feat(spark, sf)
+    factors = fe.pca_reduce(f, 3).select("group_id", F.col("feat").alias("factor"),
+                                         F.col("value").alias("fvalue"))
+    return fe.factor_interactions(f, factors)
