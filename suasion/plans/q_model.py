@@ -1 +1,218 @@
-"""Queries (filled below)."""
+"""Queries for EVL*, ENC*, TRN*, SCO01, SNK07."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from suasion.functions.numeric import r6
+from suasion.operators import encode as en
+from suasion.operators import evaluate as ev_
+from suasion.operators import train as tr
+from suasion.operators.shape import vector_to_long
+from suasion.operators.splits import group_kfold, three_way_split
+from suasion.plans import views as v
+from suasion.plans.q_relational import CE_SQL, LOGITS_SQL, logits
+from suasion.plans.registry import register
+from suasion.session import scratch_path
+
+W = v.with_views
+L = "WITH x AS (SELECT 1)" + LOGITS_SQL
+PRED_SQL = "CASE WHEN e1 > e0 THEN 1 ELSE 0 END"
+P1_SQL = "CASE WHEN e1 - e0 >= 0 THEN 1.0 / (1.0 + exp(-(e1 - e0))) ELSE exp(e1 - e0) / (1.0 + exp(e1 - e0)) END"
+
+
+def _pred(spark, sf):
+    return logits(spark, sf).withColumn("pred", ev_.argmax2("e0", "e1"))
+
+
+@register("evl01_accuracy", L + f"""
+SELECT batch_id, round(avg(CAST(({PRED_SQL}) = label AS DOUBLE)), 6) + 0.0 AS accuracy FROM logits GROUP BY batch_id""")
+def evl01(spark, sf):
+    a = ev_.accuracy(_pred(spark, sf), "label", "pred", ["batch_id"])
+    return a.select("batch_id", r6("accuracy").alias("accuracy"))
+
+
+@register("evl02_f1_macro", L + f""",
+p AS (SELECT batch_id, label, {PRED_SQL} AS pred FROM logits),
+c AS (SELECT batch_id, c FROM (SELECT batch_id, label AS c FROM p UNION SELECT batch_id, pred FROM p)),
+k AS (SELECT c.batch_id, c.c,
+             sum(CASE WHEN p.label = c.c AND p.pred = c.c THEN 1 ELSE 0 END) AS tp,
+             sum(CASE WHEN p.label <> c.c AND p.pred = c.c THEN 1 ELSE 0 END) AS fp,
+             sum(CASE WHEN p.label = c.c AND p.pred <> c.c THEN 1 ELSE 0 END) AS fn
+      FROM c JOIN p ON c.batch_id = p.batch_id GROUP BY c.batch_id, c.c)
+SELECT batch_id, round(avg(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END), 6) + 0.0
+       AS f1_macro FROM k GROUP BY batch_id""")
+def evl02(spark, sf):
+    f = ev_.macro_f1(_pred(spark, sf), "label", "pred", ["batch_id"])
+    return f.select("batch_id", r6("f1_macro").alias("f1_macro"))
+
+
+def _auc_sql(score: str, by: str | None) -> str:
+    key = f"{by}, " if by else ""
+    part = f"PARTITION BY {by} " if by else ""
+    grp = f"GROUP BY {by}" if by else ""
+    return f""",
+per AS (SELECT {key}{score} AS score, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS p,
+               sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS q FROM src GROUP BY {key}{score}),
+r AS (SELECT {key}p, q, coalesce(sum(q) OVER ({part}ORDER BY score
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS qb FROM per)
+SELECT {key}round(CASE WHEN sum(p) = 0 OR sum(q) = 0 THEN 0.0
+                       ELSE sum(p * (qb + q / 2.0)) / (sum(p) * sum(q)) END, 6) + 0.0 AS roc_auc FROM r {grp}"""
+
+
+@register("evl03_roc_auc", W("scored") + ", src AS (SELECT * FROM scored)" + _auc_sql("score", None))
+def evl03(spark, sf):
+    a = ev_.roc_auc(v.scored(spark, sf), "label", "score")
+    return a.select(r6("roc_auc").alias("roc_auc"))
+
+
+@register("evl03_roc_auc_by_batch", W("scored") + ", src AS (SELECT * FROM scored)" + _auc_sql("score", "batch_id"))
+def evl03b(spark, sf):
+    a = ev_.roc_auc(v.scored(spark, sf), "label", "score", ["batch_id"])
+    return a.select("batch_id", r6("roc_auc").alias("roc_auc"))
+
+
+@register("evl04_most_frequent_class", W("scored") + """
+SELECT batch_id, round(max(n) / sum(n), 6) + 0.0 AS mfc FROM (
+  SELECT batch_id, label, count(*) AS n FROM scored GROUP BY batch_id, label) GROUP BY batch_id""")
+def evl04(spark, sf):
+    m = ev_.most_frequent_class(v.scored(spark, sf), "label", ["batch_id"])
+    return m.select("batch_id", r6("mfc").alias("mfc"))
+
+
+CE2_SQL = CE_SQL.replace("e0", "e2").replace("e1", "e3")
+
+
+@register("evl05_paired_t", L + f"""
+SELECT round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) + 0.0 AS t_stat, count(*) AS n
+FROM (SELECT {CE_SQL} - {CE2_SQL} AS d FROM logits)""")
+def evl05(spark, sf):
+    l = logits(spark, sf).select(ev_.cross_entropy2("e0", "e1", "label").alias("la"),
+                                 ev_.cross_entropy2("e2", "e3", "label").alias("lb"))
+    t = ev_.paired_t(l, "la", "lb")
+    return t.select(r6("t_stat").alias("t_stat"), "n")
+
+
+@register("evl06_split_metrics", L + f""",
+src AS (SELECT batch_id, label, {CE_SQL} AS loss, {PRED_SQL} AS pred, {P1_SQL} AS p1 FROM logits),
+base AS (SELECT batch_id, round(avg(loss), 6) + 0.0 AS loss,
+                round(avg(CAST(pred = label AS DOUBLE)), 6) + 0.0 AS accuracy FROM src GROUP BY batch_id),
+auc AS (WITH x AS (SELECT 1) {_auc_sql("p1", "batch_id")})
+SELECT base.batch_id, base.loss, base.accuracy, auc.roc_auc FROM base JOIN auc ON base.batch_id = auc.batch_id""")
+def evl06(spark, sf):
+    m = ev_.split_metrics(logits(spark, sf), "e0", "e1", "label", ["batch_id"])
+    return m.select("batch_id", r6("loss").alias("loss"), r6("accuracy").alias("accuracy"),
+                    r6("roc_auc").alias("roc_auc"))
+
+
+LOSS_TABLE_SQL = """,
+losses AS (SELECT user_id AS g, row_number() OVER (PARTITION BY user_id ORDER BY d) AS epoch, l AS loss
+           FROM (SELECT user_id, created_utc // 86400 AS d, avg(value) AS l FROM ev
+                 WHERE user_id IS NOT NULL AND created_utc IS NOT NULL GROUP BY user_id, created_utc // 86400)),
+st(g, epoch, best, best_epoch, bad, stopped) AS (
+  SELECT g, 0, CAST('inf' AS DOUBLE), 0, 0, false FROM (SELECT DISTINCT g FROM losses)
+  UNION ALL
+  SELECT s.g, l.epoch,
+         CASE WHEN l.loss + 0.002 < s.best THEN l.loss ELSE s.best END,
+         CASE WHEN l.loss + 0.002 < s.best THEN l.epoch ELSE s.best_epoch END,
+         CASE WHEN l.loss + 0.002 < s.best THEN 0 ELSE s.bad + 1 END,
+         (CASE WHEN l.loss + 0.002 < s.best THEN 0 ELSE s.bad + 1 END) >= 3
+  FROM st s JOIN losses l ON l.g = s.g AND l.epoch = s.epoch + 1 WHERE NOT s.stopped)
+SELECT g AS user_id, CAST(arg_max(best_epoch, epoch) AS INTEGER) AS best_epoch,
+       round(arg_max(best, epoch), 6) + 0.0 AS best_loss, CAST(max(epoch) AS INTEGER) AS stop_epoch,
+       bool_or(stopped) AS stopped_early
+FROM st WHERE epoch > 0 GROUP BY g"""
+
+
+@register("trn02_early_stopping", W("ev").replace("WITH ", "WITH RECURSIVE ", 1) + LOSS_TABLE_SQL)
+def trn02(spark, sf):
+    from pyspark.sql import Window
+    e = v.ev(spark, sf).filter(F.col("user_id").isNotNull() & F.col("created_utc").isNotNull())
+    daily = e.groupBy("user_id", F.floor(F.col("created_utc") / 86400).alias("d")).agg(F.avg("value").alias("l"))
+    # one row per (user, day): a user's window holds at most its number of days
+    w = Window.partitionBy("user_id").orderBy("d")
+    losses = daily.select("user_id", F.row_number().over(w).alias("epoch"), F.col("l").alias("eval_loss"))
+    s = tr.early_stopping(losses, "user_id", "epoch", "eval_loss", patience=3, min_delta=0.002)
+    return s.select("user_id", "best_epoch", r6("best_loss").alias("best_loss"), "stop_epoch", "stopped_early")
+
+
+# ---- property-checked (P) queries ------------------------------------------------------
+def _emb_split(spark, sf):
+    return three_way_split(v.emb_cls(spark, sf), "group_id")
+
+
+@register("trn01_linear_head")
+def trn01(spark, sf):
+    """Spark ML logistic head fit on the train split, scored on every row."""
+    d = _emb_split(spark, sf)
+    m = tr.fit(d.filter(F.col("split") == "train"), "features", "persuaded", "lr", reg_param=0.0)
+    return tr.score(m, d, "features", ["group_id", "split", "persuaded"])
+
+
+@register("trn03_kfold_lr")
+def trn03(spark, sf):
+    f = group_kfold(v.emb_cls(spark, sf), "group_id", fold_col="folds_col")
+    return tr.kfold_scores(f, "folds_col", model="lr", keep=["group_id", "folds_col", "persuaded"])
+
+
+@register("trn04_kfold_forest")
+def trn04(spark, sf):
+    f = group_kfold(v.emb_cls(spark, sf), "group_id", fold_col="folds_col")
+    return tr.kfold_scores(f, "folds_col", model="etc", keep=["group_id", "folds_col", "persuaded"])
+
+
+@register("trn05_l2_search")
+def trn05(spark, sf):
+    f = group_kfold(v.emb_cls(spark, sf), "group_id", fold_col="folds_col")
+    return tr.l2_search(f, "folds_col", [0.0, 0.01, 0.1, 1.0])
+
+
+def _message_vectors(spark, sf):
+    m = v.messages(spark, sf)
+    vec = en.encode(m, "message", "message_id", "content", 64)
+    return m.select("message_id", "persuaded", "claim_id").join(vec, "message_id")
+
+
+@register("enc01_encode")
+def enc01(spark, sf):
+    """Content and style encodings of messages, as one long feature table."""
+    m = v.messages(spark, sf)
+    c = vector_to_long(en.encode(m, "message", "message_id", "content", 64).withColumnRenamed("message_id", "group_id"),
+                       prefix="content_")
+    s = vector_to_long(en.encode(m, "message", "message_id", "style", 64).withColumnRenamed("message_id", "group_id"),
+                       prefix="style_")
+    return c.unionByName(s)
+
+
+@register("enc02_sentence_embeddings")
+def enc02(spark, sf):
+    _, msg = en.sentence_vectors(v.messages(spark, sf), "message", "message_id", "content", 64)
+    return vector_to_long(msg.withColumnRenamed("message_id", "group_id"))
+
+
+@register("sco01_score_sentences")
+def sco01(spark, sf):
+    """Message-level model, saved and loaded, scoring every sentence → feature table."""
+    from pyspark.ml.classification import LogisticRegressionModel
+    data = _message_vectors(spark, sf)
+    model = tr.fit(data, "features", "persuaded", "lr", 0.01)
+    path = scratch_path(spark, "sco01-model")
+    model.write().overwrite().save(path)
+    loaded = LogisticRegressionModel.load(path)
+    sv, _ = en.sentence_vectors(v.messages(spark, sf), "message", "message_id", "content", 64)
+    scored = tr.score(loaded, sv, "features", ["sent_id"])
+    return tr.predictions_to_features(scored, "sent_id")
+
+
+@register("snk07_model_roundtrip")
+def snk07(spark, sf):
+    """Own head weights saved as a Parquet row, loaded back; both score every row."""
+    d = _emb_split(spark, sf)
+    _, final = tr.train_heads(d, [tr.HeadSetting("r0", lr=0.01, weight_decay=0.0)], epochs=5)
+    theta = final["r0"]["theta"]
+    path = scratch_path(spark, "snk07-head")
+    tr.save_head(spark, theta, final["r0"]["best_epoch"], path)
+    loaded, _ = tr.load_head(spark, path)
+    a = tr.head_scores(d, theta).select("group_id", F.col("p1").alias("p_before"))
+    b = tr.head_scores(d, loaded).select("group_id", F.col("p1").alias("p_after"))
+    return a.join(b, "group_id")
