@@ -1 +1,42 @@
-"""Queries (filled below)."""
+"""Queries for GRD02/03 and SNK05 (property-checked)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from suasion.operators import grid as gr
+from suasion.operators.splits import three_way_split
+from suasion.plans import views as v
+from suasion.plans.registry import register
+from suasion.session import scratch_path
+from suasion.sources.files import write_metrics
+
+# A grid in the reference's config form (two weight decays, two step sizes).
+GRID = {"method": "grid", "metric": {"name": "eval_acc", "goal": "maximize"},
+        "parameters": {"min_delta": {"value": 0.002}, "weight_decay": {"values": [0.005, 0.001]},
+                       "lr": {"values": [0.01, 0.05]}, "epochs": {"value": 8}}}
+
+
+def _grid_metrics(spark, sf):
+    data = three_way_split(v.emb_cls(spark, sf), "group_id")
+    settings = gr.expand_grid(spark, GRID)
+    metrics, _ = gr.run_grid(data, settings)
+    return metrics
+
+
+@register("grd02_run_grid")
+def grd02(spark, sf):
+    return _grid_metrics(spark, sf)
+
+
+@register("grd03_summary")
+def grd03(spark, sf):
+    return gr.summarize_runs(_grid_metrics(spark, sf), "eval_acc")
+
+
+@register("snk05_run_metrics")
+def snk05(spark, sf):
+    m = _grid_metrics(spark, sf)
+    path = scratch_path(spark, "snk05-metrics")
+    write_metrics(m, path)
+    return spark.read.schema(m.schema).json(path).withColumn("source", F.lit(path))
