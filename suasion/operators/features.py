@@ -77,8 +77,11 @@ def pca_reduce(df: DataFrame, n_components: int = 3, group_id: str = "group_id",
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    from pyspark import StorageLevel
+
     dense, _ = long_to_dense(df, group_id=group_id, feat=feat, value=value)
-    vec = dense.select(group_id, array_to_vector("features").alias("x"))
+    # three passes (centre, fit, project) read the same vectors: persist them once
+    vec = dense.select(group_id, array_to_vector("features").alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
     scaler = StandardScaler(inputCol="x", outputCol="xc", withMean=True, withStd=False).fit(vec)
     centred = scaler.transform(vec).select(group_id, "xc")
     model = PCA(k=n_components, inputCol="xc", outputCol="pcs").fit(centred)
