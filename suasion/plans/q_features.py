@@ -158,3 +158,20 @@ def fea06(spark, sf):
     factors = fe.pca_reduce(f, 3).select("group_id", F.col("feat").alias("factor"),
                                          F.col("value").alias("fvalue"))
     return fe.factor_interactions(f, factors)
+
+
+@register("fea03_stream_apply", FLAGSHIP_SQL)
+def fea03_stream(spark, sf):
+    """Stats fitted on the feature table, applied to the same rows arriving as a stream."""
+    from suasion.session import scratch_path
+    from suasion.sources.files import FEATURE_TABLE
+    from suasion.streaming.feature_stream import zscore_stream
+
+    f = v.feat(spark, sf)
+    src = scratch_path(spark, "stream-src")
+    f.write.mode("overwrite").parquet(src)
+    sink = scratch_path(spark, "stream-sink")
+    q = zscore_stream(spark, src, FEATURE_TABLE, fe.feature_stats(f), sink, max_files_per_trigger=2)
+    q.awaitTermination()
+    out = spark.read.parquet(sink)
+    return out.select("group_id", "feat", r6("value").alias("value"), r6("group_norm").alias("group_norm"))
