@@ -132,3 +132,10 @@ def time_group_recipe(df: DataFrame, group: str, time_col: str, cutoff: int, k:
 def fold_split(df: DataFrame, fold: int, folds_col: str = "folds_col") -> tuple[DataFrame, DataFrame]:
     """(train = other folds, validation = this fold)."""
     return df.filter(F.col(folds_col) != fold), df.filter(F.col(folds_col) == fold)
+
+
+def fold_roles(df: DataFrame, k: int = 5, folds_col: str = "folds_col") -> DataFrame:
+    """Every row once per fold with its role there (train / validation), in one pass."""
+    return (df.filter(F.col(folds_col).isNotNull())
+            .withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+            .withColumn("role", F.when(F.col(folds_col) == F.col("fold"), "validation").otherwise("train")))

@@ -120,6 +120,9 @@ class HeadSetting:
     extra: dict = field(default_factory=dict)
 
 
+CHUNK = 4096
+
+
 def _epoch_sums(data: DataFrame, features: str, label: str, split: str, theta):
     """One distributed pass: per split, gradient sums (train), loss and hit sums (all)."""
     import numpy as np
@@ -150,17 +153,27 @@ def _epoch_sums(data: DataFrame, features: str, label: str, split: str, theta):
                 a[2] += hit[m].sum(axis=0)
                 a[3] += int(m.sum())
         for s, (g, ls, hs, n) in acc.items():
-            yield pd.DataFrame({"split": [s], "grad": [g.ravel().tolist()], "loss": [ls.tolist()],
-                                "hit": [hs.tolist()], "n": [n]})
-
-    parts = data.select(features, label, split).mapInPandas(
-        run, "split string, grad array<double>, loss array<double>, hit array<double>, n bigint")
-    # per-task partial sums, summed element-wise by split (rows = tasks × splits)
-    summed = parts.groupBy("split").agg(
-        F.count(F.lit(1)).alias("_k"), F.sum("n").alias("n"),
-        *[F.aggregate(F.collect_list(c), F.array_repeat(F.lit(0.0), F.size(F.first(c))),
-                      lambda a, b: F.zip_with(a, b, lambda x, z: x + z)).alias(c) for c in ("grad", "loss", "hit")])
-    out = {r["split"]: r for r in summed.collect()}
+            flat = np.concatenate([g.ravel(), ls, hs])
+            # fixed-size chunks: the per-chunk sum below holds tasks × CHUNK values, not tasks × model
+            for c0 in range(0, len(flat), CHUNK):
+                yield pd.DataFrame({"split": [s], "chunk": [c0 // CHUNK], "v": [flat[c0:c0 + CHUNK].tolist()],
+                                    "n": [n]})
+
+    parts = data.select(features, label, split).mapInPandas(run, "split string, chunk int, v array<double>, n bigint")
+    summed = parts.groupBy("split", "chunk").agg(
+        F.sum("n").alias("n"),
+        F.aggregate(F.collect_list("v"), F.array_repeat(F.lit(0.0), F.size(F.first("v"))),
+                    lambda a, b: F.zip_with(a, b, lambda x, z: x + z)).alias("v"))
+    got: dict = {}
+    for r in summed.collect():  # (d+1)·C + 2C values per split: the size of the weights
+        got.setdefault(r["split"], {})[r["chunk"]] = (r["v"], r["n"])
+    w_size = th.value.size
+    out = {}
+    for s, chunks in got.items():
+        flat = np.concatenate([np.asarray(chunks[i][0]) for i in sorted(chunks)])
+        # every chunk row of a split carries that split's row total
+        out[s] = {"grad": flat[:w_size], "loss": flat[w_size:w_size + C], "hit": flat[w_size + C:],
+                  "n": chunks[0][1]}
     th.unpersist()
     return out
 
@@ -215,7 +228,7 @@ def train_heads(df: DataFrame, settings: list[HeadSetting], features: str = "fea
             ta = tr["hit"][c] / ntr
             el = va["loss"][c] / va["n"] if va else float("nan")
             ea = va["hit"][c] / va["n"] if va else float("nan")
-            rows.append((s.run_id, ep, tl, ta, el, ea))
+            rows.append((s.run_id, ep, float(tl), float(ta), float(el), float(ea)))
             if el + s.min_delta < best[c]:
                 best[c], best_epoch[c], bad[c] = el, ep, 0
                 best_theta[:, c] = theta[:, c]

@@ -85,16 +85,8 @@ def spl07(spark, sf):
 SELECT e.event_id, k.i AS fold, CASE WHEN f.folds_col = k.i THEN 'validation' ELSE 'train' END AS role
 FROM ev e JOIN ev_folds f ON e.user_id = f.user_id CROSS JOIN (SELECT unnest(range(5)) AS i) k""")
 def spl08(spark, sf):
-    f = sp.group_kfold(v.ev(spark, sf), "user_id").filter(F.col("folds_col").isNotNull())
-    parts = []
-    for i in range(5):
-        tr, va = sp.fold_split(f, i)
-        parts.append(tr.select("event_id", F.lit(i).alias("fold"), F.lit("train").alias("role")))
-        parts.append(va.select("event_id", F.lit(i).alias("fold"), F.lit("validation").alias("role")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    f = sp.group_kfold(v.ev(spark, sf), "user_id")
+    return sp.fold_roles(f, 5).select("event_id", "fold", "role")
 
 
 @register("mth01_floor_fraction", W("ev") + """
