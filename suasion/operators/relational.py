@@ -38,6 +38,12 @@ def keep_frequent_groups(df: DataFrame, ngrams: DataFrame, threshold: int,
     return df.join(kept.withColumnRenamed(group_id, key), key, "left_semi")
 
 
+def keep_min_tokens(df: DataFrame, threshold: int, text: str = "message") -> DataFrame:
+    """FLT06 without building the 1-gram table: a group's total 1-gram count is its
+    token count, so the threshold is a per-row predicate (no explode, no shuffle)."""
+    return df.filter(F.size(lower_tokens(text)) >= threshold)
+
+
 # JON ------------------------------------------------------------------------------
 def semi(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """JON03: rows whose key is in ``keys``."""

@@ -72,9 +72,8 @@ def flt05(spark, sf):
 SELECT message_id FROM messages WHERE message_id IN (
   SELECT group_id FROM ngrams GROUP BY group_id HAVING sum(value) >= 100)""")
 def flt06(spark, sf):
-    m = v.messages(spark, sf)
-    grams = rel.ngram_counts(m, "message", "message_id")
-    return rel.keep_frequent_groups(m, grams, 100, "group_id", "message_id").select("message_id")
+    # per-row token count equals the group's 1-gram total (see rel.keep_frequent_groups)
+    return rel.keep_min_tokens(v.messages(spark, sf), 100, "message").select("message_id")
 
 
 @register("jon01_stats_join", W("feat", "feat_holes") + """,

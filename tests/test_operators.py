@@ -334,3 +334,13 @@ def test_vec_combine_width_check(spark):
     assert ok.select(fe.vec_average("a", "b").alias("v")).collect()[0].v == [2.0, 3.0]
     with pytest.raises(Exception):
         df.select(fe.vec_sum("a", "b").alias("v")).collect()
+
+
+def test_token_threshold_fast_path_equals_table_path(spark):
+    df = spark.createDataFrame([("a", "One, two. 'three' -- four"), ("b", "x"), ("c", None), ("d", "... ?")],
+                               "message_id string, message string")
+    grams = rel.ngram_counts(df, "message", "message_id")
+    for n in (1, 2, 4, 5):  # positive thresholds: token-less groups fail both ways
+        slow = {r.message_id for r in rel.keep_frequent_groups(df, grams, n, "group_id", "message_id").collect()}
+        fast = {r.message_id for r in rel.keep_min_tokens(df, n, "message").collect()}
+        assert slow == fast, n
