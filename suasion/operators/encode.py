@@ -111,8 +111,17 @@ def sentence_vectors(df: DataFrame, text: str = "message", group_id: str = "mess
     sents = sents.withColumn("sent_id", F.concat(F.col(group_id), F.lit(":"), F.col("sent_idx").cast("string")))
     sv = encode(sents, "sentence", "sent_id", family, dim)
     keyed = sv.join(sents.select("sent_id", group_id), "sent_id")
-    cells = keyed.select(group_id, F.posexplode("features").alias("i", "x"))
+    return sv, average_vectors(keyed, group_id, "features")
+
+
+def average_vectors(df: DataFrame, group_id: str, features: str = "features") -> DataFrame:
+    """Element-wise mean of the vectors of each group (ENC02's message vector).
+
+    Cells are averaged by (group, position) — a partial aggregate, so a group with a
+    third of all rows is pre-combined per task — and re-assembled in position order;
+    a group's final row holds one vector.
+    """
+    cells = df.select(group_id, F.posexplode(features).alias("i", "x"))
     avg = cells.groupBy(group_id, "i").agg(F.avg("x").alias("x"))
-    msg = avg.groupBy(group_id).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("_s")).select(
-        group_id, F.transform("_s", lambda s: s["x"]).alias("features"))
-    return sv, msg
+    return avg.groupBy(group_id).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("_s")).select(
+        group_id, F.transform("_s", lambda s: s["x"]).alias(features))

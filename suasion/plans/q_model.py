@@ -216,3 +216,31 @@ def snk07(spark, sf):
     a = tr.head_scores(d, theta).select("group_id", F.col("p1").alias("p_before"))
     b = tr.head_scores(d, loaded).select("group_id", F.col("p1").alias("p_after"))
     return a.join(b, "group_id")
+
+
+@register("enc02_vector_average", """
+SELECT label, CAST(i AS INTEGER) AS idx, round(avg(CAST(embedding[i + 1] AS DOUBLE)), 6) + 0.0 AS value
+FROM embeddings, LATERAL (SELECT unnest(range(len(embedding))) AS i) GROUP BY label, i""")
+def enc02_avg(spark, sf):
+    """The averaging step of ENC02: element-wise mean vector per group (here per label)."""
+    e = v.vectors(spark, sf)
+    avg = en.average_vectors(e, "label", "features")
+    return avg.select("label", F.posexplode("features").alias("idx", "value")).select(
+        "label", F.col("idx").cast("int").alias("idx"), r6("value").alias("value"))
+
+
+@register("fea06_rfa_residual")
+def fea06_residual(spark, sf):
+    """P: outcome regressed on 3 PCA factors of the claim text; residual per message."""
+    from suasion.operators import features as fe
+    m = v.messages(spark, sf)
+    claims = m.select("claim_id", "claim").dropDuplicates(["claim_id"])
+    cv = en.encode(claims, "claim", "claim_id", "content", 32)
+    long = vector_to_long(cv.withColumnRenamed("claim_id", "group_id"))
+    factors = fe.pca_reduce(long, 3)
+    wide = factors.groupBy("group_id").pivot("feat", ["dim_feat_000", "dim_feat_001", "dim_feat_002"]).agg(
+        F.first("value"))
+    data = m.select("message_id", "claim_id", F.col("persuaded").cast("double").alias("y")).join(
+        wide.withColumnRenamed("group_id", "claim_id"), "claim_id")
+    r = fe.residualize(data, "y", ["dim_feat_000", "dim_feat_001", "dim_feat_002"])
+    return r.select("message_id", "claim_id", "y", "residual")

@@ -344,3 +344,23 @@ def test_token_threshold_fast_path_equals_table_path(spark):
         slow = {r.message_id for r in rel.keep_frequent_groups(df, grams, n, "group_id", "message_id").collect()}
         fast = {r.message_id for r in rel.keep_min_tokens(df, n, "message").collect()}
         assert slow == fast, n
+
+
+def test_residualize_orthogonal(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(200):
+        z = rng.normal(size=2)
+        rows.append((float(z[0]), float(z[1]), float(2 * z[0] - z[1] + rng.normal() * 0.1 + 1.0)))
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    r = fe.residualize(df, "y", ["a", "b"]).toPandas()
+    assert abs(r["residual"].mean()) < 1e-6
+    assert abs((r["residual"] * r["a"]).mean()) < 1e-6 and abs((r["residual"] * r["b"]).mean()) < 1e-6
+
+
+def test_factor_interactions(spark):
+    f = spark.createDataFrame([("g", "x", 2.0)], FEAT)
+    z = spark.createDataFrame([("g", "z0", 3.0), ("g", "z1", -1.0)], "group_id string, factor string, fvalue double")
+    got = {(r.feat, r.value) for r in fe.factor_interactions(f, z).collect()}
+    assert got == {("x", 2.0), ("x*z0", 6.0), ("x*z1", -2.0)}
