@@ -9,8 +9,17 @@ from suasion.functions.text import lower_tokens, word_count
 
 
 # FLT ------------------------------------------------------------------------------
-def time_cut(df: DataFrame, cutoff: int, col: str = "claim_created_utc") -> tuple[DataFrame, DataFrame]:
-    """FLT01: (in-time ``<``, out-of-time ``>=``); null times fall out of both."""
+def time_cut(df: DataFrame, cutoff: int, col: str = "claim_created_utc",
+             ts_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """FLT01: (in-time ``<``, out-of-time ``>=``); null times fall out of both.
+
+    With ``ts_col`` (a UTC timestamp_ntz that ``col`` is the epoch of) the predicate is
+    put on the stored timestamp, so it reaches the Parquet scan as a pushed filter.
+    """
+    if ts_col:
+        import datetime as dt
+        lit = F.lit(dt.datetime(1970, 1, 1) + dt.timedelta(seconds=cutoff)).cast("timestamp_ntz")
+        return df.filter(F.col(ts_col) < lit), df.filter(F.col(ts_col) >= lit)
     return df.filter(F.col(col) < F.lit(cutoff)), df.filter(F.col(col) >= F.lit(cutoff))
 
 

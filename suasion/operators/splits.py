@@ -111,14 +111,14 @@ def three_way_split(df: DataFrame, group: str, seed: int = 42, train_tenths: int
 
 # SPL07 ----------------------------------------------------------------------------
 def time_group_recipe(df: DataFrame, group: str, time_col: str, cutoff: int, k: int = 5,
-                      seed: int = 42, folds_col: str = "folds_col") -> DataFrame:
+                      seed: int = 42, folds_col: str = "folds_col", ts_col: str | None = None) -> DataFrame:
     """Out-of-time test (``>=`` cutoff), 20% group holdout of the rest, group folds on the remainder.
 
     Output: every row with a non-null time, ``split`` in {train, test_in_time,
     test_out_of_time} and ``folds_col`` on train rows only.
     """
-    in_time = df.filter(F.col(time_col) < cutoff)
-    out_time = df.filter(F.col(time_col) >= cutoff)
+    from suasion.operators.relational import time_cut
+    in_time, out_time = time_cut(df, cutoff, time_col, ts_col)
     h = group_holdout(in_time, group, 2, seed, "_held")
     train = group_kfold(h.filter(~F.col("_held")).drop("_held"), group, k, seed, folds_col)
     test_in = h.filter(F.col("_held")).drop("_held")

@@ -50,7 +50,7 @@ ev_held AS (SELECT user_id FROM (
 SELECT event_id, user_id, created_utc, CASE WHEN created_utc >= {CUTOFF} THEN 'out_of_time' ELSE 'in_time' END AS side
 FROM ev WHERE created_utc IS NOT NULL""")
 def flt01(spark, sf):
-    inside, outside = rel.time_cut(v.ev(spark, sf), CUTOFF, "created_utc")
+    inside, outside = rel.time_cut(v.ev(spark, sf), CUTOFF, "created_utc", ts_col="ts")
     cols = ["event_id", "user_id", "created_utc"]
     return (inside.select(*cols, F.lit("in_time").alias("side"))
             .unionByName(outside.select(*cols, F.lit("out_of_time").alias("side"))))

@@ -77,7 +77,7 @@ SELECT event_id, 'test_out_of_time', CAST(NULL AS INTEGER) FROM ev WHERE created
 
 @register("spl07_time_group_recipe", RECIPE_SQL)
 def spl07(spark, sf):
-    r = sp.time_group_recipe(v.ev(spark, sf), "user_id", "created_utc", CUTOFF)
+    r = sp.time_group_recipe(v.ev(spark, sf), "user_id", "created_utc", CUTOFF, ts_col="ts")
     return r.select("event_id", "split", "folds_col")
 
 

@@ -129,7 +129,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select("event_id", "user_id", "event_type", "value",
+    return e.select("event_id", "user_id", "event_type", "value", "ts",
                     epoch_seconds_utc("ts").alias("created_utc"))
 
 
