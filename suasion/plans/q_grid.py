@@ -40,3 +40,17 @@ def snk05(spark, sf):
     path = scratch_path(spark, "snk05-metrics")
     write_metrics(m, path)
     return spark.read.schema(m.schema).json(path).withColumn("source", F.lit(path))
+
+
+@register("entry_a_fold_metrics")
+def entry_a(spark, sf):
+    """P: SURVEY §3.1 end to end — metrics per feature set and model over the fold column."""
+    from suasion.plans.flows import flow_a
+    return flow_a(spark, sf)
+
+
+@register("entry_b_trainer_metrics")
+def entry_b(spark, sf):
+    """P: SURVEY §3.2 end to end — head trained with early stopping, metrics per split."""
+    from suasion.plans.flows import flow_b
+    return flow_b(spark, sf)
