@@ -175,3 +175,26 @@ def fea03_stream(spark, sf):
     q.awaitTermination()
     out = spark.read.parquet(sink)
     return out.select("group_id", "feat", r6("value").alias("value"), r6("group_norm").alias("group_norm"))
+
+
+@register("fea06_interactions_exact", """
+WITH f AS (SELECT CAST(vec_id AS VARCHAR) AS group_id, printf('dim_feat_%03d', i) AS feat,
+                  CAST(embedding[i + 1] AS DOUBLE) AS value
+           FROM embeddings, LATERAL (SELECT unnest(range(len(embedding))) AS i)),
+z AS (SELECT CAST(vec_id AS VARCHAR) AS group_id, 'z' || CAST(j AS VARCHAR) AS factor,
+             CAST(embedding[j + 1] AS DOUBLE) AS fvalue
+      FROM embeddings, LATERAL (SELECT unnest(range(3)) AS j))
+SELECT group_id, feat, round(value, 6) + 0.0 AS value FROM f
+UNION ALL
+SELECT f.group_id, f.feat || '*' || z.factor, round(f.value * z.fvalue, 6) + 0.0 FROM f JOIN z ON f.group_id = z.group_id""")
+def fea06_exact(spark, sf):
+    """FEA06 interactions with the factors given as data (each group's first three
+    embedding values), so the operator itself is checked exactly."""
+    from suasion.sources.tables import table
+    e = table(spark, sf, "embeddings")
+    z = e.select(F.col("vec_id").cast("string").alias("group_id"),
+                 F.posexplode(F.slice("embedding", 1, 3)).alias("j", "fvalue")).select(
+        "group_id", F.concat(F.lit("z"), F.col("j").cast("string")).alias("factor"),
+        F.col("fvalue").cast("double").alias("fvalue"))
+    out = fe.factor_interactions(v.feat(spark, sf).select("group_id", "feat", "value"), z)
+    return out.select("group_id", "feat", r6("value").alias("value"))

@@ -364,3 +364,31 @@ def test_factor_interactions(spark):
     z = spark.createDataFrame([("g", "z0", 3.0), ("g", "z1", -1.0)], "group_id string, factor string, fvalue double")
     got = {(r.feat, r.value) for r in fe.factor_interactions(f, z).collect()}
     assert got == {("x", 2.0), ("x*z0", 6.0), ("x*z1", -2.0)}
+
+
+def _auc_brute(y, s):
+    pos = [b for a, b in zip(y, s) if a == 1]
+    neg = [b for a, b in zip(y, s) if a != 1]
+    if not pos or not neg:
+        return 0.0
+    tot = sum(1.0 if p > n else 0.5 if p == n else 0.0 for p in pos for n in neg)
+    return tot / (len(pos) * len(neg))
+
+
+def test_auc_matches_brute_force_with_hot_key(spark):
+    import numpy as np
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(900):
+        key = "hot" if i % 3 != 0 else f"k{i % 5}"  # two thirds of the rows in one key
+        y = int(rng.random() < 0.4)
+        s = round(float(rng.normal(0.3 * y, 1.0)), 1)  # rounded: many ties
+        rows.append((key, y, s))
+    df = spark.createDataFrame(rows, "key string, y int, s double").repartition(5)
+    got = {r.key: r.roc_auc for r in ev.roc_auc(df, "y", "s", ["key"]).collect()}
+    for key in {r[0] for r in rows}:
+        ys = [r[1] for r in rows if r[0] == key]
+        ss = [r[2] for r in rows if r[0] == key]
+        assert got[key] == pytest.approx(_auc_brute(ys, ss), abs=1e-12)
+    overall = ev.roc_auc(df, "y", "s").first()[0]
+    assert overall == pytest.approx(_auc_brute([r[1] for r in rows], [r[2] for r in rows]), abs=1e-12)
