@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 WS_PATTERN = "[ \\t\\n\\r\\f\\x0B]+"
 SENTENCE_END = "([.!?])[ \\t\\n\\r\\f\\x0B]+"
 SENT_SEP = "\u0001"
+WORD = "[^ \\t\\n\\r\\f\\x0B]+"
+KEPT_TOKEN = "[^ \\t\\n\\r\\f\\x0B]*[^ \\t\\n\\r\\f\\x0B\\p{Punct}][^ \\t\\n\\r\\f\\x0B]*"
 # punctuation run at a token edge (preceded / followed by blank or text boundary)
 EDGE_PUNCT = "(?<![^ \\t\\n\\r\\f\\x0B])\\p{Punct}+|\\p{Punct}+(?![^ \\t\\n\\r\\f\\x0B])"
 
@@ -29,8 +31,15 @@ def tokens(text) -> Column:
 
 
 def word_count(text) -> Column:
-    """TXT01: ``len(str.split())``; null in, null out."""
-    return F.when(_c(text).isNotNull(), F.size(tokens(text)))
+    """TXT01: ``len(str.split())``; null in, null out — one regex scan, no token array."""
+    return F.regexp_count(_c(text), F.lit(WORD))
+
+
+def token_count(text) -> Column:
+    """Number of 1-gram tokens (``size(lower_tokens(text))``) in one regex scan: a
+    whitespace chunk survives the edge-punctuation strip iff it holds a
+    non-punctuation character."""
+    return F.regexp_count(_c(text), F.lit(KEPT_TOKEN))
 
 
 def lower_tokens(text) -> Column:

@@ -65,23 +65,41 @@ def zscore_dense_form(df: DataFrame, group_id: str = "group_id", feat: str = "fe
 
 
 # FEA04 -----------------------------------------------------------------------------
-def pca_reduce(df: DataFrame, n_components: int = 3, group_id: str = "group_id",
-               feat: str = "feat", value: str = "value", prefix: str = "dim_feat_") -> DataFrame:
-    """PCA of a long feature table → long table with ``n_components`` features.
-
-    Missing cells are 0 (RSH05), data are centred before projecting (T6), each
-    component is sign-fixed so its largest-magnitude loading is positive, values
-    are rounded half-to-even to 8 places.  Only the d×k loading matrix reaches the
-    driver.
+def zscore_dense_vectors(df: DataFrame, group_id: str = "group_id", feat: str = "feat",
+                         value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """FEA02 straight to one dense z-scored vector per group (missing / NaN / constant → 0),
+    plus the feature dictionary — the input PCA wants, without a long round trip."""
+    from suasion.operators.shape import feature_dictionary
+    present = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
+    dictionary = feature_dictionary(df.select(feat), feat)
+    stats = dictionary.join(feature_stats(present, feat, value), feat, "left")  # one row per feature
+    z = (F.col(value) - F.col("mean")) / F.nullif(F.col("stddev"), F.lit(0.0))
+    cells = (present.select(group_id, feat, value).join(stats, feat)
+             .select(group_id, "feat_idx", F.coalesce(z, F.lit(0.0)).alias("_z")))
+    n = dictionary.agg(F.count(F.lit(1)).alias("_d"))
+    per_group = df.select(group_id).distinct().join(
+        cells.groupBy(group_id).agg(F.map_from_entries(F.collect_list(F.struct("feat_idx", "_z"))).alias("_m")),
+        group_id, "left")
+    dense = per_group.crossJoin(F.broadcast(n)).select(  # n is one row
+        group_id, F.transform(F.sequence(F.lit(0), F.col("_d") - 1),
+                              lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0))).alias("features"))
+    return dense, dictionary
+
+
+def pca_vectors(dense: DataFrame, n_components: int = 3, group_id: str = "group_id",
+                features: str = "features", prefix: str = "dim_feat_") -> DataFrame:
+    """PCA of dense vectors → long table with ``n_components`` features.
+
+    Data are centred before projecting (T6), each component is sign-fixed so its
+    largest-magnitude loading is positive, values are rounded half-to-even to 8
+    places.  Only the d×k loading matrix reaches the driver.
     """
+    from pyspark import StorageLevel
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    from pyspark import StorageLevel
-
-    dense, _ = long_to_dense(df, group_id=group_id, feat=feat, value=value)
     # three passes (centre, fit, project) read the same vectors: persist them once
-    vec = dense.select(group_id, array_to_vector("features").alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    vec = dense.select(group_id, array_to_vector(features).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
     scaler = StandardScaler(inputCol="x", outputCol="xc", withMean=True, withStd=False).fit(vec)
     centred = scaler.transform(vec).select(group_id, "xc")
     model = PCA(k=n_components, inputCol="xc", outputCol="pcs").fit(centred)
@@ -97,6 +115,13 @@ def pca_reduce(df: DataFrame, n_components: int = 3, group_id: str = "group_id",
     return vector_to_long(flipped, group_id=group_id, prefix=prefix)
 
 
+def pca_reduce(df: DataFrame, n_components: int = 3, group_id: str = "group_id",
+               feat: str = "feat", value: str = "value", prefix: str = "dim_feat_") -> DataFrame:
+    """PCA of a long feature table: missing cells are 0 (RSH05), then ``pca_vectors``."""
+    dense, _ = long_to_dense(df, group_id=group_id, feat=feat, value=value)
+    return pca_vectors(dense, n_components, group_id, "features", prefix)
+
+
 # FEA06 -----------------------------------------------------------------------------
 def factor_interactions(features: DataFrame, factors: DataFrame, group_id: str = "group_id",
                         feat: str = "feat", value: str = "value") -> DataFrame:

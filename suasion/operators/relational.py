@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suasion.functions.text import lower_tokens, word_count
+from suasion.functions.text import lower_tokens, token_count, word_count
 
 
 # FLT ------------------------------------------------------------------------------
@@ -50,7 +50,7 @@ def keep_frequent_groups(df: DataFrame, ngrams: DataFrame, threshold: int,
 def keep_min_tokens(df: DataFrame, threshold: int, text: str = "message") -> DataFrame:
     """FLT06 without building the 1-gram table: a group's total 1-gram count is its
     token count, so the threshold is a per-row predicate (no explode, no shuffle)."""
-    return df.filter(F.size(lower_tokens(text)) >= threshold)
+    return df.filter(token_count(text) >= threshold)
 
 
 # JON ------------------------------------------------------------------------------

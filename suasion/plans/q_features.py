@@ -148,7 +148,8 @@ def fea11(spark, sf):
 @register("fea04_pca")
 def fea04(spark, sf):
     """P: PCA of the z-scored feature table (properties checked in tests)."""
-    return fe.pca_reduce(fe.zscore_dense_form(v.feat(spark, sf)), 3)
+    dense, _ = fe.zscore_dense_vectors(v.feat(spark, sf))
+    return fe.pca_vectors(dense, 3)
 
 
 @register("fea06_rfa_interactions")

@@ -392,3 +392,16 @@ def test_auc_matches_brute_force_with_hot_key(spark):
         assert got[key] == pytest.approx(_auc_brute(ys, ss), abs=1e-12)
     overall = ev.roc_auc(df, "y", "s").first()[0]
     assert overall == pytest.approx(_auc_brute([r[1] for r in rows], [r[2] for r in rows]), abs=1e-12)
+
+
+def test_zscore_dense_vectors_equal_dense_form(spark):
+    rows = [("g1", "a", 1.0), ("g2", "a", 3.0), ("g1", "c", 5.0), ("g2", "c", 5.0), ("g1", "b", None),
+            ("g2", "b", 4.0), ("g3", "a", 2.0), ("g3", "b", float("nan"))]
+    df = spark.createDataFrame(rows, FEAT)
+    long = {(r.group_id, r.feat): r.value for r in fe.zscore_dense_form(df).collect()}
+    dense, dic = fe.zscore_dense_vectors(df)
+    names = {r.feat_idx: r.feat for r in dic.collect()}
+    vec = {(r.group_id, names[i]): x for r in dense.collect() for i, x in enumerate(r.features)}
+    assert vec.keys() == long.keys()
+    for k in vec:
+        assert vec[k] == pytest.approx(long[k])
