@@ -52,6 +52,12 @@ def lower_tokens(text) -> Column:
     return tokens(stripped)
 
 
+def explode_lower_tokens(text) -> Column:
+    """Generator form of ``lower_tokens`` for ``select``: explode the raw split and let the
+    caller drop empty strings with a row filter (codegen'd, no per-token lambda)."""
+    return F.explode(F.split(F.regexp_replace(F.lower(_c(text)), EDGE_PUNCT, ""), WS_PATTERN))
+
+
 def sentences(text) -> Column:
     """TXT03: split after . ! ? followed by blanks; punctuation stays."""
     marked = F.regexp_replace(_c(text), SENTENCE_END, "$1" + SENT_SEP)

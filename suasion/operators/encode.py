@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suasion.functions.text import lower_tokens, sentences, tokens
+from suasion.functions.text import explode_lower_tokens, sentences, tokens
 
 
 def _dense_from_buckets(counts: DataFrame, dim: int, group_id: str) -> DataFrame:
@@ -34,7 +34,7 @@ def _dense_from_buckets(counts: DataFrame, dim: int, group_id: str) -> DataFrame
 
 
 def content_vectors(df: DataFrame, text: str, group_id: str, dim: int = 64) -> DataFrame:
-    toks = df.select(group_id, F.explode(lower_tokens(text)).alias("_t"))
+    toks = df.select(group_id, explode_lower_tokens(text).alias("_t")).filter(F.col("_t") != "")
     counts = (toks.groupBy(group_id, F.pmod(F.xxhash64("_t"), F.lit(dim)).cast("int").alias("bucket"))
               .agg(F.count(F.lit(1)).cast("double").alias("n")))
     return _dense_from_buckets(counts, dim, group_id)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suasion.functions.text import lower_tokens, token_count, word_count
+from suasion.functions.text import explode_lower_tokens, token_count, word_count
 
 
 # FLT ------------------------------------------------------------------------------
@@ -115,15 +115,19 @@ def pivot_mean(df: DataFrame, values: list[str], group_id="group_id", feat="feat
 def ngram_counts(df: DataFrame, text: str = "message", group_id: str = "message_id") -> DataFrame:
     """AGG08: 1-gram feature table — value = count, group_norm = count / group total.
 
-    Counting is a partial aggregate on (group, token); totals per group come from a
-    second aggregate joined back (no window over a group).
+    One partial aggregate on (group, token).  The group total is the message's token
+    count (``token_count``, one regex scan per row), carried into that aggregate as
+    ``max`` — no second aggregation and no join back.
     """
-    toks = df.select(F.col(group_id).alias("group_id"), F.explode(lower_tokens(text)).alias("feat"))
-    counts = toks.groupBy("group_id", "feat").agg(F.count(F.lit(1)).alias("value"))
-    totals = counts.groupBy("group_id").agg(F.sum("value").alias("_tot"))
-    return (counts.join(totals, "group_id")
-            .select("group_id", "feat", F.col("value").cast("double").alias("value"),
-                    (F.col("value") / F.col("_tot")).alias("group_norm")))
+    # the total is projected *below* the explode: an expression next to a generator
+    # would be evaluated per output token, dragging the whole text along
+    per_row = df.select(F.col(group_id).alias("group_id"), F.col(text).alias("_text"),
+                        token_count(text).alias("_tot"))
+    toks = (per_row.select("group_id", "_tot", explode_lower_tokens("_text").alias("feat"))
+            .filter(F.col("feat") != ""))
+    counts = toks.groupBy("group_id", "feat").agg(F.count(F.lit(1)).alias("_n"), F.max("_tot").alias("_tot"))
+    return counts.select("group_id", "feat", F.col("_n").cast("double").alias("value"),
+                         (F.col("_n") / F.col("_tot")).alias("group_norm"))
 
 
 def mean_of_batch_means(df: DataFrame, value: str, batch: str) -> DataFrame:
