@@ -18,7 +18,9 @@ def time_cut(df: DataFrame, cutoff: int, col: str = "claim_created_utc",
     """
     if ts_col:
         import datetime as dt
-        lit = F.lit(dt.datetime(1970, 1, 1) + dt.timedelta(seconds=cutoff)).cast("timestamp_ntz")
+        # text → timestamp_ntz is independent of the session time zone (a datetime literal is not)
+        text = (dt.datetime(1970, 1, 1) + dt.timedelta(seconds=cutoff)).strftime("%Y-%m-%d %H:%M:%S")
+        lit = F.lit(text).cast("timestamp_ntz")
         return df.filter(F.col(ts_col) < lit), df.filter(F.col(ts_col) >= lit)
     return df.filter(F.col(col) < F.lit(cutoff)), df.filter(F.col(col) >= F.lit(cutoff))
 

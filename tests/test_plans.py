@@ -26,3 +26,18 @@ def test_flagship_prunes_columns_and_stays_jvm(spark):
 def test_messages_view_reads_needed_columns(spark):
     p = _plan(se.queries()["txt01_word_count"](spark, SF))
     assert "n_chars" not in p.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_time_queries_independent_of_session_zone(spark):
+    import duckdb
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+        for k in ["flt01_time_cut", "mth07_epoch_cutoff", "spl07_time_group_recipe"]:
+            got = sorted(map(tuple, se.queries()[k](spark, SF).collect()), key=str)
+            want = sorted(map(tuple, con.sql(se.oracle_sql()[k]).fetchall()), key=str)
+            assert got == want, k
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
