@@ -54,9 +54,9 @@ def zscore_dense_form(df: DataFrame, group_id: str = "group_id", feat: str = "fe
     cells = marked.join(dictionary, feat)
     per_group = cells.groupBy(group_id).agg(
         F.map_from_entries(F.collect_list(F.struct("feat_idx", value))).alias("_m"))
-    n = dictionary.agg(F.count(F.lit(1)).alias("_d"))
-    grid = (per_group.crossJoin(F.broadcast(n))  # n is one row
-            .select(group_id, F.posexplode(F.transform(F.sequence(F.lit(0), F.col("_d") - 1),
+    n = dictionary.count()  # the feature vocabulary size
+    grid = (per_group
+            .select(group_id, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
                                                        lambda i: F.col("_m")[i])).alias("feat_idx", "_v")))
     z = (F.col("_v") - F.col("mean")) / F.nullif(F.col("stddev"), F.lit(0.0))
     out = (grid.join(dictionary, "feat_idx").join(stats, feat, "left")
@@ -76,12 +76,12 @@ def zscore_dense_vectors(df: DataFrame, group_id: str = "group_id", feat: str =
     z = (F.col(value) - F.col("mean")) / F.nullif(F.col("stddev"), F.lit(0.0))
     cells = (present.select(group_id, feat, value).join(stats, feat)
              .select(group_id, "feat_idx", F.coalesce(z, F.lit(0.0)).alias("_z")))
-    n = dictionary.agg(F.count(F.lit(1)).alias("_d"))
+    n = dictionary.count()  # the feature vocabulary size
     per_group = df.select(group_id).distinct().join(
         cells.groupBy(group_id).agg(F.map_from_entries(F.collect_list(F.struct("feat_idx", "_z"))).alias("_m")),
         group_id, "left")
-    dense = per_group.crossJoin(F.broadcast(n)).select(  # n is one row
-        group_id, F.transform(F.sequence(F.lit(0), F.col("_d") - 1),
+    dense = per_group.select(
+        group_id, F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
                               lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0))).alias("features"))
     return dense, dictionary
 

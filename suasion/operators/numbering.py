@@ -16,12 +16,13 @@ from suasion.session import checkpointed
 
 
 def global_index(df: DataFrame, order_cols: list, index_col: str = "_idx",
-                 num_partitions: int | None = None) -> DataFrame:
+                 num_partitions: int | None = None, return_total: bool = False):
     """Add a 0-based ``index_col`` = position in ``order_cols`` order.
 
     The caller breaks ties (rows equal on every order column get arbitrary but
     distinct positions).  Hot keys cannot be split by range partitioning, so
-    order columns should end in a near-unique key.
+    order columns should end in a near-unique key.  With ``return_total`` the row
+    count comes back as well (it is the sum of the partition counts, no extra job).
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -33,12 +34,16 @@ def global_index(df: DataFrame, order_cols: list, index_col: str = "_idx",
               .withColumn("_pos", F.monotonically_increasing_id()
                           - F.shiftleft(part.cast("bigint"), 33)))
     ranged = checkpointed(ranged)
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    # offsets has at most n rows: a proven size bound for the broadcast
-    return (ranged.join(F.broadcast(offsets), "_part")
-            .select(*[F.col(c) for c in cols], (F.col("_pos") + F.col("_off")).alias(index_col)))
+    # at most one row per partition: the exclusive prefix sum becomes an array literal
+    counts = {r[0]: r[1] for r in ranged.groupBy("_part").agg(F.count(F.lit(1))).collect()}
+    offsets, acc = [], 0
+    for p in range(max(counts, default=-1) + 1):
+        offsets.append(acc)
+        acc += counts.get(p, 0)
+    off = F.element_at(F.array(*[F.lit(o) for o in offsets] or [F.lit(0)]).cast("array<bigint>"),
+                       F.col("_part") + 1)
+    out = ranged.select(*[F.col(c) for c in cols], (F.col("_pos") + off).alias(index_col))
+    return (out, acc) if return_total else out
 
 
 def prefix_sums(df: DataFrame, order_cols: list, value_cols: list[str], by: list[str] | None = None,

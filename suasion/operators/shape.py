@@ -6,7 +6,7 @@ Dense vectors stay ``array<double>`` in one row per group; the long
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from suasion.functions.text import assemble_text
@@ -65,9 +65,9 @@ def fill_time_columns(df: DataFrame, format_type: str = "cmv_v002",
 
 
 # PRJ04 / PRJ05 -----------------------------------------------------------------------
-def _width(n: Column) -> Column:
-    """T17: id width is ``len(str(count))``."""
-    return F.length(n.cast("string"))
+def _padded(prefix: str, idx: str, count: int) -> Column:
+    """``prefix`` + index zero-padded to ``len(str(count))`` (T17: the count, not count - 1)."""
+    return F.concat(F.lit(prefix), F.lpad(F.col(idx).cast("string"), len(str(count)), "0"))
 
 
 def add_prompt_ids(df: DataFrame, prompt: str = "prompt", id_col: str = "prompt_id",
@@ -76,11 +76,8 @@ def add_prompt_ids(df: DataFrame, prompt: str = "prompt", id_col: str = "prompt_
     if id_col in df.columns:
         return df
     distinct = df.select(prompt).distinct()
-    numbered = global_index(distinct, [F.col(prompt).asc_nulls_first()], "_k")
-    n = distinct.agg(F.count(F.lit(1)).alias("_n"))  # one row
-    ids = numbered.crossJoin(F.broadcast(n)).select(
-        prompt, F.concat(F.lit(prefix), F.lpad(F.col("_k").cast("string"),
-                                               _width(F.col("_n")), "0")).alias(id_col))
+    numbered, n = global_index(distinct, [F.col(prompt).asc_nulls_first()], "_k", return_total=True)
+    ids = numbered.select(prompt, _padded(prefix, "_k", n).alias(id_col))
     return df.join(ids, df[prompt].eqNullSafe(ids[prompt]), "left").drop(ids[prompt])
 
 
@@ -89,12 +86,8 @@ def add_row_ids(df: DataFrame, order: list[str], id_col: str = "message_id",
     """Sequential zero-padded row id after a sort (T9: pass tie-break columns); skipped if present."""
     if id_col in df.columns:
         return df
-    numbered = global_index(df, [F.col(c).asc_nulls_first() for c in order], "_k")
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    return (numbered.crossJoin(F.broadcast(n))
-            .withColumn(id_col, F.concat(F.lit(prefix),
-                                         F.lpad(F.col("_k").cast("string"), _width(F.col("_n")), "0")))
-            .drop("_k", "_n"))
+    numbered, n = global_index(df, [F.col(c).asc_nulls_first() for c in order], "_k", return_total=True)
+    return numbered.withColumn(id_col, _padded(prefix, "_k", n)).drop("_k")
 
 
 # PRJ06 / RSH01 / SET01 -----------------------------------------------------------------
@@ -182,14 +175,14 @@ def long_to_dense(df: DataFrame, dictionary: DataFrame | None = None, group_id:
     """
     if dictionary is None:
         dictionary = feature_dictionary(df, feat)
-    n_feats = dictionary.agg(F.count(F.lit(1)).alias("_d"))
+    n_feats = dictionary.count()  # the feature vocabulary size
     cells = (df.groupBy(group_id, feat).agg(F.avg(value).alias("_v"))
              .join(dictionary, feat))
     per_group = cells.groupBy(group_id).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("feat_idx"), F.col("_v")))).alias("_m"))
-    dense = per_group.crossJoin(F.broadcast(n_feats)).select(
+    dense = per_group.select(
         F.col(group_id),
-        F.transform(F.sequence(F.lit(0), F.col("_d") - 1),
+        F.transform(F.sequence(F.lit(0), F.lit(n_feats - 1)),
                     lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0))).alias("features"))
     return dense, dictionary
 

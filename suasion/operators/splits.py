@@ -10,11 +10,11 @@ their fold through a join on the group key (AQE handles a hot group).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from suasion.functions.numeric import floor_fraction
 from suasion.operators.numbering import global_index
+from suasion.session import checkpointed
 
 
 def group_hash(group: str, seed: int = 42):
@@ -60,9 +60,9 @@ def group_kfold(df: DataFrame, group: str, k: int = 5, seed: int = 42, fold_col:
 def best_fold(df: DataFrame, fold_col: str = "fold", k: int = 5) -> DataFrame:
     """Fold whose size is nearest ``n // k`` (first fold on ties): one row (fold, size, diff)."""
     sizes = df.groupBy(fold_col).agg(F.count(F.lit(1)).alias("size"))
-    total = df.agg(F.count(F.lit(1)).alias("_t"))
-    d = sizes.crossJoin(F.broadcast(total)).select(  # sizes has k rows
-        fold_col, "size", F.abs(F.col("size") - F.floor(F.col("_t") / k)).cast("bigint").alias("diff"))
+    # the size table has one row per fold (k rows): its total is a window over k rows
+    total = F.sum("size").over(Window.partitionBy())
+    d = sizes.select(fold_col, "size", F.abs(F.col("size") - F.floor(total / k)).cast("bigint").alias("diff"))
     b = d.agg(F.min(F.struct("diff", fold_col, "size")).alias("_b"))
     return b.select(F.col("_b." + fold_col).alias(fold_col), F.col("_b.size").alias("size"),
                     F.col("_b.diff").alias("diff"))
@@ -72,10 +72,10 @@ def best_fold_split(df: DataFrame, group: str, label: str, k: int = 5, seed: int
                     folds_col: str = "folds_col") -> DataFrame:
     """SPL01 → SPL02 → SPL03: best fold is the test split, the rest is re-folded."""
     f = stratified_group_kfold(df, group, label, k, seed, "_fold")
-    best = best_fold(f, "_fold", k).select(F.col("_fold").alias("_best"))
-    marked = f.crossJoin(F.broadcast(best))  # one row
-    test = marked.filter(F.col("_fold") == F.col("_best")).drop("_fold", "_best")
-    train = marked.filter(F.col("_fold") != F.col("_best")).drop("_fold", "_best")
+    f = checkpointed(f)  # folds are read by the size count and by both halves
+    best = best_fold(f, "_fold", k).first()["_fold"]
+    test = f.filter(F.col("_fold") == best).drop("_fold")
+    train = f.filter(F.col("_fold") != best).drop("_fold")
     train = stratified_group_kfold(train, group, label, k, seed, folds_col)
     return (train.withColumn("split", F.lit("train"))
             .unionByName(test.withColumn(folds_col, F.lit(None).cast("int")).withColumn("split", F.lit("test"))))
@@ -86,10 +86,9 @@ def group_holdout(df: DataFrame, group: str, fraction_tenths: int = 2, seed: int
                   flag: str = "held_out") -> DataFrame:
     """``int(0.2·G)`` groups, chosen as the first in seeded hash order (exact size)."""
     groups = df.select(group).filter(F.col(group).isNotNull()).distinct()
-    ranked = global_index(groups, [group_hash(group, seed).asc(), F.col(group).asc()], "_rank")
-    g = groups.agg(F.count(F.lit(1)).alias("_g"))
-    chosen = (ranked.crossJoin(F.broadcast(g))  # one row
-              .select(group, (F.col("_rank") < floor_fraction(F.col("_g"), fraction_tenths)).alias(flag)))
+    ranked, g = global_index(groups, [group_hash(group, seed).asc(), F.col(group).asc()], "_rank",
+                             return_total=True)
+    chosen = ranked.select(group, (F.col("_rank") < (g * fraction_tenths) // 10).alias(flag))
     return df.join(chosen, group, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
@@ -98,14 +97,13 @@ def three_way_split(df: DataFrame, group: str, seed: int = 42, train_tenths: int
                     val_tenths: int = 2, split_col: str = "split") -> DataFrame:
     """Train ``int(.6G)`` groups, validation ``int(.2G)``, test the rest, over hashed group order."""
     groups = df.select(group).distinct()
-    ranked = global_index(groups, [group_hash(group, seed).asc_nulls_first(), F.col(group).asc_nulls_first()],
-                          "_rank")
-    g = groups.agg(F.count(F.lit(1)).alias("_g"))
-    ntr = floor_fraction(F.col("_g"), train_tenths)
-    nva = floor_fraction(F.col("_g"), val_tenths)
+    ranked, g = global_index(groups, [group_hash(group, seed).asc_nulls_first(),
+                                      F.col(group).asc_nulls_first()], "_rank", return_total=True)
+    ntr = (g * train_tenths) // 10  # MTH01: int(0.6 * G) as exact integer arithmetic
+    nva = (g * val_tenths) // 10
     lab = (F.when(F.col("_rank") < ntr, "train").when(F.col("_rank") < ntr + nva, "validation")
            .otherwise("test"))
-    assigned = ranked.crossJoin(F.broadcast(g)).select(group, lab.alias(split_col))
+    assigned = ranked.select(group, lab.alias(split_col))
     return df.join(assigned, df[group].eqNullSafe(assigned[group]), "left").drop(assigned[group])
 
 
