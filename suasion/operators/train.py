@@ -123,17 +123,26 @@ class HeadSetting:
 CHUNK = 4096
 
 
-def _epoch_sums(data: DataFrame, features: str, label: str, split: str, theta):
-    """One distributed pass: per split, gradient sums (train), loss and hit sums (all)."""
+def _epoch_sums(data: DataFrame, features: str, label: str, split: str, theta, col_folds=None):
+    """One distributed pass over the persisted vectors for all C weight columns.
+
+    Split mode (``col_folds`` None): every column trains on ``split = 'train'`` rows and
+    is validated on ``split = 'validation'``.  Fold mode: column c trains on rows whose
+    fold (in ``split``) differs from ``col_folds[c]`` and is validated on that fold.
+    Returns gradient sums ((d+1) × C) and per-column loss / hit / row sums for the
+    training and validation rows.
+    """
     import numpy as np
     import pandas as pd
 
     th = data.sparkSession.sparkContext.broadcast(np.asarray(theta))  # (d+1) × C, bounded by d·C
     C = th.value.shape[1]
+    folds = None if col_folds is None else np.asarray(col_folds, dtype="float64")[None, :]
 
     def run(it):
         w = th.value
-        acc = {}
+        G = np.zeros_like(w)
+        acc = np.zeros((6, C))  # loss_tr, hit_tr, n_tr, loss_va, hit_va, n_va
         for pdf in it:
             if len(pdf) == 0:
                 continue
@@ -141,63 +150,55 @@ def _epoch_sums(data: DataFrame, features: str, label: str, split: str, theta):
             X1 = np.hstack([X, np.ones((X.shape[0], 1))])
             y = pdf[label].to_numpy().astype("float64")[:, None]
             d = 2.0 * (X1 @ w)  # logit difference z1 - z0, rows × C
-            p = np.where(d >= 0, 1.0 / (1.0 + np.exp(-np.abs(d))), np.exp(-np.abs(d)) / (1.0 + np.exp(-np.abs(d))))
+            e = np.exp(-np.abs(d))
+            p = np.where(d >= 0, 1.0 / (1.0 + e), e / (1.0 + e))
             loss = np.where(y > 0, np.logaddexp(0.0, -d), np.logaddexp(0.0, d))
             hit = ((d > 0).astype("float64") == y).astype("float64")
-            for s in pdf[split].unique():
-                m = (pdf[split] == s).to_numpy()
-                g = X1[m].T @ (p[m] - y[m]) if s == "train" else np.zeros_like(w)
-                a = acc.setdefault(s, [np.zeros_like(w), np.zeros(C), np.zeros(C), 0])
-                a[0] += g
-                a[1] += loss[m].sum(axis=0)
-                a[2] += hit[m].sum(axis=0)
-                a[3] += int(m.sum())
-        for s, (g, ls, hs, n) in acc.items():
-            flat = np.concatenate([g.ravel(), ls, hs])
-            # fixed-size chunks: the per-chunk sum below holds tasks × CHUNK values, not tasks × model
-            for c0 in range(0, len(flat), CHUNK):
-                yield pd.DataFrame({"split": [s], "chunk": [c0 // CHUNK], "v": [flat[c0:c0 + CHUNK].tolist()],
-                                    "n": [n]})
-
-    parts = data.select(features, label, split).mapInPandas(run, "split string, chunk int, v array<double>, n bigint")
-    summed = parts.groupBy("split", "chunk").agg(
-        F.sum("n").alias("n"),
+            if folds is None:
+                sv = pdf[split].to_numpy()
+                tr = np.repeat((sv == "train")[:, None], C, axis=1)
+                va = np.repeat((sv == "validation")[:, None], C, axis=1)
+            else:
+                fv = pd.to_numeric(pdf[split]).to_numpy(dtype="float64")[:, None]
+                va = fv == folds
+                tr = ~va & ~np.isnan(fv)
+            tr, va = tr.astype("float64"), va.astype("float64")
+            G += X1.T @ ((p - y) * tr)
+            acc += np.vstack([(loss * tr).sum(0), (hit * tr).sum(0), tr.sum(0),
+                              (loss * va).sum(0), (hit * va).sum(0), va.sum(0)])
+        flat = np.concatenate([G.ravel(), acc.ravel()])
+        # fixed-size chunks: the per-chunk sum below holds tasks × CHUNK values, not tasks × model
+        for c0 in range(0, len(flat), CHUNK):
+            yield pd.DataFrame({"chunk": [c0 // CHUNK], "v": [flat[c0:c0 + CHUNK].tolist()]})
+
+    parts = data.select(features, label, split).mapInPandas(run, "chunk int, v array<double>")
+    summed = parts.groupBy("chunk").agg(
         F.aggregate(F.collect_list("v"), F.array_repeat(F.lit(0.0), F.size(F.first("v"))),
                     lambda a, b: F.zip_with(a, b, lambda x, z: x + z)).alias("v"))
-    got: dict = {}
-    for r in summed.collect():  # (d+1)·C + 2C values per split: the size of the weights
-        got.setdefault(r["split"], {})[r["chunk"]] = (r["v"], r["n"])
-    w_size = th.value.size
-    out = {}
-    for s, chunks in got.items():
-        flat = np.concatenate([np.asarray(chunks[i][0]) for i in sorted(chunks)])
-        # every chunk row of a split carries that split's row total
-        out[s] = {"grad": flat[:w_size], "loss": flat[w_size:w_size + C], "hit": flat[w_size + C:],
-                  "n": chunks[0][1]}
+    chunks = {r["chunk"]: r["v"] for r in summed.collect()}  # the size of the weights
     th.unpersist()
-    return out
+    flat = np.concatenate([np.asarray(chunks[i]) for i in sorted(chunks)])
+    w_size = (theta.shape[0]) * C
+    a = flat[w_size:].reshape(6, C)
+    return {"grad": flat[:w_size].reshape(theta.shape), "loss_tr": a[0], "hit_tr": a[1], "n_tr": a[2],
+            "loss_va": a[3], "hit_va": a[4], "n_va": a[5]}
 
 
-def train_heads(df: DataFrame, settings: list[HeadSetting], features: str = "features",
-                label: str = "persuaded", split: str = "split", epochs: int = 30,
-                seed: int = 42) -> tuple[DataFrame, dict]:
-    """Train one head per setting on rows with split 'train', validate on 'validation'.
-
-    Returns (epoch metrics DataFrame, {run_id: final state}).  Early stopping per
-    run watches eval loss (TRN02); best-epoch weights are kept.
-    """
+def _adam_loop(data: DataFrame, settings: list[HeadSetting], features: str, label: str, split: str,
+               epochs: int, col_folds=None, col_runs=None):
+    """Adam with coupled L2 and per-column early stopping; one gradient pass + one metric
+    pass per epoch for every column together."""
     import numpy as np
 
-    spark = df.sparkSession
-    data = df.select(features, F.col(label).cast("int").alias(label), split).persist(StorageLevel.MEMORY_AND_DISK)
     d = data.select(F.max(F.size(features))).first()[0]
-    C = len(settings)
+    col_runs = col_runs if col_runs is not None else list(range(len(settings)))
+    C = len(col_runs)
+    lr = np.array([settings[r].lr for r in col_runs])
+    wd = np.array([settings[r].weight_decay for r in col_runs])
     theta = np.zeros((d + 1, C))
     m = np.zeros_like(theta)
     v = np.zeros_like(theta)
     b1, b2, eps = 0.9, 0.999, 1e-8
-    lr = np.array([s.lr for s in settings])
-    wd = np.array([s.weight_decay for s in settings])
     active = np.ones(C, dtype=bool)
     best = np.full(C, math.inf)
     best_epoch = np.zeros(C, dtype=int)
@@ -208,27 +209,22 @@ def train_heads(df: DataFrame, settings: list[HeadSetting], features: str = "fea
     for ep in range(1, epochs + 1):
         if not active.any():
             break
-        sums = _epoch_sums(data, features, label, split, theta)
-        tr = sums["train"]
-        ntr = tr["n"]
-        g = np.asarray(tr["grad"]).reshape(d + 1, C) / ntr + wd * theta
+        before = _epoch_sums(data, features, label, split, theta, col_folds)
+        g = before["grad"] / np.maximum(before["n_tr"], 1.0) + wd * theta
         m = b1 * m + (1 - b1) * g
         v = b2 * v + (1 - b2) * g * g
-        mh = m / (1 - b1 ** ep)
-        vh = v / (1 - b2 ** ep)
-        step = lr * mh / (np.sqrt(vh) + eps)
+        step = lr * (m / (1 - b1 ** ep)) / (np.sqrt(v / (1 - b2 ** ep)) + eps)
         theta = np.where(active, theta - step, theta)
-        # metrics of the weights used in this epoch's pass (train) and after the step (validation)
-        after = _epoch_sums(data, features, label, split, theta)
-        va = after.get("validation")
-        for c, s in enumerate(settings):
+        after = _epoch_sums(data, features, label, split, theta, col_folds)
+        for c in range(C):
             if not active[c]:
                 continue
-            tl = tr["loss"][c] / ntr
-            ta = tr["hit"][c] / ntr
-            el = va["loss"][c] / va["n"] if va else float("nan")
-            ea = va["hit"][c] / va["n"] if va else float("nan")
-            rows.append((s.run_id, ep, float(tl), float(ta), float(el), float(ea)))
+            s = settings[col_runs[c]]
+            ntr, nva = max(before["n_tr"][c], 1.0), after["n_va"][c]
+            el = after["loss_va"][c] / nva if nva else float("nan")
+            ea = after["hit_va"][c] / nva if nva else float("nan")
+            rows.append((s.run_id, None if col_folds is None else int(col_folds[c]), ep,
+                         float(before["loss_tr"][c] / ntr), float(before["hit_tr"][c] / ntr), float(el), float(ea)))
             if el + s.min_delta < best[c]:
                 best[c], best_epoch[c], bad[c] = el, ep, 0
                 best_theta[:, c] = theta[:, c]
@@ -237,15 +233,68 @@ def train_heads(df: DataFrame, settings: list[HeadSetting], features: str = "fea
             if s.patience > 0 and bad[c] >= s.patience:
                 active[c] = False
                 stopped[c] = True
+    return rows, theta, best_theta, best_epoch, stopped
+
+
+METRICS_SCHEMA = ("run_id string, fold int, epoch int, train_loss double, train_acc double, "
+                  "eval_loss double, eval_acc double")
+
+
+def train_heads(df: DataFrame, settings: list[HeadSetting], features: str = "features",
+                label: str = "persuaded", split: str = "split", epochs: int = 30,
+                seed: int = 42) -> tuple[DataFrame, dict]:
+    """Train one head per setting on rows with split 'train', validate on 'validation'.
+
+    Returns (epoch metrics DataFrame, {run_id: final state}).  Early stopping per
+    run watches eval loss (TRN02); best-epoch weights are kept.
+    """
+    spark = df.sparkSession
+    data = df.select(features, F.col(label).cast("int").alias(label), split).persist(StorageLevel.MEMORY_AND_DISK)
+    rows, theta, best_theta, best_epoch, stopped = _adam_loop(data, settings, features, label, split, epochs)
     data.unpersist()
-    metrics = spark.createDataFrame(rows, "run_id string, epoch int, train_loss double, train_acc double, "
-                                          "eval_loss double, eval_acc double")
+    metrics = spark.createDataFrame(rows, METRICS_SCHEMA).drop("fold")
     final = {s.run_id: {"theta": best_theta[:, c].tolist(), "best_epoch": int(best_epoch[c]),
                         "stopped_early": bool(stopped[c]), "last_theta": theta[:, c].tolist()}
              for c, s in enumerate(settings)}
     return metrics, final
 
 
+def kfold_heads(df: DataFrame, fold_col: str, settings: list[HeadSetting], features: str = "features",
+                label: str = "persuaded", epochs: int = 30, keep: list[str] | None = None,
+                use_best: bool = True) -> tuple[DataFrame, DataFrame]:
+    """K-fold × grid in one pass per epoch: column (setting s, fold f) trains on the
+    other folds and validates on f.  Returns (epoch metrics, out-of-fold scores with
+    one row per input row and setting: ``run_id, <keep>, p1, pred``)."""
+    import numpy as np
+
+    spark = df.sparkSession
+    data = df.select(*(keep or []), features, F.col(label).cast("int").alias(label),
+                     F.col(fold_col).cast("int").alias(fold_col)).persist(StorageLevel.MEMORY_AND_DISK)
+    folds = [r[0] for r in data.select(fold_col).distinct().filter(F.col(fold_col).isNotNull())
+             .orderBy(fold_col).collect()]  # k values
+    col_runs = [r for r in range(len(settings)) for _ in folds]
+    col_folds = [f for _ in settings for f in folds]
+    rows, theta, best_theta, _, _ = _adam_loop(data, settings, features, label, fold_col, epochs,
+                                               col_folds, col_runs)
+    W = best_theta if use_best else theta
+    metrics = spark.createDataFrame(rows, METRICS_SCHEMA)
+    fold_pos = {f: i for i, f in enumerate(folds)}
+    scored = None
+    k = len(folds)
+    for r, s in enumerate(settings):
+        # this setting's per-fold weights as a (k × (d+1)) literal; a row picks its own fold's head
+        mats = F.array(*[F.array(*[F.lit(float(x)) for x in W[:, r * k + fold_pos[f]]]) for f in folds])
+        pos = F.array_position(F.array(*[F.lit(int(f)) for f in folds]), F.col(fold_col))
+        wrow = F.element_at(mats, pos.cast("int"))
+        dot = F.aggregate(F.zip_with(features, F.slice(wrow, 1, F.size(features)), lambda a, b: a * b),
+                          F.lit(0.0), lambda acc, x: acc + x) + F.element_at(wrow, -1)
+        out = data.filter(F.col(fold_col).isNotNull()).select(
+            F.lit(s.run_id).alias("run_id"), *(keep or []), F.col(fold_col), F.col(label),
+            (1.0 / (1.0 + F.exp(-2.0 * dot))).alias("p1"), F.when(dot > 0, 1).otherwise(0).alias("pred"))
+        scored = out if scored is None else scored.unionByName(out)
+    return metrics, scored
+
+
 def head_scores(df: DataFrame, theta: list[float], features: str = "features") -> DataFrame:
     """Score rows with a trained head: p1 = sigmoid(2·(w·x + b)); argmax tie → 0."""
     w = F.array(*[F.lit(float(t)) for t in theta[:-1]])

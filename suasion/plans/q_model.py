@@ -244,3 +244,14 @@ def fea06_residual(spark, sf):
         wide.withColumnRenamed("group_id", "claim_id"), "claim_id")
     r = fe.residualize(data, "y", ["dim_feat_000", "dim_feat_001", "dim_feat_002"])
     return r.select("message_id", "claim_id", "y", "residual")
+
+
+@register("trn03_kfold_heads")
+def trn03_heads(spark, sf):
+    """P: k folds × 2 settings trained together (one gradient pass per epoch for all ten
+    heads); out-of-fold scores per setting."""
+    f = group_kfold(v.emb_cls(spark, sf), "group_id", fold_col="folds_col")
+    settings = [tr.HeadSetting("wd0", lr=0.05, weight_decay=0.0, patience=3),
+                tr.HeadSetting("wd01", lr=0.05, weight_decay=0.01, patience=3)]
+    _, oof = tr.kfold_heads(f, "folds_col", settings, epochs=15, keep=["group_id"])
+    return oof

@@ -405,3 +405,24 @@ def test_zscore_dense_vectors_equal_dense_form(spark):
     assert vec.keys() == long.keys()
     for k in vec:
         assert vec[k] == pytest.approx(long[k])
+
+
+def test_kfold_heads_equal_separate_fits(spark):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(300):
+        y = i % 2
+        rows.append((f"g{i}", (rng.normal(size=3) + (0.8 if y else -0.8)).tolist(), y, i % 3))
+    df = spark.createDataFrame(rows, "group_id string, features array<double>, persuaded int, fold int")
+    settings = [tr.HeadSetting("a", lr=0.05, patience=2, min_delta=0.001), tr.HeadSetting("b", lr=0.02)]
+    _, oof = tr.kfold_heads(df, "fold", settings, epochs=12, keep=["group_id"])
+    got = {(r.run_id, r.group_id): r.p1 for r in oof.collect()}
+    assert len(got) == 600
+    for s in settings:
+        for f in range(3):
+            part = df.withColumn("split", F.when(F.col("fold") == f, "validation").otherwise("train"))
+            _, final = tr.train_heads(part, [s], epochs=12)
+            ref = tr.head_scores(part.filter(F.col("fold") == f), final[s.run_id]["theta"]).collect()
+            for r in ref:
+                assert got[(s.run_id, r.group_id)] == pytest.approx(r.p1, abs=1e-9)
