@@ -80,6 +80,19 @@ def l2_search(df: DataFrame, fold_col: str, reg_params: list[float], features: s
     return rows.orderBy(F.desc("roc_auc"), F.asc("reg_param"))
 
 
+def l2_search_heads(df: DataFrame, fold_col: str, weight_decays: list[float], features: str = "features",
+                    label: str = "persuaded", lr: float = 0.05, epochs: int = 15) -> DataFrame:
+    """TRN05 on the one-pass trainer: every L2 strength × every fold trained together;
+    ranked by out-of-fold AUC (ties → weaker penalty)."""
+    settings = [HeadSetting(f"wd={wd:g}", lr=lr, weight_decay=float(wd)) for wd in weight_decays]
+    _, oof = kfold_heads(df, fold_col, settings, features, label, epochs)
+    auc = roc_auc(oof, label, "p1", ["run_id"])
+    wd_of = F.element_at(F.create_map(*[x for s in settings for x in (F.lit(s.run_id), F.lit(s.weight_decay))]),
+                         F.col("run_id"))
+    return auc.select("run_id", wd_of.alias("weight_decay"), "roc_auc").orderBy(
+        F.desc("roc_auc"), F.asc("weight_decay"))
+
+
 # TRN02 ------------------------------------------------------------------------------
 def early_stopping(losses: DataFrame, group: str, epoch: str = "epoch", loss: str = "eval_loss",
                    patience: int = 3, min_delta: float = 0.0) -> DataFrame:

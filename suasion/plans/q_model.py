@@ -255,3 +255,10 @@ def trn03_heads(spark, sf):
                 tr.HeadSetting("wd01", lr=0.05, weight_decay=0.01, patience=3)]
     _, oof = tr.kfold_heads(f, "folds_col", settings, epochs=15, keep=["group_id"])
     return oof
+
+
+@register("trn05_l2_search_heads")
+def trn05_heads(spark, sf):
+    """P: L2 search with all strengths × folds in one training loop."""
+    f = group_kfold(v.emb_cls(spark, sf), "group_id", fold_col="folds_col")
+    return tr.l2_search_heads(f, "folds_col", [0.0, 0.001, 0.01, 0.1])

@@ -426,3 +426,21 @@ def test_kfold_heads_equal_separate_fits(spark):
             ref = tr.head_scores(part.filter(F.col("fold") == f), final[s.run_id]["theta"]).collect()
             for r in ref:
                 assert got[(s.run_id, r.group_id)] == pytest.approx(r.p1, abs=1e-9)
+
+
+def test_replace_table_catalog_and_path(spark, tmp_path):
+    df = spark.createDataFrame([("g2", "b", 1.0, 1.0), ("g1", "a", 2.0, 2.0)], io.FEATURE_TABLE)
+    path = str(tmp_path / "feat_tbl")
+    io.replace_table(df, path, cluster_by=["group_id", "feat"], table_name="suasion_test_feat")
+    io.replace_table(df.limit(1), path, cluster_by=["group_id", "feat"], table_name="suasion_test_feat")
+    assert spark.table("suasion_test_feat").count() == 1  # replaced, not appended
+    spark.sql("DROP TABLE suasion_test_feat")
+
+
+def test_l2_search_heads_ranks_all(spark):
+    import numpy as np
+    rng = np.random.default_rng(2)
+    rows = [(f"g{i}", (rng.normal(size=3) + (1.0 if i % 2 else -1.0)).tolist(), i % 2, i % 4) for i in range(200)]
+    df = spark.createDataFrame(rows, "group_id string, features array<double>, persuaded int, fold int")
+    r = tr.l2_search_heads(df, "fold", [0.0, 0.1, 1.0], epochs=8).collect()
+    assert len(r) == 3 and r[0].roc_auc >= r[-1].roc_auc and all(x.roc_auc > 0.5 for x in r)
