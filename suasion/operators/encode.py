@@ -33,9 +33,19 @@ def _dense_from_buckets(counts: DataFrame, dim: int, group_id: str) -> DataFrame
                       .alias("features"))
 
 
-def content_vectors(df: DataFrame, text: str, group_id: str, dim: int = 64) -> DataFrame:
+def token_bucket(tok, dim: int, hashing: str = "xxhash64"):
+    """Bucket of a token: ``xxhash64`` (fast default) or the first 32 bits of ``md5``
+    (reproducible outside Spark, e.g. by the SQL oracle)."""
+    if hashing == "md5":
+        return (F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("bigint") % F.lit(dim)).cast("int")
+    if hashing == "xxhash64":
+        return F.pmod(F.xxhash64(tok), F.lit(dim)).cast("int")
+    raise ValueError(f"unknown hashing {hashing!r}")
+
+
+def content_vectors(df: DataFrame, text: str, group_id: str, dim: int = 64, hashing: str = "xxhash64") -> DataFrame:
     toks = df.select(group_id, explode_lower_tokens(text).alias("_t")).filter(F.col("_t") != "")
-    counts = (toks.groupBy(group_id, F.pmod(F.xxhash64("_t"), F.lit(dim)).cast("int").alias("bucket"))
+    counts = (toks.groupBy(group_id, token_bucket(F.col("_t"), dim, hashing).alias("bucket"))
               .agg(F.count(F.lit(1)).cast("double").alias("n")))
     return _dense_from_buckets(counts, dim, group_id)
 
@@ -76,12 +86,15 @@ def style_vectors(df: DataFrame, text: str, group_id: str, dim: int = 64) -> Dat
 
 
 def encode(df: DataFrame, text: str = "message", group_id: str = "message_id", family: str = "content",
-           dim: int = 64) -> DataFrame:
+           dim: int = 64, hashing: str = "xxhash64") -> DataFrame:
     """ENC01: ``(group_id, features array<double>)``; a null text encodes to zeros."""
     if family not in ("content", "style"):
         raise ValueError(f"unknown encoder family {family!r}")
-    fn = content_vectors if family == "content" else style_vectors
-    vec = fn(df.filter(F.col(text).isNotNull()), text, group_id, dim)
+    src = df.filter(F.col(text).isNotNull())
+    if family == "content":
+        vec = content_vectors(src, text, group_id, dim, hashing)
+    else:
+        vec = style_vectors(src, text, group_id, dim)
     zeros = F.array_repeat(F.lit(0.0), dim)
     return (df.select(group_id).distinct().join(vec, group_id, "left")
             .select(group_id, F.coalesce("features", zeros).alias("features")))

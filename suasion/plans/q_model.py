@@ -262,3 +262,30 @@ def trn05_heads(spark, sf):
     """P: L2 search with all strengths × folds in one training loop."""
     f = group_kfold(v.emb_cls(spark, sf), "group_id", fold_col="folds_col")
     return tr.l2_search_heads(f, "folds_col", [0.0, 0.001, 0.01, 0.1])
+
+
+def _content_sql() -> str:
+    from suasion.plans.q_relational import SQL_STRIP
+    from suasion.plans.q_shape import sql_tokens
+    toks = (f"list_filter(list_transform({sql_tokens('lower(message)')}, "
+            f"lambda w: regexp_replace(w, {SQL_STRIP}, '', 'g')), lambda w: w <> '')")
+    return W("messages") + f""",
+toks AS (SELECT message_id AS group_id, unnest({toks}) AS t FROM messages WHERE message IS NOT NULL),
+b AS (SELECT group_id, CAST(CAST(('0x' || substr(md5(t), 1, 8)) AS UBIGINT) % 64 AS INTEGER) AS bucket,
+             CAST(count(*) AS DOUBLE) AS n FROM toks GROUP BY 1, 2),
+nrm AS (SELECT group_id, sqrt(sum(n * n)) AS z FROM b GROUP BY 1),
+grid AS (SELECT g.message_id AS group_id, i FROM (SELECT DISTINCT message_id FROM messages) g,
+         (SELECT unnest(range(64)) AS i))
+SELECT grid.group_id, printf('content_%03d', grid.i) AS feat,
+       round(CASE WHEN nrm.z > 0 THEN coalesce(b.n, 0.0) / nrm.z ELSE 0.0 END, 6) + 0.0 AS value
+FROM grid LEFT JOIN b ON b.group_id = grid.group_id AND b.bucket = grid.i
+LEFT JOIN nrm ON nrm.group_id = grid.group_id"""
+
+
+@register("enc01_content_exact", _content_sql())
+def enc01_exact(spark, sf):
+    """ENC01 content encoder with md5 buckets, so the whole encoding job is checked exactly."""
+    m = v.messages(spark, sf)
+    vec = en.encode(m, "message", "message_id", "content", 64, hashing="md5")
+    long = vector_to_long(vec.withColumnRenamed("message_id", "group_id"), prefix="content_")
+    return long.select("group_id", "feat", r6("value").alias("value"))
