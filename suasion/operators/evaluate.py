@@ -7,6 +7,7 @@ distinct scores; its running negative count uses the distributed prefix sum.
 
 from __future__ import annotations
 
+import pandas as pd  # noqa: F401  (pandas UDF annotations)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,12 +75,65 @@ def most_frequent_class(df: DataFrame, label: str, by: list[str] | None = None)
     return c.groupBy(*by).agg((F.max("_n") / F.sum("_n")).alias("mfc"))
 
 
+def _betacf(a: float, b: float, x: float) -> float:
+    """Continued fraction of the regularized incomplete beta (modified Lentz)."""
+    tiny, qab, qap, qam = 1e-300, a + b, a + 1.0, a - 1.0
+    c, d = 1.0, 1.0 - qab * x / qap
+    d = 1.0 / (d if abs(d) > tiny else tiny)
+    h = d
+    for m in range(1, 300):
+        m2 = 2 * m
+        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
+        d = 1.0 + aa * d
+        d = 1.0 / (d if abs(d) > tiny else tiny)
+        c = 1.0 + aa / c if abs(1.0 + aa / c) > tiny else tiny
+        h *= d * c
+        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
+        d = 1.0 + aa * d
+        d = 1.0 / (d if abs(d) > tiny else tiny)
+        c = 1.0 + aa / c if abs(1.0 + aa / c) > tiny else tiny
+        de = d * c
+        h *= de
+        if abs(de - 1.0) < 1e-15:
+            break
+    return h
+
+
+def t_two_sided_p(t: float, dof: float) -> float:
+    """Two-sided p of Student's t: I_{dof/(dof+t²)}(dof/2, 1/2)."""
+    import math
+    if t is None or dof is None or dof <= 0 or math.isnan(t):
+        return float("nan")
+    x = dof / (dof + t * t)
+    a, b = dof / 2.0, 0.5
+    if x <= 0.0:
+        return 0.0
+    if x >= 1.0:
+        return 1.0
+    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1.0 - x)
+    if x < (a + 1.0) / (a + b + 2.0):
+        return math.exp(lbeta) * _betacf(a, b, x) / a
+    return 1.0 - math.exp(lbeta) * _betacf(b, a, 1.0 - x) / b
+
+
 def paired_t(df: DataFrame, loss_a: str, loss_b: str, by: list[str] | None = None) -> DataFrame:
-    """EVL05: paired t statistic of per-row loss differences (and its n)."""
+    """EVL05: paired t statistic of per-row loss differences, its n and two-sided p.
+
+    The statistic is one aggregate; the p-value is computed on the aggregated rows
+    (one per group) by an Arrow-batched function.
+    """
+    import pandas as pd
+
     d = F.col(loss_a) - F.col(loss_b)
     g = df.groupBy(*(by or []))
-    return g.agg((F.avg(d) / (F.stddev_samp(d) / F.sqrt(F.count(F.lit(1))))).alias("t_stat"),
-                 F.count(F.lit(1)).alias("n"))
+    agg = g.agg((F.avg(d) / (F.stddev_samp(d) / F.sqrt(F.count(F.lit(1))))).alias("t_stat"),
+                F.count(F.lit(1)).alias("n"))
+
+    @F.pandas_udf("double")
+    def p_value(t: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([t_two_sided_p(None if pd.isna(a) else float(a), float(b) - 1.0) for a, b in zip(t, n)])
+
+    return agg.withColumn("p_value", p_value("t_stat", "n"))
 
 
 def split_metrics(df: DataFrame, l0: str, l1: str, label: str, by: list[str]) -> DataFrame:

@@ -444,3 +444,18 @@ def test_l2_search_heads_ranks_all(spark):
     df = spark.createDataFrame(rows, "group_id string, features array<double>, persuaded int, fold int")
     r = tr.l2_search_heads(df, "fold", [0.0, 0.1, 1.0], epochs=8).collect()
     assert len(r) == 3 and r[0].roc_auc >= r[-1].roc_auc and all(x.roc_auc > 0.5 for x in r)
+
+
+@pytest.mark.parametrize("t,dof", [(2.0, 10), (0.0, 5), (3.5, 30), (-1.0, 100), (0.5, 3)])
+def test_t_pvalue_against_integration(t, dof):
+    import numpy as np
+    xs = np.linspace(abs(t), 400.0, 2_000_001)
+    dens = (1 + xs * xs / dof) ** (-(dof + 1) / 2) * math.exp(
+        math.lgamma((dof + 1) / 2) - math.lgamma(dof / 2)) / math.sqrt(dof * math.pi)
+    assert ev.t_two_sided_p(t, dof) == pytest.approx(2 * np.trapezoid(dens, xs), rel=1e-5, abs=1e-9)
+
+
+def test_paired_t_p_value_column(spark):
+    df = spark.createDataFrame([(1.0, 0.5), (2.0, 1.0), (3.0, 2.0), (1.5, 1.4)], "a double, b double")
+    r = ev.paired_t(df, "a", "b").collect()[0]
+    assert 0.0 < r.p_value < 1.0 and r.p_value == pytest.approx(ev.t_two_sided_p(r.t_stat, 3))
