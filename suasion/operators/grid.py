@@ -79,3 +79,13 @@ def summarize_runs(metrics: DataFrame, metric: str = "eval_acc", maximize: bool
     best = metrics.groupBy("run_id").agg(F.max_by(F.struct(*metrics.columns), order).alias("b"))
     out = best.select("b.*")
     return out.orderBy(F.desc(metric) if maximize else F.asc(metric), "run_id")
+
+
+def feature_model_table(metrics: DataFrame, metric: str = "roc_auc", row: str = "feature_set",
+                        col: str = "model") -> DataFrame:
+    """GRD03: feature set × model table of one metric (models as columns), ranked by the
+    best value in the row.  The model list is the distinct values (a handful)."""
+    models = sorted(r[0] for r in metrics.select(col).distinct().collect())
+    wide = metrics.groupBy(row).pivot(col, models).agg(F.first(metric))
+    best = F.greatest(*[F.col(m) for m in models]) if len(models) > 1 else F.col(models[0])
+    return wide.withColumn("best", best).orderBy(F.desc("best"), F.asc(row))

@@ -54,3 +54,10 @@ def entry_b(spark, sf):
     """P: SURVEY §3.2 end to end — head trained with early stopping, metrics per split."""
     from suasion.plans.flows import flow_b
     return flow_b(spark, sf)
+
+
+@register("grd03_feature_model_table")
+def grd03_table(spark, sf):
+    """P: flow A's metrics as the run logs' summary — feature set × model AUC, ranked."""
+    from suasion.plans.flows import flow_a
+    return gr.feature_model_table(flow_a(spark, sf))

@@ -459,3 +459,11 @@ def test_paired_t_p_value_column(spark):
     df = spark.createDataFrame([(1.0, 0.5), (2.0, 1.0), (3.0, 2.0), (1.5, 1.4)], "a double, b double")
     r = ev.paired_t(df, "a", "b").collect()[0]
     assert 0.0 < r.p_value < 1.0 and r.p_value == pytest.approx(ev.t_two_sided_p(r.t_stat, 3))
+
+
+def test_feature_model_table(spark):
+    m = spark.createDataFrame([("luar", "lr", 0.716), ("luar", "etc", 0.695), ("sbert", "lr", 0.624),
+                               ("sbert", "etc", 0.609)], "feature_set string, model string, roc_auc double")
+    rows = gr.feature_model_table(m).collect()
+    assert [r.feature_set for r in rows] == ["luar", "sbert"]
+    assert rows[0].lr == 0.716 and rows[0].etc == 0.695 and rows[0].best == 0.716
