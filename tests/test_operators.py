@@ -462,8 +462,8 @@ def test_paired_t_p_value_column(spark):
 
 
 def test_feature_model_table(spark):
-    m = spark.createDataFrame([("luar", "lr", 0.716), ("luar", "etc", 0.695), ("sbert", "lr", 0.624),
-                               ("sbert", "etc", 0.609)], "feature_set string, model string, roc_auc double")
+    m = spark.createDataFrame([("style", "lr", 0.716), ("style", "etc", 0.695), ("content", "lr", 0.624),
+                               ("content", "etc", 0.609)], "feature_set string, model string, roc_auc double")
     rows = gr.feature_model_table(m).collect()
-    assert [r.feature_set for r in rows] == ["luar", "sbert"]
+    assert [r.feature_set for r in rows] == ["style", "content"]
     assert rows[0].lr == 0.716 and rows[0].etc == 0.695 and rows[0].best == 0.716
