@@ -199,8 +199,8 @@ def _epoch_sums(data: DataFrame, features: str, label: str, split: str, theta, c
 
 def _adam_loop(data: DataFrame, settings: list[HeadSetting], features: str, label: str, split: str,
                epochs: int, col_folds=None, col_runs=None):
-    """Adam with coupled L2 and per-column early stopping; one gradient pass + one metric
-    pass per epoch for every column together."""
+    """Adam with coupled L2 and per-column early stopping; one distributed pass per
+    epoch serves every column together."""
     import numpy as np
 
     d = data.select(F.max(F.size(features))).first()[0]
@@ -219,10 +219,12 @@ def _adam_loop(data: DataFrame, settings: list[HeadSetting], features: str, labe
     best_theta = theta.copy()
     stopped = np.zeros(C, dtype=bool)
     rows = []
+    # one pass per epoch: the sums at the new weights give this epoch's validation
+    # metrics *and* the next epoch's gradient (epochs + 1 passes in total)
+    before = _epoch_sums(data, features, label, split, theta, col_folds)
     for ep in range(1, epochs + 1):
         if not active.any():
             break
-        before = _epoch_sums(data, features, label, split, theta, col_folds)
         g = before["grad"] / np.maximum(before["n_tr"], 1.0) + wd * theta
         m = b1 * m + (1 - b1) * g
         v = b2 * v + (1 - b2) * g * g
@@ -246,6 +248,7 @@ def _adam_loop(data: DataFrame, settings: list[HeadSetting], features: str, labe
             if s.patience > 0 and bad[c] >= s.patience:
                 active[c] = False
                 stopped[c] = True
+        before = after
     return rows, theta, best_theta, best_epoch, stopped
 
 
