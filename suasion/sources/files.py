@@ -45,8 +45,11 @@ def read_feature_csv(spark: SparkSession, path: str, schema: T.StructType = FEAT
 
 # SRC04 -----------------------------------------------------------------------------
 def read_feature_table(spark: SparkSession, path: str, with_group_norm: bool = True) -> DataFrame:
-    """Chosen columns only: the projection reaches the Parquet scan (ReadSchema)."""
+    """Chosen columns only: the projection reaches the scan (ReadSchema).  ``path`` is a
+    Parquet folder or the name of a catalog table."""
     cols = ["group_id", "feat", "value"] + (["group_norm"] if with_group_norm else [])
+    if "/" not in path and spark.catalog.tableExists(path):
+        return spark.table(path).select(*cols)
     return spark.read.parquet(path).select(*cols)
 
 

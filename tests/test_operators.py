@@ -434,6 +434,8 @@ def test_replace_table_catalog_and_path(spark, tmp_path):
     io.replace_table(df, path, cluster_by=["group_id", "feat"], table_name="suasion_test_feat")
     io.replace_table(df.limit(1), path, cluster_by=["group_id", "feat"], table_name="suasion_test_feat")
     assert spark.table("suasion_test_feat").count() == 1  # replaced, not appended
+    assert io.read_feature_table(spark, "suasion_test_feat", with_group_norm=False).columns == [
+        "group_id", "feat", "value"]
     spark.sql("DROP TABLE suasion_test_feat")
 
 

@@ -1,5 +1,7 @@
 """Plan shape: filters reach the scan, scans read only needed columns, hot paths stay in the JVM."""
 
+import pytest
+
 import __spark_entry__ as se
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +43,14 @@ def test_time_queries_independent_of_session_zone(spark):
             assert got == want, k
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+# the two end-to-end flows run k-fold loops while being built (minutes); their parts are covered
+SLOW_TO_BUILD = {"entry_a_fold_metrics", "grd03_feature_model_table"}
+
+
+@pytest.mark.parametrize("name", sorted(set(se.queries()) - SLOW_TO_BUILD))
+def test_no_cartesian_or_row_python(spark, name):
+    p = _plan(se.queries()[name](spark, SF))
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert bad not in p, (name, bad)
