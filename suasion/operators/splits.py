@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from suasion.operators.numbering import global_index
+from suasion.operators.skew import hot_keys, salted_join
 from suasion.session import checkpointed
 
 
@@ -28,6 +29,11 @@ def _groups(df: DataFrame, group: str, label: str | None) -> DataFrame:
     return df.groupBy(group).agg(*aggs)
 
 
+def _join_back(df: DataFrame, assigned: DataFrame, group: str, groups: DataFrame) -> DataFrame:
+    """Per-group assignment → rows, with hot groups split over salted sub-keys."""
+    return salted_join(df, assigned, group, hot_keys(groups, group))
+
+
 def _deal(groups: DataFrame, order: list, k: int, fold_col: str) -> DataFrame:
     ranked = global_index(groups, order, "_rank")
     return ranked.select(*groups.columns, (F.col("_rank") % k).cast("int").alias(fold_col))
@@ -42,18 +48,19 @@ def stratified_group_kfold(df: DataFrame, group: str, label: str, k: int = 5, se
     cls = df.agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.count(F.lit(1)).alias("t")).first()
     if cls["t"] and max(cls["p"] or 0, cls["t"] - (cls["p"] or 0)) < k:
         raise ValueError(f"n_splits={k} cannot be greater than the number of members in each class")
+    groups = checkpointed(groups)  # read by the dealing and by the hot-key check
     order = [F.desc("n"), F.desc("n1"), group_hash(group, seed).asc(), F.col(group).asc()]
     folds = _deal(groups, order, k, fold_col).select(group, fold_col)
-    return df.join(folds, group, "left")
+    return _join_back(df, folds, group, groups)
 
 
 # SPL04 ----------------------------------------------------------------------------
 def group_kfold(df: DataFrame, group: str, k: int = 5, seed: int = 42, fold_col: str = "folds_col") -> DataFrame:
     """Size-balanced group folds: deal in (size desc, seeded hash) order."""
-    groups = _groups(df, group, None).filter(F.col(group).isNotNull())
+    groups = checkpointed(_groups(df, group, None).filter(F.col(group).isNotNull()))
     order = [F.desc("n"), group_hash(group, seed).asc(), F.col(group).asc()]
     folds = _deal(groups, order, k, fold_col).select(group, fold_col)
-    return df.join(folds, group, "left")
+    return _join_back(df, folds, group, groups)
 
 
 # SPL02 ----------------------------------------------------------------------------
@@ -85,11 +92,11 @@ def best_fold_split(df: DataFrame, group: str, label: str, k: int = 5, seed: int
 def group_holdout(df: DataFrame, group: str, fraction_tenths: int = 2, seed: int = 42,
                   flag: str = "held_out") -> DataFrame:
     """``int(0.2·G)`` groups, chosen as the first in seeded hash order (exact size)."""
-    groups = df.select(group).filter(F.col(group).isNotNull()).distinct()
-    ranked, g = global_index(groups, [group_hash(group, seed).asc(), F.col(group).asc()], "_rank",
+    groups = checkpointed(_groups(df, group, None).filter(F.col(group).isNotNull()))
+    ranked, g = global_index(groups.select(group), [group_hash(group, seed).asc(), F.col(group).asc()], "_rank",
                              return_total=True)
     chosen = ranked.select(group, (F.col("_rank") < (g * fraction_tenths) // 10).alias(flag))
-    return df.join(chosen, group, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    return _join_back(df, chosen, group, groups).withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
 # SPL06 ----------------------------------------------------------------------------

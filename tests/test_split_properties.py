@@ -42,3 +42,19 @@ def test_three_way_and_holdout_contract(spark, sizes, parts):
     h = sp.group_holdout(df, "grp")
     assert h.filter("held_out").select("grp").distinct().count() == (2 * g) // 10
     assert h.count() == sum(sizes)
+
+
+def test_hot_group_is_salted_and_complete(spark):
+    # one group with a third of all rows
+    rows = [("hot" if i % 3 == 0 else f"g{i % 97}", i % 2, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "grp string, y int, i int").repartition(4)
+    f = sp.group_kfold(df, "grp", 5)
+    assert f.count() == 3000 and f.select("i").distinct().count() == 3000  # no row lost or doubled
+    assert f.groupBy("grp").agg(F.countDistinct("folds_col").alias("k")).filter("k > 1").count() == 0
+    plan = f._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in plan  # the hot group went through the salted join
+    h = sp.group_holdout(df, "grp")
+    assert h.count() == 3000 and h.groupBy("grp").agg(F.countDistinct("held_out").alias("k")).filter(
+        "k > 1").count() == 0
+    s = sp.stratified_group_kfold(df, "grp", "y", 5)
+    assert s.count() == 3000 and s.filter(F.col("fold").isNull()).count() == 0
