@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from suasion.operators.shape import long_to_dense, vector_to_long
+from suasion.operators.skew import hot_keys, salted_join
 
 
 # AGG01 / FEA03 ------------------------------------------------------------------
 def feature_stats(df: DataFrame, feat: str = "feat", value: str = "value") -> DataFrame:
-    """Mean and population stddev per feature (T2: ddof 0)."""
-    return df.groupBy(feat).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("stddev"))
+    """Mean, population stddev (T2: ddof 0) and row count per feature."""
+    return df.groupBy(feat).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("stddev"),
+                                F.count(F.lit(1)).alias("n"))
 
 
 # FEA01 / FEA03 --------------------------------------------------------------------
@@ -28,8 +30,12 @@ def apply_zscore(df: DataFrame, stats: DataFrame, feat: str = "feat", value: str
     """``(v - mean) / NULLIF(stddev, 0)``; rows whose feature has no stats drop out (inner join)."""
     z = (F.col(value) - F.col("mean")) / F.nullif(F.col("stddev"), F.lit(0.0))
     cols = [c for c in df.columns if c not in (value, group_norm)]
-    return (df.join(stats, feat)
-            .select(*cols, z.alias(value), z.alias(group_norm)))
+    if "n" in stats.columns:
+        # a feature present in a third of all rows (a frequent 1-gram) is split over salts
+        joined = salted_join(df, stats.select(feat, "mean", "stddev"), feat, hot_keys(stats, feat), how="inner")
+    else:
+        joined = df.join(stats.select(feat, "mean", "stddev"), feat)
+    return joined.select(*cols, z.alias(value), z.alias(group_norm))
 
 
 def zscore_sql_form(df: DataFrame, feat: str = "feat", value: str = "value") -> DataFrame:

@@ -131,11 +131,11 @@ def jon06(spark, sf):
 
 
 @register("agg01_feature_stats", W("feat_holes") + """
-SELECT feat, round(avg(value), 6) + 0.0 AS mean, round(stddev_pop(value), 6) + 0.0 AS stddev
+SELECT feat, round(avg(value), 6) + 0.0 AS mean, round(stddev_pop(value), 6) + 0.0 AS stddev, count(*) AS n
 FROM feat_holes GROUP BY feat""")
 def agg01(spark, sf):
     s = fe.feature_stats(v.feat_holes(spark, sf))
-    return s.select("feat", r6("mean").alias("mean"), r6("stddev").alias("stddev"))
+    return s.select("feat", r6("mean").alias("mean"), r6("stddev").alias("stddev"), "n")
 
 
 EV_FOLDS_SQL = f""",

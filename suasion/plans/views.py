@@ -40,9 +40,12 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("lang"), F.lit(":"), F.col("source")).alias("claim_id"),
         F.col("quality").alias("persuaded"),
         F.col("doc_id").alias("_doc"))
-    # one row per claim (partial aggregation, skew-safe); joined back on claim_id
+    # one row per claim (partial aggregation, skew-safe); joined back on claim_id with a
+    # claim holding a third of the messages split over salted sub-keys
+    from suasion.operators.skew import hot_keys, salted_join
     claims = m.groupBy("claim_id").agg(F.min_by("message", "_doc").alias("claim"))
-    return (m.join(claims, "claim_id", "left")
+    sizes = m.select("claim_id").groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"))
+    return (salted_join(m, claims, "claim_id", hot_keys(sizes, "claim_id"))
             .select("message_id", "message", "claim_id", "claim", "persuaded",
                     F.lit(None).cast("bigint").alias("message_created_utc"),
                     F.lit(None).cast("bigint").alias("claim_created_utc")))
