@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from suasion.operators.shape import long_to_dense, vector_to_long
 from suasion.operators.skew import hot_keys, salted_join
+from suasion.session import checkpointed
 
 
 # AGG01 / FEA03 ------------------------------------------------------------------
@@ -31,7 +32,9 @@ def apply_zscore(df: DataFrame, stats: DataFrame, feat: str = "feat", value: str
     z = (F.col(value) - F.col("mean")) / F.nullif(F.col("stddev"), F.lit(0.0))
     cols = [c for c in df.columns if c not in (value, group_norm)]
     if "n" in stats.columns:
-        # a feature present in a third of all rows (a frequent 1-gram) is split over salts
+        # a feature present in a third of all rows (a frequent 1-gram) is split over salts;
+        # the stats (one row per feature) are materialised once for the check and the join
+        stats = checkpointed(stats)
         joined = salted_join(df, stats.select(feat, "mean", "stddev"), feat, hot_keys(stats, feat), how="inner")
     else:
         joined = df.join(stats.select(feat, "mean", "stddev"), feat)

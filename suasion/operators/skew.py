@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 
 def hot_keys(sizes: DataFrame, key: str, n_col: str = "n", partitions: int | None = None) -> list:
-    """Keys whose row count exceeds ``total / partitions`` (at most ``partitions`` keys)."""
+    """Keys whose row count exceeds ``total / partitions`` (at most ``partitions`` keys).
+
+    Runs two small jobs over ``sizes``; pass a materialised (checkpointed) table so
+    they do not recompute it from the source."""
     spark = sizes.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = sizes.agg(F.sum(n_col)).first()[0] or 0

@@ -43,8 +43,10 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     # one row per claim (partial aggregation, skew-safe); joined back on claim_id with a
     # claim holding a third of the messages split over salted sub-keys
     from suasion.operators.skew import hot_keys, salted_join
+    from suasion.session import checkpointed
     claims = m.groupBy("claim_id").agg(F.min_by("message", "_doc").alias("claim"))
-    sizes = m.select("claim_id").groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"))
+    # claim sizes (one row per claim, no text) are materialised once for the hot-key check
+    sizes = checkpointed(m.select("claim_id").groupBy("claim_id").agg(F.count(F.lit(1)).alias("n")))
     return (salted_join(m, claims, "claim_id", hot_keys(sizes, "claim_id"))
             .select("message_id", "message", "claim_id", "claim", "persuaded",
                     F.lit(None).cast("bigint").alias("message_created_utc"),
