@@ -21,9 +21,12 @@ def hot_keys(sizes: DataFrame, key: str, n_col: str = "n", partitions: int | Non
     they do not recompute it from the source."""
     spark = sizes.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = sizes.agg(F.sum(n_col)).first()[0] or 0
+    r = sizes.agg(F.sum(n_col), F.max(n_col)).first()
+    total, largest = (r[0] or 0), (r[1] or 0)
     bound = max(total // max(parts, 1), 1)
-    return [r[0] for r in sizes.filter(F.col(n_col) > bound).select(key).collect()]
+    if largest <= bound:  # the common case: no hot key, one job
+        return []
+    return [x[0] for x in sizes.filter(F.col(n_col) > bound).select(key).collect()]
 
 
 def salted_join(rows: DataFrame, per_group: DataFrame, key: str, hot: list, salts: int = 32,
