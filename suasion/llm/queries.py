@@ -36,3 +36,71 @@ def op1_token_files(spark, sf_dir):
                                 tokenizer_file("word_bpe_49k.json"), END_ID, 49_408)
     return read_token_files(manifest, uri).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@register("op2_decontamination")
+def op2_decontamination(spark, sf_dir):
+    from suasion.llm.decontaminate import build_index, contamination, phrase_matches
+    index = build_index(table(spark, sf_dir, "documents"))
+    found = contamination(index, phrase_matches(index, table(spark, sf_dir, "benchmark")))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@register("op3_bpe")
+def op3_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from suasion.llm.bpe import digests
+    return digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@register("op6_simhash")
+def op6_simhash(spark, sf_dir):
+    from suasion.llm.simhash import fingerprint_hex, near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+TOXICITY_THRESHOLD = 0.7
+
+
+def toxicity_model(spark, sf_dir, docs):
+    """Fitted on labelled rows outside the held-out third."""
+    from suasion.llm.shared import fold
+    from suasion.llm.toxicity import fit
+    return fit(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1), "toxic")
+
+
+@register("op9_toxicity")
+def op9_toxicity(spark, sf_dir):
+    from suasion.llm.shared import fold
+    from suasion.llm.toxicity import score
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_model(spark, sf_dir, docs)
+    return (docs.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), score(model, F.col("text")).alias("score"))
+            .select("*", (F.col("score") >= TOXICITY_THRESHOLD).cast("int").alias("predicted")))
+
+
+@register("op8_line_dedup")
+def op8_line_dedup(spark, sf_dir):
+    """Documents without repeated lines, by their digests: lines left, characters left, sha256 of the text left."""
+    from suasion.llm.line_dedup import without_duplicate_lines
+    docs = without_duplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"),
+                       F.length(text).cast("long").alias("n_chars_left"), F.sha2(text, 256).alias("text_sha256"))
+
+
+@register("op5_html_text")
+def op5_html_text(spark, sf_dir):
+    from suasion.llm.html_text import extract, fit
+    return extract(table(spark, sf_dir, "pages"), fit(spark))
+
+
+@register("op10_lz_fingerprint")
+def op10_lz_fingerprint(spark, sf_dir):
+    from suasion.llm.lz_fingerprint import edited_likeness
+    out = edited_likeness(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", "edited_sha256", F.lower(F.hex("fingerprint")).alias("fingerprint"),
+                      F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")

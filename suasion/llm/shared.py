@@ -18,6 +18,8 @@ def ready(spark: SparkSession) -> SparkSession:
     session starts on machines where the repository lies at the same path."""
     ensure_checkpoint_dir(spark)
     spark.sparkContext.environment.setdefault("PYTHONPATH", REPO_ROOT)
+    # a finished job's shuffle files go at once: every operator keeps what it needs in written tables
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
