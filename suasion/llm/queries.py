@@ -104,3 +104,52 @@ def op10_lz_fingerprint(spark, sf_dir):
     out = edited_likeness(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_chars", "edited_sha256", F.lower(F.hex("fingerprint")).alias("fingerprint"),
                       F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@register("op4_quality")
+def op4_quality(spark, sf_dir):
+    from suasion.llm.quality import THRESHOLD, fit, scored
+    from suasion.llm.shared import fold
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
+    return (scored(docs.select("doc_id", "text"), model)
+            .select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score",
+                    (F.col("score") >= THRESHOLD).cast("int").alias("predicted")))
+
+
+@register("op7_token_counts", """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, source, lang FROM documents),
+kept AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1),
+counts AS (
+  SELECT source, lang, 'words-1' AS tokenizer_version,
+         list_sum(list_transform(list_distinct(string_split(text, chr(10))), lambda x: len(regexp_extract_all(x, '[^ \\t\\n\\r]+')))) AS n_tokens,
+         list_sum(list_transform(list_distinct(string_split(text, chr(10))), lambda x: length(x))) + len(list_distinct(string_split(text, chr(10)))) - 1 AS n_chars
+  FROM kept
+  UNION ALL
+  SELECT source, lang, 'letters-1', len(regexp_extract_all(text, '[a-zA-Z]+')), length(text) FROM kept)
+SELECT source, lang, tokenizer_version, count(*) AS n_docs, CAST(sum(n_tokens) AS BIGINT) AS n_tokens,
+       CAST(sum(n_chars) AS BIGINT) AS n_chars
+FROM counts GROUP BY ALL""")
+def op7_token_counts(spark, sf_dir):
+    """Inserts under two tokenizer versions, revised counts (lines repeated inside a document count
+    once), deletes of exact copies (the smallest doc_id stays), and two batches sent again."""
+    from suasion.llm.rollups import changes, commit, compact, totals
+    from suasion.session import scratch_path
+    root = scratch_path(spark, "rollup")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source", "lang")
+    words, letters = (F.regexp_count("text", F.lit(p)) for p in (r"[^ \t\n\r]+", "[a-zA-Z]+"))
+    commit(spark, root, "001-load", changes(docs, "insert", "words-1", words, F.length("text"))
+           .unionByName(changes(docs, "insert", "letters-1", letters, F.length("text"))))
+    lines = F.split("text", "\n", -1)
+    repeated = docs.where(F.size(F.array_distinct(lines)) < F.size(lines))
+    revised = changes(repeated.withColumn("text", F.array_join(F.array_distinct(lines), "\n")), "revise", "words-1", words, F.length("text"))
+    commit(spark, root, "002-revise", revised)
+    compact(spark, root)
+    first = docs.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("doc_id")).select(F.col("doc_id").alias("_id"))
+    copies = docs.join(first, F.col("doc_id") == F.col("_id"), "left_anti")
+    zero = F.lit(0)
+    gone = changes(copies, "delete", "words-1", zero, zero).unionByName(changes(copies, "delete", "letters-1", zero, zero))
+    commit(spark, root, "003-delete-copies", gone)
+    commit(spark, root, "002-revise", revised)
+    commit(spark, root, "003-delete-copies", gone)
+    return totals(spark, root)
