@@ -7,7 +7,10 @@ distinct scores; its running negative count uses the distributed prefix sum.
 
 from __future__ import annotations
 
-import pandas as pd  # noqa: F401  (pandas UDF annotations)
+from functools import reduce
+from operator import and_
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,12 +45,14 @@ def macro_f1(df: DataFrame, label: str, pred: str, by: list[str] | None = None)
     """EVL02: mean over the classes seen in truth or prediction; F1 of a class with no
     support and no prediction is 0 (sklearn's zero_division)."""
     by = by or []
-    cls = F.explode(F.array_distinct(F.array(F.col(label), F.col(pred))))
-    per = df.select(*by, cls.alias("_c"), label, pred)
-    counts = per.groupBy(*by, "_c").agg(
-        F.sum(((F.col(label) == F.col("_c")) & (F.col(pred) == F.col("_c"))).cast("long")).alias("tp"),
-        F.sum(((F.col(label) != F.col("_c")) & (F.col(pred) == F.col("_c"))).cast("long")).alias("fp"),
-        F.sum(((F.col(label) == F.col("_c")) & (F.col(pred) != F.col("_c"))).cast("long")).alias("fn"))
+    table = df.groupBy(*by, label, pred).agg(F.count(F.lit(1)).alias("_n"))  # the confusion table
+    per = table.select(*by, F.explode(F.array_distinct(F.array(F.col(label), F.col(pred)))).alias("_c"), label, pred, "_n")
+
+    def rows(condition):
+        return F.sum(F.when(condition, F.col("_n")).otherwise(0))
+    true, said = F.col(label) == F.col("_c"), F.col(pred) == F.col("_c")
+    counts = per.groupBy(*by, "_c").agg(rows(true & said).alias("tp"), rows(~true & said).alias("fp"),
+                                        rows(true & ~said).alias("fn"))
     f1 = F.when(2 * F.col("tp") + F.col("fp") + F.col("fn") == 0, 0.0).otherwise(
         2.0 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")))
     return counts.groupBy(*by).agg(F.avg(f1).alias("f1_macro"))
@@ -60,9 +65,8 @@ def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None)
         F.sum((F.col(label) == 1).cast("long")).alias("p"),
         F.sum((F.col(label) != 1).cast("long")).alias("q"))
     ranked = prefix_sums(per_score, [F.col(score).asc()], ["q"], by)
-    agg = ranked.groupBy(*by).agg(
-        F.sum(F.col("p") * (F.col("q_before") + F.col("q") / 2.0)).alias("_u"),
-        F.sum("p").alias("_P"), F.sum("q").alias("_N"))
+    p, q, before = (F.col(c).cast("double") for c in ("p", "q", "q_before"))  # products pass 2**63
+    agg = ranked.groupBy(*by).agg(F.sum(p * (before + q / 2.0)).alias("_u"), F.sum(p).alias("_P"), F.sum(q).alias("_N"))
     auc = F.when((F.col("_P") == 0) | (F.col("_N") == 0), 0.0).otherwise(
         F.col("_u") / (F.col("_P") * F.col("_N")))
     return agg.select(*by, auc.alias("roc_auc"))
@@ -75,45 +79,25 @@ def most_frequent_class(df: DataFrame, label: str, by: list[str] | None = None)
     return c.groupBy(*by).agg((F.max("_n") / F.sum("_n")).alias("mfc"))
 
 
-def _betacf(a: float, b: float, x: float) -> float:
-    """Continued fraction of the regularized incomplete beta (modified Lentz)."""
-    tiny, qab, qap, qam = 1e-300, a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 300):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c if abs(1.0 + aa / c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c if abs(1.0 + aa / c) > tiny else tiny
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < 1e-15:
-            break
-    return h
-
-
-def t_two_sided_p(t: float, dof: float) -> float:
-    """Two-sided p of Student's t: I_{dof/(dof+t²)}(dof/2, 1/2)."""
+def t_two_sided_p(t: float | None, dof: float | None) -> float:
+    """Two-sided p of Student's t.  With t = sqrt(dof) * tan(a) the density is cos(a)**(dof - 1),
+    so p is its integral from a to pi/2 over the one from 0 (a gamma quotient); the tail is
+    summed by Gauss-Legendre nodes over the 40 widths 1/sqrt(dof) that matter."""
     import math
+
+    import numpy as np
     if t is None or dof is None or dof <= 0 or math.isnan(t):
         return float("nan")
-    x = dof / (dof + t * t)
-    a, b = dof / 2.0, 0.5
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1.0 - x)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(lbeta) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbeta) * _betacf(b, a, 1.0 - x) / b
+    start = math.atan(abs(t) / math.sqrt(dof))
+    stop = min(math.pi / 2, start + 40 / math.sqrt(dof))
+    nodes, weights = np.polynomial.legendre.leggauss(64)
+    total = 0.0
+    for k in range(20):
+        a, h = start + (stop - start) * k / 20, (stop - start) / 20
+        angle = np.minimum(a + h * (nodes + 1) / 2, math.pi / 2 - 1e-15)
+        total += float((weights * np.exp((dof - 1) * np.log(np.cos(angle)))).sum()) * h / 2
+    whole = 0.5 * math.sqrt(math.pi) * math.exp(math.lgamma(dof / 2) - math.lgamma((dof + 1) / 2))
+    return min(1.0, total / whole)
 
 
 def paired_t(df: DataFrame, loss_a: str, loss_b: str, by: list[str] | None = None) -> DataFrame:
@@ -122,12 +106,12 @@ def paired_t(df: DataFrame, loss_a: str, loss_b: str, by: list[str] | None = Non
     The statistic is one aggregate; the p-value is computed on the aggregated rows
     (one per group) by an Arrow-batched function.
     """
-    import pandas as pd
-
     d = F.col(loss_a) - F.col(loss_b)
     g = df.groupBy(*(by or []))
-    agg = g.agg((F.avg(d) / (F.stddev_samp(d) / F.sqrt(F.count(F.lit(1))))).alias("t_stat"),
-                F.count(F.lit(1)).alias("n"))
+    error = F.stddev_samp(d) / F.sqrt(F.count(d))
+    # equal losses everywhere: no difference, t = 0 and p = 1; a constant difference has no t
+    t = F.when((F.min(d) == 0) & (F.max(d) == 0), 0.0).otherwise(F.avg(d) / F.nullif(error, F.lit(0.0)))
+    agg = g.agg(t.alias("t_stat"), F.count(d).alias("n"))
 
     @F.pandas_udf("double")
     def p_value(t: pd.Series, n: pd.Series) -> pd.Series:
@@ -142,4 +126,6 @@ def split_metrics(df: DataFrame, l0: str, l1: str, label: str, by: list[str]) ->
                   argmax2(l0, l1).alias("_pred"), softmax2(l0, l1).alias("_p1"))
     base = s.groupBy(*by).agg(F.avg("_loss").alias("loss"),
                               F.avg((F.col("_pred") == F.col(label)).cast("double")).alias("accuracy"))
-    return base.join(roc_auc(s, label, "_p1", by), by)
+    auc = roc_auc(s, label, "_p1", by).withColumnsRenamed({b: f"_b{i}" for i, b in enumerate(by)})
+    same = [F.col(b).eqNullSafe(F.col(f"_b{i}")) for i, b in enumerate(by)]
+    return base.join(auc, reduce(and_, same)).drop(*[f"_b{i}" for i in range(len(by))])

@@ -9,6 +9,9 @@ partition) is broadcast, so nothing grows with the data on the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +73,8 @@ def prefix_sums(df: DataFrame, order_cols: list, value_cols: list[str], by: list
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_part", *by, *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0))
                                             .alias(f"_o_{c}") for c in value_cols])
-    out = local.join(offsets, ["_part", *by])
+    named = offsets.withColumnsRenamed({b: f"_b{i}" for i, b in enumerate(["_part", *by])})
+    same = [F.col(b).eqNullSafe(F.col(f"_b{i}")) for i, b in enumerate(["_part", *by])]  # a null key is a key
+    out = local.join(named, reduce(and_, same))
     return out.select(*df.columns, *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"{c}_before")
                                      for c in value_cols])

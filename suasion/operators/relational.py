@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suasion.functions.text import explode_lower_tokens, token_count, word_count
+from suasion.functions.text import lower_tokens, token_count, word_count
+from suasion.operators.skew import key_join
 
 
 # FLT ------------------------------------------------------------------------------
@@ -46,39 +48,42 @@ def keep_frequent_groups(df: DataFrame, ngrams: DataFrame, threshold: int,
                          group_id: str = "group_id", df_key: str | None = None) -> DataFrame:
     kept = groups_over_threshold(ngrams, threshold, group_id)
     key = df_key or group_id
-    return df.join(kept.withColumnRenamed(group_id, key), key, "left_semi")
+    return key_join(df, kept.withColumnRenamed(group_id, key), key, "left_semi")
 
 
 def keep_min_tokens(df: DataFrame, threshold: int, text: str = "message") -> DataFrame:
-    """FLT06 without building the 1-gram table: a group's total 1-gram count is its
-    token count, so the threshold is a per-row predicate (no explode, no shuffle)."""
+    """FLT06 without building the 1-gram table, where every row is its own group: the group's
+    total 1-gram count is the row's token count (no explode, no shuffle)."""
     return df.filter(token_count(text) >= threshold)
 
 
 # JON ------------------------------------------------------------------------------
 def semi(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """JON03: rows whose key is in ``keys``."""
-    return df.join(keys.select(on), on, "left_semi")
+    return key_join(df, keys.select(on).distinct(), on, "left_semi")
 
 
 def anti(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """JON04: rows whose key is not in ``keys``; like pandas ``~isin`` a null key is kept."""
-    k = keys.select(F.col(on).alias("_k")).filter(F.col("_k").isNotNull())
-    return df.join(k, df[on] == k["_k"], "left_anti")
+    return key_join(df, keys.select(on).filter(F.col(on).isNotNull()).distinct(), on, "left_anti")
 
 
 def overlap(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
     """JON06: keys present on both sides (must be empty for a leak-free split)."""
-    return a.select(on).distinct().join(b.select(on), on, "left_semi")
+    return a.select(on).distinct().join(b.select(on).distinct(), on, "left_semi")  # one row per key on both sides
 
 
 def assert_disjoint(a: DataFrame, b: DataFrame, on: str) -> None:
     if overlap(a, b, on).limit(1).count() > 0:
-        raise AssertionError("Overlap detected!")
+        raise AssertionError(f"some values of {on} are on both sides")
 
 
-def with_outcome(features: DataFrame, outcomes: DataFrame, group_id: str = "group_id") -> DataFrame:
-    """JON05: feature rows joined to the outcome table by group id."""
+def with_outcome(features: DataFrame | dict[str, DataFrame], outcomes: DataFrame, group_id: str = "group_id") -> DataFrame:
+    """JON05: feature rows of one table, or of several named ones (names become prefixes), joined to
+    the outcome table by group id."""
+    if isinstance(features, dict):
+        from suasion.operators.features import combine_feature_tables
+        features = combine_feature_tables(features)
     return features.join(outcomes, group_id)
 
 
@@ -110,24 +115,38 @@ def class_counts(df: DataFrame, group: str, label: str) -> DataFrame:
 
 
 def pivot_mean(df: DataFrame, values: list[str], group_id="group_id", feat="feat", value="value") -> DataFrame:
-    """AGG07 for a small, known feature list: duplicate cells are averaged."""
+    """AGG07: duplicate cells are averaged; ``values`` become columns, so they are few."""
+    from suasion.operators.shape import MAX_DENSE
+    if len(values) > MAX_DENSE:
+        raise ValueError(f"more than {MAX_DENSE} features to pivot")
     return df.groupBy(group_id).pivot(feat, values).agg(F.avg(value))
 
 
+def _row_counts():
+    """Arrow function: tokens of a row → its distinct tokens with their counts."""
+    from collections import Counter
+
+    @F.pandas_udf("array<struct<feat:string,n:long>>")
+    def count(tokens: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [{"feat": f, "n": n} for f, n in Counter(t.tolist()).items()] for t in tokens])
+    return count
+
+
 def ngram_counts(df: DataFrame, text: str = "message", group_id: str = "message_id") -> DataFrame:
     """AGG08: 1-gram feature table — value = count, group_norm = count / group total.
 
-    One partial aggregate on (group, token).  The group total is the message's token
-    count (``token_count``, one regex scan per row), carried into that aggregate as
-    ``max`` — no second aggregation and no join back.
+    Tokens are counted inside their row.  Where every group is one row (checked on the ids
+    alone) that is the table and no token is shuffled; else the row counts of a group are
+    added up, and its total by a second small aggregate.
     """
-    # the total is projected *below* the explode: an expression next to a generator
-    # would be evaluated per output token, dragging the whole text along
-    per_row = df.select(F.col(group_id).alias("group_id"), F.col(text).alias("_text"),
-                        token_count(text).alias("_tot"))
-    toks = (per_row.select("group_id", "_tot", explode_lower_tokens("_text").alias("feat"))
-            .filter(F.col("feat") != ""))
-    counts = toks.groupBy("group_id", "feat").agg(F.count(F.lit(1)).alias("_n"), F.max("_tot").alias("_tot"))
+    rows = df.select(F.col(group_id).alias("group_id"), token_count(text).alias("_tot"), lower_tokens(text).alias("_t"))
+    repeated = df.groupBy(group_id).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).limit(1).count() > 0
+    counts = (rows.select("group_id", "_tot", F.explode(_row_counts()("_t")).alias("_c"))
+              .select("group_id", "_tot", F.col("_c.feat").alias("feat"), F.col("_c.n").alias("_n")))
+    if repeated:
+        totals = rows.groupBy("group_id").agg(F.sum("_tot").alias("_tot")).withColumnRenamed("group_id", "_g")
+        counts = (counts.groupBy("group_id", "feat").agg(F.sum("_n").alias("_n"))
+                  .join(totals, F.col("group_id").eqNullSafe(F.col("_g"))))
     return counts.select("group_id", "feat", F.col("_n").cast("double").alias("value"),
                          (F.col("_n") / F.col("_tot")).alias("group_norm"))
 

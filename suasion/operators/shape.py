@@ -6,11 +6,13 @@ Dense vectors stay ``array<double>`` in one row per group; the long
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from suasion.functions.text import assemble_text
 from suasion.operators.numbering import global_index
+from suasion.operators.skew import key_join
 
 # Default column names of the message table (D3) and feature table (D4).
 MESSAGE_COLUMNS = ("message_id", "message", "claim_id", "claim", "persuaded", "folds_col",
@@ -78,7 +80,7 @@ def add_prompt_ids(df: DataFrame, prompt: str = "prompt", id_col: str = "prompt_
     distinct = df.select(prompt).distinct()
     numbered, n = global_index(distinct, [F.col(prompt).asc_nulls_first()], "_k", return_total=True)
     ids = numbered.select(prompt, _padded(prefix, "_k", n).alias(id_col))
-    return df.join(ids, df[prompt].eqNullSafe(ids[prompt]), "left").drop(ids[prompt])
+    return key_join(df, ids, prompt, null_safe=True)
 
 
 def add_row_ids(df: DataFrame, order: list[str], id_col: str = "message_id",
@@ -147,7 +149,7 @@ def duplicate_cells(df: DataFrame, group_id="group_id", feat="feat") -> DataFram
 
 def assert_unique_cells(df: DataFrame, group_id="group_id", feat="feat") -> DataFrame:
     if duplicate_cells(df, group_id, feat).limit(1).count() > 0:
-        raise ValueError("Index contains duplicate entries, cannot reshape")
+        raise ValueError(f"some ({group_id}, {feat}) cells occur more than once")
     return df
 
 
@@ -164,27 +166,45 @@ def feature_dictionary(df: DataFrame, feat: str = "feat") -> DataFrame:
     return global_index(df.select(feat).distinct(), [F.col(feat)], "feat_idx")
 
 
+MAX_DENSE = 1 << 14  # features a dense vector may have; a vocabulary of 1-grams stays long
+
+
+def scatter(cells: DataFrame, width: int, group_id: str = "group_id") -> DataFrame:
+    """(group, feat_idx, value) cells → (group, features): one dense vector per group, 0 elsewhere.
+
+    A group's cells are at most one vector (``width`` of them); the vectors of an Arrow batch are
+    filled by one array assignment.
+    """
+    import numpy as np
+    if width > MAX_DENSE:
+        raise ValueError(f"{width} features are too many for dense vectors (at most {MAX_DENSE})")
+
+    @F.pandas_udf("array<double>")
+    def fill(idx: pd.Series, values: pd.Series) -> pd.Series:
+        out = np.zeros((len(idx), width))
+        lens = [len(i) for i in idx]
+        if sum(lens):
+            out[np.repeat(np.arange(len(idx)), lens), np.concatenate(idx.tolist())] = np.concatenate(values.tolist())
+        return pd.Series(list(out))
+    per_group = cells.groupBy(group_id).agg(F.collect_list(F.struct("feat_idx", "value")).alias("_c"))
+    return per_group.select(group_id, fill(F.col("_c.feat_idx"), F.col("_c.value")).alias("features"))
+
+
 def long_to_dense(df: DataFrame, dictionary: DataFrame | None = None, group_id: str = "group_id",
                   feat: str = "feat", value: str = "value") -> tuple[DataFrame, DataFrame]:
     """Long → one dense ``array<double>`` per group in dictionary order; missing cells = 0.
 
-    Duplicate (group, feat) cells are averaged first (pivot_table semantics, T22).
-    The dictionary is joined (AQE broadcasts it when its measured size is small);
-    the array is assembled per group by ``aggregate`` over (idx, value) structs, so a
-    group's row holds exactly one vector, never more.
+    Duplicate (group, feat) cells are averaged first (pivot_table semantics, T22).  The
+    dictionary is joined by ``key_join`` (broadcast up to its measured size), so the long side
+    is shuffled by group only.
     """
     if dictionary is None:
         dictionary = feature_dictionary(df, feat)
-    n_feats = dictionary.count()  # the feature vocabulary size
-    cells = (df.groupBy(group_id, feat).agg(F.avg(value).alias("_v"))
-             .join(dictionary, feat))
-    per_group = cells.groupBy(group_id).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("feat_idx"), F.col("_v")))).alias("_m"))
-    dense = per_group.select(
-        F.col(group_id),
-        F.transform(F.sequence(F.lit(0), F.lit(n_feats - 1)),
-                    lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0))).alias("features"))
-    return dense, dictionary
+    n_feats = dictionary.count()
+    indexed = key_join(df.select(group_id, feat, value), dictionary.select(feat, "feat_idx"), feat, "inner")
+    cells = indexed.groupBy(group_id, "feat_idx").agg(F.avg(value).alias("value")).select(
+        group_id, "feat_idx", F.coalesce("value", F.lit(0.0)).alias("value"))
+    return scatter(cells, n_feats, group_id), dictionary
 
 
 # SET02 / SET03 ----------------------------------------------------------------------

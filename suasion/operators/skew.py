@@ -1,11 +1,10 @@
-"""Hot-key handling for the join from a per-group table back to the rows.
-
-A group may hold a third of all rows.  Joining its rows to a one-row-per-group
-table would put all of them in one task, so the rows of *hot* groups are spread
-over ``salts`` sub-keys and their (single) group row is replicated to every
-sub-key.  Hot groups are those above ``total / partitions`` rows — by construction
-there are at most ``partitions`` of them, a size bound that lets the key list
-travel as a literal.  Cold groups keep sub-key 0, so nothing else is replicated.
+"""Joins from rows to a table with one row per key, where one key may hold most rows.
+
+The per-key table is materialised and measured.  Up to ``BROADCAST_BYTES`` it is
+broadcast: the rows are not shuffled, so a hot key does not matter.  Beyond that the rows
+of a key with more than ``total / partitions`` rows are spread over as many sub-keys as it
+fills partitions, ``ceil(n * partitions / total)``, and its one row is copied to each.
+There are fewer than ``partitions`` such keys, so the key → salts map travels as a literal.
 """
 
 from __future__ import annotations
@@ -13,32 +12,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def hot_keys(sizes: DataFrame, key: str, n_col: str = "n", partitions: int | None = None) -> list:
-    """Keys whose row count exceeds ``total / partitions`` (at most ``partitions`` keys).
-
-    Runs two small jobs over ``sizes``; pass a materialised (checkpointed) table so
-    they do not recompute it from the source."""
-    spark = sizes.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = sizes.agg(F.sum(n_col), F.max(n_col)).first()
-    total, largest = (r[0] or 0), (r[1] or 0)
-    bound = max(total // max(parts, 1), 1)
-    if largest <= bound:  # the common case: no hot key, one job
-        return []
-    return [x[0] for x in sizes.filter(F.col(n_col) > bound).select(key).collect()]
-
-
-def salted_join(rows: DataFrame, per_group: DataFrame, key: str, hot: list, salts: int = 32,
-                how: str = "left") -> DataFrame:
-    """``rows`` joined to ``per_group`` on ``key`` with hot keys split over ``salts`` sub-keys."""
-    if not hot:
-        return rows.join(per_group, key, how)
-    is_hot = F.col(key).isin(hot)
-    # row-level sub-key from the row's own content (deterministic, spreads the hot group)
-    hashable = [F.col(n) for n, t in rows.dtypes if not t.startswith("map")] or [F.col(key)]
-    salted_rows = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*hashable), F.lit(salts)))
-                                  .otherwise(F.lit(0)))
-    salted_groups = per_group.withColumn(
-        "_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return salted_rows.join(salted_groups, [key, "_salt"], how).drop("_salt")
+from suasion.session import checkpointed
+
+BROADCAST_BYTES = 16 << 20
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether a materialised table's rows, written as JSON, stay under ``BROADCAST_BYTES``."""
+    n = df.count()
+    if n * 8 * len(df.columns) > BROADCAST_BYTES:
+        return False
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))).first()[0]
+    return (size or 0) <= BROADCAST_BYTES
+
+
+def salts_by_key(rows: DataFrame, key: str) -> dict:
+    """``key → number of sub-keys`` of the keys above ``total / partitions`` rows (null has none)."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sizes = checkpointed(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = sizes.filter(F.col(key).isNotNull() & (F.col("n") * parts > total)).select(key, "n").collect()
+    return {r[0]: -(-r[1] * parts // total) for r in hot}
+
+
+def key_join(rows: DataFrame, per_key: DataFrame, key: str, how: str = "left", null_safe: bool = False) -> DataFrame:
+    """``rows`` joined (left, inner, left_semi, left_anti) to ``per_key``, whose ``key`` is distinct."""
+    per_key = checkpointed(per_key.withColumnRenamed(key, "_key"))
+    same = F.col(key).eqNullSafe(F.col("_key")) if null_safe else F.col(key) == F.col("_key")
+    if fits_broadcast(per_key):
+        return rows.join(F.broadcast(per_key), same, how).drop("_key")
+    salts = salts_by_key(rows, key)
+    if not salts:
+        return rows.join(per_key, same, how).drop("_key")
+    of = F.create_map(*[F.lit(x) for kv in salts.items() for x in kv])
+    content = [F.col(n) for n, t in rows.dtypes if not t.startswith("map")]
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*content), F.coalesce(of[F.col(key)], F.lit(1))))
+    copies = F.sequence(F.lit(0), F.coalesce(of[F.col("_key")], F.lit(1)) - 1)
+    spread = per_key.withColumn("_copy", F.explode(copies))
+    return salted.join(spread, same & (F.col("_salt") == F.col("_copy")), how).drop("_key", "_salt", "_copy")

@@ -5,7 +5,7 @@ folds or splits, every row is assigned, the result is a pure function of the dat
 and the seed (independent of partitioning), fold sizes differ by at most the
 largest group.  Randomness is ``md5('<seed>:<group>')``; group order is computed by
 ``global_index`` (no one-partition window) on the per-group table, and rows get
-their fold through a join on the group key (AQE handles a hot group).
+their fold through ``key_join``, which splits a hot group.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from suasion.operators.numbering import global_index
-from suasion.operators.skew import hot_keys, salted_join
+from suasion.operators.skew import key_join
 from suasion.session import checkpointed
 
 
@@ -29,11 +29,6 @@ def _groups(df: DataFrame, group: str, label: str | None) -> DataFrame:
     return df.groupBy(group).agg(*aggs)
 
 
-def _join_back(df: DataFrame, assigned: DataFrame, group: str, groups: DataFrame) -> DataFrame:
-    """Per-group assignment → rows, with hot groups split over salted sub-keys."""
-    return salted_join(df, assigned, group, hot_keys(groups, group))
-
-
 def _deal(groups: DataFrame, order: list, k: int, fold_col: str) -> DataFrame:
     ranked = global_index(groups, order, "_rank")
     return ranked.select(*groups.columns, (F.col("_rank") % k).cast("int").alias(fold_col))
@@ -47,42 +42,44 @@ def stratified_group_kfold(df: DataFrame, group: str, label: str, k: int = 5, se
     # the reference raises when every class has fewer than k members
     cls = df.agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.count(F.lit(1)).alias("t")).first()
     if cls["t"] and max(cls["p"] or 0, cls["t"] - (cls["p"] or 0)) < k:
-        raise ValueError(f"n_splits={k} cannot be greater than the number of members in each class")
-    groups = checkpointed(groups)  # read by the dealing and by the hot-key check
+        raise ValueError(f"{k} folds need a class with at least {k} rows")
     order = [F.desc("n"), F.desc("n1"), group_hash(group, seed).asc(), F.col(group).asc()]
     folds = _deal(groups, order, k, fold_col).select(group, fold_col)
-    return _join_back(df, folds, group, groups)
+    return key_join(df, folds, group)
 
 
 # SPL04 ----------------------------------------------------------------------------
 def group_kfold(df: DataFrame, group: str, k: int = 5, seed: int = 42, fold_col: str = "folds_col") -> DataFrame:
     """Size-balanced group folds: deal in (size desc, seeded hash) order."""
-    groups = checkpointed(_groups(df, group, None).filter(F.col(group).isNotNull()))
+    groups = _groups(df, group, None).filter(F.col(group).isNotNull())
     order = [F.desc("n"), group_hash(group, seed).asc(), F.col(group).asc()]
     folds = _deal(groups, order, k, fold_col).select(group, fold_col)
-    return _join_back(df, folds, group, groups)
+    return key_join(df, folds, group)
 
 
 # SPL02 ----------------------------------------------------------------------------
 def best_fold(df: DataFrame, fold_col: str = "fold", k: int = 5) -> DataFrame:
-    """Fold whose size is nearest ``n // k`` (first fold on ties): one row (fold, size, diff)."""
+    """Fold whose size is nearest ``n // k`` (first fold on ties): one row (fold, size, diff).
+    Rows without a fold (a null group) count in n but are no candidate."""
     sizes = df.groupBy(fold_col).agg(F.count(F.lit(1)).alias("size"))
     # the size table has one row per fold (k rows): its total is a window over k rows
     total = F.sum("size").over(Window.partitionBy())
     d = sizes.select(fold_col, "size", F.abs(F.col("size") - F.floor(total / k)).cast("bigint").alias("diff"))
-    b = d.agg(F.min(F.struct("diff", fold_col, "size")).alias("_b"))
+    b = d.filter(F.col(fold_col).isNotNull()).agg(F.min(F.struct("diff", fold_col, "size")).alias("_b"))
     return b.select(F.col("_b." + fold_col).alias(fold_col), F.col("_b.size").alias("size"),
                     F.col("_b.diff").alias("diff"))
 
 
 def best_fold_split(df: DataFrame, group: str, label: str, k: int = 5, seed: int = 42,
                     folds_col: str = "folds_col") -> DataFrame:
-    """SPL01 → SPL02 → SPL03: best fold is the test split, the rest is re-folded."""
+    """SPL01 → SPL02 → SPL03: best fold is the test split, the rest is re-folded.  Rows with a null
+    group are train rows without a fold."""
     f = stratified_group_kfold(df, group, label, k, seed, "_fold")
     f = checkpointed(f)  # folds are read by the size count and by both halves
     best = best_fold(f, "_fold", k).first()["_fold"]
-    test = f.filter(F.col("_fold") == best).drop("_fold")
-    train = f.filter(F.col("_fold") != best).drop("_fold")
+    in_test = F.coalesce(F.col("_fold") == best, F.lit(False))
+    test = f.filter(in_test).drop("_fold")
+    train = f.filter(~in_test).drop("_fold")
     train = stratified_group_kfold(train, group, label, k, seed, folds_col)
     return (train.withColumn("split", F.lit("train"))
             .unionByName(test.withColumn(folds_col, F.lit(None).cast("int")).withColumn("split", F.lit("test"))))
@@ -92,11 +89,11 @@ def best_fold_split(df: DataFrame, group: str, label: str, k: int = 5, seed: int
 def group_holdout(df: DataFrame, group: str, fraction_tenths: int = 2, seed: int = 42,
                   flag: str = "held_out") -> DataFrame:
     """``int(0.2·G)`` groups, chosen as the first in seeded hash order (exact size)."""
-    groups = checkpointed(_groups(df, group, None).filter(F.col(group).isNotNull()))
-    ranked, g = global_index(groups.select(group), [group_hash(group, seed).asc(), F.col(group).asc()], "_rank",
+    groups = df.select(group).filter(F.col(group).isNotNull()).distinct()
+    ranked, g = global_index(groups, [group_hash(group, seed).asc(), F.col(group).asc()], "_rank",
                              return_total=True)
     chosen = ranked.select(group, (F.col("_rank") < (g * fraction_tenths) // 10).alias(flag))
-    return _join_back(df, chosen, group, groups).withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    return key_join(df, chosen, group).withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
 # SPL06 ----------------------------------------------------------------------------
@@ -111,7 +108,7 @@ def three_way_split(df: DataFrame, group: str, seed: int = 42, train_tenths: int
     lab = (F.when(F.col("_rank") < ntr, "train").when(F.col("_rank") < ntr + nva, "validation")
            .otherwise("test"))
     assigned = ranked.select(group, lab.alias(split_col))
-    return df.join(assigned, df[group].eqNullSafe(assigned[group]), "left").drop(assigned[group])
+    return key_join(df, assigned, group, null_safe=True)
 
 
 # SPL07 ----------------------------------------------------------------------------
@@ -139,8 +136,8 @@ def fold_split(df: DataFrame, fold: int, folds_col: str = "folds_col") -> tuple[
     return df.filter(F.col(folds_col) != fold), df.filter(F.col(folds_col) == fold)
 
 
-def fold_roles(df: DataFrame, k: int = 5, folds_col: str = "folds_col") -> DataFrame:
-    """Every row once per fold with its role there (train / validation), in one pass."""
-    return (df.filter(F.col(folds_col).isNotNull())
-            .withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-            .withColumn("role", F.when(F.col(folds_col) == F.col("fold"), "validation").otherwise("train")))
+def fold_counts(df: DataFrame, folds_col: str = "folds_col") -> DataFrame:
+    """Train and validation rows of every fold, from one count per fold (rows are not copied per fold)."""
+    sizes = df.filter(F.col(folds_col).isNotNull()).groupBy(folds_col).agg(F.count(F.lit(1)).alias("n_validation"))
+    total = F.sum("n_validation").over(Window.partitionBy())  # over k rows
+    return sizes.select(F.col(folds_col).alias("fold"), (total - F.col("n_validation")).alias("n_train"), "n_validation")
