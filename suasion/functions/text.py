@@ -16,9 +16,12 @@ WS_PATTERN = "[ \\t\\n\\r\\f\\x0B]+"
 SENTENCE_END = "([.!?])[ \\t\\n\\r\\f\\x0B]+"
 SENT_SEP = "\u0001"
 WORD = "[^ \\t\\n\\r\\f\\x0B]+"
-KEPT_TOKEN = "[^ \\t\\n\\r\\f\\x0B]*[^ \\t\\n\\r\\f\\x0B\\p{Punct}][^ \\t\\n\\r\\f\\x0B]*"
-# punctuation run at a token edge (preceded / followed by blank or text boundary)
-EDGE_PUNCT = "(?<![^ \\t\\n\\r\\f\\x0B])\\p{Punct}+|\\p{Punct}+(?![^ \\t\\n\\r\\f\\x0B])"
+# a token with a character that isn't punctuation; the leading run is possessive, so a long
+# punctuation run is read once
+KEPT_TOKEN = "(?<![^ \\t\\n\\r\\f\\x0B])\\p{Punct}*+[^ \\t\\n\\r\\f\\x0B][^ \\t\\n\\r\\f\\x0B]*+"
+# punctuation run at a token edge: from the token's start, or up to its end (tried only where a run begins)
+EDGE_PUNCT = ("(?<![^ \\t\\n\\r\\f\\x0B])\\p{Punct}++"
+              "|(?<!\\p{Punct})\\p{Punct}++(?![^ \\t\\n\\r\\f\\x0B])")
 
 
 def _c(x) -> Column:
@@ -52,12 +55,6 @@ def lower_tokens(text) -> Column:
     return tokens(stripped)
 
 
-def explode_lower_tokens(text) -> Column:
-    """Generator form of ``lower_tokens`` for ``select``: explode the raw split and let the
-    caller drop empty strings with a row filter (codegen'd, no per-token lambda)."""
-    return F.explode(F.split(F.regexp_replace(F.lower(_c(text)), EDGE_PUNCT, ""), WS_PATTERN))
-
-
 def sentences(text) -> Column:
     """TXT03: split after . ! ? followed by blanks; punctuation stays."""
     marked = F.regexp_replace(_c(text), SENTENCE_END, "$1" + SENT_SEP)

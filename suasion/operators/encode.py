@@ -2,11 +2,13 @@
 
 The pretrained networks of the reference are not reachable offline; what is
 owed is the *job*: encode a text column once, keyed by id, into a fixed-width
-vector, and persist it.  Two offline families are native Spark expressions:
+vector, and persist it.  Two offline families:
 
 * content — hashed bag of 1-gram tokens (L2-normalised counts per bucket);
 * style   — hashed character 3-grams plus punctuation rate and mean word length.
 
+Both work row by row (native tokens, one numpy histogram per Arrow batch): no shuffle.
+
 A real encoder plugs in through ``encode_with``: a ``mapInPandas`` that loads the
 model once per task and encodes Arrow batches.
 """
@@ -19,18 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suasion.functions.text import explode_lower_tokens, sentences, tokens
-
-
-def _dense_from_buckets(counts: DataFrame, dim: int, group_id: str) -> DataFrame:
-    """(group, bucket, n) → L2-normalised dense vector; one group = one row of ``dim`` cells."""
-    per = counts.groupBy(group_id).agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("_m"))
-    raw = per.select(group_id, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                           lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0))).alias("_v"))
-    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
-    return raw.select(group_id, F.transform("_v", lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
-                      .alias("features"))
+from suasion.functions.text import lower_tokens, sentences, word_count
 
 
 def token_bucket(tok, dim: int, hashing: str = "xxhash64"):
@@ -43,61 +34,63 @@ def token_bucket(tok, dim: int, hashing: str = "xxhash64"):
     raise ValueError(f"unknown hashing {hashing!r}")
 
 
-def content_vectors(df: DataFrame, text: str, group_id: str, dim: int = 64, hashing: str = "xxhash64") -> DataFrame:
-    toks = df.select(group_id, explode_lower_tokens(text).alias("_t")).filter(F.col("_t") != "")
-    counts = (toks.groupBy(group_id, token_bucket(F.col("_t"), dim, hashing).alias("bucket"))
-              .agg(F.count(F.lit(1)).cast("double").alias("n")))
-    return _dense_from_buckets(counts, dim, group_id)
-
-
-def _trigram_histogram(dim: int):
-    """Arrow-batched UDF: hashed character 3-gram counts, L2-normalised (numpy per text)."""
+def _unit_histogram(dim: int):
+    """Arrow function: buckets of a row → L2-normalised counts, one bincount per batch."""
     import numpy as np
 
     @F.pandas_udf("array<double>")
-    def hist(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            if t is None:
-                out.append(None)
-                continue
-            a = np.frombuffer(t.lower().encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-            if len(a) < 3:
-                out.append([0.0] * dim)
-                continue
-            h = (a[:-2] * np.uint64(1000003) + a[1:-1] * np.uint64(10007) + a[2:]) % np.uint64(dim)
-            c = np.bincount(h.astype(np.int64), minlength=dim).astype("float64")
-            n = np.sqrt((c * c).sum())
-            out.append((c / n if n > 0 else c).tolist())
-        return pd.Series(out)
-
-    return hist
-
-
-def style_vectors(df: DataFrame, text: str, group_id: str, dim: int = 64) -> DataFrame:
-    n_chars = F.greatest(F.length(F.col(text)), F.lit(1))
-    toks = tokens(text)
-    punct = F.length(F.regexp_replace(F.col(text), "[^\\p{Punct}]", "")) / n_chars
-    wlen = F.aggregate(F.transform(toks, lambda w: F.length(w)), F.lit(0), lambda a, x: a + x) / \
-        F.greatest(F.size(toks), F.lit(1))
-    return df.select(group_id, F.concat(_trigram_histogram(dim - 2)(F.col(text)),
-                                        F.array(punct.cast("double"), (wlen / 10.0).cast("double")))
-                     .alias("features"))
-
-
-def encode(df: DataFrame, text: str = "message", group_id: str = "message_id", family: str = "content",
+    def histogram(buckets: pd.Series) -> pd.Series:
+        lens = np.array([0 if b is None else len(b) for b in buckets], dtype=np.int64)
+        rows = np.repeat(np.arange(len(lens)), lens)
+        flat = np.concatenate([b for b in buckets if b is not None]) if lens.sum() else np.zeros(0, np.int64)
+        counts = np.bincount(rows * dim + flat.astype(np.int64), minlength=len(lens) * dim).reshape(len(lens), dim).astype("float64")
+        norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        return pd.Series(list(counts / np.where(norm > 0, norm, 1.0)))
+    return histogram
+
+
+def _trigram_buckets(dim: int):
+    """Arrow function: hashed code-point 3-grams of each text, computed on the batch's texts end to end."""
+    import numpy as np
+
+    @F.pandas_udf("array<int>")
+    def buckets(texts: pd.Series) -> pd.Series:
+        lens = np.array([len(t) for t in texts], dtype=np.int64)
+        a = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        h = ((a[:-2] * np.uint64(1000003) + a[1:-1] * np.uint64(10007) + a[2:]) % np.uint64(dim)).astype(np.int32)
+        start = np.cumsum(lens) - lens
+        return pd.Series([h[s:s + max(n - 2, 0)] for s, n in zip(start, lens)])
+    return buckets
+
+
+def content_column(text: str, dim: int = 64, hashing: str = "xxhash64"):
+    """Hashed 1-gram counts of a text column, per row."""
+    return _unit_histogram(dim)(F.transform(lower_tokens(text), lambda t: token_bucket(t, dim, hashing)))
+
+
+def style_column(text: str, dim: int = 64):
+    """Hashed character 3-grams (dim - 2 buckets), punctuation rate, mean word length / 10."""
+    t = F.col(text)
+    punct = F.length(F.regexp_replace(t, "[^\\p{Punct}]", "")) / F.greatest(F.length(t), F.lit(1))
+    letters = F.length(F.regexp_replace(t, "[ \\t\\n\\r\\f\\x0B]+", ""))
+    wlen = letters / F.greatest(word_count(text), F.lit(1)) / 10.0
+    grams = _unit_histogram(dim - 2)(_trigram_buckets(dim - 2)(F.lower(F.coalesce(t, F.lit("")))))
+    return F.concat(grams, F.array(punct.cast("double"), wlen.cast("double")))
+
+
+def encode(df: DataFrame, text: str = "message", group_id: str | list[str] = "message_id", family: str = "content",
            dim: int = 64, hashing: str = "xxhash64") -> DataFrame:
-    """ENC01: ``(group_id, features array<double>)``; a null text encodes to zeros."""
-    if family not in ("content", "style"):
-        raise ValueError(f"unknown encoder family {family!r}")
-    src = df.filter(F.col(text).isNotNull())
+    """ENC01: ``(group_id, features array<double>)``, one row per input row, without a shuffle; a
+    null text encodes to zeros."""
     if family == "content":
-        vec = content_vectors(src, text, group_id, dim, hashing)
+        vec = content_column(text, dim, hashing)
+    elif family == "style":
+        vec = style_column(text, dim)
     else:
-        vec = style_vectors(src, text, group_id, dim)
+        raise ValueError(f"unknown encoder family {family!r}")
+    keys = [group_id] if isinstance(group_id, str) else group_id
     zeros = F.array_repeat(F.lit(0.0), dim)
-    return (df.select(group_id).distinct().join(vec, group_id, "left")
-            .select(group_id, F.coalesce("features", zeros).alias("features")))
+    return df.select(*keys, F.when(F.col(text).isNotNull(), vec).otherwise(zeros).alias("features"))
 
 
 def encode_with(df: DataFrame, text: str, group_id: str, load_encoder: Callable, dim: int) -> DataFrame:
@@ -122,9 +115,8 @@ def sentence_vectors(df: DataFrame, text: str = "message", group_id: str = "mess
     """ENC02: encode every sentence (kept at ``group_id:idx``) and average them per message."""
     sents = df.select(group_id, F.posexplode(sentences(text)).alias("sent_idx", "sentence"))
     sents = sents.withColumn("sent_id", F.concat(F.col(group_id), F.lit(":"), F.col("sent_idx").cast("string")))
-    sv = encode(sents, "sentence", "sent_id", family, dim)
-    keyed = sv.join(sents.select("sent_id", group_id), "sent_id")
-    return sv, average_vectors(keyed, group_id, "features")
+    sv = encode(sents, "sentence", [group_id, "sent_id"], family, dim)  # the message id stays on the row
+    return sv.select("sent_id", "features"), average_vectors(sv, group_id, "features")
 
 
 def average_vectors(df: DataFrame, group_id: str, features: str = "features") -> DataFrame:

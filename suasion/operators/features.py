@@ -1,8 +1,7 @@
 """Feature statistics and transforms (AGG01, FEA01-11).
 
-Stats tables have one row per feature; they are joined, never windowed over a
-feature (a hot feature would otherwise sit in one task).  AQE turns the join
-into a broadcast when the measured stats size is under its threshold.
+Stats tables have one row per feature and are joined by ``key_join``: broadcast up to a
+measured size, so the long rows are not shuffled by feature; salted beyond it.
 """
 
 from __future__ import annotations
@@ -10,13 +9,24 @@ from __future__ import annotations
 import hashlib
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suasion.operators.shape import long_to_dense, vector_to_long
-from suasion.operators.skew import hot_keys, salted_join
+from suasion.operators.shape import feature_dictionary, long_to_dense, scatter, vector_to_long
+from suasion.operators.skew import key_join
 from suasion.session import checkpointed
 
+# The six feature sets, each one to four feature tables.
+FEATURE_SETS = {
+    "style": ["message_style"],
+    "content": ["message_content"],
+    "style+content": ["message_style", "message_content"],
+    "style+claims": ["message_style", "claim_style"],
+    "content+claims": ["message_content", "claim_content"],
+    "style+content+claims": ["message_style", "message_content", "claim_style", "claim_content"],
+}
+
 
 # AGG01 / FEA03 ------------------------------------------------------------------
 def feature_stats(df: DataFrame, feat: str = "feat", value: str = "value") -> DataFrame:
@@ -31,13 +41,7 @@ def apply_zscore(df: DataFrame, stats: DataFrame, feat: str = "feat", value: str
     """``(v - mean) / NULLIF(stddev, 0)``; rows whose feature has no stats drop out (inner join)."""
     z = (F.col(value) - F.col("mean")) / F.nullif(F.col("stddev"), F.lit(0.0))
     cols = [c for c in df.columns if c not in (value, group_norm)]
-    if "n" in stats.columns:
-        # a feature present in a third of all rows (a frequent 1-gram) is split over salts;
-        # the stats (one row per feature) are materialised once for the check and the join
-        stats = checkpointed(stats)
-        joined = salted_join(df, stats.select(feat, "mean", "stddev"), feat, hot_keys(stats, feat), how="inner")
-    else:
-        joined = df.join(stats.select(feat, "mean", "stddev"), feat)
+    joined = key_join(df, stats.select(feat, "mean", "stddev"), feat, "inner")
     return joined.select(*cols, z.alias(value), z.alias(group_norm))
 
 
@@ -52,63 +56,49 @@ def zscore_dense_form(df: DataFrame, group_id: str = "group_id", feat: str = "fe
     """Pivot semantics: stats over present non-NaN cells; every (group, feat) gets a row;
     missing cells, NaN and constant features become 0.
 
-    The full grid is produced by exploding one dense vector per group (RSH05), so
-    there is no cross join and no group is ever larger than one vector.
+    The full grid is one dense z-scored vector per group, exploded: no cross join, and the
+    long side is shuffled by group only.
     """
-    present = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
-    stats = feature_stats(present, feat, value)
-    marked = df.select(group_id, feat, F.when(~F.isnan(F.col(value)), F.col(value)).alias(value))
-    from suasion.operators.shape import feature_dictionary
-    dictionary = feature_dictionary(df.select(feat), feat)
-    cells = marked.join(dictionary, feat)
-    per_group = cells.groupBy(group_id).agg(
-        F.map_from_entries(F.collect_list(F.struct("feat_idx", value))).alias("_m"))
-    n = dictionary.count()  # the feature vocabulary size
-    grid = (per_group
-            .select(group_id, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
-                                                       lambda i: F.col("_m")[i])).alias("feat_idx", "_v")))
-    z = (F.col("_v") - F.col("mean")) / F.nullif(F.col("stddev"), F.lit(0.0))
-    out = (grid.join(dictionary, "feat_idx").join(stats, feat, "left")
-           .select(group_id, feat, F.coalesce(z, F.lit(0.0)).alias("value")))
-    return out.withColumn("group_norm", F.col("value"))
+    dense, dictionary = zscore_dense_vectors(df, group_id, feat, value)
+    cells = dense.select(group_id, F.posexplode("features").alias("feat_idx", "value"))
+    names = dictionary.select(F.col("feat_idx").cast("int").alias("feat_idx"), feat)
+    return key_join(cells, names, "feat_idx", "inner").select(group_id, feat, "value", F.col("value").alias("group_norm"))
 
 
 # FEA04 -----------------------------------------------------------------------------
 def zscore_dense_vectors(df: DataFrame, group_id: str = "group_id", feat: str = "feat",
                          value: str = "value") -> tuple[DataFrame, DataFrame]:
-    """FEA02 straight to one dense z-scored vector per group (missing / NaN / constant → 0),
-    plus the feature dictionary — the input PCA wants, without a long round trip."""
-    from suasion.operators.shape import feature_dictionary
-    present = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
+    """One dense z-scored vector per group (missing / NaN / constant → 0), plus the feature
+    dictionary.  Stats and positions reach the cells by one size-checked join."""
     dictionary = feature_dictionary(df.select(feat), feat)
-    stats = dictionary.join(feature_stats(present, feat, value), feat, "left")  # one row per feature
-    z = (F.col(value) - F.col("mean")) / F.nullif(F.col("stddev"), F.lit(0.0))
-    cells = (present.select(group_id, feat, value).join(stats, feat)
-             .select(group_id, "feat_idx", F.coalesce(z, F.lit(0.0)).alias("_z")))
-    n = dictionary.count()  # the feature vocabulary size
-    per_group = df.select(group_id).distinct().join(
-        cells.groupBy(group_id).agg(F.map_from_entries(F.collect_list(F.struct("feat_idx", "_z"))).alias("_m")),
-        group_id, "left")
-    dense = per_group.select(
-        group_id, F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
-                              lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0))).alias("features"))
-    return dense, dictionary
+    there = F.when(~F.isnan(F.col(value)), F.col(value))
+    stats = feature_stats(df.select(feat, there.alias("_v")).filter(F.col("_v").isNotNull()), feat, "_v")
+    known = dictionary.join(stats.withColumnRenamed(feat, "_f"), F.col(feat) == F.col("_f"), "left").select(
+        feat, "feat_idx", "mean", "stddev")  # one row per feature
+    z = (there - F.col("mean")) / F.nullif(F.col("stddev"), F.lit(0.0))
+    cells = key_join(df.select(group_id, feat, value), known, feat, "inner").select(
+        group_id, "feat_idx", F.coalesce(z, F.lit(0.0)).alias("value"))
+    return scatter(cells, dictionary.count(), group_id), dictionary
 
 
 def pca_vectors(dense: DataFrame, n_components: int = 3, group_id: str = "group_id",
                 features: str = "features", prefix: str = "dim_feat_") -> DataFrame:
-    """PCA of dense vectors → long table with ``n_components`` features.
+    """PCA of dense vectors → long table with ``n_components`` features."""
+    return vector_to_long(pca_dense(dense, n_components, group_id, features), group_id=group_id, prefix=prefix)
+
+
+def pca_dense(dense: DataFrame, n_components: int = 3, group_id: str = "group_id", features: str = "features") -> DataFrame:
+    """PCA of dense vectors: (group, features) with ``n_components`` values.
 
     Data are centred before projecting (T6), each component is sign-fixed so its
     largest-magnitude loading is positive, values are rounded half-to-even to 8
     places.  Only the d×k loading matrix reaches the driver.
     """
-    from pyspark import StorageLevel
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    # three passes (centre, fit, project) read the same vectors: persist them once
-    vec = dense.select(group_id, array_to_vector(features).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    # three passes (centre, fit, project) read the same vectors: written once
+    vec = checkpointed(dense).select(group_id, array_to_vector(features).alias("x"))
     scaler = StandardScaler(inputCol="x", outputCol="xc", withMean=True, withStd=False).fit(vec)
     centred = scaler.transform(vec).select(group_id, "xc")
     model = PCA(k=n_components, inputCol="xc", outputCol="pcs").fit(centred)
@@ -118,10 +108,9 @@ def pca_vectors(dense: DataFrame, n_components: int = 3, group_id: str = "group_
         col = pc[:, j]
         signs.append(1.0 if col[abs(col).argmax()] >= 0 else -1.0)
     proj = model.transform(centred).select(group_id, vector_to_array("pcs").alias("p"))
-    flipped = proj.select(group_id, F.transform(
+    return proj.select(group_id, F.transform(
         "p", lambda x, i: F.bround(x * F.element_at(F.array(*[F.lit(s) for s in signs]), i + 1), 8)
     ).alias("features"))
-    return vector_to_long(flipped, group_id=group_id, prefix=prefix)
 
 
 def pca_reduce(df: DataFrame, n_components: int = 3, group_id: str = "group_id",
@@ -159,6 +148,41 @@ def residualize(df: DataFrame, label: str, factor_cols: list[str], out: str = "r
     return m.transform(data).withColumn(out, F.col(label) - F.col("_yhat")).drop("_z", "_yhat")
 
 
+def rfa_kfold(df: DataFrame, label: str, factor_cols: list[str], features: str, fold_col: str,
+              reg_param: float = 1.0, keep: list[str] | None = None) -> DataFrame:
+    """Residualized factor adaptation over a fold column: per fold, step 1 regresses the outcome on
+    the factors, step 2 regresses its residual on the features and their products with the
+    factors (ridge), both on the other folds; the prediction is step 1 + step 2.
+
+    Returns ``keep`` + (fold, label, step1, step2, prediction), one row per input row with a fold.
+    """
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import LinearRegression
+    z = F.array(*[F.col(c).cast("double") for c in factor_cols])
+
+    def times(factor: str):
+        return F.transform(F.col(features), lambda x: x * F.col(factor))
+    crossed = F.concat(F.col(features), *[times(c) for c in factor_cols])
+    keep = keep or []
+    data = checkpointed(df.filter(F.col(fold_col).isNotNull()).select(
+        *keep, F.col(fold_col).alias("fold"), F.col(label).cast("double").alias("_y"),
+        array_to_vector(z).alias("_z"), array_to_vector(crossed).alias("_x")))
+    out = None
+    for k in [r[0] for r in data.select("fold").distinct().orderBy("fold").limit(MAX_FOLDS + 1).collect()]:
+        rest, own = data.filter(F.col("fold") != k), data.filter(F.col("fold") == k)
+        first = LinearRegression(featuresCol="_z", labelCol="_y", predictionCol="step1", solver="normal").fit(rest)
+        left = first.transform(rest).withColumn("_r", F.col("_y") - F.col("step1"))
+        second = LinearRegression(featuresCol="_x", labelCol="_r", predictionCol="step2", regParam=reg_param,
+                                  elasticNetParam=0.0).fit(left)
+        part = second.transform(first.transform(own)).select(
+            *keep, "fold", F.col("_y").alias(label), "step1", "step2", (F.col("step1") + F.col("step2")).alias("prediction"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+MAX_FOLDS = 100
+
+
 # FEA07 / FEA08 / FEA09 -------------------------------------------------------------------
 def _same_size(a: str, b: str):
     return F.when(F.size(a) == F.size(b), F.lit(True)).otherwise(
@@ -194,10 +218,15 @@ def projection_matrix(in_dim: int, out_dim: int, seed: int = 42) -> list[list[fl
 
 
 def project(col: str, matrix: list[list[float]]):
-    """``W @ x`` per row with the (small, width-bounded) matrix as a literal."""
-    w = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in matrix])
-    return F.transform(w, lambda row: F.aggregate(F.zip_with(row, F.col(col), lambda a, b: a * b),
-                                                  F.lit(0.0), lambda acc, v: acc + v))
+    """``W @ x`` of a vector column, one matrix product per Arrow batch.  The matrix goes with the
+    function: out × in numbers, bounded by the vector widths."""
+    import numpy as np
+    w = np.asarray(matrix, dtype="float64")
+
+    @F.pandas_udf("array<double>")
+    def product(x: pd.Series) -> pd.Series:
+        return pd.Series(list(np.vstack(x.tolist()) @ w.T)) if len(x) else pd.Series([], dtype=object)
+    return product(F.col(col))
 
 
 # FEA11 -----------------------------------------------------------------------------
