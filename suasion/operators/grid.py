@@ -54,23 +54,62 @@ def expand_grid(spark: SparkSession, config: dict, defaults: dict | None = None)
     return out.select(F.md5(key).substr(1, 8).alias("run_id"), "settings")
 
 
+# Settings a full-batch trainer from a zero start cannot obey (kept as defaults, refused otherwise).
+FIXED_SETTINGS = ("batch_size", "seed", "luar_max_length", "classifier_output_dim")
+
+
 def settings_to_heads(settings: DataFrame) -> list[HeadSetting]:
-    """The settings table is small (one row per run: the product of value lists)."""
+    """The settings table is small (one row per run: the product of value lists).  A setting that
+    cannot act here raises."""
     heads = []
     for r in settings.orderBy("run_id").collect():
         s = {k: json.loads(v) for k, v in r["settings"].items()}
-        heads.append(HeadSetting(r["run_id"], lr=float(s.get("lr", 0.001)),
-                                 weight_decay=float(s.get("weight_decay", 0.0)),
-                                 patience=int(s.get("patience", 3)), min_delta=float(s.get("min_delta", 0.0)),
-                                 extra=s))
+        odd = [k for k in s if k not in DEFAULTS] + [k for k in FIXED_SETTINGS if s.get(k, DEFAULTS[k]) != DEFAULTS[k]]
+        if odd:
+            raise ValueError(f"settings without effect on this trainer: {sorted(odd)}")
+        s = DEFAULTS | s
+        heads.append(HeadSetting(r["run_id"], lr=float(s["lr"]), weight_decay=float(s["weight_decay"]),
+                                 patience=int(s["patience"]), min_delta=float(s["min_delta"]), epochs=int(s["epochs"]),
+                                 load_best=bool(s["load_best_model"]), extra=s))
     return heads
 
 
-def run_grid(df: DataFrame, settings: DataFrame, epochs: int | None = None, **kw) -> tuple[DataFrame, dict]:
-    """GRD02: every run of the grid trained together; returns epoch metrics per run."""
+def run_features(setting: dict):
+    """The vector a run trains on, from columns style_m, content_m and, with the prompt, style_c, content_c."""
+    from suasion.operators.features import vec_average, vec_concat, vec_sum
+    parts = ["style"] if setting["only_luar"] else ["style", "content"]
+    sides = ["c", "m"] if setting["include_prompt"] else ["m"]
+    how = setting["combine_method"]
+    if how == "concat":
+        return vec_concat(*[f"{p}_{s}" for p in parts for s in sides])
+    if how not in ("average", "sum"):
+        raise ValueError(f"no combine_method is called {how!r}")
+    if len(sides) == 1:
+        return vec_concat(*[f"{p}_m" for p in parts])
+    pairwise = vec_average if how == "average" else vec_sum  # prompt with message, per encoder
+    return F.concat(*[pairwise(f"{p}_c", f"{p}_m") for p in parts])
+
+
+def run_grid(df: DataFrame, settings: DataFrame, label: str = "persuaded", split: str = "split",
+             features: str | None = None) -> tuple[DataFrame, dict]:
+    """GRD02: runs that share a feature vector are trained together; each obeys its own epochs, patience,
+    step, penalty and choice of best or last epoch.  ``features``: one ready vector column for all runs,
+    where no run may ask for another combination.  Returns epoch metrics per run and the final states."""
     heads = settings_to_heads(settings)
-    n_epochs = epochs or max(int(h.extra.get("epochs", 30)) for h in heads)
-    return train_heads(df, heads, epochs=n_epochs, **kw)
+    by_vector: dict[tuple, list[HeadSetting]] = {}
+    keys = ("only_luar", "include_prompt", "combine_method")
+    for h in heads:
+        if features and any(h.extra[k] != DEFAULTS[k] for k in keys):
+            raise ValueError("one ready vector can't be combined in several ways")
+        by_vector.setdefault(tuple(h.extra[k] for k in keys), []).append(h)
+    metrics, final = None, {}
+    for group in by_vector.values():
+        vector = F.col(features) if features else run_features(group[0].extra)
+        data = df.select(vector.alias("_v"), label, split)
+        part, states = train_heads(data, group, "_v", label, split)
+        metrics = part if metrics is None else metrics.unionByName(part)
+        final |= states
+    return metrics, final
 
 
 def summarize_runs(metrics: DataFrame, metric: str = "eval_acc", maximize: bool = True) -> DataFrame:

@@ -15,25 +15,30 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from suasion.operators.evaluate import roc_auc
+from suasion.session import checkpointed
 
 
 # TRN01 (a) / TRN03 / TRN04 -----------------------------------------------------------
-def make_estimator(model: str = "lr", reg_param: float = 0.0, seed: int = 42, max_iter: int = 100):
+def make_estimator(model: str = "lr", reg_param: float = 0.0, seed: int = 42, max_iter: int = 100,
+                   trees: int = 100, max_depth: int = 8):
+    """``lr``: logistic regression; ``etc`` / ``rf``: random forest of ``trees`` trees up to ``max_depth``
+    (Spark's own bound is 30)."""
     if model == "lr":
         # multinomial regParam = wd equals binomial regParam = wd / 2 (intercept not penalised)
         return LogisticRegression(featuresCol="_x", labelCol="_y", regParam=reg_param, elasticNetParam=0.0,
                                   standardization=False, maxIter=max_iter, family="binomial")
     if model in ("etc", "rf"):
-        return RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=100, maxDepth=8,
+        return RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=max_depth,
                                       featureSubsetStrategy="sqrt", seed=seed)
-    raise ValueError(f"unknown model {model!r}")
+    raise ValueError(f"no model is called {model!r}")
 
 
 def _ml_input(df: DataFrame, features: str, label: str) -> DataFrame:
@@ -41,8 +46,9 @@ def _ml_input(df: DataFrame, features: str, label: str) -> DataFrame:
 
 
 def fit(df: DataFrame, features: str = "features", label: str = "persuaded", model: str = "lr",
-        reg_param: float = 0.0, seed: int = 42):
-    return make_estimator(model, reg_param, seed).fit(_ml_input(df, features, label))
+        reg_param: float = 0.0, seed: int = 42, **params):
+    """Fit on the rows that have a label; ``params`` go to ``make_estimator``."""
+    return make_estimator(model, reg_param, seed, **params).fit(_ml_input(df.filter(F.col(label).isNotNull()), features, label))
 
 
 def score(model, df: DataFrame, features: str = "features", keep: list[str] | None = None) -> DataFrame:
@@ -53,16 +59,27 @@ def score(model, df: DataFrame, features: str = "features", keep: list[str] | No
                       F.col("prediction").cast("int").alias("pred"))
 
 
+MAX_FOLDS = 100
+
+
+def fold_values(df: DataFrame, fold_col: str) -> list:
+    """The folds in order; raises beyond MAX_FOLDS (a fold column has few values)."""
+    found = [r[0] for r in df.select(fold_col).filter(F.col(fold_col).isNotNull()).distinct()
+             .orderBy(fold_col).limit(MAX_FOLDS + 1).collect()]
+    if len(found) > MAX_FOLDS:
+        raise ValueError(f"{fold_col} has more than {MAX_FOLDS} values")
+    return found
+
+
 def kfold_scores(df: DataFrame, fold_col: str, features: str = "features", label: str = "persuaded",
-                 model: str = "lr", reg_param: float = 0.0, keep: list[str] | None = None) -> DataFrame:
-    """Out-of-fold scores: for each fold fit on the others, score it; union of all folds."""
-    data = df.persist(StorageLevel.MEMORY_AND_DISK)
-    folds = [r[0] for r in data.select(fold_col).distinct().filter(F.col(fold_col).isNotNull())
-             .orderBy(fold_col).collect()]  # k values
+                 model: str = "lr", reg_param: float = 0.0, keep: list[str] | None = None, **params) -> DataFrame:
+    """Out-of-fold scores: for each fold fit on the others, score it; union of all folds.  The input is
+    written once to the shared folder, and every fold re-reads it."""
+    data = checkpointed(df)
     keep = keep or [c for c in df.columns if c != features]
     out = None
-    for k in folds:
-        m = fit(data.filter(F.col(fold_col) != k), features, label, model, reg_param)
+    for k in fold_values(data, fold_col):
+        m = fit(data.filter(F.col(fold_col) != k), features, label, model, reg_param, **params)
         s = score(m, data.filter(F.col(fold_col) == k), features, keep)
         out = s if out is None else out.unionByName(s)
     return out
@@ -71,13 +88,31 @@ def kfold_scores(df: DataFrame, fold_col: str, features: str = "features", label
 # TRN05 ------------------------------------------------------------------------------
 def l2_search(df: DataFrame, fold_col: str, reg_params: list[float], features: str = "features",
               label: str = "persuaded") -> DataFrame:
-    """Mean out-of-fold AUC per L2 strength, best first (ties → weaker penalty)."""
-    rows = None
-    for rp in reg_params:
-        s = kfold_scores(df, fold_col, features, label, "lr", rp, keep=[label, fold_col])
-        a = roc_auc(s, label, "p1").select(F.lit(float(rp)).alias("reg_param"), "roc_auc")
-        rows = a if rows is None else rows.unionByName(a)
-    return rows.orderBy(F.desc("roc_auc"), F.asc("reg_param"))
+    """Nested choice of the L2 strength: for each outer fold, every strength is fitted on the other
+    folds but one (the inner fold: the next in order) and ranked by its AUC there; the best
+    (ties → weaker penalty) is refitted on all other folds and scored on the outer fold.
+
+    Returns (outer_fold, inner_fold, reg_param, inner_auc, chosen, outer_auc)."""
+    data = checkpointed(df.select(features, label, fold_col).filter(F.col(fold_col).isNotNull()))
+    folds = fold_values(data, fold_col)
+    rows = []
+    for i, outer in enumerate(folds):
+        inner = folds[(i + 1) % len(folds)]
+        rest = data.filter(F.col(fold_col) != outer)
+        aucs = []
+        for rp in reg_params:
+            m = fit(rest.filter(F.col(fold_col) != inner), features, label, "lr", rp)
+            s = score(m, rest.filter(F.col(fold_col) == inner), features, [label])
+            aucs.append(roc_auc(s, label, "p1").first()[0])
+        best = min(range(len(reg_params)), key=lambda j: (-aucs[j], reg_params[j]))
+        m = fit(rest, features, label, "lr", reg_params[best])
+        held = score(m, data.filter(F.col(fold_col) == outer), features, [label])
+        outer_auc = roc_auc(held, label, "p1").first()[0]
+        rows += [(int(outer), int(inner), float(rp), float(a), j == best, float(outer_auc) if j == best else None)
+                 for j, (rp, a) in enumerate(zip(reg_params, aucs))]
+    # one row per (fold, strength)
+    return df.sparkSession.createDataFrame(rows, "outer_fold int, inner_fold int, reg_param double, inner_auc double, "
+                                                 "chosen boolean, outer_auc double")
 
 
 def l2_search_heads(df: DataFrame, fold_col: str, weight_decays: list[float], features: str = "features",
@@ -130,12 +165,11 @@ class HeadSetting:
     weight_decay: float = 0.0
     patience: int = 3
     min_delta: float = 0.0
+    epochs: int | None = None
+    load_best: bool = True
     extra: dict = field(default_factory=dict)
 
 
-CHUNK = 4096
-
-
 def _epoch_sums(data: DataFrame, features: str, label: str, split: str, theta, col_folds=None):
     """One distributed pass over the persisted vectors for all C weight columns.
 
@@ -145,9 +179,6 @@ def _epoch_sums(data: DataFrame, features: str, label: str, split: str, theta, c
     Returns gradient sums ((d+1) × C) and per-column loss / hit / row sums for the
     training and validation rows.
     """
-    import numpy as np
-    import pandas as pd
-
     th = data.sparkSession.sparkContext.broadcast(np.asarray(theta))  # (d+1) × C, bounded by d·C
     C = th.value.shape[1]
     folds = None if col_folds is None else np.asarray(col_folds, dtype="float64")[None, :]
@@ -180,17 +211,14 @@ def _epoch_sums(data: DataFrame, features: str, label: str, split: str, theta, c
             acc += np.vstack([(loss * tr).sum(0), (hit * tr).sum(0), tr.sum(0),
                               (loss * va).sum(0), (hit * va).sum(0), va.sum(0)])
         flat = np.concatenate([G.ravel(), acc.ravel()])
-        # fixed-size chunks: the per-chunk sum below holds tasks × CHUNK values, not tasks × model
-        for c0 in range(0, len(flat), CHUNK):
-            yield pd.DataFrame({"chunk": [c0 // CHUNK], "v": [flat[c0:c0 + CHUNK].tolist()]})
-
-    parts = data.select(features, label, split).mapInPandas(run, "chunk int, v array<double>")
-    summed = parts.groupBy("chunk").agg(
-        F.aggregate(F.collect_list("v"), F.array_repeat(F.lit(0.0), F.size(F.first("v"))),
-                    lambda a, b: F.zip_with(a, b, lambda x, z: x + z)).alias("v"))
-    chunks = {r["chunk"]: r["v"] for r in summed.collect()}  # the size of the weights
+        yield pd.DataFrame({"pos": np.arange(len(flat)), "v": flat})
+
+    # summed by position: a reducer's rows are numbers, however many tasks there are
+    parts = data.select(features, label, split).mapInPandas(run, "pos long, v double")
+    summed = parts.groupBy("pos").agg(F.sum("v").alias("v")).collect()  # the size of the weights
     th.unpersist()
-    flat = np.concatenate([np.asarray(chunks[i]) for i in sorted(chunks)])
+    flat = np.zeros(theta.shape[0] * C + 6 * C)
+    flat[[r["pos"] for r in summed]] = [r["v"] for r in summed]
     w_size = (theta.shape[0]) * C
     a = flat[w_size:].reshape(6, C)
     return {"grad": flat[:w_size].reshape(theta.shape), "loss_tr": a[0], "hit_tr": a[1], "n_tr": a[2],
@@ -199,10 +227,8 @@ def _epoch_sums(data: DataFrame, features: str, label: str, split: str, theta, c
 
 def _adam_loop(data: DataFrame, settings: list[HeadSetting], features: str, label: str, split: str,
                epochs: int, col_folds=None, col_runs=None):
-    """Adam with coupled L2 and per-column early stopping; one distributed pass per
-    epoch serves every column together."""
-    import numpy as np
-
+    """Adam with coupled L2 and per-column early stopping and epoch limit (a setting's own
+    ``epochs``, else ``epochs``); one distributed pass per epoch serves every column together."""
     d = data.select(F.max(F.size(features))).first()[0]
     col_runs = col_runs if col_runs is not None else list(range(len(settings)))
     C = len(col_runs)
@@ -222,7 +248,9 @@ def _adam_loop(data: DataFrame, settings: list[HeadSetting], features: str, labe
     # one pass per epoch: the sums at the new weights give this epoch's validation
     # metrics *and* the next epoch's gradient (epochs + 1 passes in total)
     before = _epoch_sums(data, features, label, split, theta, col_folds)
-    for ep in range(1, epochs + 1):
+    limit = np.array([settings[r].epochs or epochs for r in col_runs])
+    for ep in range(1, int(limit.max(initial=0)) + 1):
+        active &= ep <= limit
         if not active.any():
             break
         g = before["grad"] / np.maximum(before["n_tr"], 1.0) + wd * theta
@@ -262,15 +290,18 @@ def train_heads(df: DataFrame, settings: list[HeadSetting], features: str = "fea
     """Train one head per setting on rows with split 'train', validate on 'validation'.
 
     Returns (epoch metrics DataFrame, {run_id: final state}).  Early stopping per
-    run watches eval loss (TRN02); best-epoch weights are kept.
+    run watches eval loss (TRN02).  A state has the weights of the best and of the last
+    epoch; ``theta`` is the one the setting's ``load_best`` asks for.  Rows without a label
+    are left out.
     """
     spark = df.sparkSession
-    data = df.select(features, F.col(label).cast("int").alias(label), split).persist(StorageLevel.MEMORY_AND_DISK)
+    data = checkpointed(df.select(features, F.col(label).cast("int").alias(label), split).filter(F.col(label).isNotNull()))
     rows, theta, best_theta, best_epoch, stopped = _adam_loop(data, settings, features, label, split, epochs)
-    data.unpersist()
     metrics = spark.createDataFrame(rows, METRICS_SCHEMA).drop("fold")
-    final = {s.run_id: {"theta": best_theta[:, c].tolist(), "best_epoch": int(best_epoch[c]),
-                        "stopped_early": bool(stopped[c]), "last_theta": theta[:, c].tolist()}
+    last = {r[0]: r[2] for r in rows}
+    final = {s.run_id: {"theta": (best_theta if s.load_best else theta)[:, c].tolist(), "best_epoch": int(best_epoch[c]),
+                        "stopped_early": bool(stopped[c]), "best_theta": best_theta[:, c].tolist(),
+                        "last_theta": theta[:, c].tolist(), "last_epoch": last.get(s.run_id, 0)}
              for c, s in enumerate(settings)}
     return metrics, final
 
@@ -281,42 +312,50 @@ def kfold_heads(df: DataFrame, fold_col: str, settings: list[HeadSetting], featu
     """K-fold × grid in one pass per epoch: column (setting s, fold f) trains on the
     other folds and validates on f.  Returns (epoch metrics, out-of-fold scores with
     one row per input row and setting: ``run_id, <keep>, p1, pred``)."""
-    import numpy as np
-
     spark = df.sparkSession
-    data = df.select(*(keep or []), features, F.col(label).cast("int").alias(label),
-                     F.col(fold_col).cast("int").alias(fold_col)).persist(StorageLevel.MEMORY_AND_DISK)
-    folds = [r[0] for r in data.select(fold_col).distinct().filter(F.col(fold_col).isNotNull())
-             .orderBy(fold_col).collect()]  # k values
+    data = checkpointed(df.select(*(keep or []), features, F.col(label).cast("int").alias(label),
+                                  F.col(fold_col).cast("int").alias(fold_col)).filter(F.col(label).isNotNull()))
+    folds = fold_values(data, fold_col)
     col_runs = [r for r in range(len(settings)) for _ in folds]
     col_folds = [f for _ in settings for f in folds]
     rows, theta, best_theta, _, _ = _adam_loop(data, settings, features, label, fold_col, epochs,
                                                col_folds, col_runs)
     W = best_theta if use_best else theta
     metrics = spark.createDataFrame(rows, METRICS_SCHEMA)
-    fold_pos = {f: i for i, f in enumerate(folds)}
-    scored = None
-    k = len(folds)
-    for r, s in enumerate(settings):
-        # this setting's per-fold weights as a (k × (d+1)) literal; a row picks its own fold's head
-        mats = F.array(*[F.array(*[F.lit(float(x)) for x in W[:, r * k + fold_pos[f]]]) for f in folds])
-        pos = F.array_position(F.array(*[F.lit(int(f)) for f in folds]), F.col(fold_col))
-        wrow = F.element_at(mats, pos.cast("int"))
-        dot = F.aggregate(F.zip_with(features, F.slice(wrow, 1, F.size(features)), lambda a, b: a * b),
-                          F.lit(0.0), lambda acc, x: acc + x) + F.element_at(wrow, -1)
-        out = data.filter(F.col(fold_col).isNotNull()).select(
-            F.lit(s.run_id).alias("run_id"), *(keep or []), F.col(fold_col), F.col(label),
-            (1.0 / (1.0 + F.exp(-2.0 * dot))).alias("p1"), F.when(dot > 0, 1).otherwise(0).alias("pred"))
-        scored = out if scored is None else scored.unionByName(out)
+    # one scan scores every setting: a row's own fold picks the column; the weights are d × settings × folds
+    sent = spark.sparkContext.broadcast(W.reshape(W.shape[0], len(settings), len(folds)))
+    place = {f: i for i, f in enumerate(folds)}
+
+    @F.pandas_udf("array<double>")
+    def dots(x: pd.Series, fold: pd.Series) -> pd.Series:
+        w = sent.value
+        X = np.hstack([np.vstack(x.tolist()), np.ones((len(x), 1))])
+        z = np.einsum("nd,dsk->nsk", X, w)[np.arange(len(x)), :, [place[f] for f in fold]]
+        return pd.Series(list(z))
+    names = F.array(*[F.lit(s.run_id) for s in settings])
+    rows_ = data.filter(F.col(fold_col).isNotNull()).select(
+        *(keep or []), F.col(fold_col), F.col(label), F.posexplode(dots(features, fold_col)).alias("_i", "_dot"))
+    scored = rows_.select(F.element_at(names, F.col("_i") + 1).alias("run_id"), *(keep or []), F.col(fold_col), F.col(label),
+                          (1.0 / (1.0 + F.exp(-2.0 * F.col("_dot")))).alias("p1"),
+                          F.when(F.col("_dot") > 0, 1).otherwise(0).alias("pred"))
     return metrics, scored
 
 
+def head_logit(theta: list[float], features: str = "features"):
+    """w·x + b of a vector column, one matrix product per Arrow batch (the weights go with the function)."""
+    w = np.asarray(theta, dtype="float64")
+
+    @F.pandas_udf("double")
+    def dot(x: pd.Series) -> pd.Series:
+        return pd.Series(np.vstack(x.tolist()) @ w[:-1] + w[-1]) if len(x) else pd.Series([], dtype="float64")
+    return dot(F.col(features))
+
+
 def head_scores(df: DataFrame, theta: list[float], features: str = "features") -> DataFrame:
     """Score rows with a trained head: p1 = sigmoid(2·(w·x + b)); argmax tie → 0."""
-    w = F.array(*[F.lit(float(t)) for t in theta[:-1]])
-    dot = F.aggregate(F.zip_with(features, w, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    dd = 2.0 * (dot + F.lit(float(theta[-1])))
-    return df.withColumn("p1", 1.0 / (1.0 + F.exp(-dd))).withColumn("pred", F.when(dd > 0, 1).otherwise(0))
+    out = df.withColumn("_dot", head_logit(theta, features))
+    return (out.withColumn("p1", 1.0 / (1.0 + F.exp(-2.0 * F.col("_dot"))))
+            .withColumn("pred", F.when(F.col("_dot") > 0, 1).otherwise(0)).drop("_dot"))
 
 
 # SNK07 ------------------------------------------------------------------------------

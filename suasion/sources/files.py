@@ -105,5 +105,34 @@ def replace_table(df: DataFrame, path: str, cluster_by: list[str] | None = None,
 
 
 # SNK05 -----------------------------------------------------------------------------
-def write_metrics(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").json(path)  # metrics: a handful of rows
+RUN_DOCUMENT = T.StructType([
+    T.StructField("run_id", T.StringType()), T.StructField("config", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("epochs", T.ArrayType(T.StructType([T.StructField("epoch", T.IntegerType())] + [
+        T.StructField(c, T.DoubleType()) for c in ("train_loss", "train_acc", "eval_loss", "eval_acc")]))),
+    T.StructField("final", T.StructType([T.StructField("epoch", T.IntegerType()), T.StructField("eval_loss", T.DoubleType()),
+                                         T.StructField("eval_acc", T.DoubleType())]))])
+
+
+def run_documents(metrics: DataFrame, settings: DataFrame) -> DataFrame:
+    """One nested document per run: its settings, its epochs in order (a run holds one row per epoch), the
+    best epoch's metrics."""
+    row = F.struct(F.col("epoch").cast("int").alias("epoch"), "train_loss", "train_acc", "eval_loss", "eval_acc")
+    runs = metrics.groupBy("run_id").agg(F.array_sort(F.collect_list(row)).alias("epochs"),
+                                         F.min_by(row, F.struct("eval_loss", "epoch")).alias("_b"))
+    return (runs.join(settings.select("run_id", F.col("settings").alias("config")), "run_id")
+            .select("run_id", "config", "epochs", F.struct(F.col("_b.epoch").alias("epoch"), F.col("_b.eval_loss").alias("eval_loss"),
+                                                           F.col("_b.eval_acc").alias("eval_acc")).alias("final")))
+
+
+def write_run_documents(docs: DataFrame, path: str) -> None:
+    docs.write.mode("overwrite").json(path)
+
+
+def read_run_documents(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(RUN_DOCUMENT).json(path)
+
+
+def write_metrics(df: DataFrame, path: str, form: str = "json") -> None:
+    """Flat metric rows as JSON lines or CSV with a header (the k-fold report)."""
+    w = df.coalesce(1).write.mode("overwrite")  # a handful of rows
+    w.json(path) if form == "json" else w.option("header", True).csv(path)

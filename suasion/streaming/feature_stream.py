@@ -30,7 +30,8 @@ def zscore_stream(spark: SparkSession, source_path: str, schema: T.StructType, s
     ckpt = os.path.join(ensure_checkpoint_dir(spark), "streams", os.path.basename(sink_path.rstrip("/")))
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").parquet(sink_path)
+        # a batch that runs again after a failure replaces its own folder
+        batch.write.mode("overwrite").parquet(f"{sink_path}/batch_id={batch_id}")
 
     return (z.writeStream.queryName(query_name).option("checkpointLocation", ckpt)
             .foreachBatch(append).trigger(availableNow=True).start())
