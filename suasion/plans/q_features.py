@@ -70,9 +70,13 @@ WITH h AS (SELECT CAST(vec_id AS VARCHAR) AS group_id,
 
 
 def _halves(spark, sf):
+    """Style = first half of a vector, content = second half; an odd width raises."""
     h = v.vectors(spark, sf)
-    return h.select("group_id", F.slice("features", 1, 32).alias("style"),
-                    F.slice("features", 33, 32).alias("content"), "features")
+    n = F.size("features")
+    half = F.when(n % 2 == 0, (n / 2).cast("int")).otherwise(F.raise_error(F.lit("a vector of odd width has no halves")).cast("int"))
+    h = h.withColumn("_half", half)
+    return h.select("group_id", F.slice("features", F.lit(1), F.col("_half")).alias("style"),
+                    F.slice("features", F.col("_half") + 1, F.col("_half")).alias("content"), "features")
 
 
 def _long(df, col):
@@ -81,16 +85,16 @@ def _long(df, col):
 
 
 @register("fea07_vec_average", HALVES_SQL + """
-SELECT group_id, CAST(i AS INTEGER) AS idx, round((e[i + 1] + e[i + 33]) / 2, 6) + 0.0 AS value
-FROM h, LATERAL (SELECT unnest(range(32)) AS i)""")
+SELECT group_id, CAST(i AS INTEGER) AS idx, round((e[i + 1] + e[i + 1 + len(e) // 2]) / 2, 6) + 0.0 AS value
+FROM h, LATERAL (SELECT unnest(range(len(e) // 2)) AS i)""")
 def fea07(spark, sf):
     h = _halves(spark, sf)
     return _long(h.select("group_id", fe.vec_average("style", "content").alias("v")), "v")
 
 
 @register("fea08_vec_sum", HALVES_SQL + """
-SELECT group_id, CAST(i AS INTEGER) AS idx, round(e[i + 1] + e[i + 33], 6) + 0.0 AS value
-FROM h, LATERAL (SELECT unnest(range(32)) AS i)""")
+SELECT group_id, CAST(i AS INTEGER) AS idx, round(e[i + 1] + e[i + 1 + len(e) // 2], 6) + 0.0 AS value
+FROM h, LATERAL (SELECT unnest(range(len(e) // 2)) AS i)""")
 def fea08(spark, sf):
     h = _halves(spark, sf)
     return _long(h.select("group_id", fe.vec_sum("style", "content").alias("v")), "v")
@@ -98,8 +102,8 @@ def fea08(spark, sf):
 
 @register("fea09_vec_concat", HALVES_SQL + """
 SELECT group_id, CAST(i AS INTEGER) AS idx,
-       round(CASE WHEN i < 32 THEN e[i + 33] ELSE e[i - 31] END, 6) + 0.0 AS value
-FROM h, LATERAL (SELECT unnest(range(64)) AS i)""")
+       round(e[(i + len(e) // 2) % len(e) + 1], 6) + 0.0 AS value
+FROM h, LATERAL (SELECT unnest(range(len(e))) AS i)""")
 def fea09(spark, sf):
     h = _halves(spark, sf)
     # content first, then style: the order is the caller's choice and is preserved
@@ -115,34 +119,63 @@ def _proj_sql():
 w AS (SELECT i, j, (CAST(('0x' || substr(md5('42:' || i || ':' || j), 1, 8)) AS UBIGINT) / 4294967295.0 * 2.0 - 1.0)
                  * {scale} AS w
       FROM (SELECT unnest(range({PROJ_IN})) AS i), (SELECT unnest(range({PROJ_OUT})) AS j)),
-x AS (SELECT group_id, i, e[i + 1] AS x FROM h, LATERAL (SELECT unnest(range({PROJ_IN})) AS i))
-SELECT x.group_id, CAST(w.j AS INTEGER) AS idx, round(sum(x.x * w.w), 6) + 0.0 AS value
-FROM x JOIN w ON x.i = w.i GROUP BY x.group_id, w.j"""
+x AS (SELECT group_id, i, e[i + 1] AS x FROM h, LATERAL (SELECT unnest(range({PROJ_IN})) AS i)),
+y AS (SELECT x.group_id, w.j, sum(x.x * w.w) AS y FROM x JOIN w ON x.i = w.i GROUP BY x.group_id, w.j)
+SELECT h.group_id, CAST(y.j AS INTEGER) AS idx, round((y.y + e[{PROJ_IN} + y.j + 1]) / 2, 6) + 0.0 AS value
+FROM h JOIN y ON h.group_id = y.group_id"""
 
 
 @register("fea10_projection", _proj_sql())
 def fea10(spark, sf):
-    h = v.vectors(spark, sf).select("group_id", F.slice("features", 1, PROJ_IN).alias("x"))
+    """The first 40 values are projected to the width of the other 24, then both are averaged."""
+    h = v.vectors(spark, sf).select("group_id", F.slice("features", 1, PROJ_IN).alias("x"),
+                                    F.expr(f"slice(features, {PROJ_IN + 1}, size(features))").alias("rest"))
     m = fe.projection_matrix(PROJ_IN, PROJ_OUT)
-    return _long(h.select("group_id", fe.project("x", m).alias("v")), "v")
-
-
-@register("fea11_feature_sets", HALVES_SQL + """,
-lab AS (SELECT CAST(vec_id AS VARCHAR) AS group_id, CAST(label >= 5 AS INTEGER) AS persuaded FROM embeddings),
-t AS (SELECT group_id, 'style:' || printf('dim_feat_%03d', i) AS feat, e[i + 1] AS value
-      FROM h, LATERAL (SELECT unnest(range(32)) AS i)
-      UNION ALL
-      SELECT group_id, 'content:' || printf('dim_feat_%03d', i), e[i + 33]
-      FROM h, LATERAL (SELECT unnest(range(32)) AS i))
-SELECT t.group_id, t.feat, round(t.value, 6) + 0.0 AS value, lab.persuaded
-FROM t JOIN lab ON t.group_id = lab.group_id""")
+    p = h.select("group_id", fe.project("x", m).alias("p"), "rest")
+    return _long(p.select("group_id", fe.vec_average("p", "rest").alias("v")), "v")
+
+
+def _sets_sql() -> str:
+    """Six feature sets: style, content or both, of messages alone or of messages and their claims."""
+    parts = []
+    for claims in (False, True):
+        for name, kinds in (("style", ["style"]), ("content", ["content"]), ("style+content", ["style", "content"])):
+            for kind in kinds:
+                for who in ["message"] + ["claim"] * claims:
+                    at = "i + 1" if kind == "style" else "i + 1 + len(e) // 2"
+                    src = "h" if who == "message" else "c"
+                    parts.append(f"""SELECT '{name}{"+claims" if claims else ""}' AS feature_set, {src}.group_id,
+       '{who}_{kind}:' || printf('dim_feat_%03d', i) AS feat, e[{at}] AS value
+FROM {src}, LATERAL (SELECT unnest(range(len(e) // 2)) AS i)""")
+    return HALVES_SQL + """,
+lab AS (SELECT CAST(vec_id AS VARCHAR) AS group_id, CAST(label >= 5 AS INTEGER) AS persuaded, label FROM embeddings),
+claim AS (SELECT label, arg_min(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), vec_id) AS e FROM embeddings GROUP BY label),
+c AS (SELECT lab.group_id, claim.e FROM lab JOIN claim ON lab.label IS NOT DISTINCT FROM claim.label),
+t AS (""" + "\nUNION ALL ".join(parts) + """)
+SELECT t.feature_set, t.group_id, t.feat, round(t.value, 6) + 0.0 AS value, lab.persuaded
+FROM t JOIN lab ON t.group_id = lab.group_id"""
+
+
+@register("fea11_feature_sets", _sets_sql())
 def fea11(spark, sf):
-    h = _halves(spark, sf)
-    tables = {"style": sh.vector_to_long(h.select("group_id", F.col("style").alias("features"))),
-              "content": sh.vector_to_long(h.select("group_id", F.col("content").alias("features")))}
-    comb = fe.combine_feature_tables(tables)
-    out = v.emb_cls(spark, sf).select("group_id", "persuaded")
-    return comb.join(out, "group_id").select("group_id", "feat", r6("value").alias("value"), "persuaded")
+    """One to four feature tables joined to the outcome, for six feature sets.  A vector's claim is the
+    first vector of its label."""
+    from suasion.operators import relational as rel
+    from suasion.operators.skew import key_join
+    both = v.vectors(spark, sf).join(_halves(spark, sf).drop("features"), "group_id").select("group_id", "label", "style", "content")
+    claims = both.groupBy("label").agg(F.min_by(F.struct("style", "content"), F.col("group_id").cast("long")).alias("c"))
+    with_claim = key_join(both, claims, "label", "left", null_safe=True)
+
+    def long(col):
+        return sh.vector_to_long(with_claim.select("group_id", F.col(col).alias("features")))
+    tables = {"message_style": long("style"), "message_content": long("content"),
+              "claim_style": long("c.style"), "claim_content": long("c.content")}
+    outcome = v.emb_cls(spark, sf).select("group_id", "persuaded")
+    out = None
+    for name, kinds in fe.FEATURE_SETS.items():
+        one = rel.with_outcome({k: tables[k] for k in kinds}, outcome).withColumn("feature_set", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.select("feature_set", "group_id", "feat", r6("value").alias("value"), "persuaded")
 
 
 @register("fea04_pca")
@@ -154,7 +187,7 @@ def fea04(spark, sf):
 
 @register("fea06_rfa_interactions")
 def fea06(spark, sf):
-    """P: factors = 3 PCA components of claims; features x factor interactions + residual."""
+    """P: factors = 3 PCA components of the table itself; features and features × factors."""
     f = v.feat(spark, sf)
     factors = fe.pca_reduce(f, 3).select("group_id", F.col("feat").alias("factor"),
                                          F.col("value").alias("fvalue"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from suasion.functions.numeric import r6
 from suasion.operators import grid as gr
 from suasion.operators.splits import three_way_split
 from suasion.plans import views as v
@@ -17,10 +18,13 @@ GRID = {"method": "grid", "metric": {"name": "eval_acc", "goal": "maximize"},
                        "lr": {"values": [0.01, 0.05]}, "epochs": {"value": 8}}}
 
 
+def _grid_data(spark, sf):
+    return three_way_split(v.emb_cls(spark, sf), "group_id")
+
+
 def _grid_metrics(spark, sf):
-    data = three_way_split(v.emb_cls(spark, sf), "group_id")
     settings = gr.expand_grid(spark, GRID)
-    metrics, _ = gr.run_grid(data, settings)
+    metrics, _ = gr.run_grid(_grid_data(spark, sf), settings, features="features")
     return metrics
 
 
@@ -29,17 +33,55 @@ def grd02(spark, sf):
     return _grid_metrics(spark, sf)
 
 
+@register("grd02_combined_features")
+def grd02_combined(spark, sf):
+    """Runs that differ in the features they read and in their epochs: halves of the embedding as style and
+    content, the first vector of the label as prompt."""
+    from suasion.operators.skew import key_join
+    from suasion.plans.q_features import _halves
+    h = _halves(spark, sf).select("group_id", F.col("style").alias("style_m"), F.col("content").alias("content_m"))
+    d = _grid_data(spark, sf).select("group_id", "persuaded", "split").join(h, "group_id")
+    first = d.groupBy("persuaded").agg(F.min_by(F.struct("style_m", "content_m"), "group_id").alias("c"))
+    d = key_join(d, first, "persuaded").withColumns({"style_c": F.col("c.style_m"), "content_c": F.col("c.content_m")})
+    settings = gr.expand_grid(spark, {"parameters": {
+        "combine_method": {"values": ["average", "concat"]}, "include_prompt": {"values": [False, True]},
+        "only_luar": {"values": [False, True]}, "epochs": {"values": [2, 4]}, "lr": {"value": 0.01}, "patience": {"value": 0}}})
+    metrics, _ = gr.run_grid(d, settings)
+    names = ("combine_method", "include_prompt", "only_luar", "epochs")
+    return metrics.join(settings.select("run_id", *[F.col("settings")[n].alias(n) for n in names]), "run_id")
+
+
 @register("grd03_summary")
 def grd03(spark, sf):
     return gr.summarize_runs(_grid_metrics(spark, sf), "eval_acc")
 
 
+@register("grd03_ranked_runs", v.with_views("scored") + """,
+runs AS (SELECT CAST(batch_id AS VARCHAR) AS run_id, CAST(vec_id % 7 AS INTEGER) AS epoch, avg(score) AS eval_acc
+         FROM scored GROUP BY 1, 2),
+best AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY eval_acc DESC, epoch) AS r FROM runs)
+SELECT run_id, epoch, round(eval_acc, 6) + 0.0 AS eval_acc FROM best WHERE r = 1""")
+def grd03_ranked(spark, sf):
+    """The summary on a run table derived from the data: exact."""
+    s = v.scored(spark, sf)
+    runs = s.groupBy(F.col("batch_id").cast("string").alias("run_id"), (F.col("vec_id") % 7).cast("int").alias("epoch")).agg(
+        F.avg("score").alias("eval_acc"))
+    return gr.summarize_runs(runs, "eval_acc").select("run_id", "epoch", r6("eval_acc").alias("eval_acc"))
+
+
 @register("snk05_run_metrics")
 def snk05(spark, sf):
-    m = _grid_metrics(spark, sf)
-    path = scratch_path(spark, "snk05-metrics")
-    write_metrics(m, path)
-    return spark.read.schema(m.schema).json(path).withColumn("source", F.lit(path))
+    """Run documents (settings, epochs, final metrics) written and read back, flattened; and the metrics as CSV."""
+    from suasion.sources import files as io
+    settings = gr.expand_grid(spark, GRID)
+    metrics, _ = gr.run_grid(_grid_data(spark, sf), settings, features="features")
+    path = scratch_path(spark, "snk05-runs")
+    io.write_run_documents(io.run_documents(metrics, settings), path)
+    back = io.read_run_documents(spark, path)
+    write_metrics(metrics, scratch_path(spark, "snk05-csv"), "csv")
+    return back.select("run_id", F.col("config")["lr"].alias("lr"), F.col("config")["weight_decay"].alias("weight_decay"),
+                       F.col("final.epoch").alias("best_epoch"), F.explode("epochs").alias("e")).select(
+        "run_id", "lr", "weight_decay", "best_epoch", "e.*")
 
 
 @register("entry_a_fold_metrics")

@@ -72,6 +72,14 @@ def evl03b(spark, sf):
     return a.select("batch_id", r6("roc_auc").alias("roc_auc"))
 
 
+@register("evl03_null_keys", W("scored") + """, src AS (
+  SELECT label, score, CASE WHEN batch_id % 3 = 0 THEN NULL ELSE batch_id END AS batch_id FROM scored)""" + _auc_sql("score", "batch_id"))
+def evl03_nulls(spark, sf):
+    """A null key is a group of its own."""
+    s = v.scored(spark, sf).withColumn("batch_id", F.when(F.col("batch_id") % 3 != 0, F.col("batch_id")))
+    return ev_.roc_auc(s, "label", "score", ["batch_id"]).select("batch_id", r6("roc_auc").alias("roc_auc"))
+
+
 @register("evl04_most_frequent_class", W("scored") + """
 SELECT batch_id, round(max(n) / sum(n), 6) + 0.0 AS mfc FROM (
   SELECT batch_id, label, count(*) AS n FROM scored GROUP BY batch_id, label) GROUP BY batch_id""")
@@ -83,14 +91,26 @@ def evl04(spark, sf):
 CE2_SQL = CE_SQL.replace("e0", "e2").replace("e1", "e3")
 
 
-@register("evl05_paired_t", L + f"""
-SELECT round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) + 0.0 AS t_stat, count(*) AS n
-FROM (SELECT {CE_SQL} - {CE2_SQL} AS d FROM logits)""")
+@register("evl05_paired_t", L + f""",
+d AS (SELECT {CE_SQL} - {CE2_SQL} AS d FROM logits),
+t AS (SELECT avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t, count(*) AS n FROM d),
+a AS (SELECT t, n, atan(abs(t) / sqrt(n - 1)) AS lo, least(pi() / 2, atan(abs(t) / sqrt(n - 1)) + 40 / sqrt(n - 1)) AS hi FROM t),
+tail AS (SELECT any_value(t) AS t, any_value(n) AS n,
+                sum(exp((n - 2) * ln(cos(lo + (hi - lo) * (k + 0.5) / 200000)))) * any_value((hi - lo) / 200000) AS s
+         FROM a, (SELECT unnest(range(200000)) AS k))
+SELECT round(t, 6) + 0.0 AS t_stat, n, round(s / (0.5 * sqrt(pi()) * exp(lgamma((n - 1) / 2.0) - lgamma(n / 2.0))), 6) + 0.0 AS p_value
+FROM tail""")
 def evl05(spark, sf):
     l = logits(spark, sf).select(ev_.cross_entropy2("e0", "e1", "label").alias("la"),
                                  ev_.cross_entropy2("e2", "e3", "label").alias("lb"))
-    t = ev_.paired_t(l, "la", "lb")
-    return t.select(r6("t_stat").alias("t_stat"), "n")
+    return ev_.paired_t(l, "la", "lb").select(r6("t_stat").alias("t_stat"), "n", r6("p_value").alias("p_value"))
+
+
+@register("evl05_no_controls", "SELECT 0.0 AS t_stat, count(*) AS n, 1.0 AS p_value FROM embeddings")
+def evl05_equal(spark, sf):
+    """Both losses equal (no controls were given): t = 0, p = 1."""
+    l = logits(spark, sf).select(ev_.cross_entropy2("e0", "e1", "label").alias("la"))
+    return ev_.paired_t(l, "la", "la").select(r6("t_stat").alias("t_stat"), "n", r6("p_value").alias("p_value"))
 
 
 @register("evl06_split_metrics", L + f""",
@@ -167,16 +187,45 @@ def trn05(spark, sf):
     return tr.l2_search(f, "folds_col", [0.0, 0.01, 0.1, 1.0])
 
 
-def _message_vectors(spark, sf):
-    m = v.messages(spark, sf)
-    vec = en.encode(m, "message", "message_id", "content", 64)
-    return m.select("message_id", "persuaded", "claim_id").join(vec, "message_id")
+@register("trn01_first_epoch", v.with_views("emb_cls") + """,
+g AS (SELECT DISTINCT group_id FROM emb_cls),
+sp AS (SELECT group_id, CASE WHEN r < (n * 6) // 10 THEN 'train' WHEN r < (n * 6) // 10 + (n * 2) // 10 THEN 'validation' ELSE 'test' END AS split
+       FROM (SELECT group_id, row_number() OVER (ORDER BY md5('42:' || group_id), group_id) - 1 AS r, count(*) OVER () AS n FROM g)),
+x AS (SELECT e.group_id, persuaded AS y, split, i, CAST(embedding[i + 1] AS DOUBLE) AS x
+      FROM emb_cls e JOIN sp ON e.group_id = sp.group_id, LATERAL (SELECT unnest(range(len(embedding))) AS i)
+      UNION ALL SELECT e.group_id, persuaded, split, -1, 1.0 FROM emb_cls e JOIN sp ON e.group_id = sp.group_id),
+w AS (SELECT i, -0.01 * g / (abs(g) + 1e-8) AS w FROM (SELECT i, avg((0.5 - y) * x) AS g FROM x WHERE split = 'train' GROUP BY i)),
+z AS (SELECT group_id, y, split, sum(w * x) AS h FROM x JOIN w ON x.i = w.i GROUP BY group_id, y, split)
+SELECT 'run' AS run_id, 1 AS epoch, round(ln(2), 6) AS train_loss, round(avg(1 - y) FILTER (split = 'train'), 6) + 0.0 AS train_acc,
+       round(avg(ln(1 + exp(CASE WHEN y = 1 THEN -2 * h ELSE 2 * h END))) FILTER (split = 'validation'), 6) + 0.0 AS eval_loss,
+       round(avg(CAST((h > 0) = (y = 1) AS DOUBLE)) FILTER (split = 'validation'), 6) + 0.0 AS eval_acc FROM z""")
+def trn01_epoch(spark, sf):
+    """One Adam epoch from a zero start, its losses and accuracies: exact."""
+    metrics, _ = tr.train_heads(_emb_split(spark, sf), [tr.HeadSetting("run", lr=0.01)], epochs=1)
+    return metrics.select("run_id", "epoch", *[r6(c).alias(c) for c in ("train_loss", "train_acc", "eval_loss", "eval_acc")])
+
+
+@register("trn03_first_epoch_heads", v.with_views("emb_cls") + """,
+g AS (SELECT group_id, count(*) AS n FROM emb_cls GROUP BY group_id),
+f AS (SELECT group_id, CAST((row_number() OVER (ORDER BY n DESC, md5('42:' || group_id), group_id) - 1) % 5 AS INTEGER) AS fold FROM g),
+x AS (SELECT e.group_id, persuaded AS y, fold, i, CAST(embedding[i + 1] AS DOUBLE) AS x
+      FROM emb_cls e JOIN f ON e.group_id = f.group_id, LATERAL (SELECT unnest(range(len(embedding))) AS i)
+      UNION ALL SELECT e.group_id, persuaded, fold, -1, 1.0 FROM emb_cls e JOIN f ON e.group_id = f.group_id),
+w AS (SELECT k, i, -0.05 * g / (abs(g) + 1e-8) AS w
+      FROM (SELECT k, i, avg((0.5 - y) * x) AS g FROM x, (SELECT unnest(range(5)) AS k) WHERE fold <> k GROUP BY k, i))
+SELECT group_id, fold AS folds_col, round(1 / (1 + exp(-2 * sum(w * x))), 6) + 0.0 AS p1
+FROM x JOIN w ON x.i = w.i AND x.fold = w.k GROUP BY group_id, fold""")
+def trn03_epoch(spark, sf):
+    """Out-of-fold scores of five heads after one epoch: exact."""
+    f = group_kfold(v.emb_cls(spark, sf), "group_id", fold_col="folds_col")
+    _, oof = tr.kfold_heads(f, "folds_col", [tr.HeadSetting("run", lr=0.05, patience=0)], epochs=1, keep=["group_id"], use_best=False)
+    return oof.select("group_id", "folds_col", r6("p1").alias("p1"))
 
 
 @register("enc01_encode")
 def enc01(spark, sf):
     """Content and style encodings of messages, as one long feature table."""
-    m = v.messages(spark, sf)
+    m = v.messages(spark, sf, claim=False, label=False)
     c = vector_to_long(en.encode(m, "message", "message_id", "content", 64).withColumnRenamed("message_id", "group_id"),
                        prefix="content_")
     s = vector_to_long(en.encode(m, "message", "message_id", "style", 64).withColumnRenamed("message_id", "group_id"),
@@ -184,38 +233,64 @@ def enc01(spark, sf):
     return c.unionByName(s)
 
 
+@register("enc01_style_exact", W("messages") + """,
+c AS (SELECT message_id, list_transform(range(1, length(message) + 1), lambda i: unicode(lower(message)[i])) AS c, message
+      FROM messages WHERE message IS NOT NULL),
+b AS (SELECT message_id, (c[i] * 1000003 + c[i + 1] * 10007 + c[i + 2]) % 62 AS b, count(*) AS n
+      FROM c, LATERAL (SELECT unnest(range(1, len(c.c) - 1)) AS i) GROUP BY 1, 2),
+z AS (SELECT message_id, sqrt(sum(n * n)) AS z FROM b GROUP BY 1),
+grid AS (SELECT m.message_id, i FROM messages m, (SELECT unnest(range(62)) AS i))
+SELECT grid.message_id AS group_id, printf('style_%03d', grid.i) AS feat, round(coalesce(b.n / z.z, 0.0), 6) + 0.0 AS value
+FROM grid LEFT JOIN b ON b.message_id = grid.message_id AND b.b = grid.i LEFT JOIN z ON z.message_id = grid.message_id
+UNION ALL
+SELECT message_id, 'style_062', round(coalesce(length(regexp_replace(message, '[^[:punct:]]', '', 'g')) / greatest(length(message), 1), 0.0), 6) + 0.0 FROM messages
+UNION ALL
+SELECT message_id, 'style_063', round(coalesce(length(regexp_replace(message, '[ \\t\\n\\r\\f\\x0B]+', '', 'g'))
+       / greatest(len(regexp_extract_all(message, '[^ \\t\\n\\r\\f\\x0B]+')), 1) / 10.0, 0.0), 6) + 0.0 FROM messages""")
+def enc01_style(spark, sf):
+    """ENC01 style encoder: code-point 3-grams, punctuation rate, mean word length."""
+    m = v.messages(spark, sf, claim=False, label=False)
+    vec = en.encode(m, "message", "message_id", "style", 64)
+    long = vector_to_long(vec.withColumnRenamed("message_id", "group_id"), prefix="style_")
+    return long.select("group_id", "feat", r6("value").alias("value"))
+
+
 @register("enc02_sentence_embeddings")
 def enc02(spark, sf):
-    _, msg = en.sentence_vectors(v.messages(spark, sf), "message", "message_id", "content", 64)
+    _, msg = en.sentence_vectors(v.messages(spark, sf, claim=False, label=False), "message", "message_id", "content", 64)
     return vector_to_long(msg.withColumnRenamed("message_id", "group_id"))
 
 
 @register("sco01_score_sentences")
 def sco01(spark, sf):
-    """Message-level model, saved and loaded, scoring every sentence → feature table."""
+    """Message-level model (fitted on the labelled messages), saved and loaded, scoring every sentence
+    of every message → feature table."""
     from pyspark.ml.classification import LogisticRegressionModel
-    data = _message_vectors(spark, sf)
+    m = v.messages(spark, sf, claim=False)
+    data = en.encode(m, "message", ["message_id", "persuaded"], "content", 64)
     model = tr.fit(data, "features", "persuaded", "lr", 0.01)
     path = scratch_path(spark, "sco01-model")
     model.write().overwrite().save(path)
     loaded = LogisticRegressionModel.load(path)
-    sv, _ = en.sentence_vectors(v.messages(spark, sf), "message", "message_id", "content", 64)
+    sv, _ = en.sentence_vectors(m, "message", "message_id", "content", 64)
     scored = tr.score(loaded, sv, "features", ["sent_id"])
     return tr.predictions_to_features(scored, "sent_id")
 
 
 @register("snk07_model_roundtrip")
 def snk07(spark, sf):
-    """Own head weights saved as a Parquet row, loaded back; both score every row."""
+    """Weights of the best and of the last epoch saved as Parquet rows and loaded back; all score every row."""
     d = _emb_split(spark, sf)
     _, final = tr.train_heads(d, [tr.HeadSetting("r0", lr=0.01, weight_decay=0.0)], epochs=5)
-    theta = final["r0"]["theta"]
-    path = scratch_path(spark, "snk07-head")
-    tr.save_head(spark, theta, final["r0"]["best_epoch"], path)
-    loaded, _ = tr.load_head(spark, path)
-    a = tr.head_scores(d, theta).select("group_id", F.col("p1").alias("p_before"))
-    b = tr.head_scores(d, loaded).select("group_id", F.col("p1").alias("p_after"))
-    return a.join(b, "group_id")
+    out = None
+    for which in ("best", "last"):
+        theta, path = final["r0"][f"{which}_theta"], scratch_path(spark, f"snk07-head-{which}")
+        tr.save_head(spark, theta, final["r0"][f"{which}_epoch"], path)
+        loaded, _ = tr.load_head(spark, path)
+        both = tr.head_scores(d, theta).withColumnRenamed("p1", "p_before").drop("pred")
+        part = tr.head_scores(both, loaded).select("group_id", F.lit(which).alias("epoch_kind"), "p_before", F.col("p1").alias("p_after"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @register("enc02_vector_average", """
@@ -229,23 +304,48 @@ def enc02_avg(spark, sf):
         "label", F.col("idx").cast("int").alias("idx"), r6("value").alias("value"))
 
 
+def _claim_factors(spark, sf, n: int = 3):
+    """Labelled messages with the PCA factors of their claim's text: (message_id, claim_id, claim, message, y, z0…)."""
+    from suasion.operators import features as fe
+    from suasion.operators.skew import key_join
+    m = v.messages(spark, sf).filter(F.col("persuaded").isNotNull() & F.col("claim").isNotNull())
+    claims = m.groupBy("claim_id").agg(F.first("claim").alias("claim"))
+    cv = en.encode(claims, "claim", "claim_id", "content", 32)
+    long = vector_to_long(cv.withColumnRenamed("claim_id", "group_id"))
+    names = [f"dim_feat_{i:03d}" for i in range(n)]
+    wide = fe.pca_reduce(long, n).groupBy("group_id").pivot("feat", names).agg(F.first("value"))
+    wide = wide.select(F.col("group_id").alias("claim_id"), *[F.col(c).alias(f"z{i}") for i, c in enumerate(names)])
+    return key_join(m.select("message_id", "claim_id", "message", F.col("persuaded").cast("double").alias("y")), wide, "claim_id", "inner")
+
+
 @register("fea06_rfa_residual")
 def fea06_residual(spark, sf):
     """P: outcome regressed on 3 PCA factors of the claim text; residual per message."""
     from suasion.operators import features as fe
-    m = v.messages(spark, sf)
-    claims = m.select("claim_id", "claim").dropDuplicates(["claim_id"])
-    cv = en.encode(claims, "claim", "claim_id", "content", 32)
-    long = vector_to_long(cv.withColumnRenamed("claim_id", "group_id"))
-    factors = fe.pca_reduce(long, 3)
-    wide = factors.groupBy("group_id").pivot("feat", ["dim_feat_000", "dim_feat_001", "dim_feat_002"]).agg(
-        F.first("value"))
-    data = m.select("message_id", "claim_id", F.col("persuaded").cast("double").alias("y")).join(
-        wide.withColumnRenamed("group_id", "claim_id"), "claim_id")
-    r = fe.residualize(data, "y", ["dim_feat_000", "dim_feat_001", "dim_feat_002"])
+    r = fe.residualize(_claim_factors(spark, sf), "y", ["z0", "z1", "z2"])
     return r.select("message_id", "claim_id", "y", "residual")
 
 
+@register("fea06_rfa_kfold")
+def fea06_kfold(spark, sf):
+    """P: per fold, factors of the claims, residual on {features, features × factors}, step 1 + step 2."""
+    from suasion.operators import features as fe
+    d = group_kfold(_claim_factors(spark, sf), "claim_id", fold_col="folds_col")
+    d = d.withColumn("features", en.content_column("message", 32))
+    return fe.rfa_kfold(d, "y", ["z0", "z1", "z2"], "features", "folds_col", keep=["message_id"])
+
+
+@register("fea06_step_one_exact", """
+WITH e AS (SELECT CAST(vec_id AS VARCHAR) AS group_id, CAST(label >= 5 AS DOUBLE) AS y, CAST(embedding[1] AS DOUBLE) AS z FROM embeddings),
+r AS (SELECT regr_slope(y, z) AS b, regr_intercept(y, z) AS a FROM e)
+SELECT e.group_id, round(e.y - (r.a + r.b * e.z), 6) + 0.0 AS residual FROM e, r""")
+def fea06_step_one(spark, sf):
+    """The least-squares step with one factor: exact."""
+    from suasion.operators import features as fe
+    e = v.emb_cls(spark, sf).select("group_id", F.col("persuaded").cast("double").alias("y"), F.col("features")[0].alias("z"))
+    return fe.residualize(e, "y", ["z"]).select("group_id", r6("residual").alias("residual"))
+
+
 @register("trn03_kfold_heads")
 def trn03_heads(spark, sf):
     """P: k folds × 2 settings trained together (one gradient pass per epoch for all ten
@@ -285,7 +385,7 @@ LEFT JOIN nrm ON nrm.group_id = grid.group_id"""
 @register("enc01_content_exact", _content_sql())
 def enc01_exact(spark, sf):
     """ENC01 content encoder with md5 buckets, so the whole encoding job is checked exactly."""
-    m = v.messages(spark, sf)
+    m = v.messages(spark, sf, claim=False, label=False)
     vec = en.encode(m, "message", "message_id", "content", 64, hashing="md5")
     long = vector_to_long(vec.withColumnRenamed("message_id", "group_id"), prefix="content_")
     return long.select("group_id", "feat", r6("value").alias("value"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from suasion.functions.numeric import epoch_seconds_utc, r6, utc_cutoff
+from suasion.functions.numeric import r6, utc_cutoff
 from suasion.functions.text import word_count
 from suasion.operators import evaluate as ev_
 from suasion.operators import features as fe
@@ -58,13 +58,13 @@ def flt01(spark, sf):
 
 @register("flt04_equality_lookup", W("messages") + "SELECT message_id, claim_id FROM messages WHERE persuaded = 0")
 def flt04(spark, sf):
-    return rel.equals(v.messages(spark, sf), "persuaded", 0).select("message_id", "claim_id")
+    return rel.equals(v.messages(spark, sf, claim=False), "persuaded", 0).select("message_id", "claim_id")
 
 
 @register("flt05_word_predicate", W("messages") + f"""
 SELECT message_id, {sql_words("message")} AS n_words FROM messages WHERE {sql_words("message")} < 50""")
 def flt05(spark, sf):
-    return rel.short_texts(v.messages(spark, sf), "message", 50).select(
+    return rel.short_texts(v.messages(spark, sf, claim=False, label=False), "message", 50).select(
         "message_id", word_count("message").alias("n_words"))
 
 
@@ -73,7 +73,25 @@ SELECT message_id FROM messages WHERE message_id IN (
   SELECT group_id FROM ngrams GROUP BY group_id HAVING sum(value) >= 100)""")
 def flt06(spark, sf):
     # per-row token count equals the group's 1-gram total (see rel.keep_frequent_groups)
-    return rel.keep_min_tokens(v.messages(spark, sf), 100, "message").select("message_id")
+    return rel.keep_min_tokens(v.messages(spark, sf, claim=False, label=False), 100, "message").select("message_id")
+
+
+@register("flt06_group_sums", W("messages") + sql_ngrams_cte(gid="claim_id") + """
+SELECT message_id FROM messages WHERE claim_id IN (
+  SELECT group_id FROM ngrams GROUP BY group_id HAVING sum(value) >= 3000)""")
+def flt06_groups(spark, sf):
+    """Groups of several messages: totals from the 1-gram table, messages kept by a semi join."""
+    m = v.messages(spark, sf, claim=False, label=False)
+    grams = rel.ngram_counts(m, "message", "claim_id")
+    return rel.keep_frequent_groups(m, grams, 3000, "group_id", "claim_id").select("message_id")
+
+
+@register("agg08_ngram_counts_by_claim", W("messages") + sql_ngrams_cte(gid="claim_id") + """
+SELECT group_id, feat, value, round(group_norm, 6) + 0.0 AS group_norm FROM ngrams""")
+def agg08_claims(spark, sf):
+    """Groups of several messages: counts and totals add up over the group's rows."""
+    g = rel.ngram_counts(v.messages(spark, sf, claim=False, label=False), "message", "claim_id")
+    return g.select("group_id", "feat", "value", r6("group_norm").alias("group_norm"))
 
 
 @register("jon01_stats_join", W("feat", "feat_holes") + """,
@@ -155,20 +173,20 @@ def agg02(spark, sf):
 SELECT round(avg({sql_words("message")}), 6) + 0.0 AS mean_words_message,
        round(avg({sql_words("claim")}), 6) + 0.0 AS mean_words_claim FROM messages""")
 def agg03(spark, sf):
-    m = v.messages(spark, sf)
-    return m.agg(r6(F.avg(word_count("message"))).alias("mean_words_message"),
-                 r6(F.avg(word_count("claim"))).alias("mean_words_claim"))
+    m = v.messages(spark, sf, label=False)
+    both = [rel.mean_word_count(m, c).select(r6("mean_words").alias(f"mean_words_{c}")) for c in ("message", "claim")]
+    return both[0].join(both[1], F.lit(True))  # two rows of one value
 
 
 @register("agg04_duplicate_report", W("messages") + """
 SELECT count(DISTINCT claim) AS n_distinct, count(*) AS n_rows FROM messages""")
 def agg04(spark, sf):
-    return rel.duplicate_report(v.messages(spark, sf), "claim")
+    return rel.duplicate_report(v.messages(spark, sf, label=False), "claim")
 
 
 @register("agg05_group_sizes", W("messages") + "SELECT claim_id, count(*) AS n FROM messages GROUP BY claim_id")
 def agg05(spark, sf):
-    return rel.group_sizes(v.messages(spark, sf), "claim_id")
+    return rel.group_sizes(v.messages(spark, sf, claim=False, label=False), "claim_id")
 
 
 @register("agg06_class_counts", W("ord") + """
@@ -180,7 +198,7 @@ def agg06(spark, sf):
 @register("agg08_ngram_counts", W("messages") + sql_ngrams_cte() + """
 SELECT group_id, feat, value, round(group_norm, 6) + 0.0 AS group_norm FROM ngrams""")
 def agg08(spark, sf):
-    g = rel.ngram_counts(v.messages(spark, sf), "message", "message_id")
+    g = rel.ngram_counts(v.messages(spark, sf, claim=False, label=False), "message", "message_id")
     return g.select("group_id", "feat", "value", r6("group_norm").alias("group_norm"))
 
 
@@ -197,23 +215,38 @@ m_split AS (SELECT claim_id, CASE WHEN r < (g * 6) // 10 THEN 'train'
 SELECT s.split, count(*) AS n FROM messages m JOIN m_split s ON m.claim_id IS NOT DISTINCT FROM s.claim_id
 GROUP BY s.split""")
 def agg09(spark, sf):
-    s = sp.three_way_split(v.messages(spark, sf), "claim_id")
+    s = sp.three_way_split(v.messages(spark, sf, claim=False, label=False), "claim_id")
     return rel.rows_per_value(s, "split")
 
 
 CE_SQL = """(greatest(e0, e1) + ln(exp(e0 - greatest(e0, e1)) + exp(e1 - greatest(e0, e1)))
              - CASE WHEN label = 1 THEN e1 ELSE e0 END)"""
-LOGITS_SQL = """,
-logits AS (SELECT vec_id, CAST(label >= 5 AS INTEGER) AS label, vec_id // 64 AS batch_id,
-                  CAST(embedding[1] AS DOUBLE) AS e0, CAST(embedding[2] AS DOUBLE) AS e1,
-                  CAST(embedding[3] AS DOUBLE) AS e2, CAST(embedding[4] AS DOUBLE) AS e3 FROM embeddings)"""
+# A trained head's logits in SQL.  From a zero start Adam's first step is -lr * g / (|g| + 1e-8) with
+# g = avg((0.5 - y) * [x, 1]); e0/e1 are the logits of a head with step 0.05, e2/e3 with step 0.1.
+HEAD_LR = 0.05
+LOGITS_SQL = f""",
+head_x AS (SELECT vec_id, CAST(label >= 5 AS INTEGER) AS label, i, CAST(embedding[i + 1] AS DOUBLE) AS x
+           FROM embeddings, LATERAL (SELECT unnest(range(len(embedding))) AS i)
+           UNION ALL SELECT vec_id, CAST(label >= 5 AS INTEGER), -1, 1.0 FROM embeddings),
+head_w AS (SELECT i, -{HEAD_LR} * g / (abs(g) + 1e-8) AS w
+           FROM (SELECT i, avg((0.5 - label) * x) AS g FROM head_x GROUP BY i)),
+logits AS (SELECT vec_id, label, vec_id // 64 AS batch_id, -sum(w * x) AS e0, sum(w * x) AS e1,
+                  -2 * sum(w * x) AS e2, 2 * sum(w * x) AS e3
+           FROM head_x JOIN head_w ON head_x.i = head_w.i GROUP BY vec_id, label)"""
 
 
 def logits(spark, sf):
-    e = table(spark, sf, "embeddings")
-    return e.select("vec_id", (F.col("label") >= 5).cast("int").alias("label"),
-                    F.floor(F.col("vec_id") / 64).cast("bigint").alias("batch_id"),
-                    *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)])
+    """Scores of two heads trained for one epoch on the embeddings (see LOGITS_SQL)."""
+    from suasion.operators import train as tr
+    e = table(spark, sf, "embeddings").select(
+        "vec_id", (F.col("label") >= 5).cast("int").alias("label"), F.floor(F.col("vec_id") / 64).cast("bigint").alias("batch_id"),
+        F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+    heads = [tr.HeadSetting(n, lr=lr, patience=0, load_best=False) for n, lr in (("a", HEAD_LR), ("b", 2 * HEAD_LR))]
+    _, final = tr.train_heads(e.withColumn("split", F.lit("train")), heads, "features", "label", epochs=1)
+    for k, run in enumerate("ab"):
+        h = tr.head_logit(final[run]["theta"], "features")
+        e = e.withColumn(f"e{2 * k + 1}", h).withColumn(f"e{2 * k}", -F.col(f"e{2 * k + 1}"))
+    return e.drop("features")
 
 
 @register("agg10_batch_loss_mean", "WITH x AS (SELECT 1)" + LOGITS_SQL + f"""
@@ -227,7 +260,7 @@ def agg10(spark, sf):
 @register("srt01_sort_prompt", W("messages") + """
 SELECT message_id, row_number() OVER (ORDER BY claim NULLS FIRST, message_id NULLS FIRST) - 1 AS pos FROM messages""")
 def srt01(spark, sf):
-    m = v.messages(spark, sf).select("message_id", "claim")
+    m = v.messages(spark, sf, label=False).select("message_id", "claim")
     return global_index(m, [F.col("claim").asc_nulls_first(), F.col("message_id").asc_nulls_first()],
                         "pos").select("message_id", "pos")
 
@@ -256,10 +289,11 @@ ord_best AS (SELECT fold, size, CAST(abs(size - (SELECT count(*) FROM ord) // 5)
              FROM ord_sizes ORDER BY diff, fold LIMIT 1)"""
 
 
-@register("srt04_argmin_first", W("ord") + ORD_FOLDS_SQL + "SELECT fold, size, diff FROM ord_best")
+@register("srt04_argmin_first", W("ev") + """
+SELECT value, event_id FROM ev WHERE value IS NOT NULL ORDER BY value, event_id LIMIT 1""")
 def srt04(spark, sf):
-    f = sp.stratified_group_kfold(v.ord_(spark, sf), "o_custkey", "label", 5, 42, "fold")
-    return sp.best_fold(f, "fold", 5)
+    e = v.ev(spark, sf).filter(F.col("value").isNotNull())
+    return rel.argmin_first(e, "value", "event_id")
 
 
 @register("srt05_best_run", "WITH x AS (SELECT 1)" + LOGITS_SQL + """
@@ -286,8 +320,10 @@ def srt06(spark, sf):
 
 
 @register("mth07_epoch_cutoff", W("ev") + """
-SELECT event_id, CAST(date_diff('second', TIMESTAMP '1970-01-01 00:00:00', date_trunc('day', ts)) AS BIGINT) AS day_utc
-FROM (SELECT e.event_id, x.ts FROM ev e JOIN events x ON e.event_id = x.event_id)""")
+SELECT event_id, created_utc - date_diff('second', TIMESTAMP '1970-01-01', TIMESTAMP '2024-01-24') AS seconds_after_cutoff,
+       created_utc >= date_diff('second', TIMESTAMP '1970-01-01', TIMESTAMP '2024-01-24') AS out_of_time FROM ev""")
 def mth07(spark, sf):
-    e = table(spark, sf, "events")
-    return e.select("event_id", epoch_seconds_utc("date_trunc('DAY', ts)").alias("day_utc"))
+    e = v.ev(spark, sf)
+    cut = F.lit(utc_cutoff(2024, 1, 24))
+    return e.select("event_id", (F.col("created_utc") - cut).alias("seconds_after_cutoff"),
+                    (F.col("created_utc") >= cut).alias("out_of_time"))

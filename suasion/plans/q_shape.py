@@ -24,7 +24,7 @@ def sql_tokens(x: str) -> str:
 
 @register("prj01_rename_label", W("messages") + "SELECT message_id, claim_id, persuaded FROM messages")
 def prj01(spark, sf):
-    m = v.messages(spark, sf).withColumnRenamed("persuaded", "outcome_label")
+    m = v.messages(spark, sf, claim=False).withColumnRenamed("persuaded", "outcome_label")
     return sh.rename_if_present(m, "outcome_label", "persuaded").select("message_id", "claim_id", "persuaded")
 
 
@@ -35,13 +35,15 @@ def prj02(spark, sf):
     return sh.to_message_table(v.messages(spark, sf))
 
 
-@register("prj03_fill_missing_columns", W("messages") + """
-SELECT message_id, claim_id, CAST(NULL AS BIGINT) AS message_created_utc,
-       CAST(NULL AS BIGINT) AS claim_created_utc FROM messages""")
+@register("prj03_fill_missing_columns", W("ev") + """
+SELECT event_id, 'cmv_v001' AS format, CAST(NULL AS BIGINT) AS message_created_utc, CAST(NULL AS BIGINT) AS claim_created_utc FROM ev
+UNION ALL SELECT event_id, 'cmv_v002', CAST(NULL AS BIGINT), created_utc FROM ev""")
 def prj03(spark, sf):
-    m = v.messages(spark, sf).drop("message_created_utc", "claim_created_utc")
-    return sh.fill_time_columns(m, "cmv_v002").select("message_id", "claim_id", "message_created_utc",
-                                                       "claim_created_utc")
+    """A table with one of the two time columns: v001 nulls both, v002 keeps it and adds the other."""
+    e = v.ev(spark, sf).select("event_id", F.col("created_utc").alias("claim_created_utc"))
+    return sh.fill_time_columns(e, "cmv_v001").withColumn("format", F.lit("cmv_v001")).unionByName(
+        sh.fill_time_columns(e, "cmv_v002").withColumn("format", F.lit("cmv_v002"))).select(
+        "event_id", "format", "message_created_utc", "claim_created_utc")
 
 
 PROMPT_IDS_SQL = W("messages") + """,
@@ -54,7 +56,7 @@ FROM messages m LEFT JOIN ids ON m.claim IS NOT DISTINCT FROM ids.claim"""
 
 @register("prj04_prompt_ids", PROMPT_IDS_SQL)
 def prj04(spark, sf):
-    m = sh.add_prompt_ids(v.messages(spark, sf), prompt="claim", id_col="prompt_id")
+    m = sh.add_prompt_ids(v.messages(spark, sf, label=False), prompt="claim", id_col="prompt_id")
     return m.select("message_id", "claim_id", "prompt_id")
 
 
@@ -65,7 +67,7 @@ SELECT message_id,
                    CAST(length(CAST(count(*) OVER () AS VARCHAR)) AS INTEGER), '0') AS row_id
 FROM messages""")
 def prj05(spark, sf):
-    m = sh.add_row_ids(v.messages(spark, sf), ["claim", "message", "message_id"], id_col="row_id")
+    m = sh.add_row_ids(v.messages(spark, sf, label=False), ["claim", "message", "message_id"], id_col="row_id")
     return m.select("message_id", "row_id")
 
 
@@ -96,7 +98,7 @@ def set01(spark, sf):
 @register("prj07_text_assembly", W("messages") + """
 SELECT message_id, coalesce(claim, '') || ' ' || message AS text, message AS text_message_only FROM messages""")
 def prj07(spark, sf):
-    m = sh.text_column(v.messages(spark, sf), "claim", "message", True, "text")
+    m = sh.text_column(v.messages(spark, sf, label=False), "claim", "message", True, "text")
     m = sh.text_column(m, "claim", "message", False, "text_message_only")
     return m.select("message_id", "text", "text_message_only")
 
@@ -109,7 +111,7 @@ SELECT message_id,
            {sql_tokens("coalesce(message, '')")}), ' ') AS merged
 FROM messages""")
 def prj08(spark, sf):
-    m = v.messages(spark, sf)
+    m = v.messages(spark, sf, label=False)
     return m.select("message_id", token_budget_merge("claim", "message", 64).alias("merged"))
 
 
@@ -117,7 +119,7 @@ def prj08(spark, sf):
 SELECT message_id, array_to_string(list_slice({sql_tokens("message")}, 1, 64), ' ') AS truncated
 FROM messages""")
 def prj09(spark, sf):
-    m = v.messages(spark, sf)
+    m = v.messages(spark, sf, claim=False, label=False)
     return m.select("message_id", truncate_tokens("message", 64).alias("truncated"))
 
 
@@ -153,7 +155,7 @@ def rsh04(spark, sf):
     width = e.select(F.max(F.size("embedding"))).first()[0] or 0
     wide = e.select(F.col("vec_id").cast("string").alias("group_id"),
                     *[F.col("embedding")[i].cast("double").alias(f"dim_feat_{i:03d}") for i in range(width)])
-    long = sh.wide_to_long(wide).filter(F.col("value").isNotNull())
+    long = sh.wide_to_long(wide)
     return long.select("group_id", "feat", r6("value").alias("value"))
 
 
@@ -169,22 +171,21 @@ def rsh05(spark, sf):
         "group_id", F.col("feat_idx").cast("bigint").alias("feat_idx"), r6("value").alias("value"))
 
 
-PIVOT_FEATS = [f"dim_feat_{i:03d}" for i in range(64)]
-
-
-@register("agg07_pivot_mean", W("feat", "feat_holes") + "SELECT group_id, " + ", ".join(
-    f"round(avg(CASE WHEN feat = '{f}' THEN value END), 6) + 0.0 AS {f}" for f in PIVOT_FEATS)
-    + " FROM (SELECT group_id, feat, value FROM feat UNION ALL SELECT group_id, feat, value FROM feat_holes)"
-    " GROUP BY group_id")
+@register("agg07_pivot_mean", W("feat", "feat_holes") + """
+SELECT group_id, feat, round(avg(value), 6) + 0.0 AS value
+FROM (SELECT group_id, feat, value FROM feat UNION ALL SELECT group_id, feat, value FROM feat_holes) GROUP BY group_id, feat""")
 def agg07(spark, sf):
+    """Wide with the features found in the data as columns, then its cells again (the column set depends
+    on the data, so the check is on cells)."""
     both = v.feat(spark, sf).unionByName(v.feat_holes(spark, sf))
-    p = rel.pivot_mean(both, PIVOT_FEATS)
-    return p.select("group_id", *[r6(f).alias(f) for f in PIVOT_FEATS])
+    feats = [r["feat"] for r in sh.feature_dictionary(both).orderBy("feat_idx").limit(sh.MAX_DENSE + 1).collect()]
+    wide = rel.pivot_mean(both, feats)
+    return sh.wide_to_long(wide).filter(F.col("value").isNotNull()).select("group_id", "feat", r6("value").alias("value"))
 
 
 @register("set02_distinct_values", W("messages") + "SELECT DISTINCT claim_id FROM messages")
 def set02(spark, sf):
-    return sh.distinct_values(v.messages(spark, sf), "claim_id")
+    return sh.distinct_values(v.messages(spark, sf, claim=False, label=False), "claim_id")
 
 
 @register("set03_drop_duplicates", W("ev") + """

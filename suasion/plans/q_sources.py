@@ -53,13 +53,15 @@ def src04(spark, sf):
 
 
 @register("snk01_split_files", W("messages") + SPLIT3_SQL + """
-SELECT m.message_id, m.claim_id, s.split FROM messages m JOIN m_split s ON m.claim_id = s.claim_id""")
+SELECT m.message_id, m.message, m.claim_id, m.persuaded, s.split
+FROM messages m JOIN m_split s ON m.claim_id IS NOT DISTINCT FROM s.claim_id""")
 def snk01(spark, sf):
-    s = three_way_split(v.messages(spark, sf), "claim_id").select("message_id", "claim_id", "split")
+    cols = ["message_id", "message", "claim_id", "persuaded"]
+    s = three_way_split(v.messages(spark, sf, claim=False), "claim_id").select(*cols, "split")
     path = scratch_path(spark, "snk01-splits")
     io.write_json_splits(s, path, "split")
-    back = spark.read.schema("message_id string, claim_id string, split string").json(path)
-    return back.select("message_id", "claim_id", "split")
+    back = spark.read.schema("message_id string, message string, claim_id string, persuaded int, split string").json(path)
+    return back.select(*cols, "split")
 
 
 @register("snk02_feature_csv", FLAGSHIP_SQL)

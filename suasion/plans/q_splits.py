@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from suasion.functions.numeric import floor_fraction, utc_cutoff
@@ -39,6 +40,22 @@ def spl03(spark, sf):
     return s.select("o_orderkey", "split", "folds_col")
 
 
+NULL_GROUPS_SQL = W("ord").replace("o_custkey,", "CASE WHEN o_custkey % 10 < 4 THEN NULL ELSE o_custkey END AS o_custkey,", 1)
+
+
+@register("spl03_null_groups", NULL_GROUPS_SQL + ORD_FOLDS_SQL + """,
+rest AS (SELECT o_custkey, n, n1 FROM ord_folds WHERE fold <> (SELECT fold FROM ord_best)),
+rest_folds AS (SELECT o_custkey, CAST((row_number() OVER (ORDER BY n DESC, n1 DESC,
+                      md5('42:' || CAST(o_custkey AS VARCHAR)), o_custkey) - 1) % 5 AS INTEGER) AS folds_col
+               FROM rest)
+SELECT o.o_orderkey, CASE WHEN o.o_custkey IS NOT NULL AND r.o_custkey IS NULL THEN 'test' ELSE 'train' END AS split, r.folds_col
+FROM ord o LEFT JOIN rest_folds r ON o.o_custkey = r.o_custkey""")
+def spl03_nulls(spark, sf):
+    """Four tenths of the groups are null: their rows stay train rows without a fold."""
+    o = v.ord_(spark, sf).withColumn("o_custkey", F.when(F.col("o_custkey") % 10 >= 4, F.col("o_custkey")))
+    return sp.best_fold_split(o, "o_custkey", "label").select("o_orderkey", "split", "folds_col")
+
+
 @register("spl04_group_kfold", W("ev") + EV_FOLDS_SQL + """
 SELECT e.event_id, f.folds_col FROM ev e JOIN ev_folds f ON e.user_id = f.user_id""")
 def spl04(spark, sf):
@@ -55,7 +72,7 @@ def spl05(spark, sf):
 @register("spl06_three_way_split", W("messages") + SPLIT3_SQL + """
 SELECT m.message_id, s.split FROM messages m JOIN m_split s ON m.claim_id IS NOT DISTINCT FROM s.claim_id""")
 def spl06(spark, sf):
-    return sp.three_way_split(v.messages(spark, sf), "claim_id").select("message_id", "split")
+    return sp.three_way_split(v.messages(spark, sf, claim=False, label=False), "claim_id").select("message_id", "split")
 
 
 RECIPE_SQL = W("ev") + f""",
@@ -82,11 +99,19 @@ def spl07(spark, sf):
 
 
 @register("spl08_fold_select", W("ev") + EV_FOLDS_SQL + """
-SELECT e.event_id, k.i AS fold, CASE WHEN f.folds_col = k.i THEN 'validation' ELSE 'train' END AS role
-FROM ev e JOIN ev_folds f ON e.user_id = f.user_id CROSS JOIN (SELECT unnest(range(5)) AS i) k""")
+SELECT e.event_id, CASE WHEN f.folds_col = 2 THEN 'validation' ELSE 'train' END AS role
+FROM ev e JOIN ev_folds f ON e.user_id = f.user_id""")
 def spl08(spark, sf):
-    f = sp.group_kfold(v.ev(spark, sf), "user_id")
-    return sp.fold_roles(f, 5).select("event_id", "fold", "role")
+    train, validation = sp.fold_split(sp.group_kfold(v.ev(spark, sf), "user_id"), 2)
+    return (train.select("event_id", F.lit("train").alias("role"))
+            .unionByName(validation.select("event_id", F.lit("validation").alias("role"))))
+
+
+@register("spl08_fold_counts", W("ev") + EV_FOLDS_SQL + """
+SELECT f.folds_col AS fold, CAST((SELECT sum(n) FROM ev_sizes) - count(*) AS BIGINT) AS n_train, count(*) AS n_validation
+FROM ev e JOIN ev_folds f ON e.user_id = f.user_id GROUP BY f.folds_col""")
+def spl08_counts(spark, sf):
+    return sp.fold_counts(sp.group_kfold(v.ev(spark, sf), "user_id"))
 
 
 @register("mth01_floor_fraction", W("ev") + """
@@ -103,6 +128,7 @@ SELECT fold, size, CAST(abs(size - (SELECT count(*) FROM ord) // 5) AS BIGINT) A
 def mth02(spark, sf):
     from suasion.functions.numeric import abs_diff
     f = sp.stratified_group_kfold(v.ord_(spark, sf), "o_custkey", "label", 5, 42, "fold")
-    sizes = f.filter(F.col("fold").isNotNull()).groupBy("fold").agg(F.count(F.lit(1)).alias("size"))
-    total = f.count()
-    return sizes.select("fold", "size", abs_diff("size", F.lit(total // 5)).cast("bigint").alias("diff"))
+    sizes = f.groupBy("fold").agg(F.count(F.lit(1)).alias("size"))  # k rows, and one for null groups
+    ideal = F.floor(F.sum("size").over(Window.partitionBy()) / 5)
+    return (sizes.select("fold", "size", abs_diff("size", ideal).cast("bigint").alias("diff"))
+            .filter(F.col("fold").isNotNull()))

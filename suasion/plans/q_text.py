@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from suasion.functions import numeric as nm
-from suasion.functions.text import join_tokens, sentences, tokens, word_count
+from suasion.functions.text import join_tokens, lower_tokens, sentences, token_count, tokens, word_count
 from suasion.operators import evaluate as ev_
 from suasion.plans import views as v
 from suasion.plans.q_relational import CE_SQL, LOGITS_SQL, logits, sql_words
@@ -19,7 +19,7 @@ W = v.with_views
 @register("txt01_word_count", W("messages") + f"""
 SELECT message_id, {sql_words("message")} AS n_words, {sql_words("claim")} AS n_words_claim FROM messages""")
 def txt01(spark, sf):
-    m = v.messages(spark, sf)
+    m = v.messages(spark, sf, label=False)
     return m.select("message_id", word_count("message").alias("n_words"),
                     word_count("claim").alias("n_words_claim"))
 
@@ -39,7 +39,7 @@ FROM (SELECT message_id,
              string_split(regexp_replace(message, '([.!?])[ \\t\\n\\r\\f\\x0B]+', '\\1' || chr(1), 'g'), chr(1)) AS s
       FROM messages WHERE message IS NOT NULL), LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i)""")
 def txt03(spark, sf):
-    m = v.messages(spark, sf).filter(F.col("message").isNotNull())
+    m = v.messages(spark, sf, claim=False, label=False).filter(F.col("message").isNotNull())
     return m.select("message_id", F.posexplode(sentences("message")).alias("sent_idx", "sentence"))
 
 
@@ -47,15 +47,32 @@ def txt03(spark, sf):
 SELECT message_id, len({sql_tokens("message")}) AS n_tokens,
        md5(array_to_string({sql_tokens("message")}, ' ')) AS tokens_md5 FROM messages""")
 def txt04(spark, sf):
-    m = v.messages(spark, sf)
+    m = v.messages(spark, sf, claim=False, label=False)
     return m.select("message_id", F.size(tokens("message")).alias("n_tokens"),
                     F.md5(join_tokens(tokens("message"))).alias("tokens_md5"))
 
 
+def _lower_tokens_sql() -> str:
+    from suasion.plans.q_relational import SQL_STRIP
+    return (f"list_filter(list_transform({sql_tokens('lower(message)')}, "
+            f"lambda w: regexp_replace(w, {SQL_STRIP}, '', 'g')), lambda w: w <> '')")
+
+
+@register("txt04_lower_tokens", W("messages") + f"""
+SELECT message_id, len({_lower_tokens_sql()}) AS n_tokens, md5(array_to_string({_lower_tokens_sql()}, ' ')) AS tokens_md5
+FROM messages""")
+def txt04_lower(spark, sf):
+    """The 1-gram tokeniser itself, and that the one-scan token count agrees with it."""
+    m = v.messages(spark, sf, claim=False, label=False)
+    t = lower_tokens("message")
+    return m.select("message_id", F.when(F.size(t) == token_count("message"), F.size(t)).alias("n_tokens"),
+                    F.md5(join_tokens(t)).alias("tokens_md5"))
+
+
 @register("txt05_token_join", W("messages") + f"""
 SELECT message_id, array_to_string({sql_tokens("message")}, ' ') AS joined FROM messages""")
 def txt05(spark, sf):
-    m = v.messages(spark, sf)
+    m = v.messages(spark, sf, claim=False, label=False)
     return m.select("message_id", join_tokens(tokens("message")).alias("joined"))
 
 

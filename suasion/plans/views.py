@@ -3,12 +3,13 @@
 Each view has a Spark builder and an equivalent DuckDB CTE (``SQL[name]``) so
 an oracle query can start ``WITH <cte>, ... SELECT``.  Rules (fixed):
 
-* messages  documents JOIN labels; message_id = doc_id as text, message = text,
+* messages  all documents; message_id = doc_id as text, message = text,
             claim_id = lang || ':' || source, claim = text of the lowest doc_id
-            in that claim, persuaded = quality, time columns null.
-* pairs     conversations; claim = first user turn, positive = first assistant
-            turn after it, negative = first user turn after that; incomplete
-            conversations dropped; created_utc = 1704067200 + 3600*conv_id + 60*turn.
+            in that claim, persuaded = quality of the label if there is one, time columns null.
+* pairs     conversations; every user turn that has a later assistant turn and a user
+            turn after that is a claim; positive = the next assistant turn, negative =
+            the next user turn after it; ids = conv_id || ':' || turn;
+            created_utc = 1704067200 + 3600*conv_id + 60*turn.
 * feat      embeddings; group_id = vec_id as text, feat = dim_feat_%03d of the
             0-based position, value = group_norm = element as double.
 * feat_holes feat without cells where (vec_id + pos) % 7 = 0, plus a constant
@@ -22,7 +23,7 @@ an oracle query can start ``WITH <cte>, ... SELECT``.  Rules (fixed):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from suasion.functions.numeric import epoch_seconds_utc
@@ -31,50 +32,49 @@ from suasion.sources.tables import table
 PAIR_TIME_BASE = 1704067200  # 2024-01-01 00:00:00 UTC
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    labs = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    m = docs.join(labs, "doc_id").select(
-        F.col("doc_id").cast("string").alias("message_id"),
-        F.col("text").alias("message"),
-        F.concat(F.col("lang"), F.lit(":"), F.col("source")).alias("claim_id"),
-        F.col("quality").alias("persuaded"),
-        F.col("doc_id").alias("_doc"))
-    # one row per claim (partial aggregation, skew-safe); joined back on claim_id with a
-    # claim holding a third of the messages split over salted sub-keys
-    from suasion.operators.skew import hot_keys, salted_join
-    from suasion.session import checkpointed
-    claims = m.groupBy("claim_id").agg(F.min_by("message", "_doc").alias("claim"))
-    # claim sizes (one row per claim, no text) are materialised once for the hot-key check
-    sizes = checkpointed(m.select("claim_id").groupBy("claim_id").agg(F.count(F.lit(1)).alias("n")))
-    return (salted_join(m, claims, "claim_id", hot_keys(sizes, "claim_id"))
-            .select("message_id", "message", "claim_id", "claim", "persuaded",
-                    F.lit(None).cast("bigint").alias("message_created_utc"),
-                    F.lit(None).cast("bigint").alias("claim_created_utc")))
+def messages(spark: SparkSession, sf_dir: str, claim: bool = True, label: bool = True) -> DataFrame:
+    """All documents as messages.  ``persuaded`` (null without a label) and ``claim`` are joined
+    only where the caller asks for them, so a query that reads neither has no join."""
+    m = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("message_id"), F.col("text").alias("message"),
+        F.concat(F.col("lang"), F.lit(":"), F.col("source")).alias("claim_id"), F.col("doc_id").alias("_doc"))
+    if label:
+        labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_doc"), F.col("quality").alias("persuaded"))
+        m = m.join(labels, "_doc", "left")
+    if claim:
+        from suasion.operators.skew import key_join
+        claims = m.filter(F.col("claim_id").isNotNull()).groupBy("claim_id").agg(F.min_by("message", "_doc").alias("claim"))
+        m = key_join(m, claims, "claim_id")
+    times = [F.lit(None).cast("bigint").alias(c) for c in ("message_created_utc", "claim_created_utc")]
+    return m.select("message_id", "message", "claim_id", *["claim"] * claim, *["persuaded"] * label, *times)
+
+
+TURNS_PER_BLOCK = 1024
+
+
+def _next_turn(conv: DataFrame, role: str, out: str) -> DataFrame:
+    """Adds the next later turn of ``role`` in the conversation.  A conversation of any length is
+    windowed in blocks of ``TURNS_PER_BLOCK`` turns; the blocks' first turns carry over."""
+    block = F.floor(F.col("turn") / TURNS_PER_BLOCK).alias("_block")
+    mine = F.when(F.col("role") == role, F.col("turn"))
+    inside = Window.partitionBy("conv_id", "_block").orderBy("turn").rowsBetween(1, Window.unboundedFollowing)
+    rows = conv.select("*", block).withColumn("_near", F.min(mine).over(inside))
+    firsts = rows.groupBy("conv_id", "_block").agg(F.min(mine).alias("_first"))
+    later = Window.partitionBy("conv_id").orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
+    carried = firsts.select("conv_id", "_block", F.min("_first").over(later).alias("_far"))
+    return rows.join(carried, ["conv_id", "_block"]).select(*conv.columns, F.coalesce("_near", "_far").alias(out))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    user = conv.filter(F.col("role") == "user")
-    asst = conv.filter(F.col("role") == "assistant")
-    ct = user.groupBy("conv_id").agg(F.min("turn").alias("ct"))
-    pt = (asst.join(ct, "conv_id").filter(F.col("turn") > F.col("ct"))
-          .groupBy("conv_id", "ct").agg(F.min("turn").alias("pt")))
-    nt = (user.join(pt, "conv_id").filter(F.col("turn") > F.col("pt"))
-          .groupBy("conv_id", "ct", "pt").agg(F.min("turn").alias("nt")))
-    wanted = nt.select("conv_id", F.explode(F.array(
-        F.struct(F.col("ct").alias("turn"), F.lit("c").alias("tag")),
-        F.struct(F.col("pt").alias("turn"), F.lit("p").alias("tag")),
-        F.struct(F.col("nt").alias("turn"), F.lit("n").alias("tag")))).alias("w"))
-    wanted = wanted.select("conv_id", "w.turn", "w.tag")
-    texts = wanted.join(conv.select("conv_id", "turn", "text"), ["conv_id", "turn"])
-
-    def pick(tag, what):
-        return F.max(F.when(F.col("tag") == tag, F.col(what)))
-
-    g = texts.groupBy("conv_id").agg(pick("c", "turn").alias("ct"), pick("c", "text").alias("cb"),
-                                     pick("p", "turn").alias("pt"), pick("p", "text").alias("pb"),
-                                     pick("n", "turn").alias("nt"), pick("n", "text").alias("nb"))
+    conv = _next_turn(_next_turn(conv, "assistant", "na"), "user", "nu")
+
+    def side(tag):
+        return conv.select("conv_id", F.col("turn").alias(tag + "t"), F.col("text").alias(tag + "b"), F.col("nu").alias(tag + "n"))
+    claims = conv.filter((F.col("role") == "user") & F.col("na").isNotNull()).select(
+        "conv_id", F.col("turn").alias("ct"), F.col("text").alias("cb"), F.col("na").alias("pt"))
+    g = claims.join(side("p").filter(F.col("pn").isNotNull()), ["conv_id", "pt"]).withColumn("nt", F.col("pn"))
+    g = g.join(side("n"), ["conv_id", "nt"])
 
     def utc(turn):
         return (F.lit(PAIR_TIME_BASE) + F.col("conv_id") * 3600 + F.col(turn) * 60).cast("bigint")
@@ -83,10 +83,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col(turn).cast("string"))
 
     return g.select(
-        F.col("conv_id").cast("string").alias("claim_id"), F.col("cb").alias("claim_body"),
-        utc("ct").alias("claim_created_utc"),
-        rid("pt").alias("positive_id"), F.col("pb").alias("positive_body"),
-        utc("pt").alias("positive_created_utc"),
+        rid("ct").alias("claim_id"), F.col("cb").alias("claim_body"), utc("ct").alias("claim_created_utc"),
+        rid("pt").alias("positive_id"), F.col("pb").alias("positive_body"), utc("pt").alias("positive_created_utc"),
         rid("nt").alias("negative_id"), F.col("nb").alias("negative_body"),
         utc("nt").alias("negative_created_utc"))
 
@@ -150,7 +148,7 @@ SQL = {
 messages_base AS (
   SELECT CAST(d.doc_id AS VARCHAR) AS message_id, d.text AS message,
          d.lang || ':' || d.source AS claim_id, l.quality AS persuaded, d.doc_id AS _doc
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 messages_claims AS (
   SELECT claim_id, arg_min(message, _doc) AS claim FROM messages_base GROUP BY claim_id),
 messages AS (
@@ -158,22 +156,19 @@ messages AS (
          CAST(NULL AS BIGINT) AS message_created_utc, CAST(NULL AS BIGINT) AS claim_created_utc
   FROM messages_base b LEFT JOIN messages_claims c ON b.claim_id = c.claim_id)""",
     "pairs": """
-pairs_ct AS (SELECT conv_id, min(turn) AS ct FROM conversations WHERE role = 'user' GROUP BY conv_id),
-pairs_pt AS (SELECT a.conv_id, c.ct, min(a.turn) AS pt FROM conversations a JOIN pairs_ct c
-             ON a.conv_id = c.conv_id WHERE a.role = 'assistant' AND a.turn > c.ct GROUP BY a.conv_id, c.ct),
-pairs_nt AS (SELECT u.conv_id, p.ct, p.pt, min(u.turn) AS nt FROM conversations u JOIN pairs_pt p
-             ON u.conv_id = p.conv_id WHERE u.role = 'user' AND u.turn > p.pt GROUP BY u.conv_id, p.ct, p.pt),
+turns AS (
+  SELECT conv_id, turn, role, text,
+         min(CASE WHEN role = 'assistant' THEN turn END) OVER w AS na, min(CASE WHEN role = 'user' THEN turn END) OVER w AS nu
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
 pairs AS (
-  SELECT CAST(k.conv_id AS VARCHAR) AS claim_id, c.text AS claim_body,
-         CAST(1704067200 + 3600 * k.conv_id + 60 * k.ct AS BIGINT) AS claim_created_utc,
-         CAST(k.conv_id AS VARCHAR) || ':' || CAST(k.pt AS VARCHAR) AS positive_id, p.text AS positive_body,
-         CAST(1704067200 + 3600 * k.conv_id + 60 * k.pt AS BIGINT) AS positive_created_utc,
-         CAST(k.conv_id AS VARCHAR) || ':' || CAST(k.nt AS VARCHAR) AS negative_id, n.text AS negative_body,
-         CAST(1704067200 + 3600 * k.conv_id + 60 * k.nt AS BIGINT) AS negative_created_utc
-  FROM pairs_nt k
-  JOIN conversations c ON c.conv_id = k.conv_id AND c.turn = k.ct
-  JOIN conversations p ON p.conv_id = k.conv_id AND p.turn = k.pt
-  JOIN conversations n ON n.conv_id = k.conv_id AND n.turn = k.nt)""",
+  SELECT c.conv_id || ':' || c.turn AS claim_id, c.text AS claim_body,
+         CAST(1704067200 + 3600 * c.conv_id + 60 * c.turn AS BIGINT) AS claim_created_utc,
+         p.conv_id || ':' || p.turn AS positive_id, p.text AS positive_body,
+         CAST(1704067200 + 3600 * c.conv_id + 60 * p.turn AS BIGINT) AS positive_created_utc,
+         n.conv_id || ':' || n.turn AS negative_id, n.text AS negative_body,
+         CAST(1704067200 + 3600 * c.conv_id + 60 * n.turn AS BIGINT) AS negative_created_utc
+  FROM turns c JOIN turns p ON p.conv_id = c.conv_id AND p.turn = c.na
+  JOIN turns n ON n.conv_id = p.conv_id AND n.turn = p.nu WHERE c.role = 'user')""",
     "feat": """
 feat AS (
   SELECT CAST(vec_id AS VARCHAR) AS group_id, printf('dim_feat_%03d', pos) AS feat,
