@@ -469,17 +469,3 @@ def test_feature_model_table(spark):
     rows = gr.feature_model_table(m).collect()
     assert [r.feature_set for r in rows] == ["style", "content"]
     assert rows[0].lr == 0.716 and rows[0].etc == 0.695 and rows[0].best == 0.716
-
-
-def test_salted_join_equals_plain_join(spark):
-    from suasion.operators.skew import hot_keys, salted_join
-    rows = spark.createDataFrame([("h" if i % 2 else f"k{i % 7}", i) for i in range(700)] + [(None, -1)],
-                                 "key string, i int")
-    per = spark.createDataFrame([("h", "H"), ("k1", "K1"), ("k3", "K3")], "key string, tag string")
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    hot = hot_keys(sizes, "key", partitions=8)
-    assert hot == ["h"]
-    for how in ("left", "inner"):
-        a = sorted(map(tuple, salted_join(rows, per, "key", hot, how=how).select("key", "i", "tag").collect()), key=str)
-        b = sorted(map(tuple, rows.join(per, "key", how).select("key", "i", "tag").collect()), key=str)
-        assert a == b
