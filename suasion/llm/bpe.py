@@ -6,7 +6,8 @@ token a pair makes) to word positions is built from all neighbouring pairs at on
 the merges are replayed in rank order: each rank's positions from left to right, touching
 only the two neighbours of a merged place.  A pair that comes up with a LOWER rank than
 the current one is replayed before the current rank goes on, so every word ends as the
-rule "merge the lowest rank first, leftmost first" says.  Documents are put together from
+rule "merge the lowest rank first, leftmost first" says.  A word that is a token as a whole
+needs no merges.  Documents are put together from
 their words' ids by array gathers, so nothing is shuffled and a word that fills a third
 of all rows is merged once per block.
 
@@ -60,7 +61,7 @@ class Codec:
         tokens = [b""] * size
         for t, r in ranks.items():
             tokens[r] = t
-        self.tokens = tokens
+        self.tokens, self.rank_of = tokens, ranks
         self.table = ChunkTable(self.encode_chunks)
 
     def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -135,6 +136,18 @@ class Codec:
         total = np.r_[0, np.cumsum(kept)]
         return out[kept], total[ends] - total[ends - lens]
 
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words end to end, and how many each has.  A word that is a token is that token, even
+        where the merges would not arrive at it; the others are merged."""
+        whole = np.fromiter((self.rank_of.get(w, -1) for w in words), np.int64, len(words))
+        rest = whole < 0
+        merged, n = self.merged([w for w, r in zip(words, rest.tolist(), strict=True) if r])
+        lens = np.ones(len(words), np.int64)
+        lens[rest] = n
+        out = np.repeat(whole, lens)
+        out[np.repeat(rest, lens)] = merged
+        return out, lens
+
     def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks end to end, each distinct match of the pattern merged once."""
         number: dict[str, int] = {}
@@ -144,7 +157,7 @@ class Codec:
             counts[i] = len(found)
             for w in found:
                 seq.append(number.setdefault(w, len(number)))
-        ids, lens = self.merged([w.encode() for w in number])
+        ids, lens = self.words([w.encode() for w in number])
         which = np.asarray(seq, np.int64)
         per = lens[which]
         ends = np.r_[0, np.cumsum(per)]
