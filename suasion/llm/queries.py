@@ -38,7 +38,23 @@ def op1_token_files(spark, sf_dir):
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-@register("op2_decontamination")
+@register("op2_decontamination", r"""
+WITH words AS (
+  SELECT 'd' AS side, doc_id AS id, row_number() OVER () AS r, text FROM documents
+  UNION ALL SELECT 'i', item_id, row_number() OVER (), text FROM benchmark),
+w AS (SELECT side, id, r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM words),
+items AS (SELECT DISTINCT id AS item, least(10, len(w)) AS n, array_to_string(list_slice(w, k, k + least(10, len(w)) - 1), ' ') AS t
+          FROM w, LATERAL (SELECT unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k) WHERE side = 'i' AND len(w) > 0),
+starts AS (SELECT r, k, n, array_to_string(list_slice(w, k, k + n - 1), ' ') AS t
+           FROM w, (SELECT DISTINCT n FROM items), LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS k) WHERE side = 'd'),
+hits AS (SELECT s.r, s.k, s.n, i.item FROM starts s JOIN items i ON s.n = i.n AND s.t = i.t),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM hits) GROUP BY r),
+found AS (SELECT r, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+          FROM (SELECT DISTINCT r, CAST(item AS VARCHAR) AS name FROM hits) GROUP BY r)
+SELECT w.id AS doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN hit ON w.r = hit.r LEFT JOIN found ON w.r = found.r WHERE side = 'd'""")
 def op2_decontamination(spark, sf_dir):
     from suasion.llm.decontaminate import build_index, contamination, phrase_matches
     index = build_index(table(spark, sf_dir, "documents"))
@@ -82,7 +98,23 @@ def op9_toxicity(spark, sf_dir):
             .select("*", (F.col("score") >= TOXICITY_THRESHOLD).cast("int").alias("predicted")))
 
 
-@register("op8_line_dedup")
+@register("op8_line_dedup", r"""
+WITH l AS (
+  SELECT doc_id, k - 1 AS line, s[k] AS raw, list_filter(regexp_split_to_array(s[k], '\s+'), lambda x: x <> '') AS w
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents), LATERAL (SELECT unnest(range(1, len(s) + 1)) AS k)),
+c AS (SELECT array_to_string(w, ' ') AS t, any_value(w) AS w, min((doc_id, line)) AS place FROM l WHERE len(w) > 0 GROUP BY 1),
+cut AS (SELECT t, place, p, array_to_string(list_concat(list_slice(w, 1, p - 1), list_slice(w, p + 1, len(w))), ' ') AS v
+        FROM c, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS p) WHERE len(w) >= 5),
+near AS (
+  SELECT cut.t FROM cut JOIN (SELECT v, p, min(place) AS low FROM cut GROUP BY v, p) g ON cut.v = g.v AND cut.p = g.p WHERE g.low < cut.place
+  UNION SELECT cut.t FROM cut JOIN c ON cut.v = c.t WHERE c.place < cut.place
+  UNION SELECT c.t FROM cut JOIN c ON cut.v = c.t WHERE cut.place < c.place),
+kept AS (
+  SELECT l.doc_id, l.line, l.raw FROM l LEFT JOIN c ON array_to_string(l.w, ' ') = c.t LEFT JOIN near ON near.t = c.t
+  WHERE len(l.w) = 0 OR (near.t IS NULL AND c.place = (l.doc_id, l.line))),
+out AS (SELECT d.doc_id, count(k.line) AS n, coalesce(string_agg(k.raw, chr(10) ORDER BY k.line), '') AS text
+        FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id GROUP BY d.doc_id)
+SELECT doc_id, greatest(n, 1) AS n_lines, CAST(length(text) AS BIGINT) AS n_chars_left, sha256(text) AS text_sha256 FROM out""")
 def op8_line_dedup(spark, sf_dir):
     """Documents without repeated lines, by their digests: lines left, characters left, sha256 of the text left."""
     from suasion.llm.line_dedup import without_duplicate_lines
