@@ -74,6 +74,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "suasion-scratch", f"{name}-{uuid.uuid4().hex}")
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables.  Call it when a query's result has been saved:
+    results are lazy and read their scratch tables until then.  (Checkpoint files go with their
+    data frames where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.)"""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(ensure_checkpoint_dir(spark), "suasion-scratch"))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df, eager: bool = True):
     """Cut lineage with a reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)

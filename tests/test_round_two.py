@@ -215,3 +215,15 @@ def test_no_exchange_on_the_feature_name(spark):
     for name in ("fea01_zscore_sql", "fea02_zscore_dense", "fea03_fit_apply", "rsh05_long_to_dense"):
         p = se.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(feat#" not in p, name
+
+
+def test_scratch_tables_are_dropped(spark):
+    import os
+
+    from suasion.session import drop_scratch, scratch_path
+    path = scratch_path(spark, "t")
+    spark.range(3).write.parquet(path)
+    folder = os.path.dirname(path.removeprefix("file:"))
+    assert os.path.exists(folder)
+    drop_scratch(spark)
+    assert not os.path.exists(folder)
