@@ -174,8 +174,8 @@ SELECT round(avg({sql_words("message")}), 6) + 0.0 AS mean_words_message,
        round(avg({sql_words("claim")}), 6) + 0.0 AS mean_words_claim FROM messages""")
 def agg03(spark, sf):
     m = v.messages(spark, sf, label=False)
-    both = [rel.mean_word_count(m, c).select(r6("mean_words").alias(f"mean_words_{c}")) for c in ("message", "claim")]
-    return both[0].join(both[1], F.lit(True))  # two rows of one value
+    means = rel.mean_word_count(m, "message", "claim")
+    return means.select(*[r6(c).alias(c) for c in means.columns])
 
 
 @register("agg04_duplicate_report", W("messages") + """
