@@ -6,10 +6,10 @@ weight per term and, for every pair of terms of a document, the inner product of
 factors, so "insult with group mention" can weigh more than both apart.
 
 Fitting reads labelled rows only: at most ``sample_rows`` of them (a documented bound,
-lowest id hashes first).  Term counts by label are a Spark aggregate; terms whose
-presence depends on the label (G² at least ``min_g2``, at most ``max_terms``, strongest
-first) make the model, whose weights come from full-batch Adam steps on the driver over
-the bounded sample's kept terms.  Scoring is one Arrow pass over the texts, no shuffle;
+lowest id hashes first).  Term counts by label are a Spark aggregate; terms that are more
+frequent under label 1 (G² at least ``min_g2``, at most ``max_terms``, strongest first)
+make the model, whose weights come from full-batch Adam steps on the driver over the
+bounded sample's kept terms, both labels weighing the same.  Scoring is one Arrow pass over the texts, no shuffle;
 the model (bounded by ``max_terms``) travels with the function.
 
 Cases: null and empty texts score as documents without terms; without labelled rows, or
@@ -91,15 +91,15 @@ class Machine:
 
 
 def _fit(rows: list[list[int]], y: np.ndarray, terms: list[int], factors: int, steps: int = 150,
-         rate: float = 0.1, l2: float = 1e-4) -> Machine:
+         rate: float = 0.1, l2: float = 1e-5) -> Machine:
     n = np.array([len(r) for r in rows], np.int64)
     idx = np.concatenate([np.asarray(r, np.int64) for r in rows]) if n.sum() else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(rows)), n)
     d = len(terms)
     rng = np.random.default_rng(7)
-    prior = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
-    theta = np.concatenate([[prior], np.zeros(d), 0.01 * rng.standard_normal(d * factors)])
+    theta = np.concatenate([[0.0], np.zeros(d), 0.01 * rng.standard_normal(d * factors)])
     m, s = np.zeros_like(theta), np.zeros_like(theta)
+    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))  # both labels weigh the same
 
     def summed(values, by, size):
         return np.stack([np.bincount(by, values[:, k], size) for k in range(values.shape[1])], 1)
@@ -108,7 +108,7 @@ def _fit(rows: list[list[int]], y: np.ndarray, terms: list[int], factors: int, s
         f = v[idx]
         total = summed(f, row, len(rows))
         z = theta[0] + np.bincount(row, w[idx], len(rows)) + 0.5 * (total ** 2 - summed(f * f, row, len(rows))).sum(1)
-        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
+        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
         g = np.concatenate([[e.sum()], np.bincount(idx, e[row], d),
                             summed(e[row, None] * (total[row] - f), idx, d).ravel()])
         g[1:] += l2 * theta[1:]
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labelled: DataFrame, label_col: str, id_col: str = "doc
     g2 = 2 * (cell(a, n1 * share) + cell(n1 - a, n1 * (1 - share)) + cell(b, n0 * share) + cell(n0 - b, n0 * (1 - share)))
     chosen = (rows.select("y", F.explode("terms").alias("term"))
               .groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-              .select("term", g2.alias("g2")).where(F.col("g2") >= min_g2)
+              .select("term", g2.alias("g2"), (a / F.lit(n1) > b / F.lit(n0)).alias("more")).where((F.col("g2") >= min_g2) & (F.col("more")))
               .orderBy(F.desc("g2"), "term").limit(max_terms).collect())
     terms = sorted(r["term"] for r in chosen)
     number = {t: i for i, t in enumerate(terms)}
