@@ -14,7 +14,8 @@ of a shard is the prefix sum of the token counts of the shards before it (one nu
 shard), added to the offsets in a second, idempotent pass over the small ``.idx`` files.
 
 Cases: a null text is an empty document (one end id); null document ids sort first;
-rows with one id are ordered by the hash of their ids and all stay; an empty table gives
+rows with one id are ordered by the hash of their text and all stay (an id with many rows
+fills several shards); an empty table gives
 a set without documents; columns other than the id and the text are not read.
 """
 
@@ -37,6 +38,7 @@ MAGIC = b"TOKENIDX"
 HEADER = "<8sIIqqq8x"
 HEADER_SIZE = struct.calcsize(HEADER)
 ROWS_PER_BATCH = 2000
+_NO_ID = -(1 << 63)  # a null id's place in the order
 _SPACE = re.compile("[ \n]")
 # Characters whose lower-casing, normal form and class need no Unicode tables: printable
 # ASCII and the Latin-1 letters.  Other chunks go through the library unchanged.
@@ -103,15 +105,38 @@ def _chunks(piece: str) -> list[str]:
     return ["\n" + c for c in piece.replace("\n", " ").split(" ")]  # a mark that no word holds
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_bytes: int = 2,
+ENCODED = "doc_id long, tie long, shard int, n_tokens long, ids binary"
+
+
+def shard_bounds(docs: DataFrame, shards: int, id_col: str = "doc_id") -> list[int]:
+    """``shards - 1`` ascending document ids (null as the smallest) that cut the rows into about equal
+    parts, from the id column alone.  An id repeats where it holds several parts."""
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
+    cuts = [k / shards for k in range(1, shards)]
+    found = docs.agg(F.percentile_approx(key, cuts, 10_000).alias("b")).first()["b"] if cuts else []
+    return sorted(found or [])
+
+
+def shard_of(ids: np.ndarray, ties: np.ndarray, bounds: list[int]) -> np.ndarray:
+    """The part of each row.  Rows of an id that fills several parts are dealt over them by their tie, so
+    that parts ascend by (id, tie)."""
+    low, high = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
+    share = (ties.astype(np.float64) + 2.0 ** 63) / 2.0 ** 64
+    return (low + np.minimum((share * (high - low + 1)).astype(np.int64), high - low)).astype(np.int32)
+
+
+def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_bytes: int = 2, bounds: list[int] = (),
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): ids little-endian unsigned, ``id_bytes`` wide, end id included."""
+    """ENCODED: ids little-endian unsigned, ``id_bytes`` wide, end id included; the text's hash as tie-break;
+    the row's shard by ``bounds``."""
     kind = f"<u{id_bytes}"
+    bounds = list(bounds)
 
     def run(batches):
         table = _table(tokenizer_path)
         for batch in batches:
-            texts = texts_of(batch.column(1))
+            texts = texts_of(batch.column(2))
+            shards = shard_of(np.asarray(batch.column(0).fill_null(_NO_ID)), np.asarray(batch.column(1)), bounds)
             ids_out, n_out = [], []
             for a, b in grouped(texts):
                 lists, doc_of = [], []
@@ -127,11 +152,11 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_bytes
                     ids_out.append(np.append(own, np.uint32(end_id)).astype(kind).tobytes())
                 n_out += (per_doc + 1).tolist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_out, pa.int64()), pa.array(ids_out, pa.binary())],
-                ["doc_id", "n_tokens", "ids"])
+                [*batch.columns[:2], pa.array(shards, pa.int32()), pa.array(n_out, pa.int64()), pa.array(ids_out, pa.binary())],
+                ["doc_id", "tie", "shard", "n_tokens", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")) \
-        .mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"),
+                       F.col(text_col).alias("text")).mapInArrow(run, ENCODED)
 
 
 def _save(uri: str, name: str, write) -> None:
@@ -144,13 +169,12 @@ def _save(uri: str, name: str, write) -> None:
     fs.move(tmp, f"{root}/{name}")
 
 
-def write_token_files(encoded: DataFrame, uri: str, id_bytes: int = 2) -> DataFrame:
-    """Write (doc_id, n_tokens, ids) as a file set in the shared folder ``uri``; returns the
-    manifest (shard, documents, tokens, base), one row per shard."""
+def write_token_files(encoded: DataFrame, uri: str, shards: int, id_bytes: int = 2) -> DataFrame:
+    """Write ENCODED rows as a file set in the shared folder ``uri``; returns the manifest
+    (shard, documents, tokens, base), one row per shard.  Ids are shuffled once, straight to their shard."""
     spark = encoded.sparkSession
-    staged = written(encoded.withColumn("tie", F.xxhash64("ids")), "encoded")  # encode once, not for the range samples too
-    order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
-    ranged = staged.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    ranged = encoded.repartitionById(shards, F.col("shard")) \
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("tie").asc())
 
     def write(batches):
         shard = TaskContext.get().partitionId()
@@ -234,6 +258,6 @@ def token_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_i
                 vocabulary: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
     """Encode, write and return (manifest, folder)."""
     width = 2 if vocabulary <= 1 << 16 else 4
-    uri = scratch_path(spark, "token-files")
-    encoded = encode_documents(docs, tokenizer_path, end_id, width, id_col, text_col)
-    return write_token_files(encoded, uri, width), uri
+    uri, shards = scratch_path(spark, "token-files"), partitions(spark)
+    encoded = encode_documents(docs, tokenizer_path, end_id, width, shard_bounds(docs, shards, id_col), id_col, text_col)
+    return write_token_files(encoded, uri, shards, width), uri

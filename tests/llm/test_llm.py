@@ -619,3 +619,27 @@ def test_pipeline_stages_on_empty_and_odd_documents(sp):
             assert out.columns == docs.columns
             out.collect()
         cp.STAGES[-1][1](sp, docs, SF).collect()
+
+
+def test_shards_ascend_and_split_a_hot_id(sp):
+    rnd = np.random.default_rng(1)
+    ids = np.r_[np.full(400, 7), rnd.integers(0, 1000, 600), np.full(200, -(1 << 63))]
+    ties = rnd.integers(-(1 << 63), (1 << 63) - 1, len(ids))
+    rows = [(None if i == -(1 << 63) else int(i), "x") for i in ids]
+    bounds = token_files.shard_bounds(sp.createDataFrame(rows, "doc_id long, text string"), 12)
+    shard = token_files.shard_of(ids, ties, bounds)
+    assert len(bounds) == 11 and shard.min() >= 0 and shard.max() <= 11 and np.bincount(shard, minlength=12).max() <= 200  # at most two parts' worth
+    order = np.lexsort((ties, ids))
+    assert (np.diff(shard[order]) >= 0).all()
+    assert token_files.shard_of(ids, ties, []).max() == 0
+
+
+def test_token_files_over_many_shards_with_a_hot_id(sp, word_tokenizer):
+    texts = [f"w{i} x" for i in range(120)]
+    docs = frame(sp, texts, [5 if i % 3 == 0 else None if i % 7 == 0 else i for i in range(120)])
+    manifest, uri = token_files.token_files(sp, docs, P.path("word_bpe_49k.json"), 1, 49_408)
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in token_files.read_token_files(manifest, uri).collect())
+    keys = [-1 if g[1] is None else g[1] for g in got]
+    assert len(got) == 120 and keys == sorted(keys)
+    assert [g[0] for g in got] == np.cumsum([0] + [g[2] for g in got[:-1]]).tolist()
+    assert sum(r["documents"] > 0 for r in manifest.collect()) > 4
