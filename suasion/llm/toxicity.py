@@ -1,12 +1,14 @@
 """Operator 9 — toxicity by a factorization machine over hashed terms.
 
 Terms are a text's lower-cased words and their first 4, 5 and 6 letters (insults take many
-endings), hashed to 64 bits.  A document is the set of its terms.  The machine adds a
-weight per term and, for every pair of terms of a document, the inner product of their
-factors, so "insult with group mention" can weigh more than both apart.
+endings), hashed to 64 bits.  How often a term occurs is part of it: besides the term itself,
+a document has one feature per number of occurrences reached (``COUNTS``) and, for a term
+that occurs more than once, per share of the text's words reached (``SHARES``).  The machine
+adds a weight per feature and, for every pair of features of a document, the inner product of
+their factors, so "insult with group mention" can weigh more than both apart.
 
 Fitting reads labelled rows only: at most ``sample_rows`` of them (a documented bound,
-lowest id hashes first).  Term counts by label are a Spark aggregate; terms that are more
+lowest id hashes first).  Feature counts by label are a Spark aggregate; features that are more
 frequent under label 1 (G² at least ``min_g2``, at most ``max_terms``, strongest first)
 make the model, whose weights come from full-batch Adam steps on the driver over the
 bounded sample's kept terms, both labels weighing the same.  Scoring is one Arrow pass over the texts, no shuffle;
@@ -21,6 +23,7 @@ each get a score; extra columns stay as they are in ``scored`` and ``without_tox
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +39,8 @@ from suasion.llm.shared import texts_of, written
 SAMPLE_ROWS, MAX_TERMS, MIN_G2, FACTORS = 20_000, 4096, 25.0, 4
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
+COUNTS = (2, 3, 5)  # a term occurs at least so often
+SHARES = (800, 400, 200, 100)  # a term is at least one of so many words
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -45,33 +50,57 @@ def terms_of(word: str) -> list[int]:
     return [xxhash.xxh64_intdigest(x) - (1 << 63) for x in names]
 
 
+def _marks(kind: str, steps: tuple[int, ...]) -> list[tuple[int, int]]:
+    """(mark, step): a term's hash xor the mark is its feature "this step is reached"."""
+    return [(xxhash.xxh64_intdigest(f"{kind}{n}") - (1 << 63), n) for n in steps]
+
+
+_COUNTS, _SHARES = _marks("count", COUNTS), _marks("share", SHARES)
+
+
 class _Terms(dict):
-    """word → its terms (only the wanted ones, as numbers), worked out once per worker task."""
+    """word → its terms (only those with a wanted feature), worked out once per worker task."""
 
     def __init__(self, wanted: dict[int, int] | None):
         super().__init__()
         self.wanted = wanted
+        self.known = None if wanted is None else {x ^ m for x in wanted for m in (0, *(m for m, _ in _COUNTS + _SHARES))}
 
     def __missing__(self, word):
         if len(self) > 1_000_000:
             self.clear()
         t = terms_of(word)
-        if self.wanted is not None:
-            t = [self.wanted[x] for x in t if x in self.wanted]
+        if self.known is not None:
+            t = [x for x in t if x in self.known]
         self[word] = t
         return t
 
     def of(self, text: str) -> set:
-        out = set()
-        for t in map(self.__getitem__, set(_WORD.findall(text.lower()))):
-            if t:
-                out.update(t)
-        return out
+        """The text's features: hashes, or the wanted ones' numbers."""
+        words = Counter(_WORD.findall(text.lower()))
+        total = words.total()
+        count: dict[int, int] = {}
+        for word, k in words.items():
+            for t in self[word]:
+                count[t] = count.get(t, 0) + k
+        out = set(count)
+        for t, k in count.items():
+            if k < 2:
+                continue
+            for mark, least in _COUNTS:
+                if k < least:
+                    break
+                out.add(t ^ mark)
+            for mark, among in _SHARES:
+                if k * among < total:
+                    break
+                out.add(t ^ mark)
+        return out if self.wanted is None else {self.wanted[x] for x in out if x in self.wanted}
 
 
 @dataclass
 class Machine:
-    """bias + Σ w + Σ of pairwise factor products over a document's terms."""
+    """bias + Σ w + Σ of pairwise factor products over a document's features (``terms``: their hashes)."""
     bias: float
     terms: list[int]
     w: np.ndarray

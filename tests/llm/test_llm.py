@@ -266,6 +266,20 @@ def test_toxicity_learns_a_pair(sp):
     assert kept.columns == tests.columns and {r["doc_id"] for r in kept.collect()} == {0, 1, 3, 4, 5}
 
 
+def test_toxicity_counts_occurrences(sp):
+    """Every text has the marked word: once in clean ones, three times in toxic ones."""
+    rnd = random.Random(4)
+    rows = []
+    for i in range(400):
+        words = [f"w{chr(97 + rnd.randrange(26))}{chr(97 + rnd.randrange(26))}" for _ in range(60)] + ["oaf"] * (3 if i % 4 == 0 else 1)
+        rnd.shuffle(words)
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    docs = sp.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.where("doc_id < 300"), docs.where("doc_id < 300"), "toxic")
+    got = docs.where("doc_id >= 300").select("toxic", toxicity.score(model, F.col("text")).alias("s")).collect()
+    assert len(got) == 100 and all((r["s"] >= 0.7) == (r["toxic"] == 1) for r in got)
+
+
 def test_classifiers_without_labels(sp):
     docs = frame(sp, ["a b", "", None]).withColumn("__x", F.lit(1))
     none = sp.createDataFrame([(None, 1, None), (0, None, 1), (77, 1, 1)], "doc_id long, quality int, toxic int").where("false")
