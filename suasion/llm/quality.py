@@ -6,12 +6,12 @@ lasso logistic regression over the rules' 0/1 values keeps few of them, and the
 and their weights are compiled into one Spark column expression.
 
 Fitting reads labelled rows only, at most ``sample_rows`` of them (a documented bound,
-lowest id hashes first).  Scoring is one pass without a shuffle; the expression's size is
+lowest id hashes first; of an id with several rows the text with the lowest hash).  Scoring is one pass without a shuffle; the expression's size is
 bounded by TREES * 2**(DEPTH + 1) rules.
 
 Cases: null and empty texts have all statistics 0 and get a score like any other; without
 labelled rows, or with one label only, every score is the smoothed share of label 1 (0.5
-without rows); null labels and null ids are not read; repeated rows and ids each count and
+without rows); null labels and null ids are not read; repeated rows and ids
 each get a score; an empty table gives no rows; other columns are not inputs and stay.
 """
 
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from suasion.llm.shared import written
+from suasion.llm.shared import labelled_texts, written
 from suasion.llm.trees import paths, plain
 
 SAMPLE_ROWS, TREES, DEPTH, LASSO = 20_000, 20, 3, 0.002
@@ -114,11 +114,7 @@ def fit(docs: DataFrame, labelled: DataFrame, label_col: str = "quality", id_col
     """Fit on at most ``sample_rows`` rows of ``labelled`` (id, label 0/1): the caller has left out held-out rows."""
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
-    ids = (labelled.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("double").alias("label"))
-           .where("_id is not null and label in (0, 1)").dropDuplicates(["_id"])
-           .orderBy(F.xxhash64("_id"), "_id").limit(sample_rows))
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
-    sample = with_statistics(texts.join(F.broadcast(ids), "_id"))  # at most sample_rows ids
+    sample = with_statistics(labelled_texts(docs, labelled, F.col(label_col).cast("double"), id_col, text_col, sample_rows))
     rows = written(sample.select("label", F.col("__stats")), "labelled-statistics").coalesce(4)
     count = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = count.get(1.0, 0), count.get(0.0, 0)

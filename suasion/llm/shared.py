@@ -52,3 +52,15 @@ def texts_of(column) -> list[str]:
 def fold(id_col: str, modulus: int) -> Column:
     """crc32 of an id as text, modulo ``modulus`` (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
+
+
+def labelled_texts(docs: DataFrame, labelled: DataFrame, label: Column, id_col: str, text_col: str, sample_rows: int) -> DataFrame:
+    """(label, text): at most ``sample_rows`` labelled ids, lowest id hashes first, and one text of each
+    (the lowest text hash, if an id has several rows): at most ``sample_rows`` rows."""
+    ids = (labelled.select(F.col(id_col).cast("long").alias("_id"), label.alias("label"))
+           .where("_id is not null and label in (0, 1)").dropDuplicates(["_id"])
+           .orderBy(F.xxhash64("_id"), "_id").limit(sample_rows))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.struct(F.xxhash64(text).alias("hash"), text.alias("text")).alias("t"))
+    return (texts.join(F.broadcast(ids), "_id").groupBy("_id", "label").agg(F.min("t").alias("t"))
+            .select("label", F.col("t.text").alias("text")))

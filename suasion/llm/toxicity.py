@@ -8,7 +8,7 @@ adds a weight per feature and, for every pair of features of a document, the inn
 their factors, so "insult with group mention" can weigh more than both apart.
 
 Fitting reads labelled rows only: at most ``sample_rows`` of them (a documented bound,
-lowest id hashes first).  Feature counts by label are a Spark aggregate; features that are more
+lowest id hashes first; of an id with several rows the text with the lowest hash).  Feature counts by label are a Spark aggregate; features that are more
 frequent under label 1 (G² at least ``min_g2``, at most ``max_terms``, strongest first)
 make the model, whose weights come from full-batch Adam steps on the driver over the
 bounded sample's kept terms, both labels weighing the same.  Scoring is one Arrow pass over the texts, no shuffle;
@@ -16,8 +16,8 @@ the model (bounded by ``max_terms``) travels with the function.
 
 Cases: null and empty texts score as documents without terms; without labelled rows, or
 with one label only, every score is the smoothed share of label 1 (0.5 without rows);
-labels of unknown ids or null labels are not read; repeated rows and ids each count and
-each get a score; extra columns stay as they are in ``scored`` and ``without_toxic``.
+labels of unknown ids or null labels are not read; repeated rows and ids each
+get a score; extra columns stay as they are in ``scored`` and ``without_toxic``.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from suasion.llm.shared import texts_of, written
+from suasion.llm.shared import labelled_texts, texts_of, written
 
 SAMPLE_ROWS, MAX_TERMS, MIN_G2, FACTORS = 20_000, 4096, 25.0, 4
 PREFIXES = (4, 5, 6)
@@ -150,11 +150,7 @@ def fit(docs: DataFrame, labelled: DataFrame, label_col: str, id_col: str = "doc
         sample_rows: int = SAMPLE_ROWS, max_terms: int = MAX_TERMS, min_g2: float = MIN_G2,
         factors: int = FACTORS) -> Machine:
     """Fit on at most ``sample_rows`` rows of ``labelled`` (id, label 0/1): the caller has left out held-out rows."""
-    ids = (labelled.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y"))
-           .where("_id is not null and _y in (0, 1)").dropDuplicates(["_id"])
-           .orderBy(F.xxhash64("_id"), "_id").limit(sample_rows))
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
-    sample = texts.join(F.broadcast(ids), "_id").select("_y", "text")  # at most sample_rows ids
+    sample = labelled_texts(docs, labelled, F.col(label_col).cast("int"), id_col, text_col, sample_rows)
 
     def extract(batches):
         of = _Terms(None)
@@ -164,6 +160,8 @@ def fit(docs: DataFrame, labelled: DataFrame, label_col: str, id_col: str = "doc
     rows = written(sample.mapInArrow(extract, "y int, terms array<long>"), "labelled-terms")
     count = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = count.get(1, 0), count.get(0, 0)
+    if n1 + n0 > sample_rows:
+        raise ValueError(f"{n1 + n0} labelled texts, more than {sample_rows}")
     if not n1 or not n0:
         return Machine(float(np.log((n1 + 0.5) / (n0 + 0.5))), [], np.zeros(0), np.zeros((0, factors)))
     a, b = F.col("a").cast("double"), F.col("b").cast("double")  # documents with the term, by label

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import public_tokenizers as P
-from suasion.llm import bpe, decontaminate, html_text, line_dedup, lz_fingerprint, quality, rollups, simhash, token_files, toxicity
+from suasion.llm import bpe, decontaminate, html_text, line_dedup, lz_fingerprint, quality, rollups, shared, simhash, token_files, toxicity
 from suasion.llm.components import components
 from suasion.llm.queries import REGISTRY
 from suasion.llm.shared import fold, ready
@@ -280,6 +280,18 @@ def test_toxicity_counts_occurrences(sp):
     assert len(got) == 100 and all((r["s"] >= 0.7) == (r["toxic"] == 1) for r in got)
 
 
+def test_labelled_sample_has_one_text_per_id(sp):
+    """One labelled id on most rows: the sample holds each id once, whatever the order of the rows."""
+    texts = [f"copy {i}" for i in range(50)] + ["b", None, "c"]
+    docs = frame(sp, texts, [1] * 50 + [2, 3, 4])
+    labels = sp.createDataFrame([(1, 1), (2, 0), (3, 0), (9, 1)], "doc_id long, toxic int")
+    got = shared.labelled_texts(docs, labels, F.col("toxic"), "doc_id", "text", 100).collect()
+    low = min(((r["h"], r["text"]) for r in docs.where("doc_id = 1").select(F.xxhash64("text").alias("h"), "text").collect()))[1]
+    assert sorted(map(tuple, got)) == [(0, ""), (0, "b"), (1, low)]
+    machine = toxicity.fit(docs, labels.where("toxic = 1"), "toxic")
+    assert machine.bias == pytest.approx(np.log(1.5 / 0.5))
+
+
 def test_classifiers_without_labels(sp):
     docs = frame(sp, ["a b", "", None]).withColumn("__x", F.lit(1))
     none = sp.createDataFrame([(None, 1, None), (0, None, 1), (77, 1, 1)], "doc_id long, quality int, toxic int").where("false")
