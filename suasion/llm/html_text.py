@@ -8,7 +8,8 @@ independent: one Arrow pass, no shuffle; the tree has at most 2**DEPTH leaves.
 
 Cases: null or empty html and pages without main text give the empty string; broken or
 unclosed markup is read as far as it goes (a quote that never closes ends at the next
-``>``); ties in the tree go to "not text"; repeated rows each give a row; an empty table
+``>``); an unclosed button, select, text area, frame or picture ends with its parent, and an
+inline element that is hidden or hinted as furniture gives no text; ties in the tree go to "not text"; repeated rows each give a row; an empty table
 gives no rows; only the id, url and html columns are read.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -57,7 +59,10 @@ LABELLED += [(1.0, 1.0, 0.0, float(words), links, float(before), 0.0, float(afte
 # Names of HTML elements by their use.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr picture q s "
                    "samp small source span strike strong sub sup time tt u var wbr".split())
-RAW = ("script", "style", "title", "noscript", "template", "iframe", "svg", "select", "textarea", "button", "object", "canvas")
+RAW = ("script", "style")  # code: to the next end tag, or to the end of the page
+RAW_TEXT = ("title", "noscript", "textarea", "iframe")  # to the end tag, if it has one of its own
+SKIPPED = frozenset(RAW_TEXT + ("template", "svg", "select", "button", "object", "canvas"))  # no text; end with their parent at the latest
+EMPTY = frozenset(("svg", "iframe", "object", "canvas"))  # nothing in them when the start tag ends in "/>"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("nav footer aside form menu dialog fieldset".split())
 ARTICLE = frozenset(("article", "main"))
@@ -72,6 +77,7 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=$|\s|=|/)|display\s*:\s*none|aria-hidd
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)"
     r"|<(?P<raw>" + "|".join(RAW) + r""")\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|$)"""
+    r"|<(?P<own>" + "|".join(RAW_TEXT) + r""")\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?<!/)>(?:(?!<(?P=own)\b).)*?</(?P=own)\s*>"""
     r"""|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
     r"""|<(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs2>[^>]*+)(?:>|$)|<[!?/][^>]*+(?:>|$)""", re.S | re.I)
 _SPACE = re.compile(r"\s+")
@@ -92,11 +98,32 @@ def _kind(name: str, attrs: str) -> int:
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     """(text, words, linked words, in article, in furniture) of every block with text."""
     out, parts, linked = [], [], []
-    open_tags: list[tuple[str, int]] = []
-    in_article = in_furniture = in_link = at = 0
+    open_tags: list[tuple[str, int, bool]] = []  # name, kind, text skipped
+    named: Counter = Counter()  # open tags by name
+    in_article = in_furniture = in_skipped = in_link = at = 0
+
+    def push(name: str, kind: int, skipped: bool):
+        nonlocal in_article, in_furniture, in_skipped
+        open_tags.append((name, kind, skipped))
+        named[name] += 1
+        in_article += kind > 0
+        in_furniture += kind < 0
+        in_skipped += skipped
+
+    def pop(name: str):
+        """Ends the last open ``name`` and all that is open in it."""
+        nonlocal in_article, in_furniture, in_skipped
+        while named[name]:
+            last, kind, skipped = open_tags.pop()
+            named[last] -= 1
+            in_article -= kind > 0
+            in_furniture -= kind < 0
+            in_skipped -= skipped
+            if last == name:
+                break
 
     def text_to(stop: int):
-        if stop > at:
+        if stop > at and not in_skipped:
             t = html.unescape(page[at:stop])
             parts.append(t)
             if in_link:
@@ -116,32 +143,51 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         if not name:
             continue
         ending = bool(m["end"] or m["end2"])
+        attrs = m["attrs"] or m["attrs2"] or ""
+        if name in SKIPPED:
+            if ending:
+                pop(name)
+            elif not (name in EMPTY and attrs.endswith("/")):
+                push(name, 0, True)
+            continue
         if name in INLINE:
+            if ending and named[name]:
+                pop(name)
+            elif not ending and name not in VOID:
+                hinted = _kind(name, attrs) == -1 if attrs else False
+                if hinted or named[name]:
+                    push(name, 0, hinted)
+            if in_skipped:
+                continue
             if name == "a":
                 in_link = not ending
             elif name == "br":
                 parts.append(" ")
             continue
+        if in_skipped:  # a block inside an element without text; an end tag of its parent ends that element first
+            if not ending:
+                if name not in VOID:
+                    push(name, 0, False)
+                continue
+            if not named[name]:
+                continue
+            inside = next(k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == name)
+            if any(skipped for _, _, skipped in open_tags[:inside]):
+                pop(name)
+                continue
         close()
         in_link = 0
         if name in VOID:
             continue
-        if not ending:
-            attrs = m["attrs"] or m["attrs2"] or ""
-            kind = _kind(name, attrs)
-            if kind == -2:
-                kind = 0 if in_article else -1
-            if name != "p":
-                open_tags.append((name, kind))
-                in_article += kind > 0
-                in_furniture += kind < 0
+        if ending:
+            pop(name)
             continue
-        k = next((k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == name), None)
-        if k is not None:
-            for _, kind in open_tags[k:]:
-                in_article -= kind > 0
-                in_furniture -= kind < 0
-            del open_tags[k:]
+        if named["p"]:
+            pop("p")
+        kind = _kind(name, attrs)
+        if kind == -2:
+            kind = 0 if in_article else -1
+        push(name, min(kind, 0) if name == "p" else kind, False)
     text_to(len(page))
     close()
     return out

@@ -354,6 +354,17 @@ def test_html_odd_pages(sp, tree):
     assert html_text.extract(rows.limit(0), tree).count() == 0
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ('<article><p>One.</p><svg class="i"/><p>Two two.</p><p>Three.</p></article>', ["One.", "Two two.", "Three."]),
+    ("<article><p>One <button>x</p><p>Two</p><div><select><option>q</div><p>Three</p></article>", ["One", "Two", "Three"]),
+    ("<article><div><iframe src='a'></div><p>One</p><div><object></div><p>Two</p></article><textarea>a</p></article>b</textarea>", ["One", "Two"]),
+    ("<article><p>One <svg><g><text>no</text></g></svg>end</p><p>Two</p></article>", ["One end", "Two"]),
+    ('<article><p>One <span class="sponsored">Buy <span>now</span> it</span> end</p><p class="ad">Ad</p><p>Two <b hidden>no</b></p></article>', ["One end", "Two"]),
+    ('<article><p>One <span class="ad">unclosed</p><p>Two</p><p class="promo">Ad<p>Three</article>', ["One", "Two", "Three"])])
+def test_html_unclosed_and_hinted_elements(tree, page, want):
+    assert html_text.main_text(page, tree) == "\n\n".join(want)
+
+
 def test_html_query_drops_furniture(sp):
     got = run(sp, "op5_html_text").collect()
     pages = {r["page_id"]: r["html"] for r in sp.read.parquet(f"{SF}/pages.parquet").collect()}
