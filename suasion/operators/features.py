@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from suasion.operators.shape import feature_dictionary, long_to_dense, scatter, vector_to_long
 from suasion.operators.skew import key_join
+from suasion.operators.train import fold_values
 from suasion.session import checkpointed
 
 # The six feature sets, each one to four feature tables.
@@ -154,7 +155,8 @@ def rfa_kfold(df: DataFrame, label: str, factor_cols: list[str], features: str,
     the factors, step 2 regresses its residual on the features and their products with the
     factors (ridge), both on the other folds; the prediction is step 1 + step 2.
 
-    Returns ``keep`` + (fold, label, step1, step2, prediction), one row per input row with a fold.
+    Returns ``keep`` + (fold, label, step1, step2, prediction), one row per input row with a fold;
+    raises beyond ``train.MAX_FOLDS`` folds.
     """
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import LinearRegression
@@ -168,7 +170,7 @@ def rfa_kfold(df: DataFrame, label: str, factor_cols: list[str], features: str,
         *keep, F.col(fold_col).alias("fold"), F.col(label).cast("double").alias("_y"),
         array_to_vector(z).alias("_z"), array_to_vector(crossed).alias("_x")))
     out = None
-    for k in [r[0] for r in data.select("fold").distinct().orderBy("fold").limit(MAX_FOLDS + 1).collect()]:
+    for k in fold_values(data, "fold"):
         rest, own = data.filter(F.col("fold") != k), data.filter(F.col("fold") == k)
         first = LinearRegression(featuresCol="_z", labelCol="_y", predictionCol="step1", solver="normal").fit(rest)
         left = first.transform(rest).withColumn("_r", F.col("_y") - F.col("step1"))
@@ -180,9 +182,6 @@ def rfa_kfold(df: DataFrame, label: str, factor_cols: list[str], features: str,
     return out
 
 
-MAX_FOLDS = 100
-
-
 # FEA07 / FEA08 / FEA09 -------------------------------------------------------------------
 def _same_size(a: str, b: str):
     return F.when(F.size(a) == F.size(b), F.lit(True)).otherwise(

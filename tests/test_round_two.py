@@ -172,6 +172,14 @@ def test_rfa_prediction_is_the_sum_of_both_steps_and_uses_other_folds(spark):
     assert np.mean([(r["prediction"] - y[r["i"]]) ** 2 for r in out]) < 0.05  # out of fold, the product is found
 
 
+def test_rfa_refuses_more_folds_than_it_fits(spark, monkeypatch):
+    monkeypatch.setattr(tr, "MAX_FOLDS", 3)
+    rows = [(i, float(i % 7), [float(i % 3)], float(i), i % 5) for i in range(40)]
+    df = spark.createDataFrame(rows, "i int, z double, features array<double>, y double, fold int")
+    with pytest.raises(ValueError, match="more than 3"):
+        fe.rfa_kfold(df, "y", ["z"], "features", "fold", keep=["i"])
+
+
 def test_l2_search_chooses_on_an_inner_fold(spark):
     rows = [([float(i % 5), float(i % 2)], int(i % 5 > 2), i % 3) for i in range(60)]
     df = spark.createDataFrame(rows, "features array<double>, persuaded int, fold int")
