@@ -164,23 +164,35 @@ SELECT source, lang, tokenizer_version, count(*) AS n_docs, CAST(sum(n_tokens) A
 FROM counts GROUP BY ALL""")
 def op7_token_counts(spark, sf_dir):
     """Inserts under two tokenizer versions, revised counts (lines repeated inside a document count
-    once), deletes of exact copies (the smallest doc_id stays), and two batches sent again."""
+    once), deletes of exact copies (the smallest doc_id stays, a null one only without others), and
+    two batches sent again.  A document of the rollup is a row by its contents, so rows with null or
+    repeated ids are told apart; of rows equal in everything one stays by a revision."""
     from suasion.llm.rollups import changes, commit, compact, totals
     from suasion.session import scratch_path
     root = scratch_path(spark, "rollup")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source", "lang")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source", "lang")
+    row = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "text", "source", "lang")]
+    nulls = [F.col(c).isNull() for c in ("doc_id", "source", "lang")]
+    docs = rows.select(F.xxhash64(*row, *nulls).alias("doc_id"), F.col("doc_id").alias("id"), "text", "source", "lang")
     words, letters = (F.regexp_count("text", F.lit(p)) for p in (r"[^ \t\n\r]+", "[a-zA-Z]+"))
     commit(spark, root, "001-load", changes(docs, "insert", "words-1", words, F.length("text"))
            .unionByName(changes(docs, "insert", "letters-1", letters, F.length("text"))))
     lines = F.split("text", "\n", -1)
+    once = F.array_join(F.array_distinct(lines), "\n")
     repeated = docs.where(F.size(F.array_distinct(lines)) < F.size(lines))
-    revised = changes(repeated.withColumn("text", F.array_join(F.array_distinct(lines), "\n")), "revise", "words-1", words, F.length("text"))
+    revised = changes(repeated.withColumn("text", once), "revise", "words-1", words, F.length("text")).distinct()
     commit(spark, root, "002-revise", revised)
     compact(spark, root)
-    first = docs.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("doc_id")).select(F.col("doc_id").alias("_id"))
+    order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("doc_id"))
+    first = (docs.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min(order).alias("low"), F.count(F.lit(1)).alias("n"))
+             .select(F.col("low.doc_id").alias("_id"), F.col("n")))
     copies = docs.join(first, F.col("doc_id") == F.col("_id"), "left_anti")
+    twins = docs.join(first.where("n > 1").select("_id"), F.col("doc_id") == F.col("_id"), "left_semi")  # kept, perhaps with equal rows
     zero = F.lit(0)
     gone = changes(copies, "delete", "words-1", zero, zero).unionByName(changes(copies, "delete", "letters-1", zero, zero))
+    one = (changes(twins.withColumn("text", once), "revise", "words-1", words, F.length("text"))
+           .unionByName(changes(twins, "revise", "letters-1", letters, F.length("text"))))
+    gone = gone.unionByName(one).distinct()
     commit(spark, root, "003-delete-copies", gone)
     commit(spark, root, "002-revise", revised)
     commit(spark, root, "003-delete-copies", gone)

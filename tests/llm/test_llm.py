@@ -503,6 +503,20 @@ def test_rollup_query(sp):
     assert sorted(tuple(r) for r in df.select(*rel.columns).collect()) == sorted(rel.fetchall())
 
 
+def test_rollup_query_null_and_repeated_ids(sp, tmp_path):
+    """Null ids with a unique text stay, one row of each text stays, whatever its id."""
+    import duckdb
+    rows = [(None, "only a"), (None, "only b b"), (1, "x y\nx y"), (None, "x y\nx y"), (2, "same one"), (2, "same one"),
+            (2, "other text here"), (3, "x y\nx y"), (4, None), (None, ""), (5, "l\nl\nm"), (5, "l\nl\nm")]
+    sp.createDataFrame([(i, t, "en", None, 0) for i, t in rows], DOCS).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    fn, sql = REGISTRY["op7_token_counts"]
+    rel = con.sql(sql)
+    want = sorted(map(str, rel.fetchall()))
+    assert sorted(map(str, (tuple(r) for r in fn(sp, str(tmp_path)).select(*rel.columns).collect()))) == want
+
+
 # 8 ---------------------------------------------------------------------------------
 def brute_lines(pairs, min_words=5):
     seen, drop = [], {}
