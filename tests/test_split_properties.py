@@ -4,6 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from suasion.operators import skew
 from suasion.operators import splits as sp
 
 SIZES = st.lists(st.integers(min_value=1, max_value=12), min_size=1, max_size=30)
@@ -44,7 +45,8 @@ def test_three_way_and_holdout_contract(spark, sizes, parts):
     assert h.count() == sum(sizes)
 
 
-def test_hot_group_is_salted_and_complete(spark):
+def test_hot_group_is_salted_and_complete(spark, monkeypatch):
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)  # as for a table of groups too large to broadcast
     # one group with a third of all rows
     rows = [("hot" if i % 3 == 0 else f"g{i % 97}", i % 2, i) for i in range(3000)]
     df = spark.createDataFrame(rows, "grp string, y int, i int").repartition(4)
