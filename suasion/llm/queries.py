@@ -197,3 +197,27 @@ def op7_token_counts(spark, sf_dir):
     commit(spark, root, "002-revise", revised)
     commit(spark, root, "003-delete-copies", gone)
     return totals(spark, root)
+
+
+@register("op11_lexical_search", r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT row_number() OVER () AS q, item_id,
+             list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+corpus AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+asked AS (SELECT q, item_id, unnest(w) AS term FROM i),
+held AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS weight
+            FROM held, corpus GROUP BY term, n_docs),
+scored AS (SELECT q, item_id, held.r, doc_id,
+                  CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(d.w) * n_docs) // n_terms)))) AS BIGINT) AS score
+           FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN d ON d.r = held.r, corpus
+           GROUP BY q, item_id, held.r, doc_id)
+SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+WINDOW best AS (PARTITION BY q ORDER BY score DESC, doc_id, r) QUALIFY row_number() OVER best <= 10""")
+def op11_lexical_search(spark, sf_dir):
+    from suasion.llm.lexical_search import build_index, search
+    index = build_index(table(spark, sf_dir, "documents"))
+    return search(index, table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
