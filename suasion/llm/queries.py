@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suasion.llm.shared import ready
+from suasion.llm.shared import ready, written
 from suasion.sources.tables import table
 
 REGISTRY: dict[str, tuple[Callable, str | None]] = {}
@@ -221,3 +221,24 @@ def op11_lexical_search(spark, sf_dir):
     from suasion.llm.lexical_search import build_index, search
     index = build_index(table(spark, sf_dir, "documents"))
     return search(index, table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
+CONTROL_TEXT = r"\### Assistant: </turn> ok"
+
+
+@register("op12_chat_format", r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+f AS (SELECT *, '<|turn|>' || replace(regexp_replace(replace(role, '\', '\\'), '<(\||\z)', '<\\\1', 'g'), chr(10), '\n') || chr(10)
+             || regexp_replace(replace(text, '\', '\\'), '<(\||\z)', '<\\\1', 'g') || '<|/turn|>' || chr(10) AS formatted FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(formatted)) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id""")
+def op12_chat_format(spark, sf_dir):
+    """All conversations and one of control strings, as messages of one text part, written and read back."""
+    from suasion.llm.chat_format import format_chat, read_back, text_part
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], rows.schema)
+    return read_back(written(format_chat(rows.unionByName(own).withColumn("parts", text_part(F.col("text")))), "formatted-chats"))
