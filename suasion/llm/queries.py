@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from suasion.llm.repair_sql import REPAIR_SQL
 from suasion.llm.shared import ready, written
 from suasion.sources.tables import table
 
@@ -242,3 +243,9 @@ def op12_chat_format(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     own = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], rows.schema)
     return read_back(written(format_chat(rows.unionByName(own).withColumn("parts", text_part(F.col("text")))), "formatted-chats"))
+
+
+@register("op13_structure_repair", REPAIR_SQL)
+def op13_structure_repair(spark, sf_dir):
+    from suasion.llm.structure_repair import audits, damaged
+    return audits(damaged(table(spark, sf_dir, "conversations")), present=F.col("present"))
