@@ -89,11 +89,12 @@ def split(a: Node, b: Node) -> tuple[Node, Node]:
     for k in range(len(a.up) - 1, -1, -1):
         if k < len(a.up) and a.up[k].hash != b.up[k].hash:
             a, b = a.up[k], b.up[k]
-    return (a, b) if a.up[0] is b.up[0] else _split_by_edits(a.up[0], b.up[0])
+    x, y = _split_by_edits(a.up[0], b.up[0])  # at once where the parents are one node
+    return (a, b) if x is y else (x, y)
 
 
 def _split_by_edits(a: Node, b: Node) -> tuple[Node, Node]:
-    """The same without hashes: two nodes' hashes collided."""
+    """The same without hashes, for nodes whose hashes are equal: they are one node, or the hashes collided."""
     first = (a, a)
     while a is not b:
         if a.edit != b.edit:
