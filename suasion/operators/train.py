@@ -1,7 +1,7 @@
 """Classifiers on frozen vectors (TRN01-05, SCO01, SNK07).
 
-(a) Spark ML estimators for the k-fold paths (``lr``; ``etc`` → random forest,
-    the nearest Spark has — it has no extra-trees split rule).
+(a) Classifiers for the k-fold paths: ``lr`` and ``rf`` are Spark ML's, ``etc`` the
+    extremely randomised trees of ``extra_trees`` (all folds in one growth).
 (b) An own epoch loop for the reference's trainer: a 2-logit softmax head with
     coupled L2 (``weight_decay``) and Adam, zero-initialised (so the two logits
     stay antisymmetric and one weight vector suffices).  One epoch = one full-batch
@@ -22,6 +22,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from suasion.operators import extra_trees
 from suasion.operators.evaluate import roc_auc
 from suasion.session import checkpointed
 
@@ -29,13 +30,13 @@ from suasion.session import checkpointed
 # TRN01 (a) / TRN03 / TRN04 -----------------------------------------------------------
 def make_estimator(model: str = "lr", reg_param: float = 0.0, seed: int = 42, max_iter: int = 100,
                    trees: int = 100, max_depth: int = 8):
-    """``lr``: logistic regression; ``etc`` / ``rf``: random forest of ``trees`` trees up to ``max_depth``
-    (Spark's own bound is 30)."""
+    """``lr``: logistic regression; ``rf``: random forest of ``trees`` trees up to ``max_depth`` (Spark's own
+    bound is 30).  ``etc`` has no Spark estimator: see ``extra_trees``."""
     if model == "lr":
         # multinomial regParam = wd equals binomial regParam = wd / 2 (intercept not penalised)
         return LogisticRegression(featuresCol="_x", labelCol="_y", regParam=reg_param, elasticNetParam=0.0,
                                   standardization=False, maxIter=max_iter, family="binomial")
-    if model in ("etc", "rf"):
+    if model == "rf":
         return RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=max_depth,
                                       featureSubsetStrategy="sqrt", seed=seed)
     raise ValueError(f"no model is called {model!r}")
@@ -47,13 +48,17 @@ def _ml_input(df: DataFrame, features: str, label: str) -> DataFrame:
 
 def fit(df: DataFrame, features: str = "features", label: str = "persuaded", model: str = "lr",
         reg_param: float = 0.0, seed: int = 42, **params):
-    """Fit on the rows that have a label; ``params`` go to ``make_estimator``."""
+    """Fit on the rows that have a label; ``params`` go to ``make_estimator`` or, for ``etc``, to ``extra_trees.fit``."""
+    if model == "etc":
+        return extra_trees.fit(df, features, label, seed=seed, **params)
     return make_estimator(model, reg_param, seed, **params).fit(_ml_input(df.filter(F.col(label).isNotNull()), features, label))
 
 
 def score(model, df: DataFrame, features: str = "features", keep: list[str] | None = None) -> DataFrame:
     """Class-1 probability and prediction; ``keep`` columns pass through."""
     keep = keep or [c for c in df.columns if c != features]
+    if isinstance(model, extra_trees.Forest):
+        return extra_trees.score(model, df, features, keep)
     out = model.transform(df.withColumn("_x", array_to_vector(features)))
     return out.select(*keep, vector_to_array("probability")[1].alias("p1"),
                       F.col("prediction").cast("int").alias("pred"))
@@ -74,7 +79,9 @@ def fold_values(df: DataFrame, fold_col: str) -> list:
 def kfold_scores(df: DataFrame, fold_col: str, features: str = "features", label: str = "persuaded",
                  model: str = "lr", reg_param: float = 0.0, keep: list[str] | None = None, **params) -> DataFrame:
     """Out-of-fold scores: for each fold fit on the others, score it; union of all folds.  The input is
-    written once to the shared folder, and every fold re-reads it."""
+    written once to the shared folder, and every fold re-reads it (``etc`` grows all folds' trees together)."""
+    if model == "etc":
+        return extra_trees.kfold_scores(df, fold_col, features, label, keep, **params)
     data = checkpointed(df)
     keep = keep or [c for c in df.columns if c != features]
     out = None

@@ -176,11 +176,58 @@ def trn03(spark, sf):
 
 
 @register("trn04_kfold_forest")
+def trn04_forest(spark, sf):
+    """The random forest that Spark has, under its own name."""
+    f = group_kfold(v.emb_cls(spark, sf), "group_id", fold_col="folds_col")
+    return tr.kfold_scores(f, "folds_col", model="rf", keep=["group_id", "folds_col", "persuaded"])
+
+
+@register("trn04_kfold_extra_trees")
 def trn04(spark, sf):
     f = group_kfold(v.emb_cls(spark, sf), "group_id", fold_col="folds_col")
     return tr.kfold_scores(f, "folds_col", model="etc", keep=["group_id", "folds_col", "persuaded"])
 
 
+def _mix_sql(x: str) -> str:
+    """extra_trees.mix of an unsigned 64-bit expression."""
+    def times(z: str, by: int) -> str:
+        return f"CAST((CAST({z} AS UHUGEINT) * {by}) % 18446744073709551616 AS UBIGINT)"
+    start = f"[CAST((CAST({x} AS UHUGEINT) + 11400714819323198485) % 18446744073709551616 AS UBIGINT)]"
+    one = f"list_transform({start}, lambda z: {times('xor(z, z >> 30)', 13787848793156543929)})"
+    two = f"list_transform({one}, lambda z: {times('xor(z, z >> 27)', 10723151780598845931)})"
+    return f"list_transform({two}, lambda z: xor(z, z >> 31))[1]"
+
+
+def _one_level_sql() -> str:
+    key = _mix_sql(f"xor({_mix_sql(f'xor({_mix_sql("42::UBIGINT")}, 0::UBIGINT)')}, 1::UBIGINT)")
+
+    def impure(n: str, p: str) -> str:
+        return f"(2 * {p} * ({n} - {p}) / greatest({n}, 1))"
+    return v.with_views("emb_cls") + f""",
+k AS (SELECT {key} AS k),
+drawn AS (SELECT f, ({_mix_sql(f"xor({_mix_sql('k')}, f::UBIGINT)")} >> 11) * power(2.0, -53) AS u, {_mix_sql(f"xor(k, {_mix_sql('f::UBIGINT')})")} AS place
+          FROM k, (SELECT unnest(range((SELECT max(len(embedding)) FROM emb_cls))) AS f)),
+x AS (SELECT group_id, persuaded AS y, f, CAST(embedding[f + 1] AS DOUBLE) AS x FROM emb_cls, (SELECT f FROM drawn)),
+r AS (SELECT f, min(x) AS lo, max(x) AS hi FROM x GROUP BY f),
+t AS (SELECT f, place, lo, hi, CASE WHEN lo + u * (hi - lo) >= hi THEN lo ELSE lo + u * (hi - lo) END AS t FROM r JOIN drawn USING (f)),
+c AS (SELECT f, place, t, lo, hi, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS p, (count(*) FILTER (x > t))::DOUBLE AS nr, coalesce(sum(y) FILTER (x > t), 0)::DOUBLE AS pr
+      FROM x JOIN t USING (f) GROUP BY f, place, t, lo, hi),
+best AS (SELECT * FROM c WHERE lo < hi AND nr >= greatest(1, ceil(0.001 * n)) AND n - nr >= greatest(1, ceil(0.001 * n))
+         ORDER BY {impure('n', 'p')} - {impure('(n - nr)', '(p - pr)')} - {impure('nr', 'pr')} DESC, place LIMIT 1),
+s AS (SELECT group_id, CASE WHEN x > t THEN pr / nr ELSE (p - pr) / (n - nr) END AS p1 FROM x JOIN best USING (f))
+SELECT group_id, round(p1, 6) + 0.0 AS p1, CAST(p1 > 0.5 AS INTEGER) AS pred FROM s"""
+
+
+@register("trn04_one_level", _one_level_sql())
+def trn04_one_level(spark, sf):
+    """One tree of one level that draws a threshold of every feature: exact."""
+    from suasion.operators import extra_trees
+    e = v.emb_cls(spark, sf)
+    width = e.select(F.max(F.size("features"))).first()[0]
+    forest = extra_trees.fit(e, trees=1, max_features=width, max_depth=1)
+    return extra_trees.score(forest, e, keep=["group_id"]).select("group_id", r6("p1").alias("p1"), "pred")
+
+
 @register("trn05_l2_search")
 def trn05(spark, sf):
     f = group_kfold(v.emb_cls(spark, sf), "group_id", fold_col="folds_col")

@@ -70,6 +70,7 @@ PROPERTIES = {
     "trn01_linear_head": (N_VEC, "p1 between 0 and 1 and pred = cast(p1 > 0.5 as int)"),
     "trn03_kfold_heads": (f"SELECT 2 * ({N_VEC})", "p1 between 0 and 1 and folds_col between 0 and 4"),
     "trn03_kfold_lr": (N_VEC, "p1 between 0 and 1 and folds_col between 0 and 4"),
+    "trn04_kfold_extra_trees": (N_VEC, "p1 between 0 and 1 and folds_col between 0 and 4 and pred = cast(p1 > 0.5 as int)"),
     "trn04_kfold_forest": (N_VEC, "p1 between 0 and 1 and folds_col between 0 and 4"),
     "trn05_l2_search": ("SELECT 20", "inner_auc between 0 and 1 and inner_fold <> outer_fold"),
     "trn05_l2_search_heads": ("SELECT 4", "roc_auc between 0 and 1"),
