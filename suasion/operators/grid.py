@@ -54,8 +54,8 @@ def expand_grid(spark: SparkSession, config: dict, defaults: dict | None = None)
     return out.select(F.md5(key).substr(1, 8).alias("run_id"), "settings")
 
 
-# Settings a full-batch trainer from a zero start cannot obey (kept as defaults, refused otherwise).
-FIXED_SETTINGS = ("batch_size", "seed", "luar_max_length", "classifier_output_dim")
+# Settings that the trainer of frozen vectors cannot obey (kept as defaults, refused otherwise).
+FIXED_SETTINGS = ("luar_max_length", "classifier_output_dim")
 
 
 def settings_to_heads(settings: DataFrame) -> list[HeadSetting]:
@@ -70,7 +70,7 @@ def settings_to_heads(settings: DataFrame) -> list[HeadSetting]:
         s = DEFAULTS | s
         heads.append(HeadSetting(r["run_id"], lr=float(s["lr"]), weight_decay=float(s["weight_decay"]),
                                  patience=int(s["patience"]), min_delta=float(s["min_delta"]), epochs=int(s["epochs"]),
-                                 load_best=bool(s["load_best_model"]), extra=s))
+                                 load_best=bool(s["load_best_model"]), batch_size=int(s["batch_size"]), seed=int(s["seed"]), extra=s))
     return heads
 
 

@@ -22,7 +22,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suasion.operators import extra_trees
+from suasion.operators import extra_trees, minibatch
 from suasion.operators.evaluate import roc_auc
 from suasion.session import checkpointed
 
@@ -174,6 +174,8 @@ class HeadSetting:
     min_delta: float = 0.0
     epochs: int | None = None
     load_best: bool = True
+    batch_size: int | None = None  # None: one step per epoch over all rows
+    seed: int = 42  # of the batches
     extra: dict = field(default_factory=dict)
 
 
@@ -291,19 +293,57 @@ METRICS_SCHEMA = ("run_id string, fold int, epoch int, train_loss double, train_
                   "eval_loss double, eval_acc double")
 
 
+def _train_columns(data: DataFrame, settings: list[HeadSetting], features: str, label: str, split: str, key: str, epochs: int,
+                   col_folds: list | None = None, col_runs: list[int] | None = None, rows_per_block: int | None = None):
+    """``_adam_loop`` for the columns without a batch size, mini-batches for the others; one result."""
+    runs = col_runs if col_runs is not None else list(range(len(settings)))
+    small = np.array([settings[r].batch_size is not None for r in runs])
+    parts = []
+    if (~small).any() or not len(small):
+        at = np.flatnonzero(~small)
+        parts.append((at, _adam_loop(data, settings, features, label, split, epochs, None if col_folds is None else [col_folds[c] for c in at],
+                                     [runs[c] for c in at])))
+    if small.any():
+        at = np.flatnonzero(small)
+        mine = [settings[runs[c]] for c in at]
+        columns = minibatch.Columns(*[np.array([getattr(s, n) for s in mine]) for n in ("lr", "weight_decay", "batch_size", "seed")],
+                                    [None if col_folds is None else col_folds[c] for c in at])
+        blocks = minibatch.packed(data, features, label, split, key, rows_per_block)
+        width = data.select(F.max(F.size(features))).first()[0] or 0
+        rows, *rest = minibatch.train(blocks, width, columns, np.array([s.epochs or epochs for s in mine]),
+                                      np.array([s.patience for s in mine]), np.array([s.min_delta for s in mine]))
+        named = [(mine[c].run_id, columns.fold[c], ep, *map(float, values)) for c, ep, *values in rows]
+        parts.append((at, (named, *rest)))
+    rows = [r for _, (found, *_) in parts for r in found]
+    shape = parts[0][1][1].shape[0]
+    theta, best = np.zeros((shape, len(runs))), np.zeros((shape, len(runs)))
+    best_epoch, stopped = np.zeros(len(runs), dtype=int), np.zeros(len(runs), dtype=bool)
+    for at, (_, last, good, epoch, early) in parts:
+        theta[:, at], best[:, at], best_epoch[at], stopped[at] = last, good, epoch, early
+    return rows, theta, best, best_epoch, stopped
+
+
+def _with_key(df: DataFrame, features: str, label: str, id_col: str | None):
+    """The row's key of the batches' order: an id or, without one, a hash of the row."""
+    return F.xxhash64(features, label).cast("string") if id_col is None else F.col(id_col).cast("string")
+
+
 def train_heads(df: DataFrame, settings: list[HeadSetting], features: str = "features",
-                label: str = "persuaded", split: str = "split", epochs: int = 30,
-                seed: int = 42) -> tuple[DataFrame, dict]:
+                label: str = "persuaded", split: str = "split", epochs: int = 30, id_col: str | None = None,
+                rows_per_block: int | None = None) -> tuple[DataFrame, dict]:
     """Train one head per setting on rows with split 'train', validate on 'validation'.
 
     Returns (epoch metrics DataFrame, {run_id: final state}).  Early stopping per
     run watches eval loss (TRN02).  A state has the weights of the best and of the last
     epoch; ``theta`` is the one the setting's ``load_best`` asks for.  Rows without a label
-    are left out.
+    are left out.  A setting with a ``batch_size`` takes mini-batches (``minibatch``), whose order
+    follows its ``seed`` and ``id_col`` (a hash of the row without one).
     """
     spark = df.sparkSession
-    data = checkpointed(df.select(features, F.col(label).cast("int").alias(label), split).filter(F.col(label).isNotNull()))
-    rows, theta, best_theta, best_epoch, stopped = _adam_loop(data, settings, features, label, split, epochs)
+    data = checkpointed(df.select(features, F.col(label).cast("int").alias(label), split, _with_key(df, features, label, id_col).alias("_key"))
+                        .filter(F.col(label).isNotNull()))
+    rows, theta, best_theta, best_epoch, stopped = _train_columns(
+        data.filter(F.col(split).isin("train", "validation")), settings, features, label, split, "_key", epochs, rows_per_block=rows_per_block)
     metrics = spark.createDataFrame(rows, METRICS_SCHEMA).drop("fold")
     last = {r[0]: r[2] for r in rows}
     final = {s.run_id: {"theta": (best_theta if s.load_best else theta)[:, c].tolist(), "best_epoch": int(best_epoch[c]),
@@ -315,18 +355,19 @@ def train_heads(df: DataFrame, settings: list[HeadSetting], features: str = "fea
 
 def kfold_heads(df: DataFrame, fold_col: str, settings: list[HeadSetting], features: str = "features",
                 label: str = "persuaded", epochs: int = 30, keep: list[str] | None = None,
-                use_best: bool = True) -> tuple[DataFrame, DataFrame]:
+                use_best: bool = True, id_col: str | None = None, rows_per_block: int | None = None) -> tuple[DataFrame, DataFrame]:
     """K-fold × grid in one pass per epoch: column (setting s, fold f) trains on the
     other folds and validates on f.  Returns (epoch metrics, out-of-fold scores with
     one row per input row and setting: ``run_id, <keep>, p1, pred``)."""
     spark = df.sparkSession
     data = checkpointed(df.select(*(keep or []), features, F.col(label).cast("int").alias(label),
-                                  F.col(fold_col).cast("int").alias(fold_col)).filter(F.col(label).isNotNull()))
+                                  F.col(fold_col).cast("int").alias(fold_col), _with_key(df, features, label, id_col).alias("_key"))
+                        .filter(F.col(label).isNotNull()))
     folds = fold_values(data, fold_col)
     col_runs = [r for r in range(len(settings)) for _ in folds]
     col_folds = [f for _ in settings for f in folds]
-    rows, theta, best_theta, _, _ = _adam_loop(data, settings, features, label, fold_col, epochs,
-                                               col_folds, col_runs)
+    rows, theta, best_theta, _, _ = _train_columns(data, settings, features, label, fold_col, "_key", epochs,
+                                                   col_folds, col_runs, rows_per_block)
     W = best_theta if use_best else theta
     metrics = spark.createDataFrame(rows, METRICS_SCHEMA)
     # one scan scores every setting: a row's own fold picks the column; the weights are d × settings × folds

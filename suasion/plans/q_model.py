@@ -252,6 +252,42 @@ def trn01_epoch(spark, sf):
     return metrics.select("run_id", "epoch", *[r6(c).alias(c) for c in ("train_loss", "train_acc", "eval_loss", "eval_acc")])
 
 
+@register("trn01_two_batches", v.with_views("emb_cls") + """,
+g AS (SELECT DISTINCT group_id FROM emb_cls),
+sp AS (SELECT group_id, CASE WHEN r < (n * 6) // 10 THEN 'train' WHEN r < (n * 6) // 10 + (n * 2) // 10 THEN 'validation' ELSE 'test' END AS split
+       FROM (SELECT group_id, row_number() OVER (ORDER BY md5('42:' || group_id), group_id) - 1 AS r, count(*) OVER () AS n FROM g)),
+b AS (SELECT group_id, CASE WHEN 2 * row_number() OVER (ORDER BY md5('42:1:' || group_id), group_id) <= n + n % 2 THEN 1 ELSE 2 END AS b
+      FROM (SELECT group_id, count(*) OVER () AS n FROM sp WHERE split = 'train')),
+e AS (SELECT emb_cls.group_id, persuaded AS y, embedding, split, b FROM emb_cls JOIN sp USING (group_id) LEFT JOIN b USING (group_id)),
+x AS (SELECT group_id, y, split, b, i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM e, LATERAL (SELECT unnest(range(len(embedding))) AS i)
+      UNION ALL SELECT group_id, y, split, b, -1, 1.0 FROM e),
+one AS (SELECT i, g AS g1, -0.01 * g / (abs(g) + 1e-8) AS w FROM (SELECT i, avg((0.5 - y) * x) AS g FROM x WHERE b = 1 GROUP BY i)),
+h1 AS (SELECT group_id, y, sum(w * x) AS h FROM x JOIN one USING (i) WHERE b = 2 GROUP BY group_id, y),
+g2 AS (SELECT x.i, avg((1 / (1 + exp(-2 * h)) - x.y) * x) AS g2 FROM x JOIN h1 USING (group_id) GROUP BY x.i),
+two AS (SELECT i, w - 0.01 * ((0.9 * 0.1 * g1 + 0.1 * g2) / (1 - 0.81))
+               / (sqrt((0.999 * 0.001 * g1 * g1 + 0.001 * g2 * g2) / (1 - 0.999 * 0.999)) + 1e-8) AS w FROM one JOIN g2 USING (i)),
+z AS (SELECT group_id, y, sum(w * x) AS h FROM x JOIN two USING (i) WHERE split = 'validation' GROUP BY group_id, y),
+tr AS (SELECT ln(2) AS loss, 1 - y AS hit FROM e WHERE b = 1
+       UNION ALL SELECT ln(1 + exp(CASE WHEN y = 1 THEN -2 * h ELSE 2 * h END)), CAST((h > 0) = (y = 1) AS INTEGER) FROM h1)
+SELECT 'run' AS run_id, 1 AS epoch, (SELECT round(avg(loss), 6) + 0.0 FROM tr) AS train_loss, (SELECT round(avg(hit), 6) + 0.0 FROM tr) AS train_acc,
+       round(avg(ln(1 + exp(CASE WHEN y = 1 THEN -2 * h ELSE 2 * h END))), 6) + 0.0 AS eval_loss,
+       round(avg(CAST((h > 0) = (y = 1) AS DOUBLE)), 6) + 0.0 AS eval_acc FROM z""")
+def trn01_batches(spark, sf):
+    """One epoch of two seeded mini-batches, two Adam steps: exact."""
+    d = _emb_split(spark, sf)
+    half = -(-d.filter(F.col("split") == "train").count() // 2)
+    metrics, _ = tr.train_heads(d, [tr.HeadSetting("run", lr=0.01, batch_size=half)], epochs=1, id_col="group_id")
+    return metrics.select("run_id", "epoch", *[r6(c).alias(c) for c in ("train_loss", "train_acc", "eval_loss", "eval_acc")])
+
+
+@register("trn01_minibatch_heads")
+def trn01_minibatch(spark, sf):
+    """Batches of 64 and of 16 rows, each with its own seed, trained together; every epoch's losses."""
+    settings = [tr.HeadSetting(f"b{b}", lr=0.005, weight_decay=0.001, batch_size=b, seed=b, patience=0) for b in (64, 16)]
+    metrics, _ = tr.train_heads(_emb_split(spark, sf), settings, epochs=10, id_col="group_id")
+    return metrics
+
+
 @register("trn03_first_epoch_heads", v.with_views("emb_cls") + """,
 g AS (SELECT group_id, count(*) AS n FROM emb_cls GROUP BY group_id),
 f AS (SELECT group_id, CAST((row_number() OVER (ORDER BY n DESC, md5('42:' || group_id), group_id) - 1) % 5 AS INTEGER) AS fold FROM g),

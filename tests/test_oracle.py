@@ -68,6 +68,7 @@ PROPERTIES = {
     "snk05_run_metrics": (None, "epoch between 1 and 8 and best_epoch >= 1 and lr in ('0.01', '0.05') and train_loss > 0"),
     "snk07_model_roundtrip": (f"SELECT 2 * ({N_VEC})", "p_before = p_after"),
     "trn01_linear_head": (N_VEC, "p1 between 0 and 1 and pred = cast(p1 > 0.5 as int)"),
+    "trn01_minibatch_heads": ("SELECT 20", "epoch between 1 and 10 and train_loss between 0 and 2 and eval_acc between 0 and 1"),
     "trn03_kfold_heads": (f"SELECT 2 * ({N_VEC})", "p1 between 0 and 1 and folds_col between 0 and 4"),
     "trn03_kfold_lr": (N_VEC, "p1 between 0 and 1 and folds_col between 0 and 4"),
     "trn04_kfold_extra_trees": (N_VEC, "p1 between 0 and 1 and folds_col between 0 and 4 and pred = cast(p1 > 0.5 as int)"),

@@ -141,7 +141,7 @@ def test_grid_runs_obey_their_epochs_and_choice(spark):
         assert f["theta"] == (f["best_theta"] if r["settings"]["load_best_model"] == "true" else f["last_theta"])
 
 
-@pytest.mark.parametrize("odd", [{"batch_size": {"value": 32}}, {"seed": {"value": 1}}, {"momentum": {"value": 0.9}}])
+@pytest.mark.parametrize("odd", [{"luar_max_length": {"value": 32}}, {"classifier_output_dim": {"value": 3}}, {"momentum": {"value": 0.9}}])
 def test_grid_refuses_settings_without_effect(spark, odd):
     df = spark.createDataFrame([([1.0], 1, "train")], "features array<double>, persuaded int, split string")
     with pytest.raises(ValueError, match="without effect"):
