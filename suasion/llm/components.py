@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suasion.llm.shared import written
+from suasion.llm.shared import drop_written, written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
     turned = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
     pairs = edges.unionByName(turned) if large else \
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -25,7 +25,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         out = joined.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")),
                                               F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-    return out.where(F.col("u") != F.col("v")).distinct()
+    return out.where(F.col("u") != F.col("v")).distinct(), low
 
 
 def _sign(edges: DataFrame) -> tuple:
@@ -38,7 +38,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = _sign(edges)
     while seen[0]:
-        edges = written(_star(_star(edges, True), False), "edges")
+        large, low = _star(edges, True)
+        small, lower = _star(large, False)
+        before, edges = edges, written(small, "edges")
+        drop_written(before, low, lower)
         now = _sign(edges)
         if now == seen:
             break

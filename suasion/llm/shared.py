@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import weakref
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +29,20 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     (lost executors re-read the files, nothing upstream runs again)."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` whose readers' own results are written."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop(t))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from suasion.llm.components import components
-from suasion.llm.shared import partitions, written
+from suasion.llm.shared import drop_written, partitions, written
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
 BLOCK, MAX_BLOCKS, LEAF, FAN = 1 << 14, 4096, 16, 4
@@ -185,7 +185,7 @@ def _blocks(fps: DataFrame, n: int) -> DataFrame:
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Spanning links (u, v) between distinct fingerprints ``fp`` at up to ``max_bits`` differing bits."""
+    """Spanning links (u, v) between distinct fingerprints ``fp`` at up to ``max_bits`` differing bits.  Written."""
     spark = fps.sparkSession
     blocks = _blocks(fps, fps.count())
     top = sorted(tuple(r) for r in blocks.select("block", "low", "high").collect())  # bounded by MAX_BLOCKS (and its splits)
@@ -211,7 +211,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
                 if len(moved):
                     yield pa.RecordBatch.from_arrays([pa.array(both[moved].view(np.int64)), pa.array(both[label[moved]].view(np.int64))], ["u", "v"])
     met = want.join(a, "i").join(b, "j").repartition(max(partitions(spark), min(len(pairs), 4 * partitions(spark))))
-    return met.mapInArrow(search, "u long, v long")
+    found = written(met.mapInArrow(search, "u long, v long"), "links")
+    drop_written(blocks)
+    return found
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
@@ -220,23 +222,36 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     included; ``root`` names the component even where document ids repeat."""
     fps = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    parts = components(links(classes, max_bits))
+    linked_pairs = links(classes, max_bits)
+    parts = components(linked_pairs)
     rooted = written(classes.join(parts, F.col("fp") == F.col("node"), "left")
                      .select("fp", "rep", F.coalesce("component", "fp").alias("root")), "rooted")
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     of = written(rooted.join(smallest, "root").select(F.col("fp").alias("_fp"), "root", "component_id"), "component-of")
+    drop_written(classes, linked_pairs, rooted)
     return fps.join(of, F.col("fp") == F.col("_fp")).select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def one_per_group(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` per component (its smallest doc_id), all columns as they came."""
+    """One row of ``docs`` per component (its smallest doc_id), all columns as they came.  Only rows whose
+    id and text occur more than once are told apart by a shuffle of their own; the others meet the kept
+    ids in one join."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("fp"), F.col("text_hash"))
-    kept = written(near_duplicates(docs, shingle, max_bits, id_col, text_col).groupBy("root").agg(F.min(order).alias("k"))
-                   .select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash")).distinct(), "kept")
-    joined = docs.withColumns({"__key": F.col(id_col).cast("long"), "__th": F.xxhash64(text_col)}).join(
-        kept, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__hash")), "left_semi")
-    return joined.dropDuplicates(["__key", "__th"]).select(*docs.columns)
+    found = near_duplicates(docs, shingle, max_bits, id_col, text_col)
+    times = found.groupBy("root", order.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    kept = written(times.groupBy("root").agg(F.min(F.struct("k", "n")).alias("m"))
+                   .select(F.col("m.k.doc_id").alias("__id"), F.col("m.k.text_hash").alias("__hash"), (F.col("m.n") > 1).alias("__repeated"))
+                   .distinct(), "kept")
+    keyed = docs.withColumns({"__key": F.col(id_col).cast("long"), "__th": F.xxhash64(text_col)})
+
+    def of(wanted: DataFrame) -> DataFrame:
+        return keyed.join(wanted, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__hash")), "left_semi")
+    out = of(kept.where("not __repeated")).select(*docs.columns)
+    repeated = kept.where("__repeated")
+    if repeated.isEmpty():
+        return out
+    return out.unionByName(of(repeated).dropDuplicates(["__key", "__th"]).select(*docs.columns))
 
 
 def fingerprint_hex(fp: Column) -> Column:
