@@ -74,8 +74,12 @@ def shuffled(keys: list[str], seed: int, epoch: int) -> np.ndarray:
 
 
 def losses(x: np.ndarray, y: np.ndarray, w: np.ndarray):
-    """(probability of label 1, loss, hit) of each row and column: two logits -h and h."""
-    d = 2.0 * (x @ w)
+    """(probability of label 1, loss, hit) of each row and column: two logits -h and h, h = x w."""
+    return losses_at(x @ w, y)
+
+
+def losses_at(h: np.ndarray, y: np.ndarray):
+    d = 2.0 * h
     e = np.exp(-np.abs(d))
     p = np.where(d >= 0, 1.0 / (1.0 + e), e / (1.0 + e))
     return p, np.where(y > 0, np.logaddexp(0.0, -d), np.logaddexp(0.0, d)), ((d > 0) == (y > 0)).astype("float64")

@@ -24,5 +24,5 @@ def register(key: str, sql: str | None = None):
 def load_all() -> dict[str, tuple[Callable, str | None]]:
     # importing the modules fills REGISTRY
     from suasion.plans import (q_sources, q_shape, q_relational, q_splits,  # noqa: F401
-                               q_features, q_text, q_model, q_grid)
+                               q_features, q_text, q_model, q_grid, q_sparse)
     return REGISTRY

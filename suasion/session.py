@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import SparkSession
 
@@ -86,3 +87,25 @@ def checkpointed(df, eager: bool = True):
     """Cut lineage with a reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+_STORED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def stored(df, name: str):
+    """``df`` written as Parquet in the shared folder and read back.  For the state of an iteration: a
+    checkpoint keeps the size estimate of its plan, which multiplies with every join of a loop; a stored
+    table has the size of its files."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _STORED[out] = path
+    return out
+
+
+def drop_stored(*tables) -> None:
+    """Delete stored tables whose readers' own results are written."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_STORED.pop(t))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -57,6 +57,7 @@ PROPERTIES = {
     "entry_a_fold_metrics": ("SELECT 12", "roc_auc between 0 and 1 and accuracy between 0 and 1 and mfc >= 0.5 and f1_macro between 0 and 1"),
     "entry_b_trainer_metrics": ("SELECT 3", "loss > 0 and accuracy between 0 and 1 and roc_auc between 0 and 1 and best_epoch >= 1"),
     "fea04_pca": (f"SELECT 3 * ({N_VEC})", "value is not null and not isnan(value)"),
+    "fea04_sparse_pca": (None, "value is not null and not isnan(value)"),
     "fea06_rfa_interactions": ("SELECT 4 * (SELECT sum(len(embedding)) FROM embeddings)", "value is not null"),
     "fea06_rfa_kfold": (LABELLED, "abs(step1 + step2 - prediction) < 1e-9 and fold between 0 and 4"),
     "fea06_rfa_residual": (LABELLED, "abs(residual) < 5"),
@@ -71,6 +72,7 @@ PROPERTIES = {
     "trn01_minibatch_heads": ("SELECT 20", "epoch between 1 and 10 and train_loss between 0 and 2 and eval_acc between 0 and 1"),
     "trn03_kfold_heads": (f"SELECT 2 * ({N_VEC})", "p1 between 0 and 1 and folds_col between 0 and 4"),
     "trn03_kfold_lr": (N_VEC, "p1 between 0 and 1 and folds_col between 0 and 4"),
+    "trn03_sparse_heads": (None, "p1 between 0 and 1 and folds_col between 0 and 4 and pred = cast(p1 > 0.5 as int)"),
     "trn04_kfold_extra_trees": (N_VEC, "p1 between 0 and 1 and folds_col between 0 and 4 and pred = cast(p1 > 0.5 as int)"),
     "trn04_kfold_forest": (N_VEC, "p1 between 0 and 1 and folds_col between 0 and 4"),
     "trn05_l2_search": ("SELECT 20", "inner_auc between 0 and 1 and inner_fold <> outer_fold"),
