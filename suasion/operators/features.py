@@ -153,33 +153,31 @@ def rfa_kfold(df: DataFrame, label: str, factor_cols: list[str], features: str,
               reg_param: float = 1.0, keep: list[str] | None = None) -> DataFrame:
     """Residualized factor adaptation over a fold column: per fold, step 1 regresses the outcome on
     the factors, step 2 regresses its residual on the features and their products with the
-    factors (ridge), both on the other folds; the prediction is step 1 + step 2.
+    factors (ridge: ``reg_param`` / 2 times the squared coefficients of the standardised columns), both
+    on the other folds; the prediction is step 1 + step 2.
 
-    Returns ``keep`` + (fold, label, step1, step2, prediction), one row per input row with a fold;
+    One pass adds up the moments of all folds, one more predicts.  Returns ``keep`` + (fold, label, step1,
+    step2, prediction), one row per input row with a fold (rows without a label are only predicted);
     raises beyond ``train.MAX_FOLDS`` folds.
     """
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import LinearRegression
-    z = F.array(*[F.col(c).cast("double") for c in factor_cols])
-
-    def times(factor: str):
-        return F.transform(F.col(features), lambda x: x * F.col(factor))
-    crossed = F.concat(F.col(features), *[times(c) for c in factor_cols])
+    from suasion.operators import newton
+    z = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in factor_cols]
+
+    def times(factor):
+        return F.transform(F.col(features), lambda x: x * factor)
+    crossed = [times(one) for one in z]
+    y = F.col(label).cast("double")
+    vector = F.concat(F.array(F.lit(1.0), *z), F.col(features), *crossed, F.array(F.coalesce(y, F.lit(0.0))))
     keep = keep or []
     data = checkpointed(df.filter(F.col(fold_col).isNotNull()).select(
-        *keep, F.col(fold_col).alias("fold"), F.col(label).cast("double").alias("_y"),
-        array_to_vector(z).alias("_z"), array_to_vector(crossed).alias("_x")))
-    out = None
-    for k in fold_values(data, "fold"):
-        rest, own = data.filter(F.col("fold") != k), data.filter(F.col("fold") == k)
-        first = LinearRegression(featuresCol="_z", labelCol="_y", predictionCol="step1", solver="normal").fit(rest)
-        left = first.transform(rest).withColumn("_r", F.col("_y") - F.col("step1"))
-        second = LinearRegression(featuresCol="_x", labelCol="_r", predictionCol="step2", regParam=reg_param,
-                                  elasticNetParam=0.0).fit(left)
-        part = second.transform(first.transform(own)).select(
-            *keep, "fold", F.col("_y").alias(label), "step1", "step2", (F.col("step1") + F.col("step2")).alias("prediction"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        *keep, F.col(fold_col).alias("fold"), y.alias("_y"), vector.alias("_u")))
+    folds = fold_values(data, "fold")
+    width = data.select(F.max(F.size("_u"))).first()[0] or len(z) + 2
+    moments = newton.fold_moments(data.filter(F.col("_y").isNotNull()), "_u", "fold", folds, width)
+    weights = newton.rfa_weights(moments, len(z), reg_param)
+    steps = data.withColumn("_p", newton.dots(F.col("_u"), weights, F.col("fold"), folds))
+    return steps.select(*keep, "fold", F.col("_y").alias(label), F.col("_p")[0].alias("step1"), F.col("_p")[1].alias("step2"),
+                        (F.col("_p")[0] + F.col("_p")[1]).alias("prediction"))
 
 
 # FEA07 / FEA08 / FEA09 -------------------------------------------------------------------

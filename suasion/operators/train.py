@@ -22,9 +22,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suasion.operators import extra_trees, minibatch
+from suasion.operators import extra_trees, minibatch, newton
 from suasion.operators.evaluate import roc_auc
-from suasion.session import checkpointed
+from suasion.session import checkpointed, stored
 
 
 # TRN01 (a) / TRN03 / TRN04 -----------------------------------------------------------
@@ -93,32 +93,43 @@ def kfold_scores(df: DataFrame, fold_col: str, features: str = "features", label
 
 
 # TRN05 ------------------------------------------------------------------------------
+def nested_fits(df: DataFrame, fold_col: str, reg_params: list[float], features: str = "features", label: str = "persuaded"):
+    """Logistic fits of every strength without each fold and without each two folds, all in common Newton passes.
+    Returns (stored rows (x, y, fold), folds, strengths and left-out folds per column, weights, gradients, passes)."""
+    x = F.concat(F.array(F.lit(1.0)), F.col(features))
+    data = stored(df.filter(F.col(fold_col).isNotNull() & F.col(label).isNotNull()).select(
+        x.alias("x"), F.col(label).cast("double").alias("y"), F.col(fold_col).cast("int").alias("fold")), "nested")
+    folds = fold_values(data, "fold")
+    if len(folds) < 3:
+        raise ValueError("a nested search needs three folds")
+    penalties, left_out = newton.nested_columns(folds, reg_params)
+    return data, folds, penalties, left_out, *newton.fit_logistic(data, folds, penalties, left_out)
+
+
 def l2_search(df: DataFrame, fold_col: str, reg_params: list[float], features: str = "features",
               label: str = "persuaded") -> DataFrame:
-    """Nested choice of the L2 strength: for each outer fold, every strength is fitted on the other
-    folds but one (the inner fold: the next in order) and ranked by its AUC there; the best
-    (ties → weaker penalty) is refitted on all other folds and scored on the outer fold.
-
-    Returns (outer_fold, inner_fold, reg_param, inner_auc, chosen, outer_auc)."""
-    data = checkpointed(df.select(features, label, fold_col).filter(F.col(fold_col).isNotNull()))
-    folds = fold_values(data, fold_col)
+    """Nested choice of the L2 strength: for each outer fold, every strength is fitted without it and each
+    inner fold in turn and ranked by its mean AUC on the inner folds; the best (ties → weaker penalty),
+    fitted on all other folds, is scored on the outer fold.
+
+    Returns (outer_fold, inner_folds, reg_param, inner_auc, chosen, outer_auc)."""
+    data, folds, penalties, left_out, weights, _, _ = nested_fits(df, fold_col, reg_params, features, label)
+    mine = [[c for c, left in enumerate(left_out) if f in left] for f in folds]  # the columns that a fold's rows test
+    columns = F.array(*[F.array(*[F.lit(c) for c in own]) for own in mine])
+    place = F.array_position(F.array(*[F.lit(f) for f in folds]), F.col("fold")).cast("int") - 1
+    tested = data.select("fold", F.col("y").cast("int").alias("y"), newton.dots(F.col("x"), weights).alias("_h"), F.explode(columns[place]).alias("column"))
+    scored = tested.select("fold", "column", "y", F.col("_h")[F.col("column")].alias("h"))
+    auc = {(r["column"], r["fold"]): float(r["roc_auc"]) for r in roc_auc(scored, "y", "h", ["column", "fold"]).collect()}  # folds x columns
+    strengths = {(p, left): c for c, (p, left) in enumerate(zip(penalties.tolist(), left_out, strict=True))}
     rows = []
-    for i, outer in enumerate(folds):
-        inner = folds[(i + 1) % len(folds)]
-        rest = data.filter(F.col(fold_col) != outer)
-        aucs = []
-        for rp in reg_params:
-            m = fit(rest.filter(F.col(fold_col) != inner), features, label, "lr", rp)
-            s = score(m, rest.filter(F.col(fold_col) == inner), features, [label])
-            aucs.append(roc_auc(s, label, "p1").first()[0])
-        best = min(range(len(reg_params)), key=lambda j: (-aucs[j], reg_params[j]))
-        m = fit(rest, features, label, "lr", reg_params[best])
-        held = score(m, data.filter(F.col(fold_col) == outer), features, [label])
-        outer_auc = roc_auc(held, label, "p1").first()[0]
-        rows += [(int(outer), int(inner), float(rp), float(a), j == best, float(outer_auc) if j == best else None)
-                 for j, (rp, a) in enumerate(zip(reg_params, aucs))]
+    for outer in folds:
+        inner = [f for f in folds if f != outer]
+        means = [float(np.mean([auc[strengths[float(p), tuple(sorted((outer, i)))], i] for i in inner])) for p in reg_params]
+        best = min(range(len(reg_params)), key=lambda j: (-means[j], reg_params[j]))
+        rows += [(int(outer), len(inner), float(p), means[j], j == best, auc[strengths[float(p), (outer,)], outer] if j == best else None)
+                 for j, p in enumerate(reg_params)]
     # one row per (fold, strength)
-    return df.sparkSession.createDataFrame(rows, "outer_fold int, inner_fold int, reg_param double, inner_auc double, "
+    return df.sparkSession.createDataFrame(rows, "outer_fold int, inner_folds int, reg_param double, inner_auc double, "
                                                  "chosen boolean, outer_auc double")
 
 

@@ -418,6 +418,55 @@ def fea06_kfold(spark, sf):
     return fe.rfa_kfold(d, "y", ["z0", "z1", "z2"], "features", "folds_col", keep=["message_id"])
 
 
+@register("fea06_rfa_one_factor", """
+WITH e AS (SELECT CAST(vec_id AS VARCHAR) AS group_id, vec_id % 5 AS k, CAST(label >= 5 AS DOUBLE) AS y, CAST(embedding[1] AS DOUBLE) AS z,
+                  CAST(embedding[2] AS DOUBLE) AS x FROM embeddings),
+one AS (SELECT f.f, regr_slope(y, z) AS b, regr_intercept(y, z) AS a FROM e, (SELECT DISTINCT k AS f FROM e) f WHERE e.k <> f.f GROUP BY f.f),
+r AS (SELECT one.f, e.x, e.x * e.z AS xz, e.y - (a + b * e.z) AS r FROM e JOIN one ON e.k <> one.f),
+c AS (SELECT f, avg(x) AS mx, avg(xz) AS mxz, avg(r) AS mr, stddev_pop(x) AS sx, stddev_pop(xz) AS sxz, covar_pop(x, xz) AS cc,
+             covar_pop(x, r) AS cx, covar_pop(xz, r) AS cxz FROM r GROUP BY f),
+w AS (SELECT *, (cx / sx * 1.5 - cc / (sx * sxz) * cxz / sxz) / (1.5 * 1.5 - (cc / (sx * sxz)) ** 2) / sx AS bx,
+             (1.5 * cxz / sxz - cc / (sx * sxz) * cx / sx) / (1.5 * 1.5 - (cc / (sx * sxz)) ** 2) / sxz AS bxz FROM c)
+SELECT group_id, CAST(e.k AS INTEGER) AS fold, round(one.a + one.b * z, 6) + 0.0 AS step1,
+       round(mr - bx * mx - bxz * mxz + bx * x + bxz * x * z, 6) + 0.0 AS step2
+FROM e JOIN one ON e.k = one.f JOIN w ON w.f = e.k""")
+def fea06_one_factor(spark, sf):
+    """One factor, one feature and their product, ridge of 0.5: both steps out of fold, exact."""
+    from suasion.operators import features as fe
+    e = v.emb_cls(spark, sf).select("group_id", F.col("persuaded").cast("double").alias("y"), F.col("features")[0].alias("z"),
+                                    F.array(F.col("features")[1]).alias("features"), (F.col("group_id").cast("long") % 5).cast("int").alias("fold"))
+    out = fe.rfa_kfold(e, "y", ["z"], "features", "fold", reg_param=0.5, keep=["group_id"])
+    return out.select("group_id", "fold", r6("step1").alias("step1"), r6("step2").alias("step2"))
+
+
+@register("fea06_ridge_slope", """
+WITH e AS (SELECT CAST(vec_id AS VARCHAR) AS group_id, vec_id % 5 AS k, CAST(label AS DOUBLE) AS y, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings),
+p AS (SELECT unnest([0.0, 0.1, 1.0, 10.0]) AS penalty),
+w AS (SELECT f.f, p.penalty, avg(y) AS my, avg(x) AS mx, covar_pop(x, y) / var_pop(x) / (1 + p.penalty) AS b
+      FROM e, (SELECT DISTINCT k AS f FROM e) f, p WHERE e.k <> f.f GROUP BY f.f, p.penalty)
+SELECT group_id, CAST(e.k AS INTEGER) AS fold, CAST(penalty AS DOUBLE) AS penalty, round(my + b * (x - mx), 6) + 0.0 AS prediction
+FROM e JOIN w ON w.f = e.k""")
+def fea06_ridge(spark, sf):
+    """Ridge of one feature for four penalties and five folds from one pass of moments: exact."""
+    from suasion.operators import newton
+    e = v.vectors(spark, sf).select("group_id", F.col("label").cast("double").alias("y"), F.array(F.col("features")[0]).alias("features"),
+                                    (F.col("group_id").cast("long") % 5).cast("int").alias("fold"))
+    out = newton.ridge_kfold(e, "y", "features", "fold", [0.0, 0.1, 1.0, 10.0], keep=["group_id"])
+    return out.select("group_id", "fold", "penalty", r6("prediction").alias("prediction"))
+
+
+@register("trn05_gradients", """
+SELECT CAST(p AS DOUBLE) AS reg_param, CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || ',' || b END AS left_out, 0.0 AS gradient
+FROM (SELECT unnest([0.0, 0.01, 0.1, 1.0]) AS p), (SELECT unnest(range(5)) AS a), (SELECT unnest(range(5)) AS b) WHERE a <= b""")
+def trn05_gradients(spark, sf):
+    """The nested search's fits: the gradient's largest entry at every optimum is 0 to six places."""
+    f = group_kfold(v.emb_cls(spark, sf), "group_id", fold_col="folds_col")
+    _, _, penalties, left_out, _, gradients, _ = tr.nested_fits(f, "folds_col", [0.0, 0.01, 0.1, 1.0])
+    rows = [(float(p), ",".join(map(str, left)), float(abs(g).max())) for p, left, g in zip(penalties, left_out, gradients, strict=True)]
+    found = spark.createDataFrame(rows, "reg_param double, left_out string, gradient double")  # one row per fit
+    return found.select("reg_param", "left_out", r6("gradient").alias("gradient"))
+
+
 @register("fea06_step_one_exact", """
 WITH e AS (SELECT CAST(vec_id AS VARCHAR) AS group_id, CAST(label >= 5 AS DOUBLE) AS y, CAST(embedding[1] AS DOUBLE) AS z FROM embeddings),
 r AS (SELECT regr_slope(y, z) AS b, regr_intercept(y, z) AS a FROM e)
