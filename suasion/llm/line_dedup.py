@@ -27,12 +27,13 @@ all columns of the table come back, ``text`` without the dropped lines.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suasion.llm.shared import texts_of, written
+from suasion.llm.shared import drop_written, texts_of, written
 
 MIN_WORDS = 5
 _NO_ID = -(1 << 63)  # a null id, in keys
@@ -59,6 +60,13 @@ def _line_keys(line: str, min_words: int):
     return _h(flat), _h(flat, 1), n, *a, *z
 
 
+def _slices(batches, rows: int = 512):
+    """The batches in small pieces: a task holds the lines of one."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"),
@@ -68,7 +76,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def line_table(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line that isn't blank: hashes, place, word count, half hashes.  Written."""
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             rows = []
             for doc, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2)), strict=True):
                 for i, line in enumerate(text.split("\n")):
@@ -97,7 +105,7 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
-    """(doc, th, line, h1, h2, first, last): lines that share their first / last half with another class."""
+    """(doc, th, line, h1, h2, first, last): lines that share their first / last half with another class.  Written."""
     halves = classes.where("n > 0").select(
         "h1", "h2", "doc", "th", "line",
         F.explode(F.array(F.struct(F.col("a0").alias("half"), F.lit(True).alias("front")),
@@ -107,27 +115,36 @@ def _candidates(classes: DataFrame) -> DataFrame:
     keys = halves.select("k.half").where("half is not null")
     shared = written(keys.groupBy("half").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("half").alias("_half")), "shared-halves")
     met = halves.where("k.half is not null").join(shared, F.col("k.half") == F.col("_half"))
-    return (met.groupBy("h1", "h2", "doc", "th", "line")
-            .agg(F.max(F.col("k.front").cast("int")).alias("first"), F.max((~F.col("k.front")).cast("int")).alias("last")))
+    out = written(met.groupBy("h1", "h2", "doc", "th", "line")
+                  .agg(F.max(F.col("k.front").cast("int")).alias("first"), F.max((~F.col("k.front")).cast("int")).alias("last")), "line-candidates")
+    drop_written(shared)
+    return out
+
+
+_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+_BACK = pow(_BASE, -1, 1 << 64)
+
 
+def _sequence_hash(total: np.ndarray, n: int) -> np.ndarray:
+    """Spread the polynomial sum of ``n`` word hashes over all 64 bits, as signed numbers."""
+    x = total + np.uint64(n * _BACK & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
 
-def _variants(words: list[str], first: int, last: int):
-    """(hash, place) of the line itself (place -1) and of its deletions: a line that shares only
-    its first half can differ only after it, and the other way round."""
+
+def _variants(words: list[str], first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of the line itself (place -1) and of its deletions: a line that shares only
+    its first half can differ only after it, and the other way round.  A sequence's hash is the sum of
+    word hash x base ** place, so each deletion costs one step however long the line is."""
     n = len(words)
-    flat = " ".join(words)
-    yield _h(flat), -1
+    x = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+    power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, _BASE, np.uint64)]))
+    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * power)])
     low, high = (0 if last else (n - 1) // 2), (n if first else n - (n - 1) // 2)
-    ends, at = [], -1
-    for w in words:
-        at += len(w) + 1
-        ends.append(at)
-    for p in range(low, high):
-        a = ends[p - 1] if p else 0
-        if p == 0:
-            yield _h(flat[ends[0] + 1:]), 0
-        else:
-            yield _h(flat[:a] + flat[ends[p]:]), p
+    p = np.arange(low, high)
+    without = prefix[p] + (prefix[n] - prefix[p + 1]) * np.uint64(_BACK)
+    return (np.concatenate([_sequence_hash(prefix[n:], n), _sequence_hash(without, n - 1)]),
+            np.concatenate([[-1], p]).astype(np.int32))
 
 
 def distance_one(a: list[str], b: list[str]) -> bool:
@@ -143,17 +160,13 @@ def distance_one(a: list[str], b: list[str]) -> bool:
     return long[i + 1:] == short[i:]
 
 
-def duplicate_lines(docs: DataFrame, lines: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """(h1, h2, doc, th, line, near): per distinct line its earliest place, and whether an earlier line is
-    within the bound."""
-    classes = written(line_classes(lines), "line-classes")
-    cand = written(_candidates(classes), "line-candidates")
+def near_lines(docs: DataFrame, cand: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(h1, h2) of the candidates with an earlier line within the bound.  Written; drops ``cand``."""
     per_doc = cand.groupBy("doc", "th").agg(F.collect_list(F.struct("line", "h1", "h2", "first", "last")).alias("wanted"))
     texts = _keyed(docs, id_col, text_col).join(per_doc, ["doc", "th"]).select("doc", "th", "text", "wanted")
 
     def lines_of(batches):
-        for b in batches:
+        for b in _slices(batches):
             rows = []
             for doc, th, text, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 lines = text.split("\n")
@@ -162,16 +175,20 @@ def duplicate_lines(docs: DataFrame, lines: DataFrame, min_words: int = MIN_WORD
                 yield _batch(rows, CANDIDATES)
     CANDIDATES = "h1 long, h2 long, doc long, th long, line int, first int, last int, words string"
     found = written(texts.mapInArrow(lines_of, CANDIDATES).dropDuplicates(["h1", "h2"]), "candidate-lines")
+    drop_written(cand)
 
     def emit(batches):
         for b in batches:
-            rows = []
-            for h1, h2, doc, th, line, first, last, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words = text.split()
-                rows += [(v, p, h1, h2, doc, th, line) for v, p in _variants(words, first, last)
-                         if p < 0 or len(words) >= min_words]
-            if rows:
-                yield _batch(rows, VARIANTS)
+            first, last, texts = (b.column(k).to_pylist() for k in (5, 6, 7))
+            for a in range(0, len(texts), 4096):
+                found = []
+                for f, z, text in zip(first[a:a + 4096], last[a:a + 4096], texts[a:a + 4096], strict=True):
+                    words = text.split()
+                    hashes, places = _variants(words, f, z)
+                    found.append((hashes, places) if len(words) >= min_words else (hashes[:1], places[:1]))
+                of = np.repeat(np.arange(a, a + len(found)), [len(h) for h, _ in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in found])), pa.array(np.concatenate([p for _, p in found])),
+                                                  *b.select(list(range(5))).take(pa.array(of)).columns], [f.split()[0] for f in VARIANTS.split(", ")])
     variants = written(found.mapInArrow(emit, VARIANTS), "line-variants")
     order = F.struct("doc", "th", "line", "h1", "h2")
     # earliest line of a (variant, place), and of a variant's deletions and whole lines
@@ -185,7 +202,9 @@ def duplicate_lines(docs: DataFrame, lines: DataFrame, min_words: int = MIN_WORD
     pairs = (variants.join(replaced, (F.col("v") == F.col("_v")) & (F.col("place") == F.col("_p"))).select(*own, "low")
              .unionByName(variants.join(inserted, F.col("v") == F.col("_v"))
                           .select(*own, F.when(F.col("place") < 0, F.col("low_deleted")).otherwise(F.col("low_whole")).alias("low"))))
-    pairs = pairs.where(F.col("low") < order).select(*own, F.col("low.h1").alias("k1"), F.col("low.h2").alias("k2")).distinct()
+    named = written(pairs.where(F.col("low") < order).select("h1", "h2", F.col("low.h1").alias("k1"), F.col("low.h2").alias("k2")).distinct(),
+                    "line-pairs")
+    drop_written(variants, replaced, inserted)
     text = found.select("h1", "h2", "words")
     kept = text.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("words").alias("kept_words"))
 
@@ -193,29 +212,37 @@ def duplicate_lines(docs: DataFrame, lines: DataFrame, min_words: int = MIN_WORD
         for b in batches:
             ok = [distance_one(x.split(), y.split()) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in b.columns[:2]], ["h1", "h2"])
-    near = written(pairs.select("h1", "h2", "k1", "k2").join(text, ["h1", "h2"]).join(kept, ["k1", "k2"])
-                   .select("h1", "h2", "words", "kept_words").mapInArrow(verify, "h1 long, h2 long").distinct()
-                   .select(F.col("h1").alias("_n1"), F.col("h2").alias("_n2")), "near-lines")
-    return classes.join(near, (F.col("h1") == F.col("_n1")) & (F.col("h2") == F.col("_n2")), "left") \
-        .select("h1", "h2", "doc", "th", "line", F.col("_n1").isNotNull().alias("near"))
+    near = written(named.join(text, ["h1", "h2"]).join(kept, ["k1", "k2"])
+                   .select("h1", "h2", "words", "kept_words").mapInArrow(verify, "h1 long, h2 long").distinct(), "near-lines")
+    drop_written(found, named)
+    return near
 
 
 def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, th, lines): the line numbers each document loses."""
-    lines = line_table(docs, min_words, id_col, text_col)
-    verdict = written(duplicate_lines(docs, lines, min_words, id_col, text_col).withColumnsRenamed(
-        {"h1": "c1", "h2": "c2", "doc": "cdoc", "th": "cth", "line": "cline"}), "line-verdicts")
+    """(doc, th, lines): the line numbers each document loses.  Written."""
+    wide = line_table(docs, min_words, id_col, text_col)
+    classes = written(line_classes(wide), "line-classes")
+    cand = _candidates(classes)
+    place = ["h1", "h2", "doc", "th", "line"]  # the halves have done their work
+    lines, first = written(wide.select(place), "line-places"), written(classes.select(place), "first-places")
+    drop_written(wide, classes)
+    near = near_lines(docs, cand, min_words, id_col, text_col)
+    found = near.select(F.col("h1").alias("n1"), F.col("h2").alias("n2"))
+    verdict = (first.withColumnsRenamed({"h1": "c1", "h2": "c2", "doc": "cdoc", "th": "cth", "line": "cline"})
+               .join(found, (F.col("c1") == F.col("n1")) & (F.col("c2") == F.col("n2")), "left").withColumn("near", F.col("n1").isNotNull()))
     out = lines.join(verdict, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2"))) \
         .where(F.col("near") | (F.struct("cdoc", "cth", "cline") != F.struct("doc", "th", "line")))
-    return out.groupBy("doc", "th").agg(F.collect_set("line").alias("lines"))
+    lost = written(out.groupBy("doc", "th").agg(F.collect_set("line").alias("lines")), "dropped-lines")
+    drop_written(lines, first, near)
+    return lost
 
 
 def without_duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
                             text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """All columns of ``docs``; ``text_col`` without lines that repeat an earlier one (``count_col``, if
     given, becomes the new text's length in characters)."""
-    drop = written(dropped_lines(docs, min_words, id_col, text_col).select(
-        F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("lines").alias("__lines")), "dropped-lines")
+    drop = dropped_lines(docs, min_words, id_col, text_col).select(
+        F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("lines").alias("__lines"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     joined = docs.join(drop, (F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)) == F.col("__doc"))
                        & (F.xxhash64(text) == F.col("__th")), "left")

@@ -694,3 +694,15 @@ def test_token_files_over_many_shards_with_a_hot_id(sp, word_tokenizer):
     assert len(got) == 120 and keys == sorted(keys)
     assert [g[0] for g in got] == np.cumsum([0] + [g[2] for g in got[:-1]]).tolist()
     assert sum(r["documents"] > 0 for r in manifest.collect()) > 4
+
+
+def test_line_variants_of_a_long_line_cost_one_step_each():
+    import time
+    words = [f"w{i % 977}" for i in range(1_000_000)]
+    began = time.time()
+    hashes, places = line_dedup._variants(words, 1, 1)
+    assert time.time() - began < 20 and len(hashes) == len(words) + 1 and places[0] == -1
+    short = words[:7]
+    whole = {tuple(short[:p] + short[p + 1:]): line_dedup._variants(short[:p] + short[p + 1:], 1, 1)[0][0] for p in range(7)}
+    hashes, places = line_dedup._variants(short, 1, 1)
+    assert [h for h in hashes[1:]] == [whole[tuple(short[:p] + short[p + 1:])] for p in places[1:]]
