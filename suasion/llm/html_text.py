@@ -52,6 +52,9 @@ LABELLED = [tuple(map(float, row.split())) for row in """
 0 0 1 12 0 1 1 90 0 0;0 0 1 200 0 10 0 10 0 0;0 0 1 60 .1 200 0 40 0 0;0 0 1 35 0 35 0 35 0 0;0 0 1 9 .4 9 0 120 0 0
 0 1 0 12 0 0 0 80 0 1;0 1 0 2 0 60 0 90 0 1;0 1 0 90 0 2 0 12 0 1;0 1 0 9 1 60 0 90 0 1;0 1 1 60 0 90 0 30 0 0
 """.replace("\n", ";").split(";") if row.strip()]
+# The end of a page without an article tag: a paragraph as long as a sentence is text, a short line isn't.
+LABELLED += [(0.0, 0.0, 0.0, float(words), links, float(before), 0.0, after, links_after, float(words >= 12 and links < 0.3))
+             for words in (5, 12, 16, 40) for links in (0.0, 0.6) for before in (30, 80) for after, links_after in ((0.0, 0.0), (3.0, 1.0))]
 # Inside an article, outside furniture, a block is text whatever its length and its neighbours'.
 LABELLED += [(1.0, 1.0, 0.0, float(words), links, float(before), 0.0, float(after), 0.0, 1.0)
              for words in (3, 15, 60) for links in (0.0, 0.15, 0.5) for before in (2, 40) for after in (2, 40)]
@@ -66,11 +69,12 @@ EMPTY = frozenset(("svg", "iframe", "object", "canvas"))  # nothing in them when
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("nav footer aside form menu dialog fieldset".split())
 ARTICLE = frozenset(("article", "main"))
-_HINT = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|masthead|topbar|header|footer|foot|sidebar|side|aside|rail|widgets?|"
+_HINT = re.compile(r"(?:^|[\s_-])(?<!has-)(?<!has_)(?<!no-)(?<!no_)(?<!with-)(?<!with_)(?<!without-)(?:nav|navbar|navigation|menu|masthead|topbar|header|footer|foot|sidebar|side|aside|rail|widgets?|"
                    r"ads?|adverts?|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookies?|consent|"
                    r"gdpr|notices?|alert|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|"
                    r"breadcrumbs?|pagination|pager|comments?|commentlist|respond|replies|reply|disqus|popup|modal|overlay|"
                    r"toolbar|search|hidden)(?=$|[\s_-]|\d)", re.I)
+_REPLY = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|related|teaser|card|promo|ads?|advert|sponsored)(?=$|[\s_-]|\d)", re.I)
 _MAIN_HINT = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|entry|story|content)(?=$|[\s_-]|\d)", re.I)
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=$|\s|=|/)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
@@ -87,17 +91,24 @@ def _kind(name: str, attrs: str) -> int:
     """1: article, -1: page furniture, 0: neither."""
     if name in ("body", "html"):
         return 0
+    if attrs and _HIDDEN.search(attrs):
+        return -1
     named = " ".join(next(filter(None, m), "") for m in _NAMED.findall(attrs)) if attrs else ""
-    if name in FURNITURE or (attrs and _HIDDEN.search(attrs)) or (named and _HINT.search(named)):
+    if name in ARTICLE and not (named and _REPLY.search(named)):
+        return 1  # other hints of an article are about the page around it
+    if name in FURNITURE or (named and _HINT.search(named)):
         return -1
     if name == "header":
         return -2  # furniture outside an article only
-    return 1 if name in ARTICLE or (named and _MAIN_HINT.search(named)) else 0
+    return 1 if named and _MAIN_HINT.search(named) else 0
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     """(text, words, linked words, in article, in furniture) of every block with text."""
     out, parts, linked = [], [], []
+    forms: list[int] = []  # per block: the number of the form that alone makes it furniture, 0 for none
+    words_in: Counter = Counter()  # words by form
+    form = n_forms = 0
     open_tags: list[tuple[str, int, bool]] = []  # name, kind, text skipped
     named: Counter = Counter()  # open tags by name
     in_article = in_furniture = in_skipped = in_link = at = 0
@@ -132,7 +143,10 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     def close():
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            out.append((text, text.count(" ") + 1, min(text.count(" ") + 1, len(" ".join(linked).split())), in_article > 0, in_furniture > 0))
+            words = text.count(" ") + 1
+            out.append((text, words, min(words, len(" ".join(linked).split())), in_article > 0, in_furniture > 0))
+            forms.append(form if in_furniture == 1 and named["form"] else 0)
+            words_in[form if named["form"] else 0] += words
         parts.clear()
         linked.clear()
 
@@ -187,10 +201,20 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         kind = _kind(name, attrs)
         if kind == -2:
             kind = 0 if in_article else -1
+        if name == "form" and not named["form"]:
+            n_forms += 1
+            form = n_forms
+        if kind > 0 and name in ARTICLE and in_furniture:  # an article in a menu or form: the menu wasn't closed, the form is the page's
+            for k, (outer, outer_kind, skipped) in enumerate(open_tags):
+                if outer in ("nav", "form") and outer_kind < 0:
+                    open_tags[k] = (outer, 0, skipped)
+                    in_furniture -= 1
         push(name, min(kind, 0) if name == "p" else kind, False)
     text_to(len(page))
     close()
-    return out
+    total = sum(words_in.values())
+    # a form round most of the page's words is no furniture
+    return [(*b[:4], b[4] and not (f and 2 * words_in[f] > total)) for b, f in zip(out, forms, strict=True)]
 
 
 def main_text(page: str, tree) -> str:

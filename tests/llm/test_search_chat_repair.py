@@ -310,3 +310,37 @@ def test_damage_follows_the_code(sp):
     for conv, turn, _, text in rows[:-1]:
         assert got[conv, turn] == want.get(zlib.crc32(f"{conv}:{turn}".encode()) % 20, [("assistant", text, True)])
     assert got[None, None][0][1] in (" ", "") and zlib.crc32(b" : ") % 20 > 4 and got[None, None] == [(" ", " ", True)]
+
+
+# 5, on markup that the given pages lack ----------------------------------------------
+SENTENCE = "A sentence with just as many words as a paragraph of an article may well have in it. "
+ARTICLE = f"<p>{SENTENCE * 3}</p><p>{SENTENCE * 4}</p><p>It ends with these six words.</p>"
+
+
+@pytest.fixture(scope="module")
+def block_tree(sp):
+    from suasion.llm import html_text
+    return html_text.fit(sp)
+
+
+@pytest.mark.parametrize("page", [
+    '<nav><a>x</a></nav><article class="post has-sidebar">{}</article><footer>f</footer>', '<div class="content with-sidebar">{}</div>',
+    '<main class="no-sidebar">{}</main>', '<article class="social-science">{}</article>', '<form id="f"><article>{}</article></form>',
+    '<nav><a href="x">Home</a><a>B</a><article>{}</article>', '<article>{}</article><form><p>Log in to read more of these fine texts.</p></form>',
+    '<article>{}</article><div id="comments"><article class="comment-body"><p>' + SENTENCE * 9 + "</p></article></div>",
+    '<form><nav><a>x</a></nav><article>{}</article><aside class="related"><p>' + SENTENCE + "</p></aside></form>"])
+def test_main_text_survives_odd_markup(block_tree, page):
+    from suasion.llm import html_text
+    want = "\n\n".join([(SENTENCE * 3).strip(), (SENTENCE * 4).strip(), "It ends with these six words."])
+    assert html_text.main_text(page.replace("{}", ARTICLE), block_tree) == want
+
+
+def test_counts_and_links_decide_without_tags(block_tree):
+    from suasion.llm import html_text
+    links = "".join(f'<div><a href="{i}">Go to page {i}</a></div>' for i in range(6))
+    last = "<p>One last paragraph of sixteen words that stands here at the very end of the page.</p>"
+    body = "".join(f"<p>{SENTENCE * k}</p>" for k in (3, 2, 4))
+    got = html_text.main_text(f"<body>{links}{body}{last}{links}</body>", block_tree)
+    assert got == "\n\n".join([*[(SENTENCE * k).strip() for k in (3, 2, 4)], html_text.blocks(last)[0][0]])
+    form = html_text.main_text(f'<form id="aspnetForm">{links}{body}{last}</form>', block_tree)
+    assert form == got  # a form round the whole page is no furniture
