@@ -13,6 +13,7 @@ from suasion.plans.q_features import FLAGSHIP_SQL
 from suasion.plans.q_relational import SPLIT3_SQL
 from suasion.plans.registry import register
 from suasion.session import scratch_path
+from suasion.sources.versioned import VersionedTable, cluster_by_two
 from suasion.sources import files as io
 
 W = v.with_views
@@ -90,3 +91,31 @@ def snk04(spark, sf):
     io.replace_table(z, path, cluster_by=["group_id", "feat"])
     f = io.read_feature_table(spark, path)
     return f.select("group_id", "feat", r6("value").alias("value"), r6("group_norm").alias("group_norm"))
+
+
+@register("snk03_versioned_table", W("feat") + """
+SELECT 1 AS version, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM feat
+UNION ALL SELECT 2, count(*), round(sum(2 * value), 4) + 0.0 FROM feat
+UNION ALL SELECT 3, 2 * count(*), round(sum(3 * value), 4) + 0.0 FROM feat""")
+def snk03_versions(spark, sf):
+    """A table written, replaced and extended by a batch that is sent twice: what readers of each version see."""
+    t = VersionedTable(spark, scratch_path(spark, "snk03-versions"))
+    f = v.feat(spark, sf).select("group_id", "feat", "value")
+    t.replace(f)
+    t.replace(f.withColumn("value", F.col("value") * 2))
+    for _ in range(2):
+        t.append(f, "batch-1")
+    out = None
+    for version in t.versions():
+        part = t.read(version).agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("value"), 4) + 0.0).alias("total"))
+        part = part.select(F.lit(version).alias("version"), "n", "total")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("snk04_two_keys", W("feat") + "SELECT group_id, feat, round(value, 6) + 0.0 AS value FROM feat")
+def snk04_two_keys(spark, sf):
+    """A feature table clustered by group and feature alike, read back."""
+    path = scratch_path(spark, "snk04-two-keys")
+    VersionedTable(spark, path).replace(cluster_by_two(v.feat(spark, sf), "group_id", "feat", 4))
+    return io.read_feature_table(spark, path, with_group_norm=False).select("group_id", "feat", r6("value").alias("value"))

@@ -8,10 +8,14 @@ tables).  JSON lines is splittable; the JSON-array form is read one file per tas
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from suasion.sources.versioned import VersionedTable, pointer_exists
+
 # Schemas of the reference's inputs (FIXTURES F1, F2, F6).
 LABELLED_RECORDS = T.StructType([
     T.StructField("prompt", T.StringType()), T.StructField("message", T.StringType()),
@@ -46,8 +50,10 @@ def read_feature_csv(spark: SparkSession, path: str, schema: T.StructType = FEAT
 # SRC04 -----------------------------------------------------------------------------
 def read_feature_table(spark: SparkSession, path: str, with_group_norm: bool = True) -> DataFrame:
     """Chosen columns only: the projection reaches the scan (ReadSchema).  ``path`` is a
-    Parquet folder or the name of a catalog table."""
+    Parquet folder, the folder of a ``VersionedTable`` or the name of a catalog table."""
     cols = ["group_id", "feat", "value"] + (["group_norm"] if with_group_norm else [])
+    if "/" in path and pointer_exists(spark, path):
+        return VersionedTable(spark, path).read().select(*cols)
     if "/" not in path and spark.catalog.tableExists(path):
         return spark.table(path).select(*cols)
     return spark.read.parquet(path).select(*cols)
@@ -94,14 +100,31 @@ def write_feature_csv(df: DataFrame, path: str) -> None:
 def replace_table(df: DataFrame, path: str, cluster_by: list[str] | None = None,
                   table_name: str | None = None) -> None:
     """Replace a table; rows are range-clustered on ``cluster_by`` so Parquet min/max
-    statistics skip row groups on those keys (the reference's secondary indexes)."""
+    statistics skip row groups on those keys (the reference's secondary indexes).
+
+    A folder is written beside the old one, which stays until the new one is complete and takes its
+    name (two renames; where readers must never miss the table, or batches are added, use
+    ``versioned.VersionedTable``)."""
     if cluster_by:
         df = df.repartitionByRange(*[F.col(c) for c in cluster_by]).sortWithinPartitions(*cluster_by)
-    w = df.write.mode("overwrite").format("parquet")
     if table_name:
-        w.option("path", path).saveAsTable(table_name)
-    else:
-        w.save(path)
+        df.write.mode("overwrite").format("parquet").option("path", path).saveAsTable(table_name)
+        return
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    new, old, target = (of(path.rstrip("/") + end) for end in (f".new-{mark}", f".old-{mark}", ""))
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        df.write.parquet(new.toString())
+    except Exception:
+        fs.delete(new, True)
+        raise
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(new, target):
+        fs.rename(old, target)
+        raise OSError(f"{path} can't be replaced")
+    fs.delete(old, True)
 
 
 # SNK05 -----------------------------------------------------------------------------
