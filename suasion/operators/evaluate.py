@@ -7,9 +7,11 @@ distinct scores; its running negative count uses the distributed prefix sum.
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 from operator import and_
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,6 +122,52 @@ def paired_t(df: DataFrame, loss_a: str, loss_b: str, by: list[str] | None = Non
     return agg.withColumn("p_value", p_value("t_stat", "n"))
 
 
+def flip_signs(ids: list[str], flips: int, seed: int) -> np.ndarray:
+    """(rows x flips) of -1 and 1: the bits of md5(seed:block:id), 128 flips to a block."""
+    blocks = [np.frombuffer(b"".join(hashlib.md5(f"{seed}:{b}:{i}".encode()).digest() for i in ids), np.uint8).reshape(len(ids), 16)
+              for b in range(-(-flips // 128))]
+    return 1 - 2 * np.unpackbits(np.hstack(blocks), axis=1)[:, :flips].astype(np.int8) if ids else np.zeros((0, flips), np.int8)
+
+
+def permutation_p(df: DataFrame, loss_a: str, loss_b: str, id_col: str, by: list[str] | None = None, flips: int = 1000, seed: int = 42) -> DataFrame:
+    """EVL05: sign-flip permutation test of per-row loss differences, against a model on the controls say.
+
+    Under the hypothesis that the models are equally good a difference's sign is a coin toss.  ``flips`` times all
+    signs are drawn (bits of a hash of seed and id, so the draw doesn't depend on partitions) and the sums compared
+    with the one that was seen: p = (1 + sums as far from 0) / (1 + flips), two-sided.  One pass and one aggregate:
+    a task adds up its rows' sums per group, a group's row has ``flips`` numbers.  Rows with a null loss are left out.
+    Returns ``by``, the mean difference, n and p_value."""
+    by = by or []
+    d = (F.col(loss_a) - F.col(loss_b)).alias("_d")
+    rows = df.select(*by, F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), d).filter(F.col("_d").isNotNull())
+    keyed = rows.withColumn("_key", F.to_json(F.struct(*by)) if by else F.lit(""))
+
+    def run(batches):
+        held: dict = {}
+        for pdf in batches:
+            for a in range(0, len(pdf), 8192):
+                part = pdf.iloc[a:a + 8192]
+                diff, signs = part["_d"].to_numpy(), flip_signs(part["_id"].tolist(), flips, seed)
+                for key, at in part.groupby("_key").indices.items():
+                    own = diff[at]
+                    sums = np.concatenate([[len(own), own.sum(), np.abs(own).sum()], own @ signs[at]])
+                    held[key] = held[key] + sums if key in held else sums
+        if held:
+            yield pd.DataFrame({"_key": [k for k in held for _ in range(flips + 3)], "pos": np.tile(np.arange(flips + 3), len(held)),
+                                "v": np.concatenate(list(held.values()))})
+    parts = keyed.select("_key", "_id", "_d").mapInPandas(run, "_key string, pos int, v double")
+    sums = parts.groupBy("_key", "pos").agg(F.sum("v").alias("v")).groupBy("_key").agg(
+        F.map_from_entries(F.collect_list(F.struct("pos", "v"))).alias("m"))  # flips + 3 numbers a group
+    slack = F.col("m")[2] * 1e-12  # sums that differ by their rounding alone are as far
+    as_far = F.size(F.filter(F.map_entries(F.col("m")), lambda e: (e["key"] > 2) & (F.abs(e["value"]) >= F.abs(F.col("m")[1]) - slack)))
+    found = sums.select("_key", (F.col("m")[1] / F.col("m")[0]).alias("mean_difference"), F.col("m")[0].cast("long").alias("n"),
+                        ((as_far + 1) / F.lit(flips + 1)).alias("p_value"))
+    if not by:
+        return found.drop("_key")
+    names = keyed.select(*by, "_key").distinct()  # one row per group
+    return names.join(found, "_key").drop("_key")
+
+
 def split_metrics(df: DataFrame, l0: str, l1: str, label: str, by: list[str]) -> DataFrame:
     """EVL06: row-mean loss, accuracy and AUC per group of ``by`` (e.g. split, epoch)."""
     s = df.select(*by, label, cross_entropy2(l0, l1, label).alias("_loss"),

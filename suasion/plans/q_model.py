@@ -13,7 +13,7 @@ from suasion.operators.splits import group_kfold, three_way_split
 from suasion.plans import views as v
 from suasion.plans.q_relational import CE_SQL, LOGITS_SQL, logits
 from suasion.plans.registry import register
-from suasion.session import scratch_path
+from suasion.session import checkpointed, scratch_path
 
 W = v.with_views
 L = "WITH x AS (SELECT 1)" + LOGITS_SQL
@@ -113,6 +113,38 @@ def evl05_equal(spark, sf):
     return ev_.paired_t(l, "la", "la").select(r6("t_stat").alias("t_stat"), "n", r6("p_value").alias("p_value"))
 
 
+@register("evl05_permutation", L + f""",
+d AS (SELECT vec_id, batch_id % 3 AS part, {CE_SQL} - {CE2_SQL} AS d FROM logits),
+s AS (SELECT part, f, sum(d * (1 - 2 * ((CAST('0x' || substr(md5('42:' || (f // 128) || ':' || vec_id), 1 + (f % 128) // 4, 1) AS INTEGER) >> (3 - f % 4)) & 1))) AS s
+      FROM d, (SELECT unnest(range(200)) AS f) GROUP BY part, f),
+t AS (SELECT part, avg(d) AS m, sum(d) AS t, sum(abs(d)) AS a, count(*) AS n FROM d GROUP BY part)
+SELECT CAST(t.part AS INTEGER) AS part, round(any_value(m), 6) + 0.0 AS mean_difference, any_value(n) AS n,
+       round((1 + count(*) FILTER (abs(s) >= abs(t) - a * 1e-12)) / 201.0, 6) + 0.0 AS p_value
+FROM t JOIN s ON t.part = s.part GROUP BY t.part""")
+def evl05_flips(spark, sf):
+    """Sign-flip permutation p of two heads' losses, 200 flips in one aggregate: exact."""
+    l = logits(spark, sf).select("vec_id", (F.col("batch_id") % 3).cast("int").alias("part"), ev_.cross_entropy2("e0", "e1", "label").alias("la"),
+                                 ev_.cross_entropy2("e2", "e3", "label").alias("lb"))
+    p = ev_.permutation_p(l, "la", "lb", "vec_id", ["part"], flips=200)
+    return p.select("part", r6("mean_difference").alias("mean_difference"), "n", r6("p_value").alias("p_value"))
+
+
+@register("evl05_against_controls")
+def evl05_controls(spark, sf):
+    """Out-of-fold losses of heads on text and controls (lengths of message and claim) against the controls alone."""
+    m = v.messages(spark, sf).filter(F.col("persuaded").isNotNull() & F.col("claim").isNotNull())
+    controls = [F.log1p(F.length(F.coalesce(c, F.lit("")))).cast("double") / 10 for c in ("message", "claim")]
+    data = checkpointed(m.select("message_id", "persuaded", F.array(*controls).alias("controls"),
+                                 F.concat(en.content_column("message", 32), F.array(*controls)).alias("features")))
+    folds = group_kfold(data, "message_id", fold_col="folds_col")
+    losses = None
+    for name in ("features", "controls"):
+        _, oof = tr.kfold_heads(folds, "folds_col", [tr.HeadSetting("run", lr=0.05, patience=0)], name, epochs=20, keep=["message_id"])
+        one = oof.select("message_id", (-F.log(F.when(F.col("persuaded") == 1, F.col("p1")).otherwise(1 - F.col("p1")))).alias(name))
+        losses = one if losses is None else losses.join(one, "message_id")
+    return ev_.permutation_p(losses, "features", "controls", "message_id", flips=500)
+
+
 @register("evl06_split_metrics", L + f""",
 src AS (SELECT batch_id, label, {CE_SQL} AS loss, {PRED_SQL} AS pred, {P1_SQL} AS p1 FROM logits),
 base AS (SELECT batch_id, round(avg(loss), 6) + 0.0 AS loss,

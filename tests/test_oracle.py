@@ -56,6 +56,7 @@ PROPERTIES = {
     "enc02_sentence_embeddings": (f"SELECT 64 * ({N_DOC} WHERE text IS NOT NULL)", "value between 0 and 1"),
     "entry_a_fold_metrics": ("SELECT 12", "roc_auc between 0 and 1 and accuracy between 0 and 1 and mfc >= 0.5 and f1_macro between 0 and 1"),
     "entry_b_trainer_metrics": ("SELECT 3", "loss > 0 and accuracy between 0 and 1 and roc_auc between 0 and 1 and best_epoch >= 1"),
+    "evl05_against_controls": ("SELECT 1", "p_value between 1.0 / 501 and 1 and n > 0 and mean_difference is not null"),
     "fea04_pca": (f"SELECT 3 * ({N_VEC})", "value is not null and not isnan(value)"),
     "fea04_sparse_pca": (None, "value is not null and not isnan(value)"),
     "fea06_rfa_interactions": ("SELECT 4 * (SELECT sum(len(embedding)) FROM embeddings)", "value is not null"),
