@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,26 +121,31 @@ def pivot_mean(df: DataFrame, values: list[str], group_id="group_id", feat="feat
     return df.groupBy(group_id).pivot(feat, values).agg(F.avg(value))
 
 
-def _row_counts():
-    """Arrow function: tokens of a row → its distinct tokens with their counts."""
-    from collections import Counter
+def token_runs(sorted_tokens: str, starts: str):
+    """A row's distinct tokens with their counts, from its sorted tokens and the places where a run begins."""
+    def run(start, k):
+        end = F.coalesce(F.get(F.col(starts), k + 1), F.size(sorted_tokens))
+        return F.struct(F.get(F.col(sorted_tokens), start).alias("feat"), (end - start).cast("long").alias("n"))
+    return F.transform(starts, run)
 
-    @F.pandas_udf("array<struct<feat:string,n:long>>")
-    def count(tokens: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else [{"feat": f, "n": n} for f, n in Counter(t.tolist()).items()] for t in tokens])
-    return count
+
+def run_starts(sorted_tokens: str):
+    """Places of a sorted array where a value differs from the one before."""
+    def begins(i):
+        return (i == 0) | (F.get(F.col(sorted_tokens), i) != F.get(F.col(sorted_tokens), i - 1))
+    return F.when(F.size(sorted_tokens) > 0, F.filter(F.sequence(F.lit(0), F.size(sorted_tokens) - 1), begins))
 
 
 def ngram_counts(df: DataFrame, text: str = "message", group_id: str = "message_id") -> DataFrame:
     """AGG08: 1-gram feature table — value = count, group_norm = count / group total.
 
-    Tokens are counted inside their row.  Where every group is one row (checked on the ids
+    Tokens are counted inside their row: sorted, then the lengths of equal runs, all by array functions.  Where every group is one row (checked on the ids
     alone) that is the table and no token is shuffled; else the row counts of a group are
     added up, and its total by a second small aggregate.
     """
-    rows = df.select(F.col(group_id).alias("group_id"), token_count(text).alias("_tot"), lower_tokens(text).alias("_t"))
+    rows = df.select(F.col(group_id).alias("group_id"), token_count(text).alias("_tot"), F.sort_array(lower_tokens(text)).alias("_t"))
     repeated = df.groupBy(group_id).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).limit(1).count() > 0
-    counts = (rows.select("group_id", "_tot", F.explode(_row_counts()("_t")).alias("_c"))
+    counts = (rows.withColumn("_s", run_starts("_t")).select("group_id", "_tot", F.explode(token_runs("_t", "_s")).alias("_c"))
               .select("group_id", "_tot", F.col("_c.feat").alias("feat"), F.col("_c.n").alias("_n")))
     if repeated:
         totals = rows.groupBy("group_id").agg(F.sum("_tot").alias("_tot")).withColumnRenamed("group_id", "_g")
