@@ -70,9 +70,10 @@ def fold(id_col: str, modulus: int) -> Column:
 
 def labelled_texts(docs: DataFrame, labelled: DataFrame, label: Column, id_col: str, text_col: str, sample_rows: int) -> DataFrame:
     """(label, text): at most ``sample_rows`` labelled ids, lowest id hashes first, and one text of each
-    (the lowest text hash, if an id has several rows): at most ``sample_rows`` rows."""
+    (the lowest text hash, if an id has several rows): at most ``sample_rows`` rows.  An id labelled both
+    0 and 1 counts as 0."""
     ids = (labelled.select(F.col(id_col).cast("long").alias("_id"), label.alias("label"))
-           .where("_id is not null and label in (0, 1)").dropDuplicates(["_id"])
+           .where("_id is not null and label in (0, 1)").groupBy("_id").agg(F.min("label").alias("label"))
            .orderBy(F.xxhash64("_id"), "_id").limit(sample_rows))
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.struct(F.xxhash64(text).alias("hash"), text.alias("text")).alias("t"))

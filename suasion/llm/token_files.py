@@ -44,7 +44,7 @@ _SPACE = re.compile("[ \n]")
 # ASCII and the Latin-1 letters.  Other chunks go through the library unchanged.
 _PLAIN = re.compile("[ \n!-~À-ÖØ-öø-ÿ]+")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \n0-9a-zß-öø-ÿ]+")
-_tables: dict[str, ChunkTable] = {}
+_tables: dict[str, tuple[ChunkTable, re.Pattern | None]] = {}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -59,7 +59,6 @@ def word_encoder(path: str):
     both ways end in the tokenizers library's BPE."""
     from tokenizers import Tokenizer
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     bare = Tokenizer(whole.model)
     letters = _byte_letters()
     word_end = np.zeros(whole.get_vocab_size() + 1, np.int64)
@@ -91,16 +90,19 @@ def word_encoder(path: str):
     return encode
 
 
-def _table(path: str) -> ChunkTable:
+def _table(path: str) -> tuple[ChunkTable, re.Pattern | None]:
+    """The worker's chunk table of a tokenizer, and a pattern of the tokenizer's added tokens."""
     if path not in _tables:
-        _tables[path] = ChunkTable(word_encoder(path))
+        from tokenizers import Tokenizer
+        added = [t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()]
+        _tables[path] = ChunkTable(word_encoder(path)), re.compile("|".join(map(re.escape, added))) if added else None
     return _tables[path]
 
 
-def _chunks(piece: str) -> list[str]:
+def _chunks(piece: str, added: re.Pattern | None) -> list[str]:
     """A piece of plain text as the tokenizer's own words (few distinct ones), else as
-    its stretches between white space."""
-    if _PLAIN.fullmatch(piece):
+    its stretches between white space (the library finds added tokens in them)."""
+    if _PLAIN.fullmatch(piece) and not (added and added.search(piece)):
         return _PARTS.findall(piece.lower())
     return ["\n" + c for c in piece.replace("\n", " ").split(" ")]  # a mark that no word holds
 
@@ -133,7 +135,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_bytes
     bounds = list(bounds)
 
     def run(batches):
-        table = _table(tokenizer_path)
+        table, added = _table(tokenizer_path)
         for batch in batches:
             texts = texts_of(batch.column(2))
             shards = shard_of(np.asarray(batch.column(0).fill_null(_NO_ID)), np.asarray(batch.column(1)), bounds)
@@ -142,7 +144,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_bytes
                 lists, doc_of = [], []
                 for d in range(a, b):
                     for p in pieces(texts[d], _SPACE):
-                        lists.append(_chunks(p))
+                        lists.append(_chunks(p, added))
                         doc_of.append(d - a)
                 flat, per_piece = table.ids(lists)
                 per_doc = np.bincount(doc_of, per_piece, b - a).astype(np.int64)

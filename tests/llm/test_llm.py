@@ -25,7 +25,7 @@ WORD2 = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WORD6 = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 ODD = ["", None, " ", "\n\n", "one", "Don't STOP!! it's 12,5% — naïve Ünïcödé ça\tva  \n\n x", "a" * 3000, "ﬁ İ ǅ é é ½ ² ª",
-       "日本語 テキスト 😀😀 ​\xa0x", "w " * 3000, "<|endoftext|> <|startoftext|>", "aaa bbb ccc ddd eee", "\x1c\x85   y", "' 's ''s"]
+       "日本語 テキスト 😀😀 ​\xa0x", "w " * 3000, "<|endoftext|> <|startoftext|>", "a<|endoftext|>b it's <|ENDOFTEXT|>", "é<|startoftext|>é<|endoftext|>\n<|endoftext|>x", "aaa bbb ccc ddd eee", "\x1c\x85   y", "' 's ''s"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -57,9 +57,7 @@ def run(sp, key):
 @pytest.fixture(scope="module")
 def word_tokenizer():
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path("word_bpe_49k.json"))
 
 
 def expected_files(tok, pairs):
@@ -94,10 +92,10 @@ def test_token_files_ties_nulls_and_empty(sp):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text(max_size=40))
+@given(st.one_of(st.text(max_size=40), st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "a", " ", "\n", "é", "<|", "'s"]), max_size=9).map("".join)))
 def test_word_chunks_equal_library(word_tokenizer, text):
-    table = token_files._table(P.path("word_bpe_49k.json"))
-    flat, _ = table.ids([token_files._chunks(text)])
+    table, added = token_files._table(P.path("word_bpe_49k.json"))
+    flat, _ = table.ids([token_files._chunks(text, added)])
     assert flat.tolist() == word_tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -226,8 +224,9 @@ def test_texts_longer_than_a_piece(monkeypatch, byte_encoding, word_tokenizer):
     monkeypatch.setattr(bpe, "pieces", small)
     text = " ".join(random.Random(1).choice(["foo", "bar,", "don't", "x\n\ny", "  z"]) for _ in range(300))
     assert bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN).encode([text])[0].tolist() == byte_encoding.encode_ordinary(text)
-    lists = [token_files._chunks(p) for p in small(text, token_files._SPACE)]
-    flat, _ = token_files._table(P.path("word_bpe_49k.json")).ids(lists)
+    table, added = token_files._table(P.path("word_bpe_49k.json"))
+    lists = [token_files._chunks(p, added) for p in small(text, token_files._SPACE)]
+    flat, _ = table.ids(lists)
     assert flat.tolist() == word_tokenizer.encode(text, add_special_tokens=False).ids
 
 
