@@ -48,6 +48,46 @@ def stratified_group_kfold(df: DataFrame, group: str, label: str, k: int = 5, se
     return key_join(df, folds, group)
 
 
+def placed_folds(classes: list[tuple[int, int, int]], k: int) -> list[list[int]]:
+    """For each (size, positives, groups), largest first: the folds of the groups left over when every fold got
+    ``groups // k`` of them.  Each goes where it least raises the spread of the classes' counts over the folds (the sum
+    of squares of negatives and of positives, each as shares of all), ties to the fold with fewest rows, then the first."""
+    positives = sum(p * c for _, p, c in classes) or 1
+    negatives = sum((n - p) * c for n, p, c in classes) or 1
+    neg, pos, out = [0] * k, [0] * k, []
+    for n, p, c in classes:
+        even, left = divmod(c, k)
+        neg, pos = [x + even * (n - p) for x in neg], [x + even * p for x in pos]
+        mine = []
+        for _ in range(left):
+            free = [f for f in range(k) if f not in mine]  # equal groups go to different folds
+            best = min(free, key=lambda f: (neg[f] * (n - p) * positives ** 2 + pos[f] * p * negatives ** 2, neg[f] + pos[f], f))
+            neg[best], pos[best] = neg[best] + n - p, pos[best] + p
+            mine.append(best)
+        out.append(mine)
+    return out
+
+
+def balanced_group_kfold(df: DataFrame, group: str, label: str, k: int = 5, seed: int = 42, fold_col: str = "fold") -> DataFrame:
+    """SPL01 by greedy placement: groups of one size and number of positives are dealt evenly, the rest largest first to
+    the fold that least raises the spread of the class counts.  The loop runs over the distinct (size, positives), whose
+    number grows with the rows to the power of two thirds at most, not over groups; equal groups are told apart by a
+    seeded hash.  Rows of a null group get a null fold."""
+    groups = _groups(df, group, label).filter(F.col(group).isNotNull()).withColumn("n1", F.coalesce("n1", F.lit(0)))
+    order = [F.desc("n"), F.desc("n1"), group_hash(group, seed).asc(), F.col(group).asc()]
+    ranked = global_index(groups, order, "_rank")
+    found = [tuple(r) for r in ranked.groupBy("n", "n1").count().orderBy(F.desc("n"), F.desc("n1")).collect()]
+    rows, start = [], 0
+    for (n, p, c), extra in zip(found, placed_folds(found, k), strict=True):
+        rows.append((n, p, start, c // k * k, extra))
+        start += c
+    classes = df.sparkSession.createDataFrame(rows, "_n long, _n1 long, _start long, _even long, _extra array<int>")  # one row per class
+    at = F.col("_rank") - F.col("_start")
+    dealt = ranked.join(classes, (F.col("n") == F.col("_n")) & (F.col("n1") == F.col("_n1"))).select(
+        group, F.when(at < F.col("_even"), (at % k).cast("int")).otherwise(F.get("_extra", (at - F.col("_even")).cast("int"))).alias(fold_col))
+    return key_join(df, dealt, group)
+
+
 # SPL04 ----------------------------------------------------------------------------
 def group_kfold(df: DataFrame, group: str, k: int = 5, seed: int = 42, fold_col: str = "folds_col") -> DataFrame:
     """Size-balanced group folds: deal in (size desc, seeded hash) order."""

@@ -132,3 +132,30 @@ def mth02(spark, sf):
     ideal = F.floor(F.sum("size").over(Window.partitionBy()) / 5)
     return (sizes.select("fold", "size", abs_diff("size", ideal).cast("bigint").alias("diff"))
             .filter(F.col("fold").isNotNull()))
+
+
+@register("spl01_balanced_folds", W("ord").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+grp AS (SELECT o_custkey, count(*) AS n, sum(label)::BIGINT AS n1 FROM ord WHERE o_custkey IS NOT NULL GROUP BY o_custkey),
+cls AS (SELECT n, n1, count(*) AS c FROM grp GROUP BY n, n1),
+tot AS (SELECT greatest(sum(n1 * c), 1)::HUGEINT AS p, greatest(sum((n - n1) * c), 1)::HUGEINT AS q FROM cls),
+items AS (SELECT row_number() OVER (ORDER BY n DESC, n1 DESC, j) AS i, n, n1, c, j
+          FROM cls, LATERAL (SELECT unnest(range(-1, c % 5)) AS j)),
+walk(i, n, n1, j, neg, pos, used, f) AS (
+  SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, [0, 0, 0, 0, 0]::HUGEINT[], [0, 0, 0, 0, 0]::HUGEINT[], []::INTEGER[], -1
+  UNION ALL
+  SELECT i, n, n1, j,
+         CASE WHEN f < 0 THEN list_transform(neg, lambda x: x + (c // 5) * (n - n1)) ELSE list_transform(neg, lambda x, k: x + CASE WHEN k - 1 = f THEN n - n1 ELSE 0 END) END,
+         CASE WHEN f < 0 THEN list_transform(pos, lambda x: x + (c // 5) * n1) ELSE list_transform(pos, lambda x, k: x + CASE WHEN k - 1 = f THEN n1 ELSE 0 END) END,
+         CASE WHEN f < 0 THEN []::INTEGER[] ELSE list_append(used, f) END, f
+  FROM (SELECT t.i, t.n, t.n1, t.c, t.j, w.neg, w.pos, w.used, CASE WHEN t.j < 0 THEN -1 ELSE
+          list_min(list_transform(list_filter(range(5), lambda k: NOT list_contains(w.used, k::INTEGER)), lambda k:
+            struct_pack(s := w.neg[k + 1] * (t.n - t.n1) * tot.p * tot.p + w.pos[k + 1] * t.n1 * tot.q * tot.q, m := w.neg[k + 1] + w.pos[k + 1], k := k::INTEGER))).k END AS f
+        FROM walk w JOIN items t ON t.i = w.i + 1, tot)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n, n1 ORDER BY md5('42:' || CAST(o_custkey AS VARCHAR)), o_custkey) - 1 AS r FROM grp),
+folds AS (SELECT g.o_custkey, CASE WHEN r < c // 5 * 5 THEN (r % 5)::INTEGER ELSE w.f END AS fold
+          FROM ranked g JOIN cls USING (n, n1) LEFT JOIN walk w ON w.n = g.n AND w.n1 = g.n1 AND w.j = g.r - c // 5 * 5 AND w.j >= 0 AND w.i > 0)
+SELECT o.o_orderkey, folds.fold FROM ord o JOIN folds ON o.o_custkey = folds.o_custkey""")
+def spl01_balanced(spark, sf):
+    """Groups placed by the spread of the class counts: exact."""
+    f = sp.balanced_group_kfold(v.ord_(spark, sf), "o_custkey", "label")
+    return f.filter(F.col("o_custkey").isNotNull()).select("o_orderkey", "fold")
