@@ -7,7 +7,7 @@ vector, and persist it.  Two offline families:
 * content — hashed bag of 1-gram tokens (L2-normalised counts per bucket);
 * style   — hashed character 3-grams plus punctuation rate and mean word length.
 
-Both work row by row (native tokens, one numpy histogram per Arrow batch): no shuffle.
+Both work row by row (native tokens, numpy histograms of bounded slices of an Arrow batch): no shuffle.
 
 A real encoder plugs in through ``encode_with``: a ``mapInPandas`` that loads the
 model once per task and encodes Arrow batches.
@@ -15,7 +15,7 @@ model once per task and encodes Arrow batches.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,33 +34,70 @@ def token_bucket(tok, dim: int, hashing: str = "xxhash64"):
     raise ValueError(f"unknown hashing {hashing!r}")
 
 
+CELLS = 1 << 18  # tokens or characters in work at once: a task's memory doesn't follow the texts of its Arrow batch
+
+
+def _unit_rows(counts):
+    import numpy as np
+    norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+    return pd.Series(list(counts / np.where(norm > 0, norm, 1.0)))
+
+
+def _add_pieces(counts, pieces: Iterable, buckets: Callable) -> None:
+    """Adds the buckets of ``pieces`` (row, cells; rows ascending) to the rows of ``counts``, at most about
+    ``CELLS`` cells at a time.  ``buckets`` gives (place of the piece, bucket) of a list of cells."""
+    import numpy as np
+    dim = counts.shape[1]
+
+    def add(rows: list, cells: list) -> None:
+        place, bucket = buckets(cells)
+        first, last = rows[0], rows[-1] + 1
+        at = (np.array(rows, dtype=np.int64) - first)[place] * dim + bucket
+        counts[first:last] += np.bincount(at, minlength=(last - first) * dim).reshape(last - first, dim)
+    rows, cells, held = [], [], 0
+    for row, piece in pieces:
+        rows.append(row)
+        cells.append(piece)
+        held += len(piece)
+        if held >= CELLS:
+            add(rows, cells)
+            rows, cells, held = [], [], 0
+    if rows:
+        add(rows, cells)
+
+
 def _unit_histogram(dim: int):
-    """Arrow function: buckets of a row → L2-normalised counts, one bincount per batch."""
+    """Arrow function: buckets of a row → L2-normalised counts."""
     import numpy as np
 
+    def placed(cells: list):
+        return np.repeat(np.arange(len(cells)), [len(c) for c in cells]), np.concatenate(cells)
+
     @F.pandas_udf("array<double>")
     def histogram(buckets: pd.Series) -> pd.Series:
-        lens = np.array([0 if b is None else len(b) for b in buckets], dtype=np.int64)
-        rows = np.repeat(np.arange(len(lens)), lens)
-        flat = np.concatenate([b for b in buckets if b is not None]) if lens.sum() else np.zeros(0, np.int64)
-        counts = np.bincount(rows * dim + flat.astype(np.int64), minlength=len(lens) * dim).reshape(len(lens), dim).astype("float64")
-        norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
-        return pd.Series(list(counts / np.where(norm > 0, norm, 1.0)))
+        counts = np.zeros((len(buckets), dim))
+        _add_pieces(counts, ((i, b[a:a + CELLS]) for i, b in enumerate(buckets) if b is not None for a in range(0, len(b), CELLS)), placed)
+        return _unit_rows(counts)
     return histogram
 
 
-def _trigram_buckets(dim: int):
-    """Arrow function: hashed code-point 3-grams of each text, computed on the batch's texts end to end."""
+def _trigram_histogram(dim: int):
+    """Arrow function: L2-normalised counts of each text's hashed code-point 3-grams, on texts end to end."""
     import numpy as np
 
-    @F.pandas_udf("array<int>")
-    def buckets(texts: pd.Series) -> pd.Series:
-        lens = np.array([len(t) for t in texts], dtype=np.int64)
-        a = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-        h = ((a[:-2] * np.uint64(1000003) + a[1:-1] * np.uint64(10007) + a[2:]) % np.uint64(dim)).astype(np.int32)
-        start = np.cumsum(lens) - lens
-        return pd.Series([h[s:s + max(n - 2, 0)] for s, n in zip(start, lens)])
-    return buckets
+    def placed(cells: list):
+        a = np.frombuffer("".join(cells).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        h = (a[:-2] * np.uint64(1000003) + a[1:-1] * np.uint64(10007) + a[2:]) % np.uint64(dim)
+        place = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+        inside = place[:-2] == place[2:]
+        return place[:-2][inside], h[inside].astype(np.int64)
+
+    @F.pandas_udf("array<double>")
+    def histogram(texts: pd.Series) -> pd.Series:
+        counts = np.zeros((len(texts), dim))
+        _add_pieces(counts, ((i, t[a:a + CELLS + 2]) for i, t in enumerate(texts) for a in range(0, len(t) - 2, CELLS)), placed)
+        return _unit_rows(counts)
+    return histogram
 
 
 def content_column(text: str, dim: int = 64, hashing: str = "xxhash64"):
@@ -74,7 +111,7 @@ def style_column(text: str, dim: int = 64):
     punct = F.length(F.regexp_replace(t, "[^\\p{Punct}]", "")) / F.greatest(F.length(t), F.lit(1))
     letters = F.length(F.regexp_replace(t, "[ \\t\\n\\r\\f\\x0B]+", ""))
     wlen = letters / F.greatest(word_count(text), F.lit(1)) / 10.0
-    grams = _unit_histogram(dim - 2)(_trigram_buckets(dim - 2)(F.lower(F.coalesce(t, F.lit("")))))
+    grams = _trigram_histogram(dim - 2)(F.lower(F.coalesce(t, F.lit(""))))
     return F.concat(grams, F.array(punct.cast("double"), wlen.cast("double")))
 
 
