@@ -5,11 +5,12 @@ features are 0.  A z-score of the present cells (FEA01) stays sparse: absent cel
 dense form too (FEA02).
 
 Neither a dense vector nor a weight per feature is held in one place.  ``pack`` puts the rows into
-blocks of at most ``BLOCK_CELLS`` cells, once; a block knows its distinct features.  A pass joins a
+blocks of about ``BLOCK_CELLS`` cells, once; a block knows its distinct features.  A pass joins a
 table (feature, one number per column) to the blocks' features, so a task gets the weights of its own
 block, and sums what the blocks give back per feature (a map-side combined aggregate).  What is moved
-is one row per block and distinct feature, not one per cell.  Training (Adam state) and principal
-components (subspace) are tables by feature; the driver sees one row per pass.
+is one row per block and distinct feature, not one per cell.  Training keeps its Adam state by
+feature; principal components keep their subspace by row, block by block, and move only the features
+that several blocks have.  The driver sees small matrices.
 """
 
 from __future__ import annotations
@@ -21,23 +22,26 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from suasion.operators.extra_trees import mix
 from suasion.operators.minibatch import B1, B2, EPS, losses_at
-from suasion.operators.numbering import prefix_sums
 from suasion.operators.shape import feature_dictionary, vector_to_long
 from suasion.operators.skew import key_join
 from suasion.session import drop_stored, stored
 
-BLOCK_CELLS = 1 << 17
+BLOCK_CELLS = 1 << 19
 PACKED = "block long, ids array<string>, y array<double>, part array<string>, feats array<long>, ptr array<long>, at binary, val binary"
 
 
 def long_to_sparse(df: DataFrame, dictionary: DataFrame | None = None, group_id: str = "group_id", feat: str = "feat",
                    value: str = "value") -> tuple[DataFrame, DataFrame]:
     """RSH05 without filling: long → (group, idx, val), positions ascending, duplicate cells averaged, null values
-    absent; plus the dictionary (feat, feat_idx).  Features that a given dictionary lacks are left out."""
+    absent; plus the dictionary (feat, feat_idx).  Features that a given dictionary lacks are left out.  The table is
+    read several times, so it is written once."""
+    df = stored(df.select(group_id, feat, value), "cells")
     dictionary = feature_dictionary(df, feat) if dictionary is None else dictionary
     there = df.filter(F.col(value).isNotNull()).select(group_id, feat, value)
     cells = key_join(there, dictionary.select(feat, "feat_idx"), feat, "inner").groupBy(group_id, "feat_idx").agg(F.avg(value).alias("value"))
@@ -65,27 +69,39 @@ class Blocks:
 
 
 def pack(rows: DataFrame, id_col: str, label: Column | None = None, part: Column | None = None) -> Blocks:
-    """Rows with sparse vectors (idx, val) in blocks, by ranges of ``id_col``.  Written once, re-read by every pass."""
+    """Rows with sparse vectors (idx, val) in blocks, as they lie in the partitions.  Written once, re-read by every pass."""
     cells = rows.select(F.col(id_col).cast("string").alias("id"), (F.lit(None) if label is None else label).cast("double").alias("y"),
                         (F.lit(None) if part is None else part).cast("string").alias("part"), "idx", "val")
-    before = prefix_sums(cells.withColumn("n", F.size("idx") + 1), [F.col("id")], ["n"])
-    blocks = before.groupBy(F.floor(F.col("n_before") / BLOCK_CELLS).alias("block")).agg(
-        F.collect_list(F.struct("id", "y", "part", "idx", "val")).alias("r"))
+    most = BLOCK_CELLS
+
+    def packed(pieces: list, block: int) -> pa.RecordBatch:
+        t = pa.Table.from_batches(pieces).combine_chunks()
+        ids, y, parts, idx, val = (t.column(n).combine_chunks() for n in ("id", "y", "part", "idx", "val"))
+        ptr = np.concatenate([[0], np.cumsum(idx.value_lengths().to_numpy(zero_copy_only=False))])
+        feats, at = np.unique(idx.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        row = [[block], [ids.to_pylist()], [y.to_pylist()], [parts.to_pylist()], [feats], [ptr],
+               [at.astype("<i4").tobytes()], [val.flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes()]]
+        kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()),
+                 pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], [f.split()[0] for f in PACKED.split(", ")])
 
     def run(batches):
-        names = [f.split()[0] for f in PACKED.split(", ")]
+        block, held, pieces = TaskContext.get().partitionId() << 32, 0, []
         for batch in batches:
-            for block, r in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                r = r.values
-                idx, val = r.field("idx").combine_chunks() if isinstance(r, pa.ChunkedArray) else r.field("idx"), r.field("val")
-                ptr = np.concatenate([[0], np.cumsum(idx.value_lengths().to_numpy(zero_copy_only=False))])
-                feats, at = np.unique(idx.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-                row = [[block], [r.field("id").to_pylist()], [r.field("y").to_pylist()], [r.field("part").to_pylist()], [feats], [ptr],
-                       [at.astype("<i4").tobytes()], [val.flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes()]]
-                kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()),
-                         pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names)
-    table = stored(blocks.mapInArrow(run, PACKED), "blocks")
+            ends = np.cumsum(batch.column(batch.schema.get_field_index("idx")).value_lengths().to_numpy(zero_copy_only=False) + 1)
+            first = 0
+            while first < batch.num_rows:
+                before = ends[first - 1] if first else 0
+                last = min(batch.num_rows, int(np.searchsorted(ends, before + most - held)) + 1)
+                pieces.append(batch.slice(first, last - first))
+                held += int(ends[last - 1] - before)
+                if held >= most:
+                    yield packed(pieces, block)
+                    block, held, pieces = block + 1, 0, []
+                first = last
+        if pieces:
+            yield packed(pieces, block)
+    table = stored(cells.mapInArrow(run, PACKED), "blocks")
     needs = stored(table.select("block", F.posexplode("feats").alias("pos", "feat")), "block-features")
     n = table.agg(F.sum(F.size("ids"))).first()[0]
     return Blocks(table, needs, n or 0)
@@ -105,15 +121,13 @@ class Block:
 
     def dot(self) -> np.ndarray:
         """(rows x columns): each row's vector times the numbers."""
-        return self._sums(self.row, self.val[:, None] * self.w[self.at], len(self.ids))
+        w = np.ascontiguousarray(self.w.T)
+        return np.stack([np.bincount(self.row, self.val * c[self.at], len(self.ids)) for c in w], 1) if len(w) else np.zeros((len(self.ids), 0))
 
     def back(self, by_row: np.ndarray) -> np.ndarray:
         """(features x columns): for each feature the sum of value x the row's numbers."""
-        return self._sums(self.at, self.val[:, None] * by_row[self.row], len(self.feats))
-
-    @staticmethod
-    def _sums(of: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-        return np.stack([np.bincount(of, values[:, c], n) for c in range(values.shape[1])], 1)
+        by_row = np.ascontiguousarray(by_row.T)
+        return np.stack([np.bincount(self.at, self.val * c[self.row], len(self.feats)) for c in by_row], 1) if len(by_row) else np.zeros((len(self.feats), 0))
 
 
 def _with_numbers(blocks: Blocks, numbers: DataFrame) -> DataFrame:
@@ -122,17 +136,34 @@ def _with_numbers(blocks: Blocks, numbers: DataFrame) -> DataFrame:
     return blocks.table.join(got, "block", "left")
 
 
-def _blocks_of(batch: pa.RecordBatch, columns: int):
+def _block(d: dict, columns: int) -> Block:
+    feats, ptr = (d[n].values.to_numpy(zero_copy_only=False) for n in ("feats", "ptr"))
+    w = np.zeros((len(feats), columns))
+    if "w" in d and d["w"].is_valid and len(d["w"]):
+        cells = d["w"].values
+        w[cells.field("pos").to_numpy(zero_copy_only=False)] = cells.field("w").flatten().to_numpy(zero_copy_only=False).reshape(-1, columns)
+    return Block(d["ids"].as_py(), np.array(d["y"].as_py(), dtype="float64"), np.array(d["part"].as_py(), dtype=object), feats,
+                 np.repeat(np.arange(len(ptr) - 1), np.diff(ptr)), np.frombuffer(d["at"].as_py(), "<i4"), np.frombuffer(d["val"].as_py(), "<f8"), w)
+
+
+def _rows_of(batch: pa.RecordBatch):
     for r in range(batch.num_rows):
-        d = {n: batch.column(n)[r] for n in batch.schema.names}
-        feats = np.array(d["feats"].as_py(), np.int64)
-        ptr = np.array(d["ptr"].as_py(), np.int64)
-        w = np.zeros((len(feats), columns))
-        if d["w"].is_valid and len(d["w"]):
-            cells = d["w"].values
-            w[cells.field("pos").to_numpy(zero_copy_only=False)] = cells.field("w").flatten().to_numpy(zero_copy_only=False).reshape(-1, columns)
-        yield Block(d["ids"].as_py(), np.array(d["y"].as_py(), dtype="float64"), np.array(d["part"].as_py(), dtype=object), feats,
-                    np.repeat(np.arange(len(ptr) - 1), np.diff(ptr)), np.frombuffer(d["at"].as_py(), "<i4"), np.frombuffer(d["val"].as_py(), "<f8"), w)
+        yield {n: batch.column(i)[r] for i, n in enumerate(batch.schema.names)}
+
+
+def _blocks_of(batch: pa.RecordBatch, columns: int):
+    for d in _rows_of(batch):
+        yield _block(d, columns)
+
+
+def _numbered(feats: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """(feat, g) rows of (features x columns)."""
+    offsets = pa.array(np.arange(len(feats) + 1) * values.shape[1], pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(feats, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(values).ravel()))], ["feat", "g"])
+
+
+def _added(parts: DataFrame, columns: int) -> DataFrame:
+    return parts.groupBy("feat").agg(F.array(*[F.sum(F.col("g")[c]) for c in range(columns)]).alias("g"))
 
 
 def _sum_by_feature(blocks: Blocks, numbers: DataFrame, columns: int, give: Callable[[Block], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
@@ -142,12 +173,9 @@ def _sum_by_feature(blocks: Blocks, numbers: DataFrame, columns: int, give: Call
         for batch in batches:
             for block in _blocks_of(batch, columns):
                 by_feat, extra = give(block)
-                values = np.concatenate([by_feat, extra])
-                feats = np.concatenate([block.feats, -1 - np.arange(len(extra))])
-                offsets = pa.array(np.arange(0, values.size + 1, columns), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(feats), pa.ListArray.from_arrays(offsets, pa.array(values.ravel()))], ["feat", "g"])
+                yield _numbered(np.concatenate([block.feats, -1 - np.arange(len(extra))]), np.concatenate([by_feat, extra]))
     parts = _with_numbers(blocks, numbers).mapInArrow(run, "feat long, g array<double>")
-    return stored(parts.groupBy("feat").agg(F.array(*[F.sum(F.col("g")[c]) for c in range(columns)]).alias("g")), "sums")
+    return stored(_added(parts, columns), "sums")
 
 
 def _extras(sums: DataFrame, count: int, columns: int) -> np.ndarray:
@@ -282,95 +310,164 @@ class Components:
     rounds: int
 
 
-def _product(column: Column, matrix: np.ndarray) -> Column:
-    """A row of numbers times a small matrix, one product per Arrow batch."""
-    @F.pandas_udf("array<double>")
-    def product(x: pd.Series) -> pd.Series:
-        return pd.Series(list(np.vstack(x.tolist()) @ matrix)) if len(x) else pd.Series([], dtype=object)
-    return product(column)
+STATE = "block long, q binary, z binary"
+MOST_BLOCKS = 8  # a basis of more blocks of columns starts again from its best directions
+
 
+def _matrix(cell, rows: int) -> np.ndarray:
+    return np.frombuffer(cell.as_py(), "<f8").reshape(rows, -1)
 
-def _inner_products(held: DataFrame, guess: np.ndarray) -> list[np.ndarray]:
-    """z'z, mean'z, q'z and each column's |z - guess q|² over all features: one aggregate, added up by position."""
-    width, columns = len(guess), ["mean", "z"] + ["q"] * ("q" in held.columns)
 
+def _state_row(block: int, q: np.ndarray, z: np.ndarray) -> pa.RecordBatch:
+    cells = [pa.array([block], pa.int64())] + [pa.array([np.ascontiguousarray(x, "<f8").tobytes()], pa.binary()) for x in (q, z)]
+    return pa.RecordBatch.from_arrays(cells, ["block", "q", "z"])
+
+
+def _summed(state: DataFrame, width: int, give: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], shapes: list[tuple]) -> list[np.ndarray]:
+    """Matrices that ``give`` makes of a block's (q, z), added up over the blocks: one small aggregate."""
     def run(batches):
         total = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            z, mean = np.vstack(pdf["z"].to_numpy()), pdf["mean"].to_numpy()
-            q = np.vstack(pdf["q"].to_numpy()) if "q" in pdf else np.zeros_like(z)
-            flat = np.concatenate([(z.T @ z).ravel(), mean @ z, (q.T @ z).ravel(), ((z - q * guess) ** 2).sum(0)])
-            total = flat if total is None else total + flat
+        for batch in batches:
+            for d in _rows_of(batch):
+                q = np.frombuffer(d["q"].as_py(), "<f8").reshape(-1, width)
+                flat = np.concatenate([x.ravel() for x in give(q, _matrix(d["z"], len(q)))])
+                total = flat if total is None else total + flat
         if total is not None:
-            yield pd.DataFrame({"pos": np.arange(len(total)), "v": total})
-    summed = held.select(*columns).mapInPandas(run, "pos long, v double").groupBy("pos").agg(F.sum("v").alias("v")).toPandas()
-    out = np.zeros(2 * width * width + 2 * width)
-    out[summed["pos"].to_numpy(dtype=np.int64)] = summed["v"].to_numpy()
-    gram, mean, cross, rest = np.split(out, np.cumsum([width * width, width, width * width]))
-    return [gram.reshape(width, width), mean, cross.reshape(width, width), rest]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["pos", "v"])
+    got = state.mapInArrow(run, "pos long, v double").groupBy("pos").agg(F.sum("v").alias("v")).toPandas()
+    sizes = [math.prod(x) for x in shapes]
+    out = np.zeros(sum(sizes))
+    out[got["pos"].to_numpy(dtype=np.int64)] = got["v"].to_numpy()
+    return [x.reshape(shape) for x, shape in zip(np.split(out, np.cumsum(sizes)[:-1]), shapes, strict=True)]
 
 
 def _orthonormaliser(gram: np.ndarray) -> np.ndarray:
     """M with M' gram M = 1 on the directions that are there (0 on the others); the columns are scaled first."""
-    scale = 1 / np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1))
+    scale = np.where(np.diag(gram) > 0, 1 / np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1)), 0)
     values, vectors = np.linalg.eigh(gram * scale[:, None] * scale[None, :])
     good = values > 1e-12 * max(values.max(initial=0), 1e-300)
     return scale[:, None] * ((vectors[:, good] / np.sqrt(values[good])) @ vectors[:, good].T)
 
 
-def principal_components(blocks: Blocks, features: DataFrame, k: int = 3, spare: int = 61, tolerance: float = 1e-9, most_rounds: int = 200,
+@dataclass
+class _Turn:
+    """Small matrices that make the next block of the basis, z a - 1 shift - q b, and what stays of the basis, q keep."""
+    a: np.ndarray
+    shift: np.ndarray
+    b: np.ndarray
+    keep: np.ndarray
+
+    def fresh(self, q: np.ndarray, z: np.ndarray) -> np.ndarray:
+        return z @ self.a - self.shift - q @ self.b
+
+
+def _times_gram(table: DataFrame, shared: DataFrame, state: DataFrame, turn: _Turn) -> DataFrame:
+    """The state with the next block q of the basis and z = X X' q.  X' q is added up over the blocks for features that
+    several blocks have; a feature of one block stays in it."""
+    width = turn.a.shape[1]
+
+    def read(d: dict, columns: int):
+        block = _block(d, columns)
+        q, z = _matrix(d["q"], len(block.ids)), _matrix(d["z"], len(block.ids))
+        return block, q, z, turn.fresh(q, z)
+
+    def out(batches):
+        for batch in batches:
+            for d in _rows_of(batch):
+                if d["shared"].is_valid:
+                    block, _, _, new = read(d, 0)
+                    places = d["shared"].values.to_numpy(zero_copy_only=False)
+                    yield _numbered(block.feats[places], block.back(new)[places])
+
+    def back(batches):
+        for batch in batches:
+            for d in _rows_of(batch):
+                block, q, z, new = read(d, width)
+                if d["shared"].is_valid:
+                    places = d["shared"].values.to_numpy(zero_copy_only=False)
+                    common, block.w = block.w[places], block.back(new)
+                    block.w[places] = common
+                else:
+                    block.w = block.back(new)
+                yield _state_row(d["block"].as_py(), np.hstack([q @ turn.keep, new]), np.hstack([z @ turn.keep, block.dot()]))
+    here = table.join(state, "block")
+    sums = _added(here.mapInArrow(out, "feat long, g array<double>"), width)
+    got = shared.join(sums.withColumnRenamed("g", "w"), "feat").groupBy("block").agg(F.collect_list(F.struct("pos", "w")).alias("w"))
+    return stored(here.join(got, "block", "left").mapInArrow(back, STATE), "subspace")
+
+
+def principal_components(blocks: Blocks, features: DataFrame, k: int = 3, spare: int = 13, tolerance: float = 1e-9, most_rounds: int = 200,
                          seed: int = 42) -> Components:
-    """The first ``k`` principal components of sparse rows by randomised subspace iteration with implicit centring.
-
-    A round is two aggregates: the centred product X'(X q) by feature (the mean row is taken off by two small
-    vectors, no cell is filled), then the (k + spare)² inner products, whose eigenvectors turn and orthonormalise the
-    subspace (Rayleigh-Ritz).  It ends when the first k directions' residuals are below ``tolerance`` of the largest
-    eigenvalue.  Each loading's largest entry is positive (ties: the first feature's)."""
-    none = features.limit(0).select(F.col("feat_idx").alias("feat"), F.array(F.lit(0.0)).alias("w"))
-    total = _sum_by_feature(blocks, none, 1, lambda b: (b.back(np.ones((len(b.ids), 1))), np.zeros((0, 1))))
+    """The first ``k`` principal components of sparse rows, by a block Krylov space of the centred rows' products.
+
+    The basis has a number per row, not per feature, and lies beside the blocks.  A round multiplies its last ``k + spare``
+    columns by X X' (one pass), turns the whole basis to the best directions (Rayleigh-Ritz on small matrices; the mean is
+    taken off in them, no cell is filled) and adds those directions' residuals as the next columns.  It ends when the first
+    k residuals are below ``tolerance`` of the largest eigenvalue.  Each loading's largest entry is positive (ties: the
+    first feature's)."""
     wide = features.select(F.col("feat_idx").alias("feat"))
-    mean = (F.coalesce(F.col("g")[0], F.lit(0.0)) / max(1, blocks.n_rows)).alias("mean")
     width = min(k + spare, wide.count())
     k = min(k, width)
-    start = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda j: F.pmod(F.xxhash64(F.lit(seed), "feat", j), F.lit(1 << 30)) / float(1 << 29) - 1.0)
-    held = stored(wide.join(total.withColumnRenamed("feat", "_feat"), F.col("feat") == F.col("_feat"), "left")
-                  .select("feat", mean, (start if width else F.array().cast("array<double>")).alias("z")), "subspace")
-    drop_stored(total)
-    guess, values, turn = np.zeros(width), np.zeros(width), np.eye(width)
-    gram, mean_z, _, _ = _inner_products(held, guess)
-    change = _orthonormaliser(gram)
+    if not k:
+        return Components(wide.select("feat", F.array().cast("array<double>").alias("v")), np.zeros(0), np.zeros(0), 0)
+    several = blocks.needs.groupBy("feat").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("feat")
+    shared = stored(blocks.needs.join(several, "feat").select("block", "pos", "feat"), "shared-features")
+    table = stored(blocks.table.join(shared.groupBy("block").agg(F.collect_list("pos").alias("shared")), "block", "left"), "shared-blocks")
+
+    def start(batches):
+        key = mix(mix(np.array([seed % (1 << 64)], np.uint64)) ^ np.arange(width, dtype=np.uint64))
+        for batch in batches:
+            for d in _rows_of(batch):
+                ids = pd.util.hash_array(np.array([i or "" for i in d["ids"].as_py()], dtype=object), categorize=False)
+                drawn = (mix(ids[:, None] ^ key) >> np.uint64(11)) * 2.0 ** -52 - 1.0
+                yield _state_row(d["block"].as_py(), np.zeros_like(drawn), drawn)
+    state = stored(blocks.table.select("block", "ids").mapInArrow(start, STATE), "subspace")
+    n = max(1, blocks.n_rows)
+    gram, total = _summed(state, width, lambda q, z: [z.T @ z, z.sum(0)], [(width, width), (width,)])
+    mean = total / n
+    a = _orthonormaliser(gram - n * np.outer(mean, mean))
+    turn, m = _Turn(a, mean @ a, np.zeros((width, width)), np.zeros((width, 0))), width
     for rounds in range(1, most_rounds + 1):
-        q = stored(held.select("feat", "mean", _product(F.col("z"), change).alias("q")), "subspace")
-        mean_q = mean_z @ change
-
-        def give(block: Block, mean_q=mean_q):
-            y = block.dot() - mean_q
-            return block.back(y), y.sum(0)[None, :]
-        got = _sum_by_feature(blocks, q.select("feat", F.col("q").alias("w")), width, give)
-        ones = _literals(_extras(got, 1, width)[0])
-        back = q.join(got.where("feat >= 0").withColumnRenamed("feat", "_feat"), F.col("feat") == F.col("_feat"), "left")
-        centred = F.transform(ones, lambda one, j: F.coalesce(F.col("g")[j], F.lit(0.0)) - F.col("mean") * one)
-        before, held = held, stored(back.select("feat", "mean", "q", centred.alias("z")), "subspace")
-        drop_stored(before, q, got)
-        gram, mean_z, cross, rest = _inner_products(held, guess)
-        values, turn = np.linalg.eigh((cross + cross.T) / 2)
-        values, turn = values[::-1], turn[:, ::-1]
-        if width == 0 or (rounds > 1 and (np.sqrt(rest[:k]) <= tolerance * max(values[0], 1e-300)).all()):
+        before, state = state, _times_gram(table, shared, state, turn)
+        drop_stored(before)
+        gram, cross, total = _summed(state, m, lambda q, z: [q.T @ q, q.T @ z, z.sum(0)], [(m, m), (m, m), (m,)])
+        straight = _orthonormaliser(gram)
+        values, u = np.linalg.eigh(straight.T @ ((cross + cross.T) / 2) @ straight)
+        values, u, mean = values[::-1], straight @ u[:, ::-1], total / n
+        best, lift = u[:, :width], u[:, :width] * values[:width]
+        shift = mean @ best
+
+        def left(q, z, best=best, lift=lift, shift=shift):
+            r = z @ best - shift - q @ lift
+            return [r.T @ r, q.T @ r]
+        rest, along = _summed(state, m, left, [(width, width), (m, width)])
+        size = np.sqrt(np.diag(rest))
+        if (size[:k] <= tolerance * max(values[0], 1e-300)).all():
             break
-        change = turn @ _orthonormaliser(turn.T @ gram @ turn)
-        guess = values
-    loadings = held.select("feat", "mean", _product(F.col("q"), turn[:, :k]).alias("v"))
-    if not k:
-        return Components(loadings.select("feat", "v"), np.zeros(0), np.zeros(0), rounds)
-    largest = loadings.agg(*[F.max_by(F.col("v")[j], F.struct(F.abs(F.col("v")[j]), -F.col("feat"))).alias(f"l{j}") for j in range(k)],
-                           *[F.sum(F.col("mean") * F.col("v")[j]).alias(f"m{j}") for j in range(k)]).first()
-    signs = np.array([-1.0 if (largest[j] or 0) < 0 else 1.0 for j in range(k)])
-    means = signs * np.array([largest[k + j] or 0.0 for j in range(k)])
-    fixed = stored(loadings.select("feat", F.transform("v", lambda x, j: x * _literals(signs)[j]).alias("v")), "loadings")
-    drop_stored(held)
-    return Components(fixed, means, values[:k] / max(1, blocks.n_rows - 1), rounds)
+        open_ = size > 1e-13 * values[0]  # the others are rounding
+        next_ = _orthonormaliser((rest - along.T @ along) * open_[:, None] * open_)
+        keep = np.eye(m) if m + width <= MOST_BLOCKS * width else u[:, :2 * width]
+        turn, m = _Turn(best @ next_, shift @ next_, (lift + along) @ next_, keep), keep.shape[1] + width
+    top, there = u[:, :k], values[:k] > 1e-13 * max(values[0], 1e-300)
+
+    def across(batches):
+        for batch in batches:
+            for d in _rows_of(batch):
+                block = _block(d, 0)
+                by_row = np.hstack([_matrix(d["q"], len(block.ids)) @ top, np.ones((len(block.ids), 1))])
+                yield _numbered(block.feats, block.back(by_row))
+    sums = _added(blocks.table.join(state, "block").mapInArrow(across, "feat long, g array<double>"), k + 1).withColumnRenamed("feat", "_feat")
+    raw = stored(wide.join(sums, F.col("feat") == F.col("_feat"), "left").select("feat", *[
+        F.coalesce(F.col("g")[j], F.lit(0.0)).alias(f"v{j}") for j in range(k + 1)]), "loadings")
+    largest = raw.agg(*[F.max_by(f"v{j}", F.struct(F.abs(f"v{j}"), -F.col("feat"))).alias(f"l{j}") for j in range(k)],
+                      *[F.sum(F.col(f"v{j}") * F.col(f"v{j}")).alias(f"s{j}") for j in range(k)],
+                      *[F.sum(F.col(f"v{k}") * F.col(f"v{j}")).alias(f"m{j}") for j in range(k)]).first()
+    norm = np.sqrt(np.array([largest[k + j] or 0.0 for j in range(k)]))
+    scale = np.where(there & (norm > 0), np.where(np.array([largest[j] or 0.0 for j in range(k)]) < 0, -1.0, 1.0) / np.where(norm > 0, norm, 1), 0.0)
+    means = scale * np.array([largest[2 * k + j] or 0.0 for j in range(k)]) / n
+    fixed = raw.select("feat", F.array(*[F.col(f"v{j}") * F.lit(float(scale[j])) for j in range(k)]).alias("v"))
+    drop_stored(state, table, shared)
+    return Components(fixed, means, np.maximum(values[:k], 0) / max(1, blocks.n_rows - 1), rounds)
 
 
 def pca_scores(blocks: Blocks, found: Components, places: int = 8) -> DataFrame:
@@ -384,7 +481,7 @@ def pca_reduce(df: DataFrame, n_components: int = 3, group_id: str = "group_id",
                prefix: str = "dim_feat_") -> DataFrame:
     """FEA04 of a long table of any width: missing cells are 0, nothing dense, no width x width matrix."""
     vectors, dictionary = long_to_sparse(df, group_id=group_id, feat=feat, value=value)
-    blocks = pack(vectors, group_id)
+    blocks = pack(stored(vectors, "sparse-rows"), group_id)
     features = dictionary.select("feat_idx")
     scores = pca_scores(blocks, principal_components(blocks, features, n_components))
     return vector_to_long(scores.withColumnRenamed("id", group_id), group_id=group_id, prefix=prefix)
