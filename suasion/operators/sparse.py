@@ -351,14 +351,16 @@ def _orthonormaliser(gram: np.ndarray) -> np.ndarray:
 
 @dataclass
 class _Turn:
-    """Small matrices that make the next block of the basis, z a - 1 shift - q b, and what stays of the basis, q keep."""
+    """Small matrices that make the next block of the basis, z a - 1 shift - q b, and what stays of the basis, q keep.
+    ``middle`` is the block's measured mean, which is rounding alone but would grow from round to round."""
     a: np.ndarray
     shift: np.ndarray
     b: np.ndarray
     keep: np.ndarray
+    middle: float | np.ndarray = 0.0
 
     def fresh(self, q: np.ndarray, z: np.ndarray) -> np.ndarray:
-        return z @ self.a - self.shift - q @ self.b
+        return z @ self.a - self.shift - q @ self.b - self.middle
 
 
 def _times_gram(table: DataFrame, shared: DataFrame, state: DataFrame, turn: _Turn) -> DataFrame:
@@ -428,6 +430,7 @@ def principal_components(blocks: Blocks, features: DataFrame, k: int = 3, spare:
     a = _orthonormaliser(gram - n * np.outer(mean, mean))
     turn, m = _Turn(a, mean @ a, np.zeros((width, width)), np.zeros((width, 0))), width
     for rounds in range(1, most_rounds + 1):
+        turn.middle = _summed(state, len(turn.b), lambda q, z, turn=turn: [turn.fresh(q, z).sum(0)], [(width,)])[0] / n
         before, state = state, _times_gram(table, shared, state, turn)
         drop_stored(before)
         gram, cross, total = _summed(state, m, lambda q, z: [q.T @ q, q.T @ z, z.sum(0)], [(m, m), (m, m), (m,)])

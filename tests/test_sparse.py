@@ -124,3 +124,14 @@ def test_nothing_and_one_row(spark):
     assert [r["value"] for r in sparse.pca_reduce(one, 1).collect()] == [0.0]
     metrics, oof = sparse.kfold_heads(vectors.withColumns({"persuaded": F.lit(1), "f": F.lit(0)}), dictionary.select("feat_idx"), "group_id", "f", [tr.HeadSetting("r")])
     assert oof.count() == 0 == metrics.count()
+
+
+def test_components_of_a_slowly_falling_spectrum(spark):
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((300, 120)) < 0.3, rng.random((300, 120)) * np.linspace(1.3, 1, 120), 0)
+    x[:, 0] += 5
+    vectors, dictionary = sparse.long_to_sparse(long(spark, x))
+    blocks = sparse.pack(vectors, "group_id")
+    found = sparse.principal_components(blocks, dictionary.select("feat_idx"), 3, spare=5, most_rounds=60)
+    values = np.linalg.eigvalsh(np.cov(x.T))[::-1]
+    assert found.rounds < 60 and np.allclose(found.variances, values[:3], rtol=1e-9)
