@@ -8,9 +8,12 @@ partitioned.
 
 Each level is two distributed aggregates, whatever the number of trees and folds: the ranges
 of the drawn features in every open node, then the label counts on both sides of every
-threshold.  A task routes its vectors through the trees so far (broadcast) and emits one row
-per open node it meets.  A node is a leaf when it is pure, when no draw leaves ``min_leaf``
-rows on both sides, or, after all features were tried, when all are constant.
+threshold.  A task goes through the trees with open nodes one by one, sorts its rows by node and
+emits one row per open node it meets.  Every ``REWRITE`` levels the table is written anew with
+the open node of each (row, tree), so vectors are routed (broadcast forest) from where they
+stood then, not from the roots, and those in closed leaves are left out.  A node is a leaf when
+it is pure, when no draw leaves ``min_leaf`` rows on both sides, or, after all features were
+tried, when all are constant.
 
 Size: ``min_leaf`` is a share of the training rows (at least one row), so a tree has fewer than
 ``2 / min_leaf_share`` nodes and the driver and a broadcast hold at most
@@ -25,12 +28,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suasion.session import checkpointed
+from suasion.session import checkpointed, drop_stored, stored
 
 CELLS = 1 << 20  # (row, tree) pairs in work at once
+PLACES = 1 << 23  # (row, tree) places of a block of rows
+REWRITE = 3  # levels
 _GOLDEN, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -114,83 +120,164 @@ class Forest:
                    rows.path.to_numpy().view(np.uint64), rows.n.to_numpy(), rows.p1.to_numpy(float))
 
 
-def _elements(forest: Forest, x: np.ndarray, folds: np.ndarray, trains: bool):
-    """Chunks of (row, leaf) pairs: every row with the columns it trains (their fold is another one) or, for
-    scores, the columns that left its fold out."""
+def _elements(forest: Forest, x: np.ndarray, folds: np.ndarray):
+    """Chunks of (row, leaf) pairs: every row with the columns that left its fold out."""
     step = max(1, CELLS // max(1, len(forest.folds)))
     whole = np.isnan(forest.folds)
     for a in range(0, len(x), step):
-        f = folds[a:a + step, None]
-        own = (f == forest.folds) | whole
-        row, column = np.nonzero((~(f == forest.folds) & ~np.isnan(f)) | whole if trains else own)
+        row, column = np.nonzero((folds[a:a + step, None] == forest.folds) | whole)
         row = row + a
-        yield row, column, forest.leaf_of(x, row, column)
-
-
-class _Groups:
-    """Rows of numbers reduced by group: summed, or the smallest of the first and the largest of the last half."""
-
-    def __init__(self, ranges: bool):
-        self.ranges, self.parts, self.rows = ranges, [], 0
-
-    def add(self, group: np.ndarray, rows: np.ndarray) -> None:
-        self.parts.append(self._reduced(group, rows))
-        self.rows += len(self.parts[-1][0])
-        if self.rows > CELLS // 4:
-            self.merged()
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        self.parts = [self._reduced(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))]
-        self.rows = len(self.parts[0][0])
-        return self.parts[0]
-
-    def _reduced(self, group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(group, kind="stable")
-        rows = rows[order]
-        group, start = np.unique(group[order], return_index=True)
-        if not self.ranges:
-            return group, np.add.reduceat(rows, start)
-        m = rows.shape[1] // 2
-        return group, np.hstack([np.minimum.reduceat(rows[:, :m], start), np.maximum.reduceat(rows[:, m:], start)])
-
-
-def _pass(data: DataFrame, forest: Forest, open_: np.ndarray, drawn: np.ndarray, kind: str, thresholds: np.ndarray | None = None) -> np.ndarray:
-    """One distributed aggregate over the open nodes: (nodes x 2m) — ``ranges``: smallest, largest value of
-    each drawn feature; ``counts``: (rows, label-1 rows) right of each threshold, then of the node itself."""
-    slot = np.full(len(forest.feature), -1, np.int64)
-    slot[open_] = np.arange(len(open_))
-    sent = data.sparkSession.sparkContext.broadcast((forest, slot, drawn, thresholds))
-    m, ranges = drawn.shape[1], kind == "ranges"
-    names = [f"lo{j}" for j in range(m)] + [f"hi{j}" for j in range(m)] if ranges else \
-        [f"n{j}" for j in range(m)] + [f"p{j}" for j in range(m)] + ["n", "p"]
+        yield row, forest.leaf_of(x, row, column)
+
+
+class Places:
+    """Open nodes by column, as numbers within their column: what a row keeps of where it stands."""
+
+    def __init__(self, forest: Forest, open_: np.ndarray):
+        self.nodes = open_  # ascending by column
+        self.first = np.searchsorted(forest.column[open_], np.arange(len(forest.folds) + 1))
+        most = int(np.diff(self.first).max(initial=0))
+        self.kind = next(k for k in (np.uint16, np.uint32) if most < np.iinfo(k).max)
+        self.none = np.iinfo(self.kind).max
+        self.slot = np.full(len(forest.feature), -1, np.int64)
+        self.slot[open_] = np.arange(len(open_))
+
+
+@dataclass
+class _Block:
+    x: np.ndarray
+    y: np.ndarray
+    fold: np.ndarray
+    at: np.ndarray | None  # (columns x rows) places in ``held``; None before the first are written
+
+
+def _blocks(batches, width: int, held: Places | None):
+    """Arrow batches as blocks of at most about ``PLACES`` places."""
+    def block(parts):
+        t = pa.Table.from_batches(parts).combine_chunks()
+        x = t["x"].combine_chunks()
+        if isinstance(x, pa.ChunkedArray):
+            x = x.chunk(0)
+        if x.null_count or set(np.diff(x.offsets.to_numpy()).tolist()) - {width}:
+            raise ValueError(f"vectors must have {width} numbers each")
+        flat = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, width)
+        at = None
+        if held is not None:
+            at = np.frombuffer(b"".join(t["at"].to_pylist()), held.kind).reshape(t.num_rows, -1).T.copy()
+        return _Block(flat, t["y"].to_numpy(), t["fold"].to_numpy().astype(np.float64), at)
+    parts, rows = [], 0
+    for batch in batches:
+        most = PLACES // max(1, 1 if held is None else len(held.first) - 1)
+        for a in range(0, batch.num_rows, max(1, most)):
+            part = batch.slice(a, max(1, most))
+            if rows and rows + part.num_rows > most:
+                yield block(parts)
+                parts, rows = [], 0
+            parts.append(part)
+            rows += part.num_rows
+    if rows:
+        yield block(parts)
+
+
+def _standing(forest: Forest, held: Places | None, now: Places, block: _Block):
+    """Per column with open nodes: the rows in them and their slots in ``now``."""
+    rows_of = {}
+    for c in np.flatnonzero(np.diff(now.first)):
+        if held is None:  # every row starts at the root of each column it trains: their fold is another one
+            out = forest.folds[c]
+            if out not in rows_of and not math.isnan(out):
+                rows_of[out] = np.flatnonzero((block.fold != out) & ~np.isnan(block.fold))
+            row = np.arange(len(block.x)) if math.isnan(out) else rows_of[out]
+            node = np.full(len(row), c)
+        else:
+            row = np.flatnonzero(block.at[c] != held.none)
+            node = held.nodes[held.first[c] + block.at[c, row]]
+        slot = now.slot[forest.leaf_of(block.x, row, node)]
+        inside = slot >= 0
+        yield c, row[inside], slot[inside]
+
+
+def _rewritten(data: DataFrame, forest: Forest, held: Places | None, now: Places, width: int) -> DataFrame:
+    """``data`` with the open node of every (row, column)."""
+    sent = data.sparkSession.sparkContext.broadcast((forest, held, now))
 
     def run(batches):
-        forest, slot, drawn, thresholds = sent.value
-        groups = _Groups(ranges)
-        for pdf in batches:
-            if not len(pdf):
+        forest, held, now = sent.value
+        for block in _blocks(batches, width, held):
+            n, columns = len(block.x), len(forest.folds)
+            at = np.full((n, columns), now.none, now.kind)
+            for c, row, slot in _standing(forest, held, now, block):
+                at[row, c] = slot - now.first[c]
+            size = columns * at.itemsize
+            step = max(1, (1 << 22) // max(width * 8, size, 1))
+            for a in range(0, n, step):
+                part = slice(a, min(n, a + step))
+                m = part.stop - a
+                x = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * width), pa.array(block.x[part].ravel()))
+                places = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(np.arange(m + 1, dtype=np.int32) * size), pa.py_buffer(at[part].tobytes())])
+                yield pa.RecordBatch.from_arrays([x, pa.array(block.y[part], pa.int64()), pa.array(block.fold[part], pa.float64()), places], ["x", "y", "fold", "at"])
+    out = stored(data.mapInArrow(run, "x array<double>, y long, fold double, at binary"), "extra-trees")
+    sent.unpersist()
+    return out
+
+
+def _tally(forest: Forest, held: Places | None, now: Places, drawn: np.ndarray, thresholds: np.ndarray | None, blocks) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes x 2m) smallest and largest values of each drawn feature or, with ``thresholds``, (nodes x (2m + 2))
+    rows and label-1 rows right of each, then of the node itself; of the rows of ``blocks``."""
+    m = drawn.shape[1]
+    if thresholds is None:
+        out = np.hstack([np.full(drawn.shape, np.inf), np.full(drawn.shape, -np.inf)])
+    else:
+        out = np.zeros((len(drawn), 2 * m + 2), np.int64)
+    seen = np.zeros(len(drawn), bool)
+    for block in blocks:
+        flat, width = block.x.ravel(), block.x.shape[1]
+        one = 1 + (block.y.astype(np.int64) << 32)  # counts rows and label-1 rows at once
+        for c, row, slot in _standing(forest, held, now, block):
+            if not len(row):
                 continue
-            x, y, fold = np.vstack(pdf["x"].to_numpy()), pdf["y"].to_numpy(), pdf["fold"].to_numpy(dtype="float64")
-            for row, _, leaf in _elements(forest, x, fold, True):
-                at = slot[leaf]
-                row, at = row[at >= 0], at[at >= 0]
-                if not len(at):
-                    continue
-                values = x[row[:, None], drawn[at]]
-                if ranges:
-                    groups.add(at, np.hstack([values, values]))
+            order = np.argsort((slot - now.first[c]).astype(now.kind), kind="stable")  # 16 bits: a radix sort
+            row, slot = row[order], slot[order]
+            start = np.flatnonzero(np.diff(slot, prepend=-1))
+            node, count = slot[start], np.diff(start, append=len(slot))
+            seen[node] = True
+            base = row * width
+            both = one[row] if thresholds is not None else None
+            for j in range(m):
+                value = flat[base + np.repeat(drawn[node, j], count)]
+                if thresholds is None:
+                    out[node, j] = np.minimum(out[node, j], np.minimum.reduceat(value, start))
+                    out[node, m + j] = np.maximum(out[node, m + j], np.maximum.reduceat(value, start))
                 else:
-                    right, label = values > thresholds[at], y[row, None].astype(np.int64)
-                    groups.add(at, np.hstack([right, right * label, np.ones_like(label), label]).astype(np.int64))
-        if groups.parts:
-            node, rows = groups.merged()
-            yield pd.DataFrame(rows, columns=names).assign(node=node)
+                    got = np.add.reduceat(both * (value > np.repeat(thresholds[node, j], count)), start)
+                    out[node, j] += got & 0xFFFFFFFF
+                    out[node, m + j] += got >> 32
+            if thresholds is not None:
+                got = np.add.reduceat(both, start)
+                out[node, -2] += got & 0xFFFFFFFF
+                out[node, -1] += got >> 32
+    return np.flatnonzero(seen), out[seen]
+
+
+def _pass(data: DataFrame, forest: Forest, held: Places | None, now: Places, drawn: np.ndarray, width: int, thresholds: np.ndarray | None = None) -> np.ndarray:
+    """One distributed aggregate over the open nodes: ``_tally`` of all rows."""
+    sent = data.sparkSession.sparkContext.broadcast((forest, held, now, drawn, thresholds))
+    m, ranges = drawn.shape[1], thresholds is None
+    names = [f"lo{j}" for j in range(m)] + [f"hi{j}" for j in range(m)] if ranges else \
+        [f"n{j}" for j in range(m)] + [f"p{j}" for j in range(m)] + ["n", "p"]
+
+    def run(batches):
+        forest, held, now, drawn, thresholds = sent.value
+        node, rows = _tally(forest, held, now, drawn, thresholds, _blocks(batches, width, held))
+        step = max(1, (1 << 19) // len(names))
+        for a in range(0, len(node), step):
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(v)) for v in rows[a:a + step].T], pa.array(node[a:a + step])], [*names, "node"])
     number = "double" if ranges else "long"
-    parts = data.mapInPandas(run, ", ".join(f"{n} {number}" for n in names) + ", node long")
+    parts = data.mapInArrow(run, ", ".join(f"{n} {number}" for n in names) + ", node long")
     how: list[Callable] = [F.min] * m + [F.max] * m if ranges else [F.sum] * len(names)
     got = parts.groupBy("node").agg(*[f(n).alias(n) for f, n in zip(how, names, strict=True)]).toPandas()  # one row per open node
     sent.unpersist()
-    out = np.zeros((len(open_), len(names)))
+    out = np.zeros((len(drawn), len(names)))
     out[got["node"].to_numpy(dtype=np.int64)] = got[names].to_numpy()
     return out
 
@@ -226,7 +313,7 @@ def fit(df: DataFrame, features: str = "features", label: str = "persuaded", fol
     from suasion.operators.train import fold_values
     fold = F.lit(None).cast("double") if fold_col is None else F.col(fold_col).cast("double")
     data = checkpointed(df.filter(F.col(label).isNotNull()).select(
-        F.col(features).alias("x"), F.col(label).cast("long").alias("y"), fold.alias("fold")))
+        F.col(features).cast("array<double>").alias("x"), F.col(label).cast("long").alias("y"), fold.alias("fold")))
     folds = [None] if fold_col is None else fold_values(data, "fold")
     sizes = {r["fold"]: (r["n"], r["p"]) for r in data.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).collect()}
     total = [sum(v[k] or 0 for f, v in sizes.items() if fold_col is None or f is not None) for k in (0, 1)]
@@ -245,13 +332,21 @@ def fit(df: DataFrame, features: str = "features", label: str = "persuaded", fol
     open_ = splittable(np.arange(len(forest.folds)))
     attempt = np.zeros(len(open_), np.int64)
     depth = np.zeros(len(open_), np.int64)
+    held, level = None, 0
     while len(open_):
+        now = Places(forest, open_)
+        if level and level % REWRITE == 0:
+            older, data = data, _rewritten(data, forest, held, now, width)
+            if held is not None:
+                drop_stored(older)
+            held = now
+        level += 1
         drawn, draws = _candidates(forest, seed, open_, attempt, width, m)
-        found = _pass(data, forest, open_, drawn, "ranges")
+        found = _pass(data, forest, held, now, drawn, width)
         low, high = found[:, :m], found[:, m:]
         at = low + draws * (high - low)
         at = np.where(at >= high, low, at)
-        counts = _pass(data, forest, open_, drawn, "counts", at).astype(np.int64)
+        counts = _pass(data, forest, held, now, drawn, width, at).astype(np.int64)
         n_right, p_right, n, p = counts[:, :m], counts[:, m:2 * m], counts[:, -2:-1], counts[:, -1:]
         enough = least[forest.column[open_], None]
         fits = (low < high) & (n_right >= enough) & (n - n_right >= enough)
@@ -272,6 +367,10 @@ def fit(df: DataFrame, features: str = "features", label: str = "persuaded", fol
         open_ = np.concatenate([fresh, open_[again]])
         attempt = np.concatenate([np.zeros(len(fresh), np.int64), attempt[again] + 1])
         depth = np.concatenate([fresh_depth, depth[again]])
+        order = np.argsort(forest.column[open_], kind="stable")
+        open_, attempt, depth = open_[order], attempt[order], depth[order]
+    if held is not None:
+        drop_stored(data)
     return forest
 
 
@@ -290,7 +389,7 @@ def score(forest: Forest, df: DataFrame, features: str = "features", keep: list[
         if not len(x):
             return pd.Series([], dtype="float64")
         total, trees = np.zeros(len(x)), np.zeros(len(x))
-        for row, _, leaf in _elements(forest, np.vstack(x.tolist()), fold.to_numpy(dtype="float64"), False):
+        for row, leaf in _elements(forest, np.vstack(x.tolist()), fold.to_numpy(dtype="float64")):
             total += np.bincount(row, forest.p1[leaf], len(x))
             trees += np.bincount(row, minlength=len(x))
         return pd.Series(total / np.maximum(trees, 1))
