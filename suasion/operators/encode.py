@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,13 +148,53 @@ def encode_with(df: DataFrame, text: str, group_id: str, load_encoder: Callable,
     return df.select(group_id, text).mapInPandas(run, f"{group_id} {gtype}, features array<double>")
 
 
+def _sentence_sums(dim: int):
+    """Arrow function: the buckets of each sentence of a row → sum of the sentences' L2-normalised counts."""
+    import numpy as np
+
+    @F.arrow_udf("array<double>")
+    def sums(buckets: pa.Array) -> pa.Array:
+        out = np.zeros((len(buckets), dim))
+        inner = buckets.flatten()  # null rows have no sentences
+        sentence = np.concatenate([[0], np.cumsum(buckets.value_lengths().fill_null(0).to_numpy())])  # first of each row
+        cell = np.concatenate([[0], np.cumsum(inner.value_lengths().fill_null(0).to_numpy())])  # first of each sentence
+        cells, row = inner.flatten().to_numpy(), np.repeat(np.arange(len(buckets)), np.diff(sentence))
+        a = 0
+        while a < len(inner):  # sentences of at most about CELLS histogram cells and, if more than one, CELLS tokens
+            b = max(a + 1, min(a + max(1, CELLS // dim), int(np.searchsorted(cell, cell[a] + CELLS, "right")) - 1))
+            counts = np.zeros((b - a) * dim)
+            for c in range(cell[a], cell[b], CELLS):
+                d = min(c + CELLS, cell[b])
+                place = np.searchsorted(cell[a + 1:b + 1], np.arange(c, d), "right")
+                counts += np.bincount(place * dim + cells[c:d], minlength=len(counts))
+            counts = counts.reshape(-1, dim)
+            norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            counts /= np.where(norm > 0, norm, 1.0)
+            first = np.flatnonzero(np.diff(row[a:b], prepend=-1))
+            out[row[a:b][first]] += np.add.reduceat(counts, first)
+            a = b
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * dim), pa.array(out.ravel()))
+    return sums
+
+
 def sentence_vectors(df: DataFrame, text: str = "message", group_id: str = "message_id",
                      family: str = "content", dim: int = 64) -> tuple[DataFrame, DataFrame]:
-    """ENC02: encode every sentence (kept at ``group_id:idx``) and average them per message."""
-    sents = df.select(group_id, F.posexplode(sentences(text)).alias("sent_idx", "sentence"))
+    """ENC02: encode every sentence (kept at ``group_id:idx``) and average them per message.
+
+    Sentences of the content family are summed where their text lies; only one vector of each row goes to
+    its message's mean."""
+    split = df.select(group_id, sentences(text).alias("_s"))
+    sents = split.select(group_id, F.posexplode("_s").alias("sent_idx", "sentence"))
     sents = sents.withColumn("sent_id", F.concat(F.col(group_id), F.lit(":"), F.col("sent_idx").cast("string")))
     sv = encode(sents, "sentence", [group_id, "sent_id"], family, dim)  # the message id stays on the row
-    return sv.select("sent_id", "features"), average_vectors(sv, group_id, "features")
+    vectors = sv.select("sent_id", "features")
+    if family != "content":
+        return vectors, average_vectors(sv, group_id, "features")
+    buckets = F.transform("_s", lambda s: F.transform(lower_tokens(s), lambda t: token_bucket(t, dim)))
+    rows = split.filter(F.col("_s").isNotNull()).select(group_id, F.size("_s").alias("_n"), _sentence_sums(dim)(buckets).alias("_v"))
+    # one sum per position: partial sums, so a message id on very many rows is combined in each task first
+    total = rows.groupBy(group_id).agg(F.sum("_n").alias("_n"), *[F.sum(F.col("_v")[i]).alias(f"_{i}") for i in range(dim)])
+    return vectors, total.select(group_id, F.array(*[F.col(f"_{i}") / F.col("_n") for i in range(dim)]).alias("features"))
 
 
 def average_vectors(df: DataFrame, group_id: str, features: str = "features") -> DataFrame:
