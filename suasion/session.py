@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 import weakref
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -109,3 +110,43 @@ def drop_stored(*tables) -> None:
         spark = t.sparkSession
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_STORED.pop(t))
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A row of megabytes: row groups and pages end by their bytes, not after 100 rows, so neither writer nor reader holds many rows.
+WIDE_ROWS = {"compression": "zstd", "parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1",
+             "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def with_conf(spark: SparkSession, key: str, value: str):
+    """A session setting for what is run inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def shuffles_dropped(spark: SparkSession):
+    """Inside, a query's shuffle files go when it has ended, not when the driver happens to collect its garbage.  For
+    writes and small results: the plan of a write is its own, so nobody reads these files again."""
+    return with_conf(spark, _CLEANUP, "true")
+
+
+def stored_by(df, name: str, key: str, buckets: int):
+    """``stored`` in buckets of ``key``, for tables of wide rows: what meets them by ``key`` comes to where they lie, they are
+    not shuffled.  The catalog knows the table only while it is written and opened."""
+    spark = df.sparkSession
+    path, table = scratch_path(spark, name), f"suasion_{uuid.uuid4().hex}"
+    with shuffles_dropped(spark):
+        df.write.bucketBy(buckets, key).options(path=path, **WIDE_ROWS).saveAsTable(table)
+    out = spark.table(table).select("*")
+    out.schema  # noqa: B018  resolved while the catalog has it
+    spark.sql(f"DROP TABLE {table}")  # the files stay: the table is external
+    _STORED[out] = path
+    return out

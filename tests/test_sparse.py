@@ -135,3 +135,77 @@ def test_components_of_a_slowly_falling_spectrum(spark):
     found = sparse.principal_components(blocks, dictionary.select("feat_idx"), 3, spare=5, most_rounds=60)
     values = np.linalg.eigvalsh(np.cov(x.T))[::-1]
     assert found.rounds < 60 and np.allclose(found.variances, values[:3], rtol=1e-9)
+
+
+def shuffled(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_"))
+
+
+def test_cells_of_groups_that_lie_together_are_not_shuffled(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"g{i:03d}", f"f{j}", float(v)) for i in range(120) for j, v in zip(rng.choice(900, 700, replace=False).tolist(), rng.random(700), strict=True)]
+    df = spark.createDataFrame(rows, "group_id string, feat string, value double").coalesce(1)
+    before = shuffled(spark)
+    vectors, dictionary = sparse.long_to_sparse(df)
+    got = {r["group_id"]: dict(zip(r["idx"], r["val"], strict=True)) for r in vectors.collect()}
+    left = shuffled(spark) - before
+    names = {r["feat_idx"]: r["feat"] for r in dictionary.collect()}
+    assert {(g, names[i], v) for g, row in got.items() for i, v in row.items()} == set(rows)
+    assert left < 4 * len(rows)  # features only: less than half of the cells' numbers
+
+
+def test_groups_in_several_places_are_joined(spark, small_blocks):
+    rows = [(f"g{i % 5}", f"f{i % 7}", float(i)) for i in range(210)] + [("g0", None, 9.0), ("only", "null value", None)]
+    vectors, dictionary = sparse.long_to_sparse(spark.createDataFrame(rows, "group_id string, feat string, value double").repartition(4))
+    names = {r["feat_idx"]: r["feat"] for r in dictionary.collect()}
+    want = {}
+    for g, f, x in rows[:210]:
+        want.setdefault((g, f), []).append(x)
+    got = {(r["group_id"], names[i]): x for r in vectors.collect() for i, x in zip(r["idx"], r["val"], strict=True)}
+    assert set(names.values()) == {None, "null value", *[f"f{j}" for j in range(7)]}
+    assert got == {k: pytest.approx(sum(x) / len(x)) for k, x in want.items()}
+
+
+def spread(spark, cells):
+    """Features in several slices."""
+    at = [0, 1, sparse.SLICE - 1, sparse.SLICE, sparse.SLICE + 7, 5 * sparse.SLICE, 5 * sparse.SLICE + 1, 9 * sparse.SLICE + 3, 9 * sparse.SLICE + 9]
+    return at, spark.createDataFrame([(f"f{j}", i) for j, i in enumerate(at)], "feat string, feat_idx long")
+
+
+def test_a_pass_moves_packages_and_leaves_blocks_where_they_lie(spark, cells, small_blocks):
+    at, dictionary = spread(spark, cells)
+    blocks = sparse.pack(sparse.long_to_sparse(long(spark, cells), dictionary)[0], "group_id")
+    weights = np.random.default_rng(1).normal(size=(9, 2))
+    numbers = spark.createDataFrame([(i, weights[j].tolist()) for j, i in enumerate(at)], "feat long, w array<double>")
+    got = {r["id"]: r["dot"] for r in sparse.dots(blocks, numbers, 2).collect()}
+    assert np.allclose([got[f"g{i:02d}"] for i in range(60)], cells @ weights)
+    sent = spark.createDataFrame([(r["block"], -1, None, None) for r in blocks.table.select("block").collect()], sparse.REPLIES)
+    plan = sparse._at_blocks(blocks, sent, lambda d, sent: None, "id string")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+    routes = blocks.routes.collect()
+    assert {r["slice"] for r in routes} == {0, 1, 5, 9} and all(len(r["idx"]) <= 2 * sparse.SLICE for r in routes)
+
+
+def test_heads_and_components_of_features_in_several_slices(spark, cells, small_blocks):
+    _, far = spread(spark, cells)
+    settings = [tr.HeadSetting("a", lr=0.3, patience=1, weight_decay=0.01)]
+    results = []
+    for dictionary in (None, far):
+        vectors, names = sparse.long_to_sparse(long(spark, cells), dictionary)
+        metrics, oof = sparse.kfold_heads(vectors.join(labelled(spark, cells), "group_id"), names.select("feat_idx"), "group_id", "folds_col", settings, epochs=3)
+        found = sparse.principal_components(sparse.pack(vectors, "group_id"), names.select("feat_idx"), 2)
+        results.append([metrics.orderBy("fold", "epoch").drop("run_id").toPandas().to_numpy(float), oof.orderBy("group_id").select("p1").toPandas().to_numpy(),
+                        np.array([r["v"] for r in found.loadings.orderBy("feat").collect()]), found.variances])
+    assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(*results, strict=True))
+
+
+def test_nothing_of_a_run_stays_in_the_shared_folder(spark, cells):
+    import glob
+    import os
+    from suasion.session import ensure_checkpoint_dir
+    folder = os.path.join(ensure_checkpoint_dir(spark).removeprefix("file:"), "suasion-scratch")
+    before = set(glob.glob(folder + "/*"))
+    sparse.pca_reduce(long(spark, cells), 2).count()
+    new = {os.path.basename(p).rsplit("-", 1)[0] for p in set(glob.glob(folder + "/*")) - before}
+    assert new <= {"dots", "loadings"}
