@@ -253,10 +253,10 @@ class Block:
             out[c] = np.bincount(self.at, self.val * by_row[self.row, c], len(self.feats))
         return out
 
-    def packages(self, numbers: np.ndarray, extra: np.ndarray | None = None) -> pa.Table:
-        """PACKAGES of (columns x features), and further numbers under the slice -1."""
-        rows = [(s, _bytes(self.feats[a:b] - s * SLICE, "<u2"), _bytes(numbers[:, a:b])) for s, a, b in _slices(self.feats)]
-        rows += [] if extra is None else [(-1, b"", _bytes(extra))]
+    def packages(self, numbers: np.ndarray | None, extra: dict | None = None) -> pa.Table:
+        """PACKAGES of (columns x features), if any, and further numbers under slices below 0."""
+        rows = [] if numbers is None else [(s, _bytes(self.feats[a:b] - s * SLICE, "<u2"), _bytes(numbers[:, a:b])) for s, a, b in _slices(self.feats)]
+        rows += [(s, b"", _bytes(x)) for s, x in (extra or {}).items()]
         return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([self.key] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()),
                          pa.array([r[2] for r in rows], pa.binary())], names=["slice", "block", "idx", "g"])
 
@@ -319,58 +319,55 @@ def _literals(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def _dots(blocks: Blocks, replies: DataFrame, columns: int) -> DataFrame:
-    """(id, dot): the product of every row's vector with each column of the replies.  Written."""
-    def give(d: dict, sent: pa.Table) -> pa.Table:
-        block = _block(d, sent, columns)
-        h = block.dot()
-        offsets = pa.array(np.arange(len(h) + 1) * columns, pa.int32())
-        return pa.table([pa.array(block.ids, pa.string()), pa.ListArray.from_arrays(offsets, pa.array(h.ravel()))], names=["id", "dot"])
-    with shuffles_dropped(blocks.table.sparkSession):
-        return stored(_at_blocks(blocks, replies, give, "id string, dot array<double>"), "dots")
+def _listed(name: str, ids: list, h: np.ndarray) -> pa.Table:
+    offsets = pa.array(np.arange(len(h) + 1) * h.shape[1], pa.int32())
+    return pa.table([pa.array(ids, pa.string()), pa.ListArray.from_arrays(offsets, pa.array(h.ravel()))], names=["id", name])
 
 
 def dots(blocks: Blocks, numbers: DataFrame, columns: int) -> DataFrame:
-    """(id, dot): the product of every row's vector with each column of the table (feat, w)."""
+    """(id, dot): the product of every row's vector with each column of the table (feat, w).  Written."""
     def dense(own: pa.Table) -> np.ndarray:
         out = np.zeros((columns, SLICE))
         out[:, own["idx"].to_numpy()] = _plain(own["w"]).flatten().to_numpy(zero_copy_only=False).reshape(-1, columns).T
         return out
     by_slice = numbers.select(F.floor(F.col("feat") / SLICE).cast("long").alias("slice"), F.pmod("feat", F.lit(SLICE)).cast("long").alias("idx"), "w")
-    return _dots(blocks, _replies(blocks, by_slice, columns, dense), columns)
+
+    def give(d: dict, sent: pa.Table) -> pa.Table:
+        block = _block(d, sent, columns)
+        return _listed("dot", block.ids, block.dot())
+    with shuffles_dropped(blocks.table.sparkSession):
+        return stored(_at_blocks(blocks, _replies(blocks, by_slice, columns, dense), give, "id string, dot array<double>"), "dots")
 
 
 # TRN03 on sparse vectors -------------------------------------------------------------
+STATE_BY_SLICE = "slice long, s binary, g binary"
+
+
 @dataclass
 class _Step:
-    """What an epoch does to a slice's state (4 x columns x features: last weights, Adam's two moments, best weights) with its
-    gradient sums: columns in ``on`` take a step, for columns in ``held`` the weights that the sums were taken at are the best."""
+    """An epoch of the columns (a setting, a fold).  A slice's state is (3 x columns x features): weights and Adam's two moments.
+    ``on``: columns whose weights the pass is at; the others have ended, what the state goes on to be for them is not read.
+    ``held``: columns that the pass before improved."""
+    epoch: int
     n: np.ndarray
     lr: np.ndarray
     decay: np.ndarray
-    epoch: int
     on: np.ndarray
     held: np.ndarray
+    final: bool  # no further epoch: no gradient is asked for
 
-    def of(self, row: dict) -> np.ndarray:
-        count = len(self.n)
-        sums = np.frombuffer(row["g"].as_py(), "<f8").reshape(count, -1)
-        old = np.frombuffer(row["s"].as_py(), "<f8")
-        w, m, v, best = old.reshape(4, count, -1) if len(old) else np.zeros((4, *sums.shape))
-        lr, decay, on, held = (x[:, None] for x in (self.lr, self.decay, self.on, self.held))
-        g = sums / np.maximum(self.n, 1)[:, None] + decay * w
-        m1, v1 = B1 * m + (1 - B1) * g, B2 * v + (1 - B2) * g * g
-        w1 = w - lr * (m1 / (1 - B1 ** self.epoch)) / (np.sqrt(v1 / (1 - B2 ** self.epoch)) + EPS)
-        return np.stack([np.where(on, w1, w), np.where(on, m1, m), np.where(on, v1, v), np.where(held, w, best)])
-
-
-STATE_BY_SLICE = "slice long, s binary, g binary"
+    def after(self, old: pa.Table, sums: np.ndarray) -> np.ndarray:
+        w, m, v = np.frombuffer(old["s"][0].as_py(), "<f8").reshape(3, len(sums), -1) if old.num_rows else np.zeros((3, *sums.shape))
+        g = sums / self.n[:, None] + self.decay[:, None] * w
+        m, v = B1 * m + (1 - B1) * g, B2 * v + (1 - B2) * g * g
+        return np.stack([w - self.lr[:, None] * (m / (1 - B1 ** (self.epoch + 1))) / (np.sqrt(v / (1 - B2 ** (self.epoch + 1))) + EPS), m, v])
 
 
-def _head_pass(blocks: Blocks, state: DataFrame, step: _Step | None, bias: np.ndarray, folds: list) -> tuple[DataFrame, np.ndarray]:
-    """The step taken, the state with gradient sums by slice at the new weights, and (bias gradient, loss, hits, rows of
-    training; loss, hits, rows of validation).  Without a step the weights are 0."""
-    count = len(folds)
+def _head_pass(blocks: Blocks, state: DataFrame | None, step: _Step, bias: np.ndarray, folds: list) -> tuple[DataFrame, np.ndarray]:
+    """The state after a pass, and (bias gradient, loss, hits, rows of training; loss, hits, rows of validation).  Without a
+    state the weights are 0.  State rows: by slice, the weights and moments after the pass's gradients; under -2 - block
+    the rows' scores, (g) the last and (s) the best before these."""
+    count, none = len(folds), blocks.table.sparkSession.createDataFrame([], STATE_BY_SLICE)
 
     def give(d: dict, sent: pa.Table) -> pa.Table:
         block = _block(d, sent, count)
@@ -382,47 +379,58 @@ def _head_pass(blocks: Blocks, state: DataFrame, step: _Step | None, bias: np.nd
         left = (p - block.y[:, None]) * tr
         extra = [left, loss * tr, hit * tr, tr, loss * va, hit * va, va]
         block.w = block.w[:0]
-        return block.packages(block.back(left), np.stack([e.sum(0) for e in extra]).astype(float))
+        return block.packages(None if step.final else block.back(left), {-1: np.stack([e.sum(0) for e in extra]).astype(float), -2 - block.key: h})
 
     def add(old: pa.Table, packages: pa.Table) -> pa.Table:
-        own = packages["slice"][0]
-        new = _bytes(step.of(next(_rows_of(old)))) if step and own.as_py() >= 0 else b""
-        return pa.table([pa.array([own.as_py()], pa.int64()), pa.array([new], pa.binary()), pa.array([_bytes(_package_sum(packages, count))], pa.binary())],
+        if not packages.num_rows:  # after the final pass weights are not read
+            return old.slice(0, 0)
+        own, g = packages["slice"][0].as_py(), _package_sum(packages, count)
+        s, old_g = b"", old["g"][0].as_py() if old.num_rows else b""
+        if own >= 0:
+            s, g = _bytes(step.after(old, g)), b""
+        elif own < -1:
+            last, best = (np.frombuffer(x, "<f8").reshape(-1, count) if x else np.zeros((g.size // count, count)) for x in (
+                old_g, old["s"][0].as_py() if old.num_rows else b""))
+            s, g = _bytes(np.where(step.held, last, best)), np.where(step.on | (not step.epoch), g.reshape(-1, count), last)
+        return pa.table([pa.array([own], pa.int64()), pa.array([s], pa.binary()), pa.array([g if isinstance(g, bytes) else _bytes(g)], pa.binary())],
                         names=["slice", "s", "g"])
-    replies = _replies(blocks, state.where("slice >= 0"), count, lambda own: step.of(next(_rows_of(own)))[0])
-    packages = _at_blocks(blocks, replies, give, PACKAGES)
-    out = stored_by(state.groupBy("slice").cogroup(packages.groupBy("slice")).applyInArrow(add, STATE_BY_SLICE), "heads", "slice", blocks.buckets)
-    more = out.where("slice < 0").select("g").collect()  # one row
-    return out, np.frombuffer(more[0]["g"], "<f8").reshape(7, count) if more else np.zeros((7, count))
-
-
-def train(blocks: Blocks, settings: list, epochs: int, col_runs: list[int], col_folds: list) -> tuple[list, DataFrame, _Step, np.ndarray, np.ndarray]:
+    if state is None:
+        sent = blocks.table.select(F.col("block").alias("block"), F.lit(-1).cast("long").alias("slice"), *[F.lit(None).cast("binary").alias(n) for n in "wz"])
+    else:
+        sent = _replies(blocks, state.where("slice >= 0"), count, lambda own: np.frombuffer(own["s"][0].as_py(), "<f8").reshape(3, count, -1)[0])
+    packages = _at_blocks(blocks, sent, give, PACKAGES)
+    out = stored_by((none if state is None else state).groupBy("slice").cogroup(packages.groupBy("slice")).applyInArrow(add, STATE_BY_SLICE),
+                    "heads", "slice", blocks.buckets)
+    more = out.where("slice = -1").select("g").collect()  # one row
+    return out, np.frombuffer(more[0]["g"], "<f8").reshape(7, count)
+
+
+def train(blocks: Blocks, settings: list, epochs: int, col_runs: list[int], col_folds: list) -> tuple[list, DataFrame, np.ndarray]:
     """Full-batch Adam (as ``train.train_heads``) for the columns (a setting, a fold or None for splits), the state a table
-    by slice; early stopping per column.  A feature that no row has keeps weight 0 and has no state.  Returns (metrics, state,
-    the last step, which takes none but keeps the best, (last, best) bias)."""
+    by slice; early stopping per column.  A feature that no row has keeps weight 0 and has no state.  The best weights are
+    not kept, only the rows' scores at them.  Returns (metrics, state, columns whose last scores are the best)."""
     count = len(col_runs)
     mine = [settings[r] for r in col_runs]
     lr, decay = np.array([s.lr for s in mine]), np.array([s.weight_decay for s in mine])
-    none = blocks.table.sparkSession.createDataFrame([], STATE_BY_SLICE)
-    bias = {n: np.zeros(count) for n in ("w", "m", "v", "best")}
+    bias = {n: np.zeros(count) for n in ("w", "m", "v")}
     limit = np.array([s.epochs or epochs for s in mine])
     active, best, bad, rows = limit > 0, np.full(count, math.inf), np.zeros(count, int), []
-    improved = np.zeros(count, bool)
-    state, extra = _head_pass(blocks, none, None, bias["w"], col_folds)
-    for ep in range(1, int(limit.max(initial=0)) + 1):
+    improved, most = np.zeros(count, bool), int(limit.max(initial=0))
+    parts = {r["part"]: r["n"] for r in blocks.table.select(F.explode("part").alias("part")).where("part is not null").groupBy("part").agg(
+        F.count(F.lit(1)).alias("n")).collect()}  # one row per fold
+    n = np.maximum([parts.get("train", 0) if f is None else sum(parts.values()) - parts.get(str(f), 0) for f in col_folds], 1)
+    state, extra = _head_pass(blocks, None, _Step(0, n, lr, decay, active, improved, not most), bias["w"], col_folds)
+    for ep in range(1, most + 1):
         active &= ep <= limit
         if not active.any():
             break
-        n = np.maximum(extra[3], 1)
         g = extra[0] / n + decay * bias["w"]
-        step = _Step(n, lr, decay, ep, active.copy(), improved)
-        bias["best"] = np.where(improved, bias["w"], bias["best"])
         m, v = B1 * bias["m"] + (1 - B1) * g, B2 * bias["v"] + (1 - B2) * g * g
         w = bias["w"] - lr * (m / (1 - B1 ** ep)) / (np.sqrt(v / (1 - B2 ** ep)) + EPS)
         for name, new in (("m", m), ("v", v), ("w", w)):
             bias[name] = np.where(active, new, bias[name])
         before, old = extra, state
-        state, extra = _head_pass(blocks, old, step, bias["w"], col_folds)
+        state, extra = _head_pass(blocks, old, _Step(ep, n, lr, decay, active.copy(), improved, ep == most), bias["w"], col_folds)
         drop_stored(old)
         with np.errstate(invalid="ignore", divide="ignore"):
             eval_loss, eval_hit = extra[4] / extra[6], extra[5] / extra[6]
@@ -434,8 +442,19 @@ def train(blocks: Blocks, settings: list, epochs: int, col_runs: list[int], col_
             improved[c] = eval_loss[c] + s.min_delta < best[c]
             best[c], bad[c] = (eval_loss[c], 0) if improved[c] else (best[c], bad[c] + 1)
             active[c] = not (s.patience > 0 and bad[c] >= s.patience)
-    last = _Step(np.ones(count), lr, decay, 1, np.zeros(count, bool), improved)
-    return rows, state, last, bias["w"], np.where(improved, bias["w"], bias["best"])
+    return rows, state, improved
+
+
+def _head_scores(blocks: Blocks, state: DataFrame, improved: np.ndarray, use_best: bool) -> DataFrame:
+    """(id, h): every row's scores at the best or the last weights of each column.  Written."""
+    count = len(improved)
+
+    def give(d: dict, sent: pa.Table) -> pa.Table:
+        last, best = (np.frombuffer(sent[n][0].as_py(), "<f8").reshape(-1, count) for n in "gs")
+        return _listed("h", d["ids"].as_py(), np.where(improved, last, best) if use_best else last)
+    mine = state.where("slice < -1").select((-2 - F.col("slice")).alias("block"), "s", "g")
+    with shuffles_dropped(blocks.table.sparkSession):
+        return stored(_at_blocks(blocks, mine, give, "id string, h array<double>"), "scores")
 
 
 def kfold_heads(vectors: DataFrame, features: DataFrame, id_col: str, fold_col: str, settings: list, label: str = "persuaded", epochs: int = 30,
@@ -457,14 +476,13 @@ def kfold_heads(vectors: DataFrame, features: DataFrame, id_col: str, fold_col:
                             F.lit(0.0).alias("p1"), F.lit(0).alias("pred"))
         return spark.createDataFrame([], METRICS_SCHEMA), named
     col_runs, col_folds = [r for r in range(len(settings)) for _ in folds], [f for _ in settings for f in folds]
-    metrics, state, step, last, best = train(blocks, settings, epochs, col_runs, [int(f) for f in col_folds])
-    bias, count = best if use_best else last, len(col_runs)
-    found = _dots(blocks, _replies(blocks, state.where("slice >= 0"), count, lambda own: step.of(next(_rows_of(own)))[3 if use_best else 0]), count)
+    metrics, state, improved = train(blocks, settings, epochs, col_runs, [int(f) for f in col_folds])
+    found = _head_scores(blocks, state, improved, use_best)
     drop_stored(state)
     blocks.drop()
     known = found.join(rows, "id")
     place = F.array_position(F.array(*[F.lit(int(f)) for f in folds]), F.col("fold")).cast("int") - 1
-    per_run = F.array(*[F.struct(F.lit(s.run_id).alias("run_id"), (F.col("dot")[place + r * len(folds)] + _literals(bias)[place + r * len(folds)]).alias("h"))
+    per_run = F.array(*[F.struct(F.lit(s.run_id).alias("run_id"), F.col("h")[place + r * len(folds)].alias("h"))
                         for r, s in enumerate(settings)])
     scored = known.select("id", "fold", "label", F.inline(per_run))
     out = scored.select("run_id", F.col("id").alias(id_col), F.col("fold").alias(fold_col), F.col("label").alias(label),
