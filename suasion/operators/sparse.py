@@ -458,10 +458,11 @@ def _head_scores(blocks: Blocks, state: DataFrame, improved: np.ndarray, use_bes
 
 
 def kfold_heads(vectors: DataFrame, features: DataFrame, id_col: str, fold_col: str, settings: list, label: str = "persuaded", epochs: int = 30,
-                use_best: bool = True) -> tuple[DataFrame, DataFrame]:
+                use_best: bool = True, spent: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``train.kfold_heads`` on sparse vectors (id, idx, val, fold, label): out-of-fold scores (run_id, id, fold, label, p1,
     pred), one row per row and setting, and the epochs' metrics first.  Rows without a label or fold are left out.
-    ``features`` (feat_idx) may name more than the rows have: their weights stay 0."""
+    ``features`` (feat_idx) may name more than the rows have: their weights stay 0.
+    ``spent``: a stored table that only ``vectors`` read, deleted when they lie in blocks."""
     from suasion.operators.train import METRICS_SCHEMA, fold_values
     spark = vectors.sparkSession
     rows = vectors.filter(F.col(label).isNotNull() & F.col(fold_col).isNotNull()).select(
@@ -470,6 +471,8 @@ def kfold_heads(vectors: DataFrame, features: DataFrame, id_col: str, fold_col:
         blocks = pack(rows, id_col, F.col("_label"), F.col("_fold"))
         rows = stored(blocks.table.select(F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("part").cast("array<int>").alias("fold"),
                                                                 F.col("y").cast("array<int>").alias("label")))), "sparse-rows")
+    if spent is not None:
+        drop_stored(spent)
     folds = fold_values(rows, "fold")
     if not folds:
         named = rows.select(F.lit("").alias("run_id"), F.col("id").alias(id_col), F.col("fold").alias(fold_col), F.col("label").alias(label),

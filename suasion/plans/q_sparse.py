@@ -42,12 +42,12 @@ def _gram_vectors(spark, sf) -> tuple[DataFrame, DataFrame]:
     return sparse.long_to_sparse(grams.select("group_id", "feat", F.col("group_norm").alias("value")))
 
 
-def _labelled_grams(spark, sf) -> tuple[DataFrame, DataFrame]:
+def _labelled_grams(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     vectors, dictionary = _gram_vectors(spark, sf)
     labelled = v.messages(spark, sf, claim=False).filter(F.col("persuaded").isNotNull()).select(
         F.col("message_id").alias("group_id"), "persuaded")
     folds = group_kfold(labelled, "group_id", fold_col="folds_col")
-    return vectors.join(folds, "group_id"), dictionary.select("feat_idx")
+    return vectors.join(folds, "group_id"), dictionary.select("feat_idx"), vectors
 
 
 @register("trn03_sparse_first_epoch", W("messages") + sql_ngrams_cte() + """,
@@ -65,17 +65,18 @@ SELECT group_id, fold AS folds_col, round(1 / (1 + exp(-2 * sum(w * x))), 6) + 0
 FROM x JOIN w ON x.feat IS NOT DISTINCT FROM w.feat AND x.fold = w.k GROUP BY group_id, fold""")
 def trn03_sparse_epoch(spark, sf):
     """Out-of-fold scores of five heads over the whole 1-gram vocabulary after one epoch: exact."""
-    rows, features = _labelled_grams(spark, sf)
-    _, oof = sparse.kfold_heads(rows, features, "group_id", "folds_col", [HeadSetting("run", lr=0.05, patience=0)], epochs=1, use_best=False)
+    rows, features, vectors = _labelled_grams(spark, sf)
+    _, oof = sparse.kfold_heads(rows, features, "group_id", "folds_col", [HeadSetting("run", lr=0.05, patience=0)], epochs=1, use_best=False,
+                                 spent=vectors)
     return oof.select("group_id", "folds_col", r6("p1").alias("p1"))
 
 
 @register("trn03_sparse_heads")
 def trn03_sparse(spark, sf):
     """Five folds x two penalties over the whole 1-gram vocabulary, five epochs in common passes."""
-    rows, features = _labelled_grams(spark, sf)
+    rows, features, vectors = _labelled_grams(spark, sf)
     settings = [HeadSetting(f"wd={wd:g}", lr=0.05, weight_decay=wd) for wd in (0.0, 1e-5)]
-    _, oof = sparse.kfold_heads(rows, features, "group_id", "folds_col", settings, epochs=5)
+    _, oof = sparse.kfold_heads(rows, features, "group_id", "folds_col", settings, epochs=5, spent=vectors)
     return oof
 
 

@@ -209,3 +209,14 @@ def test_nothing_of_a_run_stays_in_the_shared_folder(spark, cells):
     sparse.pca_reduce(long(spark, cells), 2).count()
     new = {os.path.basename(p).rsplit("-", 1)[0] for p in set(glob.glob(folder + "/*")) - before}
     assert new <= {"dots", "loadings"}
+
+
+def test_vectors_go_when_heads_have_packed_them(spark, cells):
+    import os
+    from suasion import session
+    vectors, names = sparse.long_to_sparse(long(spark, cells))
+    path = session._STORED[vectors].removeprefix("file:")
+    rows = vectors.join(labelled(spark, cells), "group_id")
+    assert os.path.exists(path)
+    _, oof = sparse.kfold_heads(rows, names.select("feat_idx"), "group_id", "folds_col", [tr.HeadSetting("a")], epochs=1, spent=vectors)
+    assert not os.path.exists(path) and oof.count() == sum(i % 13 != 0 and i % 17 != 1 for i in range(60))
